@@ -1,6 +1,6 @@
 """Import every query module so the registry is complete."""
 
-from quillframe.plans import metrics_queries, pipeline_queries, text_queries  # noqa: F401
+from quillframe.plans import contract_queries, metrics_queries, pipeline_queries, request_queries, text_queries  # noqa: F401
 from quillframe.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
