@@ -1,6 +1,13 @@
 """Import every query module so the registry is complete."""
 
-from quillframe.plans import contract_queries, metrics_queries, pipeline_queries, request_queries, text_queries  # noqa: F401
+from quillframe.plans import (  # noqa: F401
+    contract_queries,
+    metrics_queries,
+    pipeline_queries,
+    request_queries,
+    stream_queries,
+    text_queries,
+)
 from quillframe.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
