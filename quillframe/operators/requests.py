@@ -71,12 +71,10 @@ def resolve_providers(connections: DataFrame, presets: DataFrame) -> DataFrame:
     env-var *names* for key and base URL; secrets never become columns.
     """
     p = F.broadcast(presets)
-    default = F.broadcast(
-        presets.where(F.col("provider") == DEFAULT_PROVIDER).select(
-            *[F.col(c).alias(f"d_{c}") for c in presets.columns]
-        )
+    default = F.broadcast(presets.select(*[F.col(c).alias(f"d_{c}") for c in presets.columns]))
+    j = connections.join(p, "provider", "left").join(
+        default, F.lit(DEFAULT_PROVIDER) == F.col("d_provider"), "left"
     )
-    j = connections.join(p, "provider", "left").crossJoin(default)
 
     def pick(given: str, preset: str) -> Column:
         return F.coalesce(F.nullif(F.col(given), F.lit("")), F.coalesce(F.col(preset), F.col(f"d_{preset}")))

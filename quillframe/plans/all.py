@@ -1,6 +1,7 @@
 """Import every query module so the registry is complete."""
 
 from quillframe.plans import (  # noqa: F401
+    analytics_queries,
     contract_queries,
     metrics_queries,
     pipeline_queries,

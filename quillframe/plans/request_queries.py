@@ -41,7 +41,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("messages").cast("bigint").alias("n_messages"),
         F.array_join(F.transform("messages", lambda x: x["role"]), ",").alias("roles"),
         F.aggregate("messages", F.lit(0).cast("bigint"), lambda a, x: a + F.length(x["content"])).alias("content_chars"),
-        F.element_at("messages", 1)["role"].alias("first_role"),
+        F.try_element_at("messages", 1)["role"].alias("first_role"),
     )
 
 
@@ -189,7 +189,7 @@ def connections(spark: SparkSession, sf_dir: str) -> DataFrame:
     choice = F.array(*[F.lit(p) for p in PROVIDER_CHOICE])
     return src.select(
         "source",
-        F.element_at(choice, (n % 10 + 1)).alias("provider"),
+        F.try_element_at(choice, (n % 10 + 1)).alias("provider"),
         F.when(n % 7 == 0, F.lit("https://proxy.invalid/v1")).otherwise(F.lit("")).alias("base_url"),
         F.when(n % 5 == 0, F.lit("custom-model")).otherwise(F.lit("")).alias("model"),
         F.lit("").alias("auth_style"),
@@ -248,7 +248,7 @@ def unknown_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         F.transform(
             F.sequence(F.lit(0).cast("bigint"), F.col("doc_id") % 4 - 1),
-            lambda j: F.element_at(cand, ((F.col("doc_id") + j) % 10 + 1).cast("int")),
+            lambda j: F.try_element_at(cand, ((F.col("doc_id") + j) % 10 + 1).cast("int")),
         ).alias("stages"),
     )
     req = req.withColumn("stages", F.when(F.col("doc_id") % 4 == 0, F.expr("CAST(array() AS array<string>)")).otherwise(F.col("stages")))

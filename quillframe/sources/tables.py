@@ -42,7 +42,7 @@ def calls_from_events(events: DataFrame) -> DataFrame:
         F.col("event_type").alias("stage"),
         F.col("ts").alias("event_time"),
         F.col("event_id").alias("call_id"),
-        F.element_at(models, (F.col("user_id") % 3 + 1).cast("int")).alias("model"),
+        F.try_element_at(models, (F.col("user_id") % 3 + 1).cast("int")).alias("model"),
         (F.lit(10) * (k + 1)).alias("prompt_tokens"),
         F.col("user_id").cast("bigint").alias("completion_tokens"),
         (F.lit(3) * k).alias("cached_tokens"),
