@@ -129,8 +129,8 @@ def split_front_matter(text: Column | str) -> Column:
     has = t.startswith("---") & (F.size(parts) >= 3)
     return F.struct(
         has.alias("has_front_matter"),
-        F.when(has, F.try_element_at(parts, 2)).alias("header"),
-        F.when(has, strip_ws(F.try_element_at(parts, 3))).otherwise(t).alias("body"),
+        F.when(has, F.try_element_at(parts, F.lit(2))).alias("header"),
+        F.when(has, strip_ws(F.try_element_at(parts, F.lit(3)))).otherwise(t).alias("body"),
     )
 
 
@@ -159,7 +159,7 @@ def parse_front_matter(header: Column | str) -> Column:
             key.alias("key"),
             F.when(val == "", F.expr("CAST(array() AS array<string>)")).otherwise(F.array(val)).alias("values"),
         )
-        last = F.try_element_at(acc, -1)
+        last = F.try_element_at(acc, F.lit(-1))
         item = F.trim(F.regexp_extract(line, _ITEM_LINE, 1))
         appended = F.concat(
             F.slice(acc, 1, F.size(acc) - 1),

@@ -248,10 +248,10 @@ def parse_responses(responses: DataFrame) -> DataFrame:
     model and finish_reason.  A body that does not parse, or has no choice,
     becomes an error row."""
     r = F.from_json(F.col("raw"), RESPONSE_SCHEMA)
-    choice = F.try_element_at(r["choices"], 1)
+    choice = F.try_element_at(r["choices"], F.lit(1))
     parsed = responses.withColumn("_r", r)
     r = F.col("_r")
-    choice = F.try_element_at(r["choices"], 1)
+    choice = F.try_element_at(r["choices"], F.lit(1))
     bad = F.col("error").isNull() & (r.isNull() | choice.isNull())
     usage = F.struct(
         F.coalesce(r["usage"]["prompt_tokens"], F.lit(0)).cast("bigint").alias("prompt_tokens"),

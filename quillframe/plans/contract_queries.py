@@ -133,7 +133,7 @@ def seo_reply(text: Column, n_chars: Column) -> Column:
         F.struct(
             (n_chars % 101).cast("double").alias("seo_score"),
             F.struct(
-                F.try_element_at(T.tokens(title), 1).alias("primary_keyword"),
+                F.try_element_at(T.tokens(title), F.lit(1)).alias("primary_keyword"),
                 F.concat(((n_chars % 50) / F.lit(10.0)).cast("string"), F.lit("%")).alias("keyword_density"),
             ).alias("keyword_analysis"),
             F.struct(title.alias("current"), F.concat(title, F.lit(": a guide")).alias("suggested")).alias("title_optimization"),

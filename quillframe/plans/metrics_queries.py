@@ -307,3 +307,25 @@ FROM per_run p JOIN dur d USING (run_id)
 )
 def summary_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.summary_document(calls(spark, sf_dir))
+
+
+@query(
+    "metrics_report",
+    with_calls_cte(
+        """
+SELECT run_id, count(DISTINCT stage) AS agents,
+       CAST(sum(prompt_tokens + completion_tokens) AS BIGINT) AS total_tokens,
+       CAST(count(*) AS BIGINT) AS calls
+FROM calls GROUP BY run_id
+"""
+    ),
+)
+def metrics_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K6 + S2 + A11: save every run's summary document, read all of them
+    back as one table, and total each run from its agent rows."""
+    from quillframe.session import scratch_path
+    from quillframe.sinks import writers as K
+
+    path = scratch_path(spark, "metrics")
+    K.write_summary_documents(M.summary_document(calls(spark, sf_dir)), path)
+    return K.multi_run_report(K.read_metrics(spark, path))

@@ -41,7 +41,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("messages").cast("bigint").alias("n_messages"),
         F.array_join(F.transform("messages", lambda x: x["role"]), ",").alias("roles"),
         F.aggregate("messages", F.lit(0).cast("bigint"), lambda a, x: a + F.length(x["content"])).alias("content_chars"),
-        F.try_element_at("messages", 1)["role"].alias("first_role"),
+        F.try_element_at("messages", F.lit(1))["role"].alias("first_role"),
     )
 
 

@@ -190,9 +190,9 @@ def front_matter_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("md").cast("bigint").alias("md_chars"),
         F.col("fm.has_front_matter").alias("has_front_matter"),
         F.size("entries").cast("bigint").alias("n_keys"),
-        F.coalesce(F.try_element_at(kv["title"], 1), F.lit("")).alias("title_back"),
+        F.coalesce(F.try_element_at(kv["title"], F.lit(1)), F.lit("")).alias("title_back"),
         F.array_join(kv["tags"], ",").alias("tags_back"),
-        F.try_element_at(kv["lang"], 1).alias("lang_back"),
+        F.try_element_at(kv["lang"], F.lit(1)).alias("lang_back"),
         (F.col("fm.body") == T.strip_ws("text")).alias("body_matches"),
         F.length(F.col("fm.body")).cast("bigint").alias("body_chars"),
     )

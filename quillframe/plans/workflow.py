@@ -299,10 +299,10 @@ def assemble(results: DataFrame, final: DataFrame, topics: DataFrame, strict: bo
     )
 
     def content_of(stage: str) -> Column:
-        return F.coalesce(F.try_element_at(F.filter(last, lambda x: x["key"] == stage), 1)["content"], F.lit(""))
+        return F.coalesce(F.try_element_at(F.filter(last, lambda x: x["key"] == stage), F.lit(1))["content"], F.lit(""))
 
     def status_of(stage: str) -> Column:
-        return F.try_element_at(F.filter(last, lambda x: x["key"] == stage), 1)["status"]
+        return F.try_element_at(F.filter(last, lambda x: x["key"] == stage), F.lit(1))["status"]
 
     tr = F.filter(last, lambda x: x["stage"] == "translator")
     out = per.join(final.select("run_id", "topic_id", "article"), ["run_id", "topic_id"], "left").select(

@@ -55,7 +55,7 @@ def decode(lines: DataFrame) -> DataFrame:
         (payload == "[DONE]").alias("is_done"),
         F.from_json(payload, CHUNK_SCHEMA).alias("c"),
     )
-    choice = F.try_element_at(F.col("c.choices"), 1)
+    choice = F.try_element_at(F.col("c.choices"), F.lit(1))
     ok = F.col("is_done") | (F.col("c").isNotNull() & (F.coalesce(F.size("c.choices"), F.lit(0)) >= 1))
     return parsed.where(ok).select(
         "response_id",
@@ -86,7 +86,7 @@ def assemble(decoded: DataFrame) -> DataFrame:
     text = F.array_join(F.transform(F.filter(live, lambda p: F.coalesce(p["delta"], F.lit("")) != ""), lambda p: p["delta"]), "")
     reasons = F.filter(live, lambda p: F.coalesce(p["reasoning_delta"], F.lit("")) != "")
     usages = F.filter(live, lambda p: p["usage"].isNotNull())
-    last_usage = F.try_element_at(usages, -1)["usage"]
+    last_usage = F.try_element_at(usages, F.lit(-1))["usage"]
     return per.select(
         "response_id",
         text.alias("content"),
