@@ -84,7 +84,9 @@ def heading_level_list(md: Column | str) -> Column:
 
 def term_frequencies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, term, tf): explode tokens then count -- partial aggregation per task."""
-    return docs.select(key, F.explode(T.tokens(text)).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    # explode_outer + filter: keeps the tokenizer from running twice (see shingle_overlap)
+    terms = docs.select(key, F.explode_outer(T.tokens(text)).alias("term")).where(F.col("term").isNotNull())
+    return terms.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def top_keywords(docs: DataFrame, k: int = 5, key: str = "doc_id", text: str = "text",
@@ -108,28 +110,77 @@ def top_keywords(docs: DataFrame, k: int = 5, key: str = "doc_id", text: str = "
 # -------------------------------------------------------------- P2 density
 
 
-def keyword_density(docs: DataFrame, keywords: DataFrame, key: str = "doc_id", text: str = "text",
-                    stuffing_pct: float = 3.0) -> DataFrame:
-    """Per (doc, keyword): hits = whole-word occurrences (case-insensitive;
-    a match may not touch another letter), density = 100 * hits * words in
-    keyword / word_count(text), null when the doc has no words; stuffing when
-    density > ``stuffing_pct``.
+def keyword_density_rows(df: DataFrame, key: str, text: str, keywords: Column | str, stuffing_pct: float = 3.0) -> DataFrame:
+    """P2 on rows that carry their own keyword list (``keywords`` array<string>).
 
-    ``keywords`` is (key, keyword); the join is an equi join on the document
-    key, so each document is matched only with its own keywords.
+    A keyword matches as a whole token sequence of the lower-cased text
+    (tokens = runs of letters), case-insensitive.  hits = matches; density =
+    100 * hits * words in keyword / word_count(text), null when the text has
+    no words; stuffing when density > ``stuffing_pct``.
+
+    One scan and one shuffle: each row emits its tokens and its keywords as
+    (term, count) items; a hash aggregate on (doc, term) -- pre-aggregated
+    per task, so only distinct terms per document are shuffled -- gives the
+    hits of every single-word keyword.  Multi-word keywords are matched on
+    the row's token array and enter the same aggregate with their count.
     """
-    kw = F.lower(F.col("keyword"))
-    pattern = F.concat(F.lit(r"(?<!\p{L})"), F.regexp_replace(kw, r"([\\^$.|?*+()\[\]{}])", r"\\$1"), F.lit(r"(?!\p{L})"))
-    j = docs.select(key, text).join(keywords, key)
-    wc = T.word_count(text)
-    hits = F.regexp_count(F.lower(F.col(text)), pattern).cast("bigint")
-    n_words = F.size(F.split(F.trim(kw), " +"))
-    density = F.when(wc > 0, F.lit(100.0) * hits * n_words / wc)
-    return j.select(key, "keyword", hits.alias("hits"), wc.alias("word_count"), density.alias("density")).withColumn(
+    a = df.select(
+        key,
+        T.tokens(text).alias("_tk"),
+        T.word_count(text).alias("word_count"),
+        F.transform(_c(keywords), lambda k: F.struct(k.alias("keyword"), T.tokens(k).alias("kt"))).alias("_kws"),
+    )
+    tk = F.col("_tk")
+    n = F.size(tk)
+    item_t = "struct<term:string,n:bigint,keyword:string,n_words:int,word_count:bigint>"
+
+    def phrase_hits(kt: Column) -> Column:
+        m = F.size(kt)
+        return F.when(n >= m, F.size(F.filter(F.sequence(F.lit(1), F.greatest(n - m + 1, F.lit(1))), lambda i: F.slice(tk, i, m) == kt)))
+
+    token_items = F.transform(
+        tk, lambda t: F.struct(t.alias("term"), F.lit(1).cast("bigint").alias("n"), F.lit(None).cast("string").alias("keyword"),
+                               F.lit(None).cast("int").alias("n_words"), F.lit(None).cast("bigint").alias("word_count"))
+    )
+    kw_items = F.transform(
+        "_kws",
+        lambda k: F.struct(
+            F.array_join(k["kt"], " ").alias("term"),
+            F.when(F.size(k["kt"]) > 1, F.coalesce(phrase_hits(k["kt"]), F.lit(0))).otherwise(F.lit(0)).cast("bigint").alias("n"),
+            k["keyword"].alias("keyword"),
+            F.size(k["kt"]).cast("int").alias("n_words"),
+            F.col("word_count").alias("word_count"),
+        ),
+    )
+    items = a.select(
+        key, F.explode_outer(F.concat(token_items.cast(f"array<{item_t}>"), kw_items.cast(f"array<{item_t}>"))).alias("it")
+    ).where(F.col("it").isNotNull())
+    # declarative aggregates only (max/sum), so this stays a codegen'd hash
+    # aggregate; case variants of one keyword collapse into one row.
+    agg = items.groupBy(key, F.col("it.term").alias("term")).agg(
+        F.sum("it.n").alias("hits"),
+        F.max("it.keyword").alias("keyword"),
+        F.max("it.n_words").alias("n_words"),
+        F.max("it.word_count").alias("word_count"),
+    )
+    b = agg.where(F.col("keyword").isNotNull()).select(key, "keyword", "hits", "n_words", "word_count")
+    b = b.withColumn("hits", F.when(F.col("n_words") == 0, F.lit(0)).otherwise(F.col("hits")).cast("bigint"))
+    wc = F.col("word_count")
+    density = F.when(wc > 0, F.lit(100.0) * F.col("hits") * F.col("n_words") / wc)
+    return b.select(key, "keyword", "hits", "word_count", density.alias("density")).withColumn(
         "stuffing", F.coalesce(F.col("density") > stuffing_pct, F.lit(False))
     )
 
 
+def keyword_density(docs: DataFrame, keywords: DataFrame, key: str = "doc_id", text: str = "text",
+                    stuffing_pct: float = 3.0) -> DataFrame:
+    """P2 for a separate (key, keyword) table: keywords are gathered per
+    document (a small list) and joined on the document key, then counted
+    row-wise by :func:`keyword_density_rows`."""
+    kw = keywords.groupBy(key).agg(F.array_sort(F.collect_set("keyword")).alias("_kw"))
+    return keyword_density_rows(docs.select(key, text).join(kw, key), key, text, F.col("_kw"), stuffing_pct)
+
+
 # ---------------------------------------------------------- P4 / P5 pages
 
 
@@ -201,7 +252,7 @@ def link_candidates(pages: DataFrame, keywords: DataFrame, key: str = "page_id",
     # existing links: href path equal to the hub's URL path
     path = F.regexp_extract(F.col(url), r"^[a-z]+://[^/]+(/[^?#]*)", 1)
     hub_paths = pages.select(F.col(key).alias("hub"), path.alias("hub_path"))
-    have = pages.select(F.col(key), F.explode(links(html)).alias("href")).join(
+    have = pages.select(F.col(key), F.explode_outer(links(html)).alias("href")).where(F.col("href").isNotNull()).join(
         hub_paths, F.col("href") == F.col("hub_path")
     ).select(key, "hub")
     return pair.join(have, [key, "hub"], "left_anti")

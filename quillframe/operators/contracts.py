@@ -2,7 +2,10 @@
 
 Replies are parsed with ``from_json`` against a fixed schema (keys missing
 from a reply are null, a reply that is not JSON yields null) and flattened
-with ``explode``/``posexplode`` -- all JVM-side generators, no shuffle.
+with generators -- JVM-side, no shuffle.  The ``*_outer`` generators plus a
+null filter are used on purpose: a plain explode makes the optimizer infer a
+non-empty filter and push it below the projection, which parses (and
+builds) every reply twice.
 """
 
 from __future__ import annotations
@@ -50,13 +53,15 @@ def parse(content: Column | str, schema: str) -> Column:
 def research_facts(df: DataFrame, content: str = "content", keys: tuple[str, ...] = ("topic_id",)) -> DataFrame:
     """One row per (subtopic, item) with kind fact / statistic / quote."""
     r = df.select(*keys, parse(content, RESEARCH_SCHEMA).alias("r"))
-    sub = r.select(*keys, F.posexplode("r.key_subtopics").alias("subtopic_pos", "s"))
+    sub = r.select(*keys, F.posexplode_outer("r.key_subtopics").alias("subtopic_pos", "s")).where(F.col("s").isNotNull())
     items = F.concat(
         F.transform(F.coalesce(F.col("s.key_facts"), F.array()), lambda x, i: F.struct(F.lit("fact").alias("kind"), i.alias("pos"), x.alias("item"))),
         F.transform(F.coalesce(F.col("s.statistics"), F.array()), lambda x, i: F.struct(F.lit("statistic").alias("kind"), i.alias("pos"), x.alias("item"))),
         F.transform(F.coalesce(F.col("s.expert_quotes"), F.array()), lambda x, i: F.struct(F.lit("quote").alias("kind"), i.alias("pos"), x.alias("item"))),
     )
-    return sub.select(*keys, "subtopic_pos", F.col("s.title").alias("subtopic"), F.explode(items).alias("it")).select(
+    return sub.select(*keys, "subtopic_pos", F.col("s.title").alias("subtopic"), F.explode_outer(items).alias("it")).where(
+        F.col("it").isNotNull()
+    ).select(
         *keys, "subtopic_pos", "subtopic", F.col("it.kind").alias("kind"), F.col("it.pos").alias("item_pos"), F.col("it.item").alias("item")
     )
 
@@ -69,7 +74,7 @@ def research_lists(df: DataFrame, content: str = "content", keys: tuple[str, ...
         F.transform(F.coalesce(F.col("r.suggested_sources"), F.array()), lambda x: F.struct(F.lit("source").alias("kind"), x.alias("item"))),
         F.transform(F.coalesce(F.col("r.trending_angles"), F.array()), lambda x: F.struct(F.lit("angle").alias("kind"), x.alias("item"))),
     )
-    return r.select(*keys, F.explode(stacked).alias("x")).select(*keys, "x.kind", "x.item")
+    return r.select(*keys, F.explode_outer(stacked).alias("x")).where(F.col("x").isNotNull()).select(*keys, "x.kind", "x.item")
 
 
 def outline_sections(df: DataFrame, content: str = "content", keys: tuple[str, ...] = ("topic_id",)) -> DataFrame:
@@ -79,8 +84,8 @@ def outline_sections(df: DataFrame, content: str = "content", keys: tuple[str, .
         *keys,
         F.col("o.title").alias("title"),
         F.col("o.target_word_count").alias("target_word_count"),
-        F.posexplode("o.sections").alias("section_pos", "s"),
-    ).select(
+        F.posexplode_outer("o.sections").alias("section_pos", "s"),
+    ).where(F.col("s").isNotNull()).select(
         *keys,
         "title",
         "target_word_count",
@@ -122,8 +127,8 @@ def quality_dimensions(df: DataFrame, content: str = "content", keys: tuple[str,
         F.coalesce(F.size("q.bias_flags"), F.lit(0)).alias("bias_flags"),
         F.coalesce(F.size("q.improvement_suggestions"), F.lit(0)).alias("suggestions"),
         F.coalesce(F.size("q.strengths"), F.lit(0)).alias("strengths"),
-        F.explode("q.dimensions").alias("dimension", "d"),
-    ).select(*keys, "dimension", F.col("d.score").alias("score"), F.col("d.notes").alias("notes"),
+        F.explode_outer("q.dimensions").alias("dimension", "d"),
+    ).where(F.col("dimension").isNotNull()).select(*keys, "dimension", F.col("d.score").alias("score"), F.col("d.notes").alias("notes"),
              "factual_issues", "bias_flags", "suggestions", "strengths")
 
 
@@ -135,8 +140,8 @@ def publisher_formats(df: DataFrame, content: str = "content", keys: tuple[str,
         F.col("p.metadata.title").alias("title"),
         F.array_join(F.coalesce(F.col("p.metadata.tags"), F.array()), ",").alias("tags"),
         F.col("p.metadata.word_count").alias("word_count"),
-        F.explode("p.formats").alias("format", "text"),
-    )
+        F.explode_outer("p.formats").alias("format", "text"),
+    ).where(F.col("format").isNotNull())
 
 
 def social_within_limit(text: Column, limit: int = 280) -> Column:

@@ -78,8 +78,7 @@ FROM k""",
 def keyword_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Density of each title word in its document, stuffing flag > 3%."""
     d = _docs(spark, sf_dir, "text")
-    kw = d.select("doc_id", F.explode(F.array_distinct(T.tokens(doc_title(F.col("text"))))).alias("keyword"))
-    return A.keyword_density(d, kw)
+    return A.keyword_density_rows(d, "doc_id", "text", F.array_distinct(T.tokens(doc_title(F.col("text")))))
 
 
 @query(
@@ -227,7 +226,7 @@ def _outline_rows(d: DataFrame) -> DataFrame:
     lines = F.split(F.col("text"), "\n")
     heads = F.filter(F.transform(lines, lambda l, i: F.struct((i + 1).alias("i"), l.alias("l"))), lambda x: (x["i"] % 5 == 0) & (x["l"] != ""))
     outline = F.concat(F.transform(heads, lambda x: x["l"]), F.array(F.lit("Summary")))
-    return d.select("doc_id", F.explode(outline).alias("heading"), F.lit(100).alias("word_allocation"))
+    return d.select("doc_id", F.explode_outer(outline).alias("heading"), F.lit(100).alias("word_allocation")).where(F.col("heading").isNotNull())
 
 
 def _sql_norm(x: str) -> str:

@@ -90,7 +90,8 @@ def outline_reply(text: Column) -> Column:
     return F.to_json(
         F.struct(
             doc_title(text).alias("title"),
-            F.aggregate(secs, F.lit(0).cast("bigint"), lambda a, s: a + s["word_allocation"]).alias("target_word_count"),
+            # = sum of the sections' budgets (blank lines hold no words), without building secs twice
+            T.ws_word_count(text).alias("target_word_count"),
             secs.alias("sections"),
         )
     )

@@ -241,8 +241,8 @@ def sse_lines(responses: DataFrame, text: Column, chunk_chars: int = 20, reasoni
     return responses.select(
         "response_id",
         "event_time",
-        F.posexplode(lines).alias("seq", "line"),
-    ).select(
+        F.posexplode_outer(lines).alias("seq", "line"),
+    ).where(F.col("line").isNotNull()).select(
         "response_id",
         F.col("seq").cast("bigint").alias("seq"),
         (F.col("event_time") + F.make_interval(secs=F.col("seq").cast("decimal(18,6)"))).alias("event_time"),
