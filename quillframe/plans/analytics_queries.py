@@ -183,12 +183,36 @@ def image_alt_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_text(html):
-    """Visible page text: scripts and styles dropped, tags replaced by spaces."""
-    t = F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</\1>", " ")
+    """Visible page text: script and style blocks dropped, tags replaced by spaces."""
+    t = F.regexp_replace(html, r"(?is)<script[^>]*>.*?</script>", " ")
+    t = F.regexp_replace(t, r"(?is)<style[^>]*>.*?</style>", " ")
     return F.regexp_replace(t, r"<[^>]*>", " ")
 
 
-@query("link_candidates")
+_SQL_PAGE_TEXT = (
+    "regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', ' ', 'g'), "
+    "'(?is)<style[^>]*>.*?</style>', ' ', 'g'), '<[^>]*>', ' ', 'g')"
+)
+
+
+@query(
+    "link_candidates",
+    f"""WITH p AS (SELECT page_id, url, html, {_SQL_PAGE_TEXT} AS text FROM pages),
+tk AS (SELECT page_id, unnest({SQL_TOKENS.format(x='text')}) AS term FROM p),
+tf AS (SELECT page_id, term, count(*) AS tf FROM tk GROUP BY 1, 2),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+n AS (SELECT count(*) AS n FROM pages),
+s AS (SELECT tf.page_id, tf.term, df.df, tf.tf * ln(CAST(n.n AS DOUBLE) / df.df) AS score FROM tf JOIN df USING (term), n),
+kw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, term) AS rank FROM s) WHERE rank <= 5),
+dk AS (SELECT kw.* FROM kw, n WHERE df <= n.n * 0.1),
+hubs AS (SELECT term, page_id AS hub FROM (SELECT term, page_id, row_number() OVER (PARTITION BY term ORDER BY score DESC, page_id) AS r FROM dk) WHERE r = 1),
+pairs AS (SELECT dk.page_id, hubs.hub, count(*) AS shared, array_to_string(list_sort(list(dk.term)), ',') AS shared_terms
+          FROM dk JOIN hubs USING (term) WHERE dk.page_id <> hubs.hub GROUP BY 1, 2),
+have AS (SELECT l.page_id, h.page_id AS hub
+         FROM (SELECT page_id, unnest({_SQL_HREF}) AS href FROM pages) l
+         JOIN (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+(/[^?#]*)', 1) AS path FROM pages) h ON l.href = h.path)
+SELECT page_id, hub, shared, shared_terms FROM pairs ANTI JOIN have USING (page_id, hub)""",
+)
 def link_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per page, hub pages of its distinctive top keywords it does not link to yet."""
     p = table(spark, sf_dir, "pages").select("page_id", "url", "html")
