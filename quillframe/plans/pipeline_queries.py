@@ -18,7 +18,7 @@ from quillframe.operators import inference as I
 from quillframe.operators import stages as S
 from quillframe.plans import workflow as W
 from quillframe.plans.registry import query
-from quillframe.plans.text_queries import SQL_MARKDOWN, doc_markdown, doc_title, sql_markdown_to_html
+from quillframe.plans.text_queries import SQL_MARKDOWN, SQL_TITLE, doc_markdown, doc_title, sql_markdown_to_html
 from quillframe.sources.tables import table
 
 # The eight quality dimensions of the quality contract.
@@ -370,7 +370,6 @@ def publish_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("doc_id", "target", F.length("rendered").cast("bigint").alias("rendered_chars"), F.md5("rendered").alias("rendered_md5"))
 
 
-@query("article_summary")
 def article_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The full eight-stage chain over every document as a topic
     (20 runs = sources), with the refine loop, translation and publishing."""
@@ -381,3 +380,96 @@ def article_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join("agents_run", ",").alias("agents_run"), "article_length", "word_count",
         F.array_join("translations", ",").alias("translations"),
     )
+
+
+def _article_summary_sql() -> str:
+    """Closed form of :func:`article_summary` under :func:`doc_completer`.
+
+    Every prompt is rendered from the same stage templates (Template.sql), so
+    prompt/completion tokens, calls, lengths and translation keys follow
+    without running the chain.  With no quality label the round-i score is
+    40 + n_chars mod 20 + 10 i < 80 for i < 3, so every article runs three
+    editor/quality rounds.
+    """
+    from quillframe.plans.request_queries import _sql_lit
+
+    def q(s: str) -> str:
+        return _sql_lit(s)
+
+    t = "title"
+    research = f"('Research notes: ' || {t} || '. Key statistics and an expert quote follow.')"
+    outline = f"('# ' || {t} || chr(10) || '## Background' || chr(10) || '## Findings' || chr(10) || '## Outlook')"
+    seo = "('{\"seo_score\":' || CAST(n_chars % 100 AS VARCHAR) || '}')"
+
+    def draft(i: int) -> str:  # text before editor round i
+        return "(text" + "".join(f" || chr(10) || chr(10) || 'Revision {k}'" for k in range(1, i)) + ")"
+
+    def toks(x: str) -> str:
+        return f"((length(coalesce({x}, '')) + 3) // 4)"
+
+    def ptoks(stage, slots) -> str:
+        st = S.get_stage(stage)
+        return f"((length({q(st.system_prompt)}) + length({st.template.sql(slots)}) + 3) // 4)"
+
+    def score(i: int) -> str:
+        return f"(40 + n_chars % 20 + 10 * {i})"
+
+    dims = " || ',' || ".join(
+        f"'\"{d}\":{{\"score\":' || CAST((n_chars + {13 * k}) % 101 AS VARCHAR) || ',\"notes\":\"{d} note\"}}'"
+        for k, d in enumerate(DIMENSIONS)
+    )
+
+    def quality_reply(i: int) -> str:
+        s = score(i)
+        full = (
+            f"'{{\"overall_score\":' || CAST({s} AS VARCHAR) || ',\"pass_threshold\":' || CASE WHEN {s} >= 80 THEN 'true' ELSE 'false' END"
+            f" || ',\"dimensions\":{{' || {dims} || '}},\"factual_issues\":[' || "
+            "array_to_string(list_transform(range(n_chars % 3), lambda x: '\"issue\"'), ',') || '],\"strengths\":[\"clear\"]}'"
+        )
+        return (
+            f"(CASE WHEN doc_id % 19 = 0 THEN NULL "
+            f"WHEN doc_id % 11 = 0 THEN '{{\"overall_score\":\"' || CAST({s} AS VARCHAR) || '\"}}' "
+            f"WHEN doc_id % 13 = 0 THEN '```json' || chr(10) || '{{\"overall_score\":' || CAST({s} AS VARCHAR) || '}}' || chr(10) || '```' "
+            f"WHEN doc_id % 17 = 0 THEN '{{\"overall_score\": true}}' ELSE {full} END)"
+        )
+
+    failed_q = "(doc_id % 19 = 0 OR doc_id % 11 = 0)"
+    calls = [
+        (ptoks("research", {"topic": t}), toks(research), "true"),
+        (ptoks("outline", {"target_words": "'2000'", "research_data": research}), toks(outline), "true"),
+        (ptoks("writer", {"language": "lang", "outline": outline, "research_data": research}), toks("text"), "true"),
+        (ptoks("seo", {"keywords": "'auto-detect'", "content": "text"}), toks(seo), "true"),
+    ]
+    for i in (1, 2, 3):
+        edited = draft(i + 1)
+        calls.append((ptoks("editor", {"target_reading_level": "'general'", "seo_recommendations": seo, "content": draft(i)}), toks(edited), "true"))
+        calls.append((ptoks("quality", {"title": t, "threshold_pct": "'80.0'", "content": edited}), toks(quality_reply(i)), f"NOT {failed_q}"))
+    article = draft(4)
+    pub = "('{\"formats\":{\"social_twitter\":\"' || substr(title, 1, 280) || '\"},\"metadata\":{\"title\":\"' || title || '\"}}')"
+    targets = "CASE WHEN doc_id % 3 = 0 THEN 'markdown, html, text' WHEN doc_id % 3 = 1 THEN 'html' ELSE 'markdown' END"
+    calls.append((ptoks("publisher", {"targets_text": targets, "title": t, "content": article}), toks(pub), "true"))
+    tokens = " + ".join(f"CASE WHEN {ok} THEN {p} + {c} ELSE 0 END" for p, c, ok in calls)
+    latency = " + ".join(f"100 + {c}" for _, c, _ in calls)
+    tr_tokens = ptoks("translator", {"source_language": "lang", "target_language": "l", "keywords_note": "NULL", "content": article})
+    tr_c = toks(f"('[' || l || '] ' || {article})")
+    return f"""WITH d AS (
+  SELECT doc_id, source, text, lang, n_chars, {SQL_TITLE} AS title,
+         CASE WHEN lang = 'en' THEN ['ms', 'zh'] WHEN lang = 'fr' THEN ['en'] WHEN lang = 'es' THEN ['ja', 'ko'] ELSE [] END AS langs
+  FROM documents),
+b AS (SELECT *, {tokens} AS tok, {latency} AS lat FROM d),
+tr AS (SELECT doc_id, sum({tr_tokens} + {tr_c}) AS tok, sum(100 + {tr_c}) AS lat, count(*) AS n
+       FROM (SELECT d.*, unnest(langs) AS l FROM d) GROUP BY doc_id),
+s AS (SELECT b.*, coalesce(tr.tok, 0) AS ttok, coalesce(tr.lat, 0) AS tlat, coalesce(tr.n, 0) AS tn FROM b LEFT JOIN tr USING (doc_id))
+SELECT source AS run_id, doc_id AS topic_id, 'success' AS status,
+       CAST(tok + ttok AS BIGINT) AS total_tokens, CAST(11 + tn AS BIGINT) AS total_calls,
+       CAST(CASE WHEN 2 * ((lat + tlat) % 10) > 10 OR (2 * ((lat + tlat) % 10) = 10 AND ((lat + tlat) // 10) % 2 = 1)
+                 THEN (lat + tlat) // 10 + 1 ELSE (lat + tlat) // 10 END AS DOUBLE) / 100.0 AS pipeline_duration_s,
+       'research,outline,writer,seo,editor,quality' || array_to_string(list_transform(langs, lambda x: ',translator_' || x), '')
+         || ',publisher' AS agents_run,
+       CAST(length({article}) AS BIGINT) AS article_length,
+       CAST(len(regexp_extract_all(text, '[^{T.WS}]+')) + 6 AS BIGINT) AS word_count,
+       array_to_string(langs, ',') AS translations
+FROM s"""
+
+
+query("article_summary", _article_summary_sql())(article_summary)
