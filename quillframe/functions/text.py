@@ -150,35 +150,36 @@ def parse_front_matter(header: Column | str) -> Column:
     """
     lines = F.split(F.coalesce(_c(header), F.lit("")), "\n")
     entry_t = "struct<key:string,values:array<string>>"
-    empty = F.expr(f"CAST(array() AS array<{entry_t}>)")
+    zero = F.struct(F.expr(f"CAST(array() AS array<{entry_t}>)").alias("entries"), F.lit(None).cast("string").alias("cur"))
 
     def step(acc: Column, line: Column) -> Column:
+        # a fold over lambda variables only: the accumulator holds the entries
+        # and the key that "  - item" lines append to
+        entries = acc["entries"]
+        cur = acc["cur"]
         is_key = line.rlike(_KEY_LINE)
-        is_item = line.rlike(_ITEM_LINE) & (F.size(acc) > 0)
+        is_item = line.rlike(_ITEM_LINE) & cur.isNotNull()
         key = F.trim(F.regexp_extract(line, _KEY_LINE, 1))
         val = F.trim(F.regexp_extract(line, _KEY_LINE, 2))
-        new_entry = F.struct(
-            key.alias("key"),
-            F.when(val == "", F.expr("CAST(array() AS array<string>)")).otherwise(F.array(val)).alias("values"),
-        )
-        last = F.try_element_at(acc, F.lit(-1))
+        vals = F.when(val == "", F.expr("CAST(array() AS array<string>)")).otherwise(F.array(val))
+        new_entry = F.struct(key.alias("key"), vals.alias("values"))
+        # a repeated key keeps its first position and takes the new value (YAML mapping semantics)
+        set_key = F.when(
+            F.exists(entries, lambda e: e["key"] == key),
+            F.transform(entries, lambda e: F.when(e["key"] == key, new_entry).otherwise(e)),
+        ).otherwise(F.concat(entries, F.array(new_entry)))
         item = F.trim(F.regexp_extract(line, _ITEM_LINE, 1))
-        appended = F.concat(
-            F.slice(acc, 1, F.size(acc) - 1),
-            F.array(F.struct(last["key"].alias("key"), F.concat(last["values"], F.array(item)).alias("values"))),
+        add_item = F.transform(
+            entries,
+            lambda e: F.when(e["key"] == cur, F.struct(e["key"].alias("key"), F.concat(e["values"], F.array(item)).alias("values"))).otherwise(e),
         )
-        return F.when(is_key, F.concat(acc, F.array(new_entry))).when(is_item, appended).otherwise(acc)
-
-    entries = F.aggregate(lines, empty, step)
-    # last occurrence of a key wins
-    indexed = F.transform(entries, lambda e, i: F.struct(e["key"].alias("key"), e["values"].alias("values"), i.alias("i")))
-    return F.transform(
-        F.filter(
-            indexed,
-            lambda e: ~F.exists(indexed, lambda o: (o["key"] == e["key"]) & (o["i"] > e["i"])),
-        ),
-        lambda e: F.struct(e["key"].alias("key"), e["values"].alias("values")),
-    )
+        return (
+            F.when(is_key, F.struct(set_key.alias("entries"), key.alias("cur")))
+            .when(is_item, F.struct(add_item.alias("entries"), cur.alias("cur")))
+            .otherwise(acc)
+        )
+
+    return F.aggregate(lines, zero, step)["entries"]
 
 
 def render_front_matter(entries: Column | str, body: Column | str) -> Column:

@@ -265,38 +265,49 @@ def run_pipeline(
 def assemble(results: DataFrame, final: DataFrame, topics: DataFrame, strict: bool = False) -> DataFrame:
     """W8 + W5 + W2/W3/W11: one row per (run_id, topic_id).
 
-    One groupBy: the article's stage rows are collected (bounded: stages x
-    rounds + languages), sorted by pipeline order, and reduced to the last
-    row per stage key (translator keys are ``translator_<lang>``).
+    One groupBy, no join: the article's stage rows and its final text are
+    collected together (bounded: stages x rounds + languages), sorted by
+    pipeline order, and reduced to the last row per stage key (translator
+    keys are ``translator_<lang>``).
     """
     key = F.when(F.col("stage") == "translator", F.concat(F.lit("translator_"), F.col("variant"))).otherwise(F.col("stage"))
+
+    def item(ord_: Column, k: Column, it: Column, stage: Column, variant: Column, status: Column, content: Column,
+             tokens: Column, latency: Column, error: Column) -> Column:
+        return F.struct(ord_.alias("ord"), k.alias("key"), it.cast("int").alias("iteration"), stage.alias("stage"),
+                        variant.alias("variant"), status.alias("status"), content.alias("content"),
+                        tokens.cast("bigint").alias("tokens_used"), latency.cast("double").alias("latency_ms"),
+                        error.cast("string").alias("error"))
+
     rows = results.select(
         "run_id",
         "topic_id",
-        F.struct(
-            S.stage_order_index(F.col("stage")).alias("ord"),
-            key.alias("key"),
-            F.col("iteration").alias("iteration"),
-            "stage",
-            "variant",
-            "status",
-            "content",
-            "tokens_used",
-            "latency_ms",
-            "error",
-        ).alias("r"),
+        item(S.stage_order_index(F.col("stage")), key, F.col("iteration"), F.col("stage"), F.col("variant"), F.col("status"),
+             F.col("content"), F.col("tokens_used"), F.col("latency_ms"), F.col("error")).alias("r"),
         (F.col("prompt_tokens") + F.col("completion_tokens")).alias("tok"),
         F.col("latency_ms").cast("decimal(18,2)").alias("lat"),
     )
-    per = rows.groupBy("run_id", "topic_id").agg(
+    # the final article travels as one extra item of the same group (no join)
+    art = final.select(
+        "run_id",
+        "topic_id",
+        item(F.lit(0), F.lit("_article"), F.lit(0), F.lit("_article"), F.lit(""), F.lit("success"), F.col("article"),
+             F.lit(0), F.lit(0.0), F.lit(None)).alias("r"),
+        F.lit(0).cast("bigint").alias("tok"),
+        F.lit(None).cast("decimal(18,2)").alias("lat"),
+    )
+    per = rows.unionByName(art).groupBy("run_id", "topic_id").agg(
         F.array_sort(F.collect_list("r")).alias("rs"),
         F.sum("tok").cast("bigint").alias("total_tokens"),
         F.sum("lat").alias("lat_ms"),
-        F.count(F.lit(1)).alias("total_calls"),
+        F.count(F.when(F.col("r.stage") != "_article", 1)).alias("total_calls"),
     )
     last = F.filter(
-        "rs", lambda x: ~F.exists("rs", lambda y: (y["key"] == x["key"]) & (y["iteration"] > x["iteration"]))
+        "rs",
+        lambda x: (x["key"] != "_article")
+        & ~F.exists("rs", lambda y: (y["key"] == x["key"]) & (y["iteration"] > x["iteration"])),
     )
+    article = F.try_element_at(F.filter("rs", lambda x: x["key"] == "_article"), F.lit(1))["content"]
 
     def content_of(stage: str) -> Column:
         return F.coalesce(F.try_element_at(F.filter(last, lambda x: x["key"] == stage), F.lit(1))["content"], F.lit(""))
@@ -305,7 +316,7 @@ def assemble(results: DataFrame, final: DataFrame, topics: DataFrame, strict: bo
         return F.try_element_at(F.filter(last, lambda x: x["key"] == stage), F.lit(1))["status"]
 
     tr = F.filter(last, lambda x: x["stage"] == "translator")
-    out = per.join(final.select("run_id", "topic_id", "article"), ["run_id", "topic_id"], "left").select(
+    out = per.select(
         "run_id",
         "topic_id",
         F.when(
@@ -316,7 +327,7 @@ def assemble(results: DataFrame, final: DataFrame, topics: DataFrame, strict: bo
         .when(F.lit(strict) & F.exists(last, lambda x: x["status"] != "success"), F.lit("failed"))
         .otherwise(F.lit("success"))
         .alias("status"),
-        F.coalesce(F.col("article"), F.lit("")).alias("article"),
+        F.coalesce(article, F.lit("")).alias("article"),
         content_of("research").alias("research"),
         content_of("outline").alias("outline"),
         content_of("seo").alias("seo_analysis"),
