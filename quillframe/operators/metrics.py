@@ -37,6 +37,7 @@ def stage_counters(calls: DataFrame, keys: Sequence[str] = ("run_id", "stage"))
         F.sum("errors").cast("bigint").alias("errors"),
         F.sum("retries").cast("bigint").alias("retries"),
         F.min("event_time").alias("first_seen"),
+        F.max("event_time").alias("last_seen"),
     )
 
 
@@ -64,7 +65,9 @@ def run_totals(calls: DataFrame) -> DataFrame:
         F.sum("prompt_tokens").cast("bigint").alias("prompt_tokens"),
         F.sum("completion_tokens").cast("bigint").alias("completion_tokens"),
         F.sum("cached_tokens").cast("bigint").alias("cached_tokens"),
-        F.countDistinct("stage").alias("stages"),
+        # size(collect_set) instead of count(distinct): one shuffle, and the
+        # per-task partial set is bounded by the number of stages
+        F.size(F.collect_set("stage")).cast("bigint").alias("stages"),
     )
 
 
@@ -128,68 +131,66 @@ def consumption_report(calls: DataFrame) -> DataFrame:
     """Per run, one row per stage plus a TOTAL row.
 
     Stage rows rank by total tokens descending, ties by first use; the TOTAL
-    row carries the overall hit rate cached / max(prompt, 1).  One grouping-sets
-    aggregate (single shuffle) produces both levels.
+    row carries the overall hit rate cached / max(prompt, 1).  One aggregate
+    on (run, stage) and one window on run: the run totals are window sums on
+    the same partitioning, and the TOTAL row is projected from the rank-1
+    row, so no second aggregate or join is needed.
     """
-    agg = (
-        calls.groupBy("run_id", "stage")
-        .agg(
-            F.count(F.lit(1)).alias("calls"),
-            F.sum(F.col("prompt_tokens") + F.col("completion_tokens")).cast("bigint").alias("total_tokens"),
-            F.sum("prompt_tokens").cast("bigint").alias("prompt_tokens"),
-            F.sum("cached_tokens").cast("bigint").alias("cached_tokens"),
-            F.sum(F.col("latency_ms").cast("decimal(18,2)")).alias("total_latency_ms"),
-            F.min(F.struct("event_time", "call_id")).alias("first_use"),
-        )
-    )
-    # Level 2 (run TOTAL) is derived from the per-stage partials: a second tiny
-    # aggregate over at most (#runs x #stages) rows instead of a second scan.
-    totals = agg.groupBy("run_id").agg(
-        F.sum("calls").cast("bigint").alias("calls"),
-        F.sum("total_tokens").cast("bigint").alias("total_tokens"),
+    agg = calls.groupBy("run_id", "stage").agg(
+        F.count(F.lit(1)).alias("calls"),
+        F.sum(F.col("prompt_tokens") + F.col("completion_tokens")).cast("bigint").alias("total_tokens"),
         F.sum("prompt_tokens").cast("bigint").alias("prompt_tokens"),
         F.sum("cached_tokens").cast("bigint").alias("cached_tokens"),
-        F.sum("total_latency_ms").alias("total_latency_ms"),
+        F.sum(F.col("latency_ms").cast("decimal(18,2)")).alias("total_latency_ms"),
+        F.min(F.struct("event_time", "call_id")).alias("first_use"),
     )
     w = Window.partitionBy("run_id").orderBy(F.col("total_tokens").desc(), F.col("first_use"), F.col("stage"))
-    stages = agg.select(
-        "run_id",
-        "stage",
-        F.lit(False).alias("is_total"),
+    run = Window.partitionBy("run_id")
+    ranked = agg.select(
+        "*",
         F.row_number().over(w).cast("bigint").alias("report_rank"),
-        "calls",
-        "total_tokens",
-        "prompt_tokens",
-        "cached_tokens",
-        "total_latency_ms",
+        *[F.sum(c).over(run).alias(f"run_{c}") for c in ("calls", "total_tokens", "prompt_tokens", "cached_tokens", "total_latency_ms")],
+    )
+    stage_row = F.struct(
+        F.col("stage").alias("stage"),
+        F.lit(False).alias("is_total"),
+        F.col("report_rank").alias("report_rank"),
+        F.col("calls").cast("bigint").alias("calls"),
+        F.col("total_tokens").alias("total_tokens"),
+        F.col("prompt_tokens").alias("prompt_tokens"),
+        F.col("cached_tokens").alias("cached_tokens"),
+        F.col("total_latency_ms").cast("decimal(28,2)").alias("total_latency_ms"),
         _ratio(F.col("total_tokens"), F.col("calls")).alias("tokens_per_call"),
         _ratio(F.col("total_latency_ms").cast("double"), F.col("calls")).alias("avg_latency_ms"),
         _ratio(F.col("cached_tokens"), F.col("prompt_tokens")).alias("cache_hit_rate"),
     )
-    total_rows = totals.select(
-        "run_id",
+    total_row = F.struct(
         F.lit("TOTAL").alias("stage"),
         F.lit(True).alias("is_total"),
         F.lit(None).cast("bigint").alias("report_rank"),
-        "calls",
-        "total_tokens",
-        "prompt_tokens",
-        "cached_tokens",
-        "total_latency_ms",
-        _ratio(F.col("total_tokens"), F.col("calls")).alias("tokens_per_call"),
-        _ratio(F.col("total_latency_ms").cast("double"), F.col("calls")).alias("avg_latency_ms"),
-        (F.col("cached_tokens").cast("double") / F.greatest(F.col("prompt_tokens"), F.lit(1)).cast("double")).alias(
+        F.col("run_calls").cast("bigint").alias("calls"),
+        F.col("run_total_tokens").cast("bigint").alias("total_tokens"),
+        F.col("run_prompt_tokens").cast("bigint").alias("prompt_tokens"),
+        F.col("run_cached_tokens").cast("bigint").alias("cached_tokens"),
+        F.col("run_total_latency_ms").cast("decimal(28,2)").alias("total_latency_ms"),
+        _ratio(F.col("run_total_tokens"), F.col("run_calls")).alias("tokens_per_call"),
+        _ratio(F.col("run_total_latency_ms").cast("double"), F.col("run_calls")).alias("avg_latency_ms"),
+        (F.col("run_cached_tokens").cast("double") / F.greatest(F.col("run_prompt_tokens"), F.lit(1)).cast("double")).alias(
             "cache_hit_rate"
         ),
     )
-    return stages.unionByName(total_rows)
+    # the rank-1 row of each run also emits the TOTAL row: one pass, no union
+    rows = F.when(F.col("report_rank") == 1, F.array(stage_row, total_row)).otherwise(F.array(stage_row))
+    return ranked.select("run_id", F.inline(rows))
 
 
 def summary_document(calls: DataFrame) -> DataFrame:
     """One JSON document per run: run_id, duration, totals, agents map.
 
     The agents map is built from a per-run array sorted by stage name, so the
-    JSON text is deterministic.  Numbers are the A5 export values.
+    JSON text is deterministic.  Numbers are the A5 export values.  Two
+    aggregates in a row (run x stage, then run): the collected group is one
+    run's stages.
     """
     rows = export_row(stage_metrics(calls))
     agent = F.struct(
@@ -209,11 +210,12 @@ def summary_document(calls: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.struct(F.col("stage").alias("k"), agent.alias("v")))).alias("entries"),
         F.sum("total_tokens").cast("bigint").alias("total_tokens"),
         F.sum("calls").cast("bigint").alias("total_calls"),
+        # run duration from the per-stage first/last call times: no second aggregate, no join
+        (F.unix_micros(F.max("last_seen").cast("timestamp")) - F.unix_micros(F.min("first_seen").cast("timestamp"))).alias("duration_us"),
     )
-    dur = run_duration(calls).select("run_id", F.col("duration_s_2dp").alias("pipeline_duration_s"))
-    doc = per_run.join(dur, "run_id").select(
+    doc = per_run.select(
         "run_id",
-        "pipeline_duration_s",
+        (F.expr("(duration_us + 5000) div 10000") / F.lit(100.0)).alias("pipeline_duration_s"),
         "total_tokens",
         "total_calls",
         F.map_from_entries(F.transform("entries", lambda e: F.struct(e["k"], e["v"]))).alias("agents"),

@@ -71,9 +71,10 @@ def resolve_providers(connections: DataFrame, presets: DataFrame) -> DataFrame:
     env-var *names* for key and base URL; secrets never become columns.
     """
     p = F.broadcast(presets)
-    default = F.broadcast(presets.select(*[F.col(c).alias(f"d_{c}") for c in presets.columns]))
-    j = connections.join(p, "provider", "left").join(
-        default, F.lit(DEFAULT_PROVIDER) == F.col("d_provider"), "left"
+    # the default preset is one row: a scalar subquery, not a join
+    d = presets.where(F.col("provider") == DEFAULT_PROVIDER).select(F.struct(*presets.columns)).scalar()
+    j = connections.join(p, "provider", "left").select(
+        "*", *[d[c].alias(f"d_{c}") for c in presets.columns]
     )
 
     def pick(given: str, preset: str) -> Column:
@@ -100,14 +101,33 @@ def empty_overrides(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], OVERRIDE_SCHEMA)
 
 
-def with_overrides(requests: DataFrame, overrides: DataFrame | None, stage_col: str = "stage") -> DataFrame:
-    """Left-join the effective override row of each request's stage (broadcast: config-sized)."""
+_OVERRIDE_FIELDS = ("enabled", "model_override", "temperature_override", "max_tokens_override", "system_prompt_override")
+
+
+def with_overrides(requests: DataFrame, overrides: DataFrame | None, stage_col: str = "stage",
+                   stage_name: str | None = None) -> DataFrame:
+    """Attach the effective override row of each request's stage (B1).
+
+    With a constant ``stage_name`` (one stage per request table, the usual
+    case) the override is a scalar subquery: evaluated once, no join.  For a
+    table whose rows carry different stages it is an equi join on the stage
+    name with the override dimension broadcast (config-sized).
+    """
     if overrides is None:
-        overrides = empty_overrides(requests.sparkSession)
-    ov = F.broadcast(effective_overrides(overrides)).withColumnRenamed("name", "_ov_name")
+        return requests.select("*", *[F.lit(None).cast(t).alias(c) for c, t in _override_types()])
+    eff = effective_overrides(overrides)
+    if stage_name is not None:
+        row = eff.where(F.col("name") == stage_name).select(F.struct(*_OVERRIDE_FIELDS)).scalar()
+        return requests.select("*", *[row[c].alias(c) for c in _OVERRIDE_FIELDS])
+    ov = F.broadcast(eff).withColumnRenamed("name", "_ov_name")
     return requests.join(ov, requests[stage_col] == ov["_ov_name"], "left").drop("_ov_name")
 
 
+def _override_types() -> list[tuple[str, str]]:
+    types = dict(x.strip().split(" ", 1) for x in OVERRIDE_SCHEMA.split(","))
+    return [(c, types[c]) for c in _OVERRIDE_FIELDS]
+
+
 def resolve_parameters(
     df: DataFrame,
     settings: LLMSettings,
@@ -211,7 +231,7 @@ def build_requests(
         user_prompt.alias("user_prompt"),
         stage.input_metadata(slots).alias("meta_in"),
     )
-    base = with_overrides(base, overrides)
+    base = with_overrides(base, overrides, stage_name=stage.name)
     base = resolve_parameters(
         base,
         settings,
