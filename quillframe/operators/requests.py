@@ -73,9 +73,8 @@ def resolve_providers(connections: DataFrame, presets: DataFrame) -> DataFrame:
     p = F.broadcast(presets)
     # the default preset is one row: a scalar subquery, not a join
     d = presets.where(F.col("provider") == DEFAULT_PROVIDER).select(F.struct(*presets.columns)).scalar()
-    j = connections.join(p, "provider", "left").select(
-        "*", *[d[c].alias(f"d_{c}") for c in presets.columns]
-    )
+    j = connections.join(p, "provider", "left").select("*", d.alias("_d"))
+    j = j.select(*[c for c in j.columns if c != "_d"], *[F.col(f"_d.{c}").alias(f"d_{c}") for c in presets.columns])
 
     def pick(given: str, preset: str) -> Column:
         return F.coalesce(F.nullif(F.col(given), F.lit("")), F.coalesce(F.col(preset), F.col(f"d_{preset}")))
@@ -118,7 +117,8 @@ def with_overrides(requests: DataFrame, overrides: DataFrame | None, stage_col:
     eff = effective_overrides(overrides)
     if stage_name is not None:
         row = eff.where(F.col("name") == stage_name).select(F.struct(*_OVERRIDE_FIELDS)).scalar()
-        return requests.select("*", *[row[c].alias(c) for c in _OVERRIDE_FIELDS])
+        with_row = requests.select("*", row.alias("_ov"))
+        return with_row.select(*requests.columns, *[F.col(f"_ov.{c}").alias(c) for c in _OVERRIDE_FIELDS])
     ov = F.broadcast(eff).withColumnRenamed("name", "_ov_name")
     return requests.join(ov, requests[stage_col] == ov["_ov_name"], "left").drop("_ov_name")
 
