@@ -46,11 +46,15 @@ RESPONSE_COLS = ["raw", "latency_ms", "error", "retries"]
 
 
 class Completer:
-    """U5 protocol: ``complete(requests) -> requests + raw/latency_ms/error/retries``."""
+    """U5 protocol: ``complete(requests, stage=None) -> requests + raw/latency_ms/error/retries``.
+
+    ``stage`` is a hint that every request row belongs to that stage (the
+    case for :func:`run_stage`); completers may ignore it.
+    """
 
     deterministic: bool = False
 
-    def complete(self, requests: DataFrame) -> DataFrame:  # pragma: no cover - interface
+    def complete(self, requests: DataFrame, stage: str | None = None) -> DataFrame:  # pragma: no cover - interface
         raise NotImplementedError
 
 
@@ -107,7 +111,7 @@ class ExpressionCompleter(Completer):
     errors: Mapping[str, Callable[[Callable[[str], Column]], Column]] = field(default_factory=dict)
     deterministic: bool = True
 
-    def complete(self, requests: DataFrame) -> DataFrame:
+    def complete(self, requests: DataFrame, stage: str | None = None) -> DataFrame:
         present = set(requests.columns)
 
         def col(name: str) -> Column:
@@ -115,11 +119,18 @@ class ExpressionCompleter(Completer):
             return F.col(name) if name in present else F.lit(None)
 
         content = F.substring(F.col("user_prompt"), -200, 200)
-        for stage, fn in self.replies.items():
-            content = F.when(F.col("stage") == stage, fn(col)).otherwise(content)
         error = F.lit(None).cast("string")
-        for stage, fn in self.errors.items():
-            error = F.when(F.col("stage") == stage, fn(col)).otherwise(error)
+        if stage is not None:
+            # one stage per table: only its expressions enter the plan
+            if stage in self.replies:
+                content = self.replies[stage](col)
+            if stage in self.errors:
+                error = self.errors[stage](col)
+        else:
+            for name, fn in self.replies.items():
+                content = F.when(F.col("stage") == name, fn(col)).otherwise(content)
+            for name, fn in self.errors.items():
+                error = F.when(F.col("stage") == name, fn(col)).otherwise(error)
         p_tok = ((prompt_chars(F.col("messages")) + 3) / 4).cast("bigint")
         c_tok = approx_tokens(content)
         cached = F.when(F.col("iteration") > 1, (p_tok / 2).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
@@ -210,7 +221,7 @@ class HttpCompleter(Completer):
             self.sleep(self.retry_delay_s * (2**attempt))
         return None, (time.monotonic() - start) * 1000, errors[-1], len(errors) - 1
 
-    def complete(self, requests: DataFrame) -> DataFrame:
+    def complete(self, requests: DataFrame, stage: str | None = None) -> DataFrame:
         cols = requests.columns
         out_schema = requests.schema
         from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
@@ -403,7 +414,7 @@ def run_stage(
     """
     req = Q.build_requests(inputs, stage, settings, overrides, slot_cols, iteration, variant, keep)
     req = req.where(F.col("stage_enabled"))
-    resp = completer.complete(req)
+    resp = completer.complete(req, stage=stage.name)
     if not completer.deterministic:
         resp = materialize(resp.drop("messages"), f"responses-{stage.name}")
     parsed = parse_responses(resp)

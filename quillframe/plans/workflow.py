@@ -70,10 +70,16 @@ def normalize_topics(topics: DataFrame, run_id: Column | str | None = None) -> D
     return df
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the session's checkpoint folder."""
+def cut(df: DataFrame, name: str = "round") -> DataFrame:
+    """Cut lineage: write the rows as parquet under the session's checkpoint
+    folder (shared storage on a cluster) and read them back.
+
+    One job computes the rows once (an RDD ``checkpoint()`` recomputes the
+    plan to write it unless it is also persisted), the files survive
+    executor loss, and later reads prune columns.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return I.materialize(df, f"cut-{name}")
 
 
 @dataclass
@@ -100,6 +106,7 @@ def refine_loop(
     overrides: DataFrame | None = None,
     keep: list[str] | None = None,
     checkpoint_rounds: bool = True,
+    bound: int | None = None,
 ) -> tuple[list[DataFrame], DataFrame]:
     """Editor -> quality rounds until the quality gate passes (F2).
 
@@ -107,7 +114,9 @@ def refine_loop(
     (review text or null), quality_threshold, max_iterations.  Returns the
     per-round result frames (editor and quality rows) and ``final`` with one
     row per draft: article (the last edited text, or the draft itself when
-    max_iterations = 0), rounds, passed, final_score.
+    max_iterations = 0), rounds, passed, final_score.  ``bound`` (the largest
+    max_iterations) may be given by the caller to avoid evaluating ``drafts``
+    just to find it.
     """
     keep = list(dict.fromkeys((keep or []) + ["topic", "quality_threshold", "max_iterations", "draft", "seo"]))
     rounds: list[DataFrame] = []
@@ -118,7 +127,8 @@ def refine_loop(
         F.lit(False).alias("passed"), F.lit(None).cast("double").alias("final_score"),
     )
     finished.append(none)
-    bound = drafts.agg(F.max("max_iterations")).first()[0] or 0
+    if bound is None:
+        bound = drafts.agg(F.max("max_iterations")).first()[0] or 0
     active = drafts.where(F.col("max_iterations") >= 1)
     for i in range(1, int(bound) + 1):
         ed = I.run_stage(
@@ -127,7 +137,7 @@ def refine_loop(
             iteration=i, keep=keep,
         )
         if checkpoint_rounds:
-            ed = cut(ed)
+            ed = cut(ed, f"editor-{i}")
         q_in = ed.withColumn("edited", F.col("content"))
         q = I.run_stage(
             q_in, S.QUALITY, completer, settings, overrides,
@@ -140,7 +150,7 @@ def refine_loop(
             iteration=i, keep=keep + ["edited"],
         )
         if checkpoint_rounds:
-            q = cut(q)
+            q = cut(q, f"quality-{i}")
         rounds += [ed, q]
         passed = F.coalesce(F.col("metadata.passes_threshold"), F.lit(False))
         done = q.where(passed | (F.col("max_iterations") <= i))
@@ -222,37 +232,46 @@ def run_pipeline(
     run_id: Column | str | None = None,
     keep: list[str] | None = None,
     strict: bool = False,
+    materialize_stages: bool = True,
 ) -> PipelineRun:
     """Research -> outline -> writer -> seo -> (editor -> quality)* ->
     translator -> publisher over every topic row.
 
     ``keep`` names extra topic columns carried to every request (completers
     may read them).  ``strict`` turns W3 soft failures into failed articles.
+    With ``materialize_stages`` each stage's results are written once (parquet
+    in the checkpoint folder) so the chain is never recomputed by the loop,
+    the fan-outs and the final assembly.
     """
     t = normalize_topics(topics, run_id)
     cfg = ["topic", "target_word_count", "language", "quality_threshold", "max_iterations",
            "enable_translation", "target_languages", "publish_targets"] + list(keep or [])
     cfg = list(dict.fromkeys(cfg))
 
-    research = I.run_stage(t, S.RESEARCH, completer, settings, overrides, keep=cfg)
+    def stage_out(df: DataFrame, name: str) -> DataFrame:
+        return cut(df, name) if materialize_stages else df
+
+    # loop bound from the topic table itself (a cheap scan), not from the chain
+    bound = int(t.agg(F.max("max_iterations")).first()[0] or 0)
+    research = stage_out(I.run_stage(t, S.RESEARCH, completer, settings, overrides, keep=cfg), "research")
     r_ok = research.where(F.col("status") == "success")
-    outline = I.run_stage(
+    outline = stage_out(I.run_stage(
         r_ok.withColumn("research_data", F.col("content")), S.OUTLINE, completer, settings, overrides,
         slot_cols={"target_words": F.col("target_word_count")}, keep=cfg + ["research_data"],
-    )
+    ), "outline")
     o_ok = outline.where(F.col("status") == "success")
-    writer = I.run_stage(
+    writer = stage_out(I.run_stage(
         o_ok.withColumn("outline", F.col("content")), S.WRITER, completer, settings, overrides,
         keep=cfg,
         slot_cols={"outline": F.col("outline"), "research_data": F.col("research_data"), "language": F.col("language")},
-    )
-    seo = I.run_stage(
+    ), "writer")
+    seo = stage_out(I.run_stage(
         writer.withColumn("draft", F.col("content")), S.SEO, completer, settings, overrides,
         slot_cols={"content": F.col("draft"), "keywords": T.join_or_default(F.lit(None).cast("array<string>"), "auto-detect")},
         keep=cfg + ["draft"],
-    )
+    ), "seo")
     drafts = seo.withColumn("seo", F.col("content"))
-    rounds, final = refine_loop(drafts, completer, settings, overrides, keep=cfg)
+    rounds, final = refine_loop(drafts, completer, settings, overrides, keep=cfg, bound=bound)
 
     translator = translate(final, completer, settings, overrides, keep=cfg)
     publisher = publish(final, completer, settings, overrides, keep=cfg)
@@ -282,8 +301,11 @@ def assemble(results: DataFrame, final: DataFrame, topics: DataFrame, strict: bo
     rows = results.select(
         "run_id",
         "topic_id",
+        # writer and editor texts are not assembly outputs (the final article
+        # travels as its own item), so they are not shuffled
         item(S.stage_order_index(F.col("stage")), key, F.col("iteration"), F.col("stage"), F.col("variant"), F.col("status"),
-             F.col("content"), F.col("tokens_used"), F.col("latency_ms"), F.col("error")).alias("r"),
+             F.when(F.col("stage").isin("writer", "editor"), F.lit(None).cast("string")).otherwise(F.col("content")),
+             F.col("tokens_used"), F.col("latency_ms"), F.col("error")).alias("r"),
         (F.col("prompt_tokens") + F.col("completion_tokens")).alias("tok"),
         F.col("latency_ms").cast("decimal(18,2)").alias("lat"),
     )
