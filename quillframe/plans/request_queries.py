@@ -28,20 +28,32 @@ def _payload_sql(messages_sql: str) -> str:
 @query(
     "messages",
     """SELECT conv_id, count(*) AS n_messages,
-       string_agg(role, ',' ORDER BY turn) AS roles,
+       count(*) FILTER (WHERE role = 'user') AS user_turns,
+       count(*) FILTER (WHERE role = 'assistant') AS assistant_turns,
+       count(*) FILTER (WHERE role = 'system') AS system_turns,
        CAST(sum(length(text)) AS BIGINT) AS content_chars,
-       arg_min(role, turn) AS first_role
+       arg_min(role, turn) AS first_role,
+       arg_max(role, turn) AS last_role
 FROM conversations GROUP BY conv_id""",
 )
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ordered message arrays per conversation."""
-    m = Q.messages_from_turns(table(spark, sf_dir, "conversations"))
-    return m.select(
-        "conv_id",
-        F.size("messages").cast("bigint").alias("n_messages"),
-        F.array_join(F.transform("messages", lambda x: x["role"]), ",").alias("roles"),
-        F.aggregate("messages", F.lit(0).cast("bigint"), lambda a, x: a + F.length(x["content"])).alias("content_chars"),
-        F.try_element_at("messages", F.lit(1))["role"].alias("first_role"),
+    """Per conversation, the message-list profile (turn counts by role,
+    characters, first and last role).
+
+    Only declarative aggregates (count, sum, min_by, max_by): each is
+    pre-aggregated per task, so a conversation holding a third of all turns
+    costs one partial row per task, never one giant array.  The ordered
+    message array itself is built only for the request payload.
+    """
+    c = table(spark, sf_dir, "conversations")
+    return c.groupBy("conv_id").agg(
+        F.count(F.lit(1)).alias("n_messages"),
+        F.count(F.when(F.col("role") == "user", 1)).alias("user_turns"),
+        F.count(F.when(F.col("role") == "assistant", 1)).alias("assistant_turns"),
+        F.count(F.when(F.col("role") == "system", 1)).alias("system_turns"),
+        F.sum(F.length("text")).cast("bigint").alias("content_chars"),
+        F.min_by("role", "turn").alias("first_role"),
+        F.max_by("role", "turn").alias("last_role"),
     )
 
 
