@@ -136,8 +136,8 @@ def refine_loop(
             slot_cols={"content": F.col("draft"), "seo_recommendations": F.col("seo")},
             iteration=i, keep=keep,
         )
-        if checkpoint_rounds:
-            ed = cut(ed, f"editor-{i}")
+        # no cut here: the quality cut below bounds lineage, and a billed
+        # (non-deterministic) completer's replies are already written by run_stage
         q_in = ed.withColumn("edited", F.col("content"))
         q = I.run_stage(
             q_in, S.QUALITY, completer, settings, overrides,
