@@ -247,6 +247,9 @@ class HttpCompleter(Completer):
                 pdf["retries"] = [int(r[3]) for r in res]
                 yield pdf
 
+        from quillframe.session import ship_package
+
+        ship_package(requests.sparkSession)
         df = requests.repartition(self.partitions) if self.partitions else requests
         return df.mapInPandas(run, schema)
 

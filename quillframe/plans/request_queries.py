@@ -20,8 +20,8 @@ SETTINGS = Q.LLMSettings()
 
 def _payload_sql(messages_sql: str) -> str:
     return (
-        f"to_json({{'model': 'default', 'messages': {messages_sql}, 'max_tokens': 4096, "
-        "'temperature': CAST(0.7 AS DOUBLE), 'top_p': CAST(0.9 AS DOUBLE), 'stream': false})"
+        f"CAST(to_json({{'model': 'default', 'messages': {messages_sql}, 'max_tokens': 4096, "
+        "'temperature': CAST(0.7 AS DOUBLE), 'top_p': CAST(0.9 AS DOUBLE), 'stream': false}) AS VARCHAR)"
     )
 
 

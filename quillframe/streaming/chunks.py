@@ -183,6 +183,9 @@ def assemble_stream(decoded: DataFrame, abandon_after: str = "10 minutes") -> Da
     watermark passes its last chunk (abandoned responses do not hold state
     forever).  Chunks arriving after ``[DONE]`` are dropped, as in batch.
     """
+    from quillframe.session import ship_package
+
+    ship_package(decoded.sparkSession)
     d = decoded.withWatermark("event_time", abandon_after)
     return d.groupBy("response_id").applyInPandasWithState(
         _assemble_state, ASSEMBLED_SCHEMA, STATE_SCHEMA, "append", "EventTimeTimeout"
