@@ -398,6 +398,25 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def complete_distinct(requests: DataFrame, completer: Completer, stage: str | None = None) -> DataFrame:
+    """Response cache: send each distinct payload once and join the reply back.
+
+    Requests are keyed by ``sha2(payload)``; one representative per key goes
+    to the completer (its output is written once), and every request row takes
+    the reply of its key through an equi join on the hash.  Identical prompts
+    -- repeated topics, re-runs -- are billed once.  The join is one-to-many
+    on a unique right side; a hot prompt is skew handled by AQE.
+    """
+    keyed = requests.withColumn("payload_sha", F.sha2(F.col("payload"), 256))
+    # any row of a key can represent it: the payloads are identical
+    reps = keyed.dropDuplicates(["payload_sha"])
+    resp = completer.complete(reps, stage=stage)
+    replies = resp.select("payload_sha", *[F.col(c) for c in RESPONSE_COLS])
+    if not completer.deterministic:
+        replies = materialize(replies, f"responses-{stage or 'any'}")
+    return keyed.join(replies, "payload_sha", "left").drop("payload_sha")
+
+
 def run_stage(
     inputs: DataFrame,
     stage: S.Stage,
@@ -409,16 +428,21 @@ def run_stage(
     variant: Column | str = "",
     keep: list[str] | None = None,
     threshold_col: Column | None = None,
+    dedupe_payloads: bool = False,
 ) -> DataFrame:
     """G*: build requests, complete, parse and project one stage.
 
     Requests whose stage is disabled by an override (F5) are not sent; they
-    do not appear in the output.
+    do not appear in the output.  With ``dedupe_payloads`` identical request
+    bodies are sent once (:func:`complete_distinct`).
     """
     req = Q.build_requests(inputs, stage, settings, overrides, slot_cols, iteration, variant, keep)
     req = req.where(F.col("stage_enabled"))
-    resp = completer.complete(req, stage=stage.name)
-    if not completer.deterministic:
-        resp = materialize(resp.drop("messages"), f"responses-{stage.name}")
+    if dedupe_payloads:
+        resp = complete_distinct(req, completer, stage=stage.name)
+    else:
+        resp = completer.complete(req, stage=stage.name)
+        if not completer.deterministic:
+            resp = materialize(resp.drop("messages"), f"responses-{stage.name}")
     parsed = parse_responses(resp)
     return stage_results(parsed, stage, keep=keep, threshold_col=threshold_col)

@@ -161,3 +161,26 @@ def test_http_completer_in_stage(spark):
     res = {r.topic_id: r for r in I.run_stage(d, S.RESEARCH, c).collect()}
     assert res[1].status == "success" and res[1].tokens_used == 7 and res[1].cached_tokens == 1
     assert res[2].status == "failed" and res[2].content == "" and res[2].retries == 2 and res[2].tokens_used == 0
+
+
+class CountingTransport:
+    """Counts calls in a file so executor-side calls are visible to the test."""
+
+    def __init__(self, path):
+        self.path = path
+
+    def __call__(self, url, body, headers, timeout):
+        with open(self.path, "a") as f:
+            f.write("x")
+        return 200, _ok_body("same")
+
+
+def test_dedupe_payloads_bills_each_prompt_once(spark, tmp_path):
+    d = spark.createDataFrame(
+        [("r", i, "Same topic" if i < 4 else "Other") for i in range(6)], "run_id string, topic_id bigint, topic string"
+    )
+    counter = tmp_path / "calls.txt"
+    c = I.HttpCompleter(base_url="http://x/v1", transport=CountingTransport(str(counter)), sleep=lambda s: None)
+    res = I.run_stage(d, S.RESEARCH, c, dedupe_payloads=True).collect()
+    assert len(res) == 6 and all(r.status == "success" and r.tokens_used == 7 for r in res)
+    assert len(counter.read_text()) == 2  # two distinct prompts
