@@ -80,3 +80,45 @@ def markdown_to_text(md: Column | str) -> Column:
     t = F.regexp_replace(t, r"(?d)\*(.+?)\*", "$1")
     t = F.regexp_replace(t, r"`([^`]*)`", "$1")
     return F.regexp_replace(t, r"(?md)^[ \t]*[-*+][ \t]+", "")
+
+
+# ------------------------------------------------------------ U4 targets
+
+# A publish-target renderer is fn(body_md, title, metadata_columns) -> Column.
+_RENDERERS: dict = {}
+
+
+def register_renderer(name: str, fn) -> None:
+    """U4: add (or replace) a publish target rendered by a Column function."""
+    _RENDERERS[name] = fn
+
+
+def renderer_names() -> list[str]:
+    return sorted(_RENDERERS)
+
+
+def render_target(target: Column, body: Column, title: Column, meta: dict[str, Column] | None = None) -> Column:
+    """Render ``body`` for the target named in ``target`` (null for unknown targets).
+
+    All registered renderers become one CASE expression, evaluated per row
+    on the executors.
+    """
+    meta = meta or {}
+    out = None
+    for name, fn in _RENDERERS.items():
+        out = (F.when(target == name, fn(body, title, meta)) if out is None else out.when(target == name, fn(body, title, meta)))
+    return out if out is not None else F.lit(None).cast("string")
+
+
+def _markdown_target(body, title, meta):
+    from quillframe.functions import text as T
+
+    entries = [F.struct(F.lit("title").alias("key"), title.alias("value"), F.lit(None).cast("array<string>").alias("items"))]
+    for k, v in meta.items():
+        entries.append(F.struct(F.lit(k).alias("key"), v.cast("string").alias("value"), F.lit(None).cast("array<string>").alias("items")))
+    return T.render_front_matter(F.array(*entries), body)
+
+
+register_renderer("markdown", _markdown_target)
+register_renderer("html", lambda body, title, meta: markdown_to_html(body))
+register_renderer("text", lambda body, title, meta: markdown_to_text(body))

@@ -310,20 +310,8 @@ def translation_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def render_target(target: Column, title: Column, body: Column, lang: Column, source: Column) -> Column:
-    """W7 + K3/K4: render one publishing target from the final Markdown."""
-    fm = T.render_front_matter(
-        F.array(
-            F.struct(F.lit("title").alias("key"), title.alias("value"), F.lit(None).cast("array<string>").alias("items")),
-            F.struct(F.lit("lang").alias("key"), lang.alias("value"), F.lit(None).cast("array<string>").alias("items")),
-            F.struct(F.lit("source").alias("key"), source.alias("value"), F.lit(None).cast("array<string>").alias("items")),
-        ),
-        body,
-    )
-    return (
-        F.when(target == "markdown", fm)
-        .when(target == "html", R.markdown_to_html(body))
-        .when(target == "text", R.markdown_to_text(body))
-    )
+    """W7 + K3/K4 + U4: render one publishing target through the renderer registry."""
+    return R.render_target(target, body, title, {"lang": lang, "source": source})
 
 
 def _sql_plain(x: str) -> str:

@@ -7,7 +7,7 @@ filters into it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 TABLES = (
@@ -86,3 +86,37 @@ def with_calls_cte(sql: str) -> str:
 
 def first_line(text: Column) -> Column:
     return F.substring_index(text, "\n", 1)
+
+
+def read_topics(spark: SparkSession, path: str, fmt: str = "text", stream: bool = False) -> DataFrame:
+    """Topic intake from files: one topic per line (``text``) or records
+    with a ``topic`` field (``json`` / ``parquet``); ``stream=True`` reads the
+    folder as a file stream for continuous intake.
+
+    topic_id = xxhash64 of the topic text, so re-reading the same topics gives
+    the same keys; other record fields (per-topic configuration) are kept.
+    """
+    if fmt == "text":
+        reader = spark.readStream if stream else spark.read
+        df = reader.text(path).select(F.trim(F.col("value")).alias("topic")).where(F.col("topic") != "")
+    else:
+        if stream:
+            sample = spark.read.format(fmt).load(path)
+            df = spark.readStream.schema(sample.schema).format(fmt).load(path)
+        else:
+            df = spark.read.format(fmt).load(path)
+    if "topic_id" not in df.columns:
+        df = df.withColumn("topic_id", F.xxhash64("topic"))
+    return df
+
+
+def read_overrides(spark: SparkSession, path: str) -> DataFrame:
+    """S3: stage overrides as JSON records (name, enabled, model_override,
+    temperature_override, max_tokens_override, system_prompt_override);
+    ``position`` (config order, first match wins) defaults to file order.
+    Values are taken literally (no ``${VAR}`` interpolation)."""
+    from quillframe.operators.requests import OVERRIDE_SCHEMA
+
+    df = spark.read.schema(OVERRIDE_SCHEMA).json(path)
+    order = F.monotonically_increasing_id()
+    return df.withColumn("position", F.coalesce(F.col("position"), F.row_number().over(Window.orderBy(order)).cast("int")))

@@ -184,3 +184,17 @@ def test_dedupe_payloads_bills_each_prompt_once(spark, tmp_path):
     res = I.run_stage(d, S.RESEARCH, c, dedupe_payloads=True).collect()
     assert len(res) == 6 and all(r.status == "success" and r.tokens_used == 7 for r in res)
     assert len(counter.read_text()) == 2  # two distinct prompts
+
+
+def test_partial_pipeline_research_writer_quality(spark):
+    """A user-chosen chain of stages composed with run_stage."""
+    t = spark.createDataFrame([("r", 1, "Topic")], "run_id string, topic_id bigint, topic string")
+    c = I.ExpressionCompleter(replies={"quality": lambda col: F.lit('{"overall_score": 75}')})
+    research = I.run_stage(t, S.RESEARCH, c, keep=["topic"])
+    writer = I.run_stage(research.withColumn("research_data", F.col("content")), S.WRITER, c,
+                         slot_cols={"outline": F.lit("")}, keep=["topic"])
+    quality = I.run_stage(writer.withColumn("draft", F.col("content")), S.QUALITY, c,
+                          slot_cols={"content": F.col("draft"), "title": F.col("topic"), "threshold": F.lit(0.7),
+                                     "threshold_pct": F.lit(70.0)})
+    q = quality.first()
+    assert q.status == "success" and q.metadata.overall_score == 75.0 and q.metadata.passes_threshold

@@ -64,3 +64,28 @@ def test_benchmark_results_sink(spark):
     K.write_benchmark_results(runs, M.benchmark_summary(runs), base)
     assert spark.read.json(f"{base}/aggregate").first().runs == 1
     assert spark.read.json(f"{base}/runs").count() == 1
+
+
+def test_read_topics_and_overrides(spark):
+    from quillframe.sources.tables import read_overrides, read_topics
+
+    base = scratch_path(spark, "test-intake")
+    spark.createDataFrame([("Spark at scale",), ("",), ("  Second topic ",)], "value string").coalesce(1).write.text(f"{base}/topics")
+    t = read_topics(spark, f"{base}/topics").collect()
+    assert sorted(r.topic for r in t) == ["Second topic", "Spark at scale"] and all(r.topic_id is not None for r in t)
+    spark.createDataFrame(
+        [('{"name": "writer", "temperature_override": 0.9}',), ('{"name": "writer", "temperature_override": 0.1}',)], "value string"
+    ).coalesce(1).write.text(f"{base}/ovr")
+    from quillframe.operators.requests import effective_overrides
+
+    eff = effective_overrides(read_overrides(spark, f"{base}/ovr")).collect()
+    assert len(eff) == 1 and eff[0].temperature_override == 0.9
+
+
+def test_register_renderer(spark):
+    from quillframe.functions import render as R
+
+    R.register_renderer("shout", lambda body, title, meta: F.upper(body))
+    df = spark.createDataFrame([("shout", "hi"), ("html", "# T"), ("nope", "x")], "t string, b string")
+    got = [r[0] for r in df.select(R.render_target(F.col("t"), F.col("b"), F.lit("T"))).collect()]
+    assert got == ["HI", "<h1>T</h1>", None] and "shout" in R.renderer_names()
