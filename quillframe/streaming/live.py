@@ -41,12 +41,20 @@ def windowed_consumption(calls: DataFrame, window: str = "1 day", lateness: str
     )
 
 
-def events_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """File-stream source over the ``events`` table file(s) of ``sf_dir``."""
-    r = spark.readStream.schema(EVENTS_SCHEMA).option("pathGlobFilter", "events*.parquet")
+def events_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int | None = None,
+                  events_path: str | None = None) -> DataFrame:
+    """File-stream source over the ``events`` table.
+
+    ``events_path`` names a folder that receives new event files (the usual
+    cluster layout); without it the ``events*.parquet`` file(s) directly in
+    ``sf_dir`` are streamed (the driver's table layout).
+    """
+    r = spark.readStream.schema(EVENTS_SCHEMA)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    return r.parquet(sf_dir)
+    if events_path:
+        return r.parquet(events_path)
+    return r.option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
 
 
 def run_available_now(df: DataFrame, name: str, output_mode: str = "append") -> DataFrame:
