@@ -119,3 +119,28 @@ def spans_sql(column: str, pattern: str, kind: str, order: int, keep: str = "tru
 def spans_text_sql(rows: str) -> str:
     return f"""array_to_string(list_transform(list_sort(list_transform({rows}, lambda r: {{'s': r.s, 'k': r.k, 'e': r.s + length(r.m), 'n': r.n}})),
         lambda r: r.n || ':' || CAST(CAST(r.s AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(r.e AS BIGINT) AS VARCHAR)), ',')"""
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with leading underscores until no column of ``df`` has it."""
+    while name in df.columns:
+        name = "_" + name
+    return name
+
+
+def replaced(text: Column, rows: Column, labels: tuple[str, ...]) -> Column:
+    """``text`` with each span replaced by the label of its kind; overlapping spans share the first label."""
+    named = F.array(*[F.lit(x) for x in labels])
+    zero = F.struct(F.lit(0).cast("long").alias("pos"), F.array().cast("array<string>").alias("parts"))
+
+    def step(acc: Column, r: Column) -> Column:
+        piece = F.array(F.substr(text, (acc["pos"] + 1).cast("int"), (r["start"] - acc["pos"]).cast("int")), F.get(named, r["kind"]))
+        return F.struct(
+            F.greatest(acc["pos"], r["end"]).alias("pos"),
+            F.when(r["start"] >= acc["pos"], F.concat(acc["parts"], piece)).otherwise(acc["parts"]).alias("parts"),
+        )
+
+    def done(acc: Column) -> Column:
+        return F.concat(F.array_join(acc["parts"], ""), F.substr(text, (acc["pos"] + 1).cast("int"), F.length(text)))
+
+    return F.when(F.size(rows) == 0, text).otherwise(F.aggregate(F.sort_array(rows), zero, step, done))

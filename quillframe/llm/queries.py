@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from quillframe.llm import quality
+from quillframe.llm import pii, quality, secrets
 from quillframe.llm.common import documents
 
 QUERIES = {
+    "op7_pii": lambda spark, d: pii.op7_pii(documents(spark, d)),
     "op8_quality_rules": lambda spark, d: quality.op8_quality_rules(documents(spark, d)),
+    "op10_secret_scans": lambda spark, d: secrets.op10_secret_scans(documents(spark, d)),
 }
 
 ORACLE = {
+    "op7_pii": pii.OP7_SQL,
     "op8_quality_rules": quality.OP8_SQL,
+    "op10_secret_scans": secrets.OP10_SQL,
 }
