@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quillframe.llm import pii, quality, secrets
+from quillframe.llm import pii, quality, secrets, simhash
 from quillframe.llm.common import documents
 
 QUERIES = {
+    "op6_simhash": lambda spark, d: simhash.op6_simhash(documents(spark, d)),
     "op7_pii": lambda spark, d: pii.op7_pii(documents(spark, d)),
     "op8_quality_rules": lambda spark, d: quality.op8_quality_rules(documents(spark, d)),
     "op10_secret_scans": lambda spark, d: secrets.op10_secret_scans(documents(spark, d)),
