@@ -32,7 +32,7 @@ KINDS = ("email", "ip", "card", "phone", "general", "removed")
 GENERAL, REMOVED = 4, 5
 
 CONTEXT = 100
-SUPPORT = 3
+SUPPORT = 2
 GENERALISE = 0.85
 REMOVE = 0.95
 
