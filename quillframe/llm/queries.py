@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quillframe.llm import decontam, pii, quality, secrets, simhash
+from quillframe.llm import decontam, pii, quality, secrets, simhash, spieces
 from quillframe.llm.common import documents
 from quillframe.sources.tables import table
 
 QUERIES = {
+    "op4_sentencepiece": lambda spark, d: spieces.op4_sentencepiece(documents(spark, d)),
     "op9_decontamination": lambda spark, d: decontam.op9_decontamination(documents(spark, d), table(spark, d, "benchmark")),
     "op6_simhash": lambda spark, d: simhash.op6_simhash(documents(spark, d)),
     "op7_pii": lambda spark, d: pii.op7_pii(documents(spark, d)),
