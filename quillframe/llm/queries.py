@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from quillframe.llm import decontam, pii, quality, secrets, simhash, spieces
+from quillframe.llm import decontam, lm, pii, quality, repeats, secrets, simhash, spieces, urls, warc
 from quillframe.llm.common import documents
 from quillframe.sources.tables import table
 
 QUERIES = {
+    "op1_lm_scores": lambda spark, d: lm.op1_lm_scores(documents(spark, d)),
+    "op2_warc": lambda spark, d: warc.op2_warc(table(spark, d, "pages")),
+    "op3_url_filters": lambda spark, d: urls.op3_url_filters(table(spark, d, "pages")),
+    "op5_suffix_dedup": lambda spark, d: repeats.op5_suffix_dedup(documents(spark, d)),
     "op4_sentencepiece": lambda spark, d: spieces.op4_sentencepiece(documents(spark, d)),
     "op9_decontamination": lambda spark, d: decontam.op9_decontamination(documents(spark, d), table(spark, d, "benchmark")),
     "op6_simhash": lambda spark, d: simhash.op6_simhash(documents(spark, d)),
@@ -16,6 +20,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op2_warc": warc.OP2_SQL,
     "op7_pii": pii.OP7_SQL,
     "op8_quality_rules": quality.OP8_SQL,
     "op10_secret_scans": secrets.OP10_SQL,
