@@ -26,7 +26,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +40,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 LONGEST = 256
 #: Piece tables up to this size are broadcast; vocabulary files beyond it are refused.
 MOST_PIECES = 1_000_000
+#: Words of a block of texts, about (a longer text is a block of its own).
+BLOCK_WORDS = 1_000_000
+LAYOUT = np.dtype([("key", "V32"), ("words", "<i8")])
 WORD = rf"(?s) {{0,{LONGEST // 2}}}[^ \n]{{1,{LONGEST // 2}}}| {{1,{LONGEST // 2}}}|\n"
 
 
@@ -145,17 +151,75 @@ def encoded_words(words: DataFrame, model: str = MODEL) -> DataFrame:
     return best.select("word", _path(F.col("best"), size).alias("path")).select("word", _ids(F.col("word"), F.col("path"), voc.byte_ids).alias("ids"))
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, words) -> (block, word, data): a word's places in a block of texts, as gaps; without a word, the block's keys and word counts."""
+    part, block = TaskContext.get().partitionId(), 0
+    for b in batches:
+        ends = np.cumsum(pc.list_value_length(b.column(1)).to_numpy(zero_copy_only=False))
+        lo = 0
+        while lo < b.num_rows:
+            before = ends[lo - 1] if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(ends, before + BLOCK_WORDS, "right")))
+            rows, lo = b.slice(lo, hi - lo), hi
+            layout = np.empty(rows.num_rows, LAYOUT)
+            layout["key"] = np.frombuffer(b"".join(rows.column(0).to_pylist()), "V32")
+            layout["words"] = pc.list_value_length(rows.column(1)).to_numpy(zero_copy_only=False)
+            flat = rows.column(1).flatten().dictionary_encode()
+            index = flat.indices.to_numpy(zero_copy_only=False)
+            places = np.argsort(index, kind="stable")
+            counts = np.bincount(index, minlength=len(flat.dictionary))
+            starts = np.cumsum(counts) - counts
+            gaps = np.diff(places, prepend=0).astype(np.int32)
+            gaps[starts] = places[starts]
+            offsets = np.append(starts, len(places)).astype(np.int32) * 4
+            data = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(gaps)])
+            words = pa.concat_arrays([flat.dictionary.cast(pa.string()), pa.nulls(1, pa.string())])
+            name = pa.array(np.full(len(counts) + 1, part << 32 | block))
+            yield pa.RecordBatch.from_arrays([name, words, pa.concat_arrays([data, pa.array([layout.tobytes()], pa.binary())])], ["block", "word", "data"])
+            block += 1
+
+
+def _unblocked(block: pa.Table) -> pa.Table:
+    """The rows of one block with their words' ids -> (key, ids) of its texts."""
+    is_word = block["word"].is_valid().to_numpy()
+    layout = np.frombuffer(block["data"].to_pylist()[int(np.flatnonzero(~is_word)[0])], LAYOUT)
+    words = block.filter(pa.array(is_word)).combine_chunks()
+    data, ids = words["data"].to_pylist(), words["ids"].combine_chunks()
+    counts = np.fromiter((len(x) // 4 for x in data), np.int64, len(data))
+    total = int(counts.sum())
+    if total != layout["words"].sum():
+        raise ValueError("a word of the block has no ids")
+    sums = np.cumsum(np.frombuffer(b"".join(data), np.int32), dtype=np.int64)
+    before = np.concatenate(([0], sums))[np.cumsum(counts) - counts]
+    row = np.empty(total, np.int64)
+    row[sums - np.repeat(before, counts)] = np.repeat(np.arange(len(data)), counts)
+    sizes = pc.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = ids.flatten().to_numpy(zero_copy_only=False)
+    each = sizes[row]
+    ends = np.cumsum(each)
+    out = flat[np.repeat((np.cumsum(sizes) - sizes)[row] - (ends - each), each) + np.arange(int(each.sum()))]
+    cuts = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(layout["words"])))]
+    return pa.table({"key": pa.array([bytes(k) for k in layout["key"]], pa.binary()), "ids": pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(out, pa.int32()))})
+
+
 def encoded(docs: DataFrame, text: str = "text", out: str = "ids", model: str = MODEL) -> DataFrame:
-    """``docs`` with the array<int> column ``out``; a column of that name is replaced."""
-    key = fresh(docs, "_text_key")
+    """``docs`` with the array<int> column ``out``; a column of that name is replaced.
+
+    Texts go to the word table and back in blocks of about ``BLOCK_WORDS`` words:
+    one row per distinct word of a block, so a frequent word costs a row a block.
+    Blocks are named by partition and number, so ``docs`` must read a table
+    (or another source that returns its rows in the same order when read again).
+    """
+    key, found = fresh(docs, "_text_key"), fresh(docs, "_ids")
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    keyed = docs.withColumn(key, F.sha2(body, 256))
-    texts = keyed.select(F.col(key).alias("k"), F.posexplode(words_of(body)).alias("pos", "word")).distinct()
-    table = encoded_words(texts.select("word").distinct(), model)
-    tokens = texts.join(table, "word").groupBy("k").agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("parts"))
-    ids = tokens.select(F.col("k").alias(key), F.flatten(F.transform("parts", lambda p: p["ids"])).alias("_ids"))
-    joined = keyed.join(ids, key, "left").withColumn(out, F.coalesce("_ids", F.array().cast("array<int>")))
-    return joined.select(*[f"`{c}`" for c in docs.columns if c != out], out)
+    words = docs.where(body != "").select(F.sha2(body, 256).alias("key"), words_of(body).alias("words"))
+    table = encoded_words(words.select(F.explode("words").alias("word")).distinct(), model)
+    blocks = words.select(F.unhex("key").alias("key"), "words").mapInArrow(_blocks, "block long, word string, data binary")
+    joined = blocks.join(table, "word", "left").select("block", "word", "data", "ids")
+    texts = joined.groupBy("block").applyInArrow(_unblocked, "key binary, ids array<int>").groupBy("key").agg(F.first("ids").alias(found))
+    keyed = docs.withColumn(key, F.unhex(F.sha2(body, 256))).join(texts.withColumnRenamed("key", key), key, "left")
+    filled = keyed.withColumn(out, F.coalesce(F.col(found), F.array().cast("array<int>")))
+    return filled.select(*[f"`{c}`" for c in docs.columns if c != out], out)
 
 
 def decoded(rows: DataFrame, ids: str = "ids", out: str = "decoded", model: str = MODEL) -> DataFrame:
