@@ -370,6 +370,10 @@ def stage_results(parsed: DataFrame, stage: S.Stage, keep: list[str] | None = No
     )
 
 
+#: Status of a row whose stage was switched off.
+SKIPPED = "skipped"
+
+
 def calls_from_results(results: DataFrame, event_time: Column | None = None) -> DataFrame:
     """The ``calls`` fact rows (A1 input) for stage results: one row per call."""
     return results.select(
@@ -429,15 +433,23 @@ def run_stage(
     keep: list[str] | None = None,
     threshold_col: Column | None = None,
     dedupe_payloads: bool = False,
+    enabled: Column | None = None,
+    pass_disabled: bool = False,
 ) -> DataFrame:
     """G*: build requests, complete, parse and project one stage.
 
-    Requests whose stage is disabled by an override (F5) are not sent; they
-    do not appear in the output.  With ``dedupe_payloads`` identical request
-    bodies are sent once (:func:`complete_distinct`).
+    Requests whose stage is disabled (F5), by an override or by ``enabled``
+    (a condition on kept columns), are not sent.  They leave the output, or
+    with ``pass_disabled`` stay in it with status ``skipped`` and no content.
+    With ``dedupe_payloads`` identical request bodies are sent once
+    (:func:`complete_distinct`).
     """
     req = Q.build_requests(inputs, stage, settings, overrides, slot_cols, iteration, variant, keep)
-    req = req.where(F.col("stage_enabled"))
+    on = F.coalesce(F.col("stage_enabled"), F.lit(True))
+    if enabled is not None:
+        on = on & F.coalesce(enabled, F.lit(True))
+    off = req.where(~on)
+    req = req.where(on)
     if dedupe_payloads:
         resp = complete_distinct(req, completer, stage=stage.name)
     else:
@@ -445,4 +457,13 @@ def run_stage(
         if not completer.deterministic:
             resp = materialize(resp.drop("messages"), f"responses-{stage.name}")
     parsed = parse_responses(resp)
-    return stage_results(parsed, stage, keep=keep, threshold_col=threshold_col)
+    results = stage_results(parsed, stage, keep=keep, threshold_col=threshold_col)
+    if not pass_disabled or (overrides is None and enabled is None):
+        return results
+    known = {"status": F.lit(SKIPPED), "tokens_used": F.lit(0), "latency_ms": F.lit(0.0)}
+    known |= {c: F.lit(0) for c in ("prompt_tokens", "completion_tokens", "cached_tokens", "retries")}
+    blank = [
+        f.name if f.name in off.columns and f.name not in known else known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name)
+        for f in results.schema
+    ]
+    return results.unionByName(off.select(*blank))

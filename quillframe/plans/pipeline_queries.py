@@ -76,7 +76,7 @@ def doc_completer() -> I.ExpressionCompleter:
             "translator": lambda col: F.concat(F.lit("["), col("target_language"), F.lit("] "), col("article")),
             "publisher": lambda col: F.to_json(
                 F.struct(
-                    F.struct(F.substring(col("topic"), 1, 280).alias("social_twitter")).alias("formats"),
+                    F.struct(col("topic").alias("social_twitter")).alias("formats"),
                     F.struct(col("topic").alias("title")).alias("metadata"),
                 )
             ),
@@ -85,14 +85,14 @@ def doc_completer() -> I.ExpressionCompleter:
 
 
 def labeled_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """labels joined to documents (inner): the quality-loop input.
+    """Every document with its quality label, if any: the quality-loop input.
 
     No broadcast hint: ``labels`` grows with the corpus; AQE picks broadcast
     at runtime only when the measured side is small.
     """
     d = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
     lab = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    return d.join(lab, "doc_id")
+    return d.join(lab, "doc_id", "left")
 
 
 def _drafts(df: DataFrame, max_iterations: int = 3, threshold: float = 0.8) -> DataFrame:
@@ -109,7 +109,7 @@ def _drafts(df: DataFrame, max_iterations: int = 3, threshold: float = 0.8) -> D
     )
 
 
-_SQL_LABELED = "(SELECT d.doc_id, d.text, d.n_chars, l.quality FROM documents d JOIN labels l USING (doc_id))"
+_SQL_LABELED = "(SELECT d.doc_id, d.text, d.n_chars, l.quality FROM documents d LEFT JOIN labels l USING (doc_id))"
 _SQL_SCORE = "(40 + 25 * coalesce(quality, 0) + n_chars % 20 + 10 * {i})"
 
 
@@ -283,29 +283,20 @@ def _doc_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
   FROM documents WHERE lang <> 'de')
 SELECT doc_id, target_language, 'success' AS status,
        CAST(length(text) + length(target_language) + 3 AS BIGINT) AS translated_chars,
-       '[' || target_language || '] ' || substr(text, 1, 20) AS translated_head
+       md5('[' || target_language || '] ' || text) AS translated_md5
 FROM (SELECT doc_id, text, unnest(langs) AS target_language FROM d)""",
 )
 def translation_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Explode distinct target languages -> translator -> lang->text map."""
+    """Explode distinct target languages -> translator; languages are distinct
+    in the row, so each (article, language) is one row and nothing shuffles."""
     t = _doc_topics(spark, sf_dir).withColumn("article", F.col("text"))
     tr = W.translate(t, doc_completer(), keep=["n_chars"])
-    # one shuffle: per article, the lang -> (text, status) map (duplicate languages keep the last call)
-    m = tr.groupBy("run_id", "topic_id").agg(
-        F.map_from_entries(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct("variant", "iteration", "content", "status"))),
-                lambda x: F.struct(x["variant"], F.struct(x["content"].alias("content"), x["status"].alias("status"))),
-            )
-        ).alias("translations")
-    )
-    e = m.select("topic_id", F.explode("translations").alias("target_language", "t"))
-    return e.select(
+    return tr.select(
         F.col("topic_id").alias("doc_id"),
-        "target_language",
-        F.col("t.status").alias("status"),
-        F.length("t.content").cast("bigint").alias("translated_chars"),
-        F.expr("substring(t.content, 1, length(target_language) + 23)").alias("translated_head"),
+        F.col("variant").alias("target_language"),
+        "status",
+        F.length("content").cast("bigint").alias("translated_chars"),
+        F.md5("content").alias("translated_md5"),
     )
 
 
@@ -433,7 +424,7 @@ def _article_summary_sql() -> str:
         calls.append((ptoks("editor", {"target_reading_level": "'general'", "seo_recommendations": seo, "content": draft(i)}), toks(edited), "true"))
         calls.append((ptoks("quality", {"title": t, "threshold_pct": "'80.0'", "content": edited}), toks(quality_reply(i)), f"NOT {failed_q}"))
     article = draft(4)
-    pub = "('{\"formats\":{\"social_twitter\":\"' || substr(title, 1, 280) || '\"},\"metadata\":{\"title\":\"' || title || '\"}}')"
+    pub = "('{\"formats\":{\"social_twitter\":\"' || title || '\"},\"metadata\":{\"title\":\"' || title || '\"}}')"
     targets = "CASE WHEN doc_id % 3 = 0 THEN 'markdown, html, text' WHEN doc_id % 3 = 1 THEN 'html' ELSE 'markdown' END"
     calls.append((ptoks("publisher", {"targets_text": targets, "title": t, "content": article}), toks(pub), "true"))
     tokens = " + ".join(f"CASE WHEN {ok} THEN {p} + {c} ELSE 0 END" for p, c, ok in calls)
@@ -461,3 +452,43 @@ FROM s"""
 
 
 query("article_summary", _article_summary_sql())(article_summary)
+
+
+def _stage_switches_sql() -> str:
+    """Closed form of :func:`stage_switches`: no label, so three rounds unless quality is off."""
+    names = S.stage_names()
+    on = {n: f"k <> {i + 1}" for i, n in enumerate(names)} | {"seo": f"(k <> {names.index('seo') + 1} AND lang <> 'es')"}
+    rev = {i: f"chr(10) || chr(10) || 'Revision {i}'" for i in (1, 2, 3)}
+    run = {n: f"CASE WHEN {on[n]} THEN ['{n}'] ELSE [] END" for n in names}
+    run["translator"] = "list_transform(ls, lambda x: 'translator_' || x)"
+    order = run[names[0]]
+    for n in names[1:]:
+        order = f"list_concat({order}, {run[n]})"
+    once = " + ".join(f"CAST({on[n]} AS INTEGER)" for n in names if n not in ("editor", "quality", "translator"))
+    return f"""WITH d AS (
+  SELECT doc_id, source, text, lang, doc_id % {len(names) + 1} AS k,
+         CASE WHEN lang = 'en' THEN ['ms', 'zh'] WHEN lang = 'fr' THEN ['en'] WHEN lang = 'es' THEN ['ja', 'ko'] ELSE [] END AS langs
+  FROM documents),
+s AS (SELECT *, CASE WHEN {on['writer']} THEN text ELSE '' END AS draft, CASE WHEN {on['quality']} THEN 3 ELSE 1 END AS r,
+             CASE WHEN {on['translator']} THEN langs ELSE [] END AS ls FROM d),
+a AS (SELECT *, draft || CASE WHEN NOT ({on['editor']}) THEN '' WHEN r = 1 THEN {rev[1]} ELSE {rev[1]} || {rev[2]} || {rev[3]} END AS article FROM s)
+SELECT source AS run_id, doc_id AS topic_id, 'success' AS status,
+       CAST({once} + CASE WHEN {on['editor']} THEN r ELSE 0 END + CASE WHEN {on['quality']} THEN r ELSE 0 END + len(ls) AS BIGINT) AS total_calls,
+       array_to_string({order}, ',') AS agents_run,
+       CAST(length(article) AS BIGINT) AS article_length, md5(article) AS article_md5
+FROM a"""
+
+
+@query("stage_switches", _stage_switches_sql())
+def stage_switches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """the chain over every document with each stage off by turns, and
+    ``seo_enabled`` off for one language: one article per topic all the same."""
+    t = _doc_topics(spark, sf_dir)
+    names = S.stage_names()
+    off = F.get(F.array(F.lit(None).cast("string"), *[F.lit(n) for n in names]), (F.col("topic_id") % (len(names) + 1)).cast("int"))
+    t = t.withColumn("disabled_stages", F.array_compact(F.array(off))).withColumn("seo_enabled", F.col("language") != "es")
+    run = W.run_pipeline(t, doc_completer(), keep=["text", "n_chars", "quality"])
+    return run.articles.select(
+        "run_id", "topic_id", "status", "total_calls", F.array_join("agents_run", ",").alias("agents_run"),
+        F.length("article").cast("bigint").alias("article_length"), F.md5("article").alias("article_md5"),
+    )

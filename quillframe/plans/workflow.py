@@ -11,12 +11,16 @@ rows (stages x rounds + languages), a small bounded set.
 * W4 refine loop: a driver loop over rounds that keeps only the still-failing
   rows; each round's rows are cut from lineage (checkpoint to the session's
   checkpoint folder) so plan size stays flat.  Bound = max(max_iterations).
+* F5: a stage switched off (override table, or a topic's ``disabled_stages`` /
+  ``seo_enabled``) makes no call and passes its rows through: empty research,
+  outline or draft, no review, the draft unedited, one round without a gate.
 * W5 last-wins per stage; W6 translation fan-out (explode distinct
   languages); W7 one publisher call per article naming all targets.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -36,6 +40,8 @@ TOPIC_DEFAULTS = {
     "enable_translation": False,
 }
 
+LIST_DEFAULTS = {"target_languages": ("zh", "ms"), "publish_targets": ("markdown",)}
+
 RESULT_UNION_COLS = [
     "run_id",
     "topic_id",
@@ -59,14 +65,19 @@ def normalize_topics(topics: DataFrame, run_id: Column | str | None = None) -> D
     """Fill per-topic configuration defaults (PipelineConfig as columns)."""
     df = topics
     if "run_id" not in df.columns:
-        rid = run_id if isinstance(run_id, Column) else F.lit(run_id or "run")
+        rid = run_id if isinstance(run_id, Column) else F.lit(run_id or f"run-{uuid.uuid4().hex}")
         df = df.withColumn("run_id", rid.cast("string"))
     for c, v in TOPIC_DEFAULTS.items():
         df = df.withColumn(c, F.coalesce(F.col(c), F.lit(v)) if c in df.columns else F.lit(v))
-    if "target_languages" not in df.columns:
-        df = df.withColumn("target_languages", F.array(F.lit("zh"), F.lit("ms")))
-    if "publish_targets" not in df.columns:
-        df = df.withColumn("publish_targets", F.array(F.lit("markdown")))
+    for c, values in LIST_DEFAULTS.items():
+        default = F.array(*[F.lit(v) for v in values])
+        df = df.withColumn(c, F.coalesce(F.col(c), default) if c in df.columns else default)
+    if "seo_enabled" in df.columns or "disabled_stages" in df.columns:
+        none = F.array().cast("array<string>")
+        off = F.coalesce(F.col("disabled_stages"), none) if "disabled_stages" in df.columns else none
+        if "seo_enabled" in df.columns:
+            off = F.array_union(off, F.when(~F.col("seo_enabled"), F.array(F.lit("seo"))).otherwise(none))
+        df = df.withColumn("disabled_stages", off)
     return df
 
 
@@ -99,6 +110,16 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
+def _on(stage: str, switches: bool) -> Column | None:
+    """F5 per topic: the stage is not among the row's ``disabled_stages``."""
+    return ~F.array_contains("disabled_stages", stage) if switches else None
+
+
+def sent(results: DataFrame) -> DataFrame:
+    """The rows of calls that were made (a skipped stage made none)."""
+    return results.where(F.col("status") != I.SKIPPED)
+
+
 def refine_loop(
     drafts: DataFrame,
     completer: I.Completer,
@@ -119,6 +140,9 @@ def refine_loop(
     just to find it.
     """
     keep = list(dict.fromkeys((keep or []) + ["topic", "quality_threshold", "max_iterations", "draft", "seo"]))
+    switches = "disabled_stages" in drafts.columns
+    if switches:
+        keep = list(dict.fromkeys(keep + ["disabled_stages"]))
     rounds: list[DataFrame] = []
     finished: list[DataFrame] = []
     carry = [c for c in keep if c not in ("draft", "seo")]
@@ -134,11 +158,11 @@ def refine_loop(
         ed = I.run_stage(
             active, S.EDITOR, completer, settings, overrides,
             slot_cols={"content": F.col("draft"), "seo_recommendations": F.col("seo")},
-            iteration=i, keep=keep,
+            iteration=i, keep=keep, enabled=_on("editor", switches), pass_disabled=True,
         )
         # no cut here: the quality cut below bounds lineage, and a billed
         # (non-deterministic) completer's replies are already written by run_stage
-        q_in = ed.withColumn("edited", F.col("content"))
+        q_in = ed.withColumn("edited", F.when(F.col("status") == I.SKIPPED, F.col("draft")).otherwise(F.col("content")))
         q = I.run_stage(
             q_in, S.QUALITY, completer, settings, overrides,
             slot_cols={
@@ -147,20 +171,22 @@ def refine_loop(
                 "threshold": F.col("quality_threshold"),
                 "threshold_pct": T.threshold_percent("quality_threshold"),
             },
-            iteration=i, keep=keep + ["edited"],
+            iteration=i, keep=keep + ["edited"], enabled=_on("quality", switches), pass_disabled=True,
         )
         if checkpoint_rounds:
             q = cut(q, f"quality-{i}")
-        rounds += [ed, q]
+        rounds += [sent(ed), sent(q)]
         passed = F.coalesce(F.col("metadata.passes_threshold"), F.lit(False))
-        done = q.where(passed | (F.col("max_iterations") <= i))
+        unjudged = F.col("status") == I.SKIPPED  # nothing can pass or fail the gate: one edit is final
+        over = passed | unjudged | (F.col("max_iterations") <= i)
+        score = F.when(~unjudged, F.coalesce(F.col("metadata.overall_score"), F.lit(0.0)))
         finished.append(
-            done.select(
+            q.where(over).select(
                 "run_id", "topic_id", *carry, F.col("edited").alias("article"), F.lit(i).alias("rounds"),
-                passed.alias("passed"), F.coalesce(F.col("metadata.overall_score"), F.lit(0.0)).alias("final_score"),
+                passed.alias("passed"), score.alias("final_score"),
             )
         )
-        active = q.where(~passed & (F.col("max_iterations") > i)).select(
+        active = q.where(~over).select(
             "run_id", "topic_id", *[c for c in keep if c != "draft"], F.col("edited").alias("draft")
         )
         if active.isEmpty():
@@ -188,22 +214,15 @@ def translate(
     tr_in = articles.where(F.coalesce(F.col("enable_translation"), F.lit(False))).withColumn(
         "target_language", F.explode(F.array_distinct("target_languages"))
     )
+    switches = "disabled_stages" in articles.columns
+    if switches:
+        keep = list(dict.fromkeys(keep + ["disabled_stages"]))
     note = T.join_or_default(preserve_keywords, "") if preserve_keywords is not None else F.lit(None).cast("string")
     return I.run_stage(
         tr_in, S.TRANSLATOR, completer, settings, overrides,
         slot_cols={"content": F.col("article"), "source_language": F.col("language"),
                    "target_language": F.col("target_language"), "keywords_note": note},
-        variant=F.col("target_language"), keep=keep + ["target_language"],
-    )
-
-
-def translations_map(translated: DataFrame) -> DataFrame:
-    """Lang -> text map per article (a duplicate language keeps the last call)."""
-    return translated.groupBy("run_id", "topic_id").agg(
-        F.map_from_entries(
-            F.transform(F.array_sort(F.collect_list(F.struct("variant", "iteration", "content"))),
-                        lambda x: F.struct(x["variant"], x["content"]))
-        ).alias("translations")
+        variant=F.col("target_language"), keep=keep + ["target_language"], enabled=_on("translator", switches),
     )
 
 
@@ -216,11 +235,14 @@ def publish(
 ) -> DataFrame:
     """One publisher call per article naming all its targets (default markdown)."""
     keep = list(dict.fromkeys((keep or []) + ["article"]))
+    switches = "disabled_stages" in articles.columns
+    if switches:
+        keep = list(dict.fromkeys(keep + ["disabled_stages"]))
     return I.run_stage(
         articles, S.PUBLISHER, completer, settings, overrides,
         slot_cols={"content": F.col("article"), "title": F.col("topic"),
                    "targets_text": T.join_or_default("publish_targets", "markdown")},
-        keep=keep,
+        keep=keep, enabled=_on("publisher", switches),
     )
 
 
@@ -246,36 +268,41 @@ def run_pipeline(
     t = normalize_topics(topics, run_id)
     cfg = ["topic", "target_word_count", "language", "quality_threshold", "max_iterations",
            "enable_translation", "target_languages", "publish_targets"] + list(keep or [])
-    cfg = list(dict.fromkeys(cfg))
+    switches = "disabled_stages" in t.columns
+    cfg = list(dict.fromkeys(cfg + (["disabled_stages"] if switches else [])))
 
     def stage_out(df: DataFrame, name: str) -> DataFrame:
         return cut(df, name) if materialize_stages else df
 
+    def gate(stage: str) -> dict:
+        return {"enabled": _on(stage, switches), "pass_disabled": True}
+
+    went_on = F.col("status").isin("success", I.SKIPPED)
+    text = F.coalesce("content", F.lit(""))  # a skipped stage leaves an empty text
     # loop bound from the topic table itself (a cheap scan), not from the chain
     bound = int(t.agg(F.max("max_iterations")).first()[0] or 0)
-    research = stage_out(I.run_stage(t, S.RESEARCH, completer, settings, overrides, keep=cfg), "research")
-    r_ok = research.where(F.col("status") == "success")
+    research = stage_out(I.run_stage(t, S.RESEARCH, completer, settings, overrides, keep=cfg, **gate("research")), "research")
     outline = stage_out(I.run_stage(
-        r_ok.withColumn("research_data", F.col("content")), S.OUTLINE, completer, settings, overrides,
-        slot_cols={"target_words": F.col("target_word_count")}, keep=cfg + ["research_data"],
+        research.where(went_on).withColumn("research_data", text), S.OUTLINE, completer, settings, overrides,
+        slot_cols={"target_words": F.col("target_word_count")}, keep=cfg + ["research_data"], **gate("outline"),
     ), "outline")
-    o_ok = outline.where(F.col("status") == "success")
     writer = stage_out(I.run_stage(
-        o_ok.withColumn("outline", F.col("content")), S.WRITER, completer, settings, overrides,
+        outline.where(went_on).withColumn("outline", text), S.WRITER, completer, settings, overrides,
         keep=cfg,
         slot_cols={"outline": F.col("outline"), "research_data": F.col("research_data"), "language": F.col("language")},
+        **gate("writer"),
     ), "writer")
     seo = stage_out(I.run_stage(
-        writer.withColumn("draft", F.col("content")), S.SEO, completer, settings, overrides,
+        writer.withColumn("draft", text), S.SEO, completer, settings, overrides,
         slot_cols={"content": F.col("draft"), "keywords": T.join_or_default(F.lit(None).cast("array<string>"), "auto-detect")},
-        keep=cfg + ["draft"],
+        keep=cfg + ["draft"], **gate("seo"),
     ), "seo")
     drafts = seo.withColumn("seo", F.col("content"))
     rounds, final = refine_loop(drafts, completer, settings, overrides, keep=cfg, bound=bound)
 
     translator = translate(final, completer, settings, overrides, keep=cfg)
     publisher = publish(final, completer, settings, overrides, keep=cfg)
-    results = _union([research, outline, writer, seo, *rounds, translator, publisher])
+    results = _union([sent(research), sent(outline), sent(writer), sent(seo), *rounds, translator, publisher])
     articles = assemble(results, final, t, strict=strict)
     calls = I.calls_from_results(results.withColumn("latency_ms", F.col("latency_ms")))
     return PipelineRun(results=results, articles=articles, calls=calls)
@@ -342,8 +369,9 @@ def assemble(results: DataFrame, final: DataFrame, topics: DataFrame, strict: bo
         "run_id",
         "topic_id",
         F.when(
-            (F.coalesce(status_of("research"), F.lit("failed")) != "success")
-            | (F.coalesce(status_of("outline"), F.lit("failed")) != "success"),
+            # no row: the stage was switched off, or the failed research already decides
+            (F.coalesce(status_of("research"), F.lit("success")) != "success")
+            | (F.coalesce(status_of("outline"), F.lit("success")) != "success"),
             F.lit("failed"),
         )
         .when(F.lit(strict) & F.exists(last, lambda x: x["status"] != "success"), F.lit("failed"))

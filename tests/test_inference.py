@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillframe.operators import inference as I
+from quillframe.operators import requests as Q
 from quillframe.operators import stages as S
 from quillframe.plans import workflow as W
 
@@ -102,6 +103,29 @@ def test_pipeline_fail_fast_and_soft_failure(spark):
     assert {r.stage: r["count"] for r in failed_calls} == {"research": 1, "seo": 1}
 
 
+@pytest.mark.parametrize("off, article", [(("research", "seo", "editor"), "body"), (("outline", "writer", "quality"), "+")])
+def test_disabled_stages_pass_rows_through(spark, off, article):
+    c = I.ExpressionCompleter(replies={"writer": lambda col: F.lit("body"), "editor": lambda col: F.concat(col("draft"), F.lit("+")),
+                                       "quality": lambda col: F.lit('{"overall_score": 95}')})
+    ov = spark.createDataFrame([(i, stage, False, None, None, None, None) for i, stage in enumerate(off)], Q.OVERRIDE_SCHEMA)
+    run = W.run_pipeline(_topics(spark), c, overrides=ov, run_id="r1")
+    arts = {r.topic_id: r for r in run.articles.collect()}
+    assert {i: (a.status, a.article) for i, a in arts.items()} == {1: ("success", article), 2: ("success", article)}
+    assert arts[2].agents_run == [s for s in ("research", "outline", "writer", "seo", "editor", "quality", "publisher") if s not in off]
+
+
+def test_topic_switches_and_null_lists(spark):
+    c = I.ExpressionCompleter(replies={"quality": lambda col: F.lit('{"overall_score": 95}')})
+    t = spark.createDataFrame(
+        [(1, "Alpha", True, None, False, None), (2, "Beta", True, None, None, ["translator", "publisher"])],
+        "topic_id bigint, topic string, enable_translation boolean, target_languages array<string>, seo_enabled boolean, disabled_stages array<string>",
+    )
+    arts = {r.topic_id: r for r in W.run_pipeline(t, c).articles.collect()}
+    assert arts[1].agents_run == ["research", "outline", "writer", "editor", "quality", "translator_ms", "translator_zh", "publisher"]
+    assert arts[2].agents_run == ["research", "outline", "writer", "seo", "editor", "quality"]
+    assert arts[1].run_id == arts[2].run_id != W.normalize_topics(t).first().run_id
+
+
 # --------------------------------------------------------------- HTTP path
 
 
