@@ -183,7 +183,7 @@ def publisher_reply(text: Column) -> Column:
             F.create_map(
                 F.lit("markdown"), F.concat(F.lit("# "), title, F.lit("\n\n"), text),
                 F.lit("html_snippet"), F.concat(F.lit("<p>"), first, F.lit("</p>")),
-                F.lit("social_twitter"), F.substring(F.concat(title, F.lit(" ")), 1, 280),
+                F.lit("social_twitter"), text,
                 F.lit("social_linkedin"), first,
                 F.lit("newsletter_subject"), title,
             ).alias("formats"),
@@ -203,7 +203,7 @@ def publisher_reply(text: Column) -> Column:
          regexp_extract_all(lower({SQL_TITLE}), '(\\pL+)', 1) AS tk FROM documents),
 f AS (
   SELECT doc_id, title, tk, text, unnest(['markdown', 'html_snippet', 'social_twitter', 'social_linkedin', 'newsletter_subject']) AS format,
-         unnest(['# ' || title || chr(10) || chr(10) || text, '<p>' || first || '</p>', substr(title || ' ', 1, 280), first, title]) AS body
+         unnest(['# ' || title || chr(10) || chr(10) || text, '<p>' || first || '</p>', text, first, title]) AS body
   FROM d)
 SELECT doc_id, title, array_to_string(list_filter(tk, lambda t, i: list_position(tk, t) = i), ',') AS tags,
        CAST(len(regexp_extract_all(text, '[^{WS}]+')) AS BIGINT) AS word_count,

@@ -18,8 +18,8 @@ def chunk_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     post-[DONE] line); assistant turns also stream a reasoning chunk."""
     conv = table(spark, sf_dir, "conversations")
     resp = conv.select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("response_id"),
-        (F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_interval(mins=F.col("conv_id").cast("int"))).alias("event_time"),
+        (F.col("conv_id") * F.lit(1 << 32) + F.col("turn")).alias("response_id"),
+        F.timestamp_seconds(F.lit(1704067200) + 60 * F.col("conv_id")).alias("event_time"),
         "text",
         F.when(F.col("role") == "assistant", F.concat(F.lit("plan for turn "), F.col("turn").cast("string"))).alias("reasoning"),
         (F.col("turn") * 10).alias("prompt_tokens"),
@@ -27,7 +27,7 @@ def chunk_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.sse_lines(resp, F.col("text"), 20, reasoning=F.col("reasoning"), prompt_tokens=F.col("prompt_tokens"))
 
 
-_ASSEMBLY_SQL = """SELECT conv_id * 1000 + turn AS response_id,
+_ASSEMBLY_SQL = """SELECT conv_id * 4294967296 + turn AS response_id,
        CAST(length(text) AS BIGINT) AS content_chars, md5(text) AS content_md5,
        CASE WHEN role = 'assistant' THEN 'plan for turn ' || CAST(turn AS VARCHAR) END AS reasoning_content,
        CAST(turn * 10 AS BIGINT) AS prompt_tokens,
