@@ -9,6 +9,10 @@ slot values must map one to one, so a re-parameterised question still matches
 while unrelated numbers in the same frame do not.  A text holds an item when
 the windows of consistent alignments cover at least 80% of the item's windows.
 
+An item's first word is never a name or a unit, so each word of a text that is
+one is also read as the plain first word of a passage that begins with it: a
+copy is found after any mark or in mid-sentence.
+
 Items that differ in slot values only are one class, named by the least
 item_id, so a hot template gives one row a text.  Texts are keyed by their MD5
 digest: copies share one result, and rows need no id.  The benchmark's window
@@ -89,8 +93,8 @@ class _Words(dict):
         return at
 
 
-class Template:
-    """Template tokens of several texts laid end to end: hash, slot kind, owner, word position."""
+class Tokens:
+    """Words of several texts laid end to end, lone marks left out: code, class, owner, whether one starts a sentence."""
 
     def __init__(self, texts: list[bytes], words: _Words) -> None:
         split = [t.split() for t in texts]
@@ -101,69 +105,171 @@ class Template:
         first[1:] = (owner[1:] != owner[:-1]) | ends[:-1]
         real = kinds != NOTHING
         # a lone mark neither starts nor ends what its neighbours do, except at a sentence's end
-        code, kinds, first, owner = code[real], kinds[real], first[real], owner[real]
-        same = np.zeros(len(code), bool)
-        same[1:] = owner[1:] == owner[:-1]
-        after_number = np.zeros(len(code), bool)
+        self.code, self.kinds, self.first, self.owner = code[real], kinds[real], first[real], owner[real]
+        self.hash = np.array(words.hashes, np.uint64)[self.code]
+        self.words, self.n_texts = words, len(texts)
+
+
+def _mixed(parts: list[np.ndarray], salt: int) -> np.ndarray:
+    """Hashes of windows, given the hashes of their first, second, ... tokens."""
+    total = np.zeros(len(parts[0]), np.uint64)
+    for k, part in enumerate(parts):
+        total += part * np.uint64(pow(_STEP, k + 1, 1 << 64))
+    total ^= total >> np.uint64(31)
+    return total * np.uint64(0x9E3779B97F4A7C15) + np.uint64(salt)
+
+
+class Template:
+    """Template tokens of several texts in one reading: hash, slot kind, owner, word position.  Folded: names are plain words."""
+
+    def __init__(self, tokens: Tokens, folded: bool = False) -> None:
+        kinds, size = tokens.kinds, len(tokens.code)
+        same = np.zeros(size, bool)
+        same[1:] = tokens.owner[1:] == tokens.owner[:-1]
+        after_number = np.zeros(size, bool)
         after_number[1:] = same[1:] & (kinds[:-1] == NUMBER)
         slot = np.where(kinds == NUMBER, NUMBER, PLAIN)
         slot[(kinds == UNIT) & after_number] = UNIT
-        slot[(kinds == CAPITAL) & ~first] = CAPITAL
-        again = np.zeros(len(code), bool)
-        again[1:] = same[1:] & (slot[1:] == CAPITAL) & (slot[:-1] == CAPITAL)
-        self.code, self.slot, self.owner, self.words = code[~again], slot[~again], owner[~again], words
-        self.hash = np.array(words.hashes, np.uint64)[self.code]
+        if not folded:
+            slot[(kinds == CAPITAL) & ~tokens.first] = CAPITAL
+        again = np.zeros(size + 1, bool)
+        again[1:size] = same[1:] & (slot[1:] == CAPITAL) & (slot[:-1] == CAPITAL)
+        kept = ~again[:size]
+        self.code, self.slot, self.owner, self.words = tokens.code[kept], slot[kept], tokens.owner[kept], tokens.words
+        self.hash = tokens.hash[kept]
         for kind, value in _PLACE.items():
             self.hash[self.slot == kind] = value
+        self.plain = np.concatenate(([0], np.cumsum(self.slot == PLAIN)))
+        self.begin = np.searchsorted(self.owner, np.arange(tokens.n_texts))
+        self.folded, self.tokens = folded, tokens
+        #: Words that would be plain if a passage began with them; their tokens; whether the name goes on after them.
+        self.heads = np.flatnonzero((slot == CAPITAL) | (slot == UNIT))
+        self.at_head, self.goes_on = (np.cumsum(kept) - 1)[self.heads], again[self.heads + 1]
 
     def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """(starts, hashes) of the windows of n tokens of one text that hold enough plain words."""
         size = len(self.hash) - n + 1
         if size <= 0:
             return np.empty(0, np.int64), np.empty(0, np.uint64)
-        total = np.zeros(size, np.uint64)
-        for k in range(n):
-            total += self.hash[k : size + k] * np.uint64(pow(_STEP, k + 1, 1 << 64))
-        total ^= total >> np.uint64(31)
-        plain = np.concatenate(([0], np.cumsum(self.slot == PLAIN)))
-        good = (self.owner[n - 1 :] == self.owner[:size]) & (plain[n:] - plain[:size] >= min(PLAIN_WORDS, n))
+        good = (self.owner[n - 1 :] == self.owner[:size]) & (self.plain[n:] - self.plain[:size] >= min(PLAIN_WORDS, n))
+        total = _mixed([self.hash[k : size + k] for k in range(n)], n + WINDOW * 2 * self.folded)
         starts = np.flatnonzero(good)
-        return starts, total[starts] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(n)
+        return starts, total[starts]
+
+    def openings(self, n: int) -> Iterator[tuple[np.ndarray, np.ndarray, int, bool]]:
+        """(heads, hashes, 0 or 1, name goes on): first and second windows of the passages that begin with each head, the head a plain word."""
+        for on in (False, True):
+            heads = np.flatnonzero(self.goes_on == on)
+            named = on and n > 1
+            rest = n - 1 - named  # tokens after the head's own
+            heads = heads[self.at_head[heads] + rest < len(self.hash)]
+            t = self.at_head[heads]
+            enough = 1 + self.plain[t + 1 + rest] - self.plain[t + 1] >= min(PLAIN_WORDS, n)
+            heads = heads[(self.owner[t + rest] == self.owner[t]) & enough]
+            if len(heads):
+                t = self.at_head[heads]
+                name = [np.full(len(t), _PLACE[CAPITAL], np.uint64)] if named else []
+                parts = [self.tokens.hash[self.heads[heads]], *name, *(self.hash[t + 1 + k] for k in range(rest))]
+                yield heads, _mixed(parts, n + WINDOW * 2 * self.folded), 0, on
+        if n == WINDOW:  # shorter items are one window
+            starts, hashes = self.windows(n)
+            heads = np.flatnonzero(self.goes_on)
+            at = np.searchsorted(starts, self.at_head[heads])
+            is_window = (at < len(starts)) & (np.append(starts, -1)[at] == self.at_head[heads])
+            if is_window.any():
+                yield heads[is_window], hashes[at[is_window]], 1, True
 
     def slots(self, at: int, n: int) -> list[str]:
         """``kind:value`` of the window's placeholders, in order."""
         return [f"{self.slot[i]}:{self.words.cores[self.code[i]]}" for i in range(at, at + n) if self.slot[i] != PLAIN]
 
+    def opening_slots(self, head: int, n: int, nth: int, on: bool) -> list[str]:
+        """``slots`` of an opening."""
+        named = on and n - nth > 0 and not (nth == 0 and n == 1)
+        name = [f"{CAPITAL}:{self.words.cores[self.tokens.code[self.heads[head] + 1]]}"] if named else []
+        return name + self.slots(int(self.at_head[head]) + 1, n - 1 - (named and nth == 0))
+
+
+def _signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
+
 
 def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows, words = [], _Words()
         for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            t = Template([text or b""], words)
-            n = min(WINDOW, len(t.hash))
-            starts, hashes = t.windows(n) if n else ([], [])
-            numbered: dict[str, int] = {}
-            form = " ".join(f"{h:x}/{numbered.setdefault(s[0], len(numbered)) if s else ''}" for i, h in enumerate(t.hash.tolist()) for s in [t.slots(i, 1)])
-            rows += [(item, form, int(s), int(h) - (1 << 64) if h >> np.uint64(63) else int(h), n, len(starts), t.slots(s, n)) for s, h in zip(starts, hashes, strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 7, _ITEM_TYPES, strict=True)], [f.name for f in _ITEM])
+            tokens = Tokens([text or b""], words)
+            forms = []
+            for folded in (False,):
+                t = Template(tokens, folded)
+                n = min(WINDOW, len(t.hash))
+                starts, hashes = t.windows(n) if n else ([], [])
+                numbered: dict[str, int] = {}
+                forms.append(" ".join(f"{h:x}/{numbered.setdefault(s[0], len(numbered)) if s else ''}" for i, h in enumerate(t.hash.tolist()) for s in [t.slots(i, 1)]))
+                head = _signed(int(t.hash[0])) if n else 0
+                rows += [(item, forms[0], f"{folded:d}|" + "|".join(forms), folded, int(s), _signed(int(h)), head, n, len(starts), t.slots(s, n)) for s, h in zip(starts, hashes, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(_ITEM), _ITEM_TYPES, strict=True)], [f.name for f in _ITEM])
 
 
-_ITEM_TYPES = (pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string()))
-_ITEM = pa.schema(list(zip(("item", "form", "at", "hash", "length", "n_windows", "item_slots"), _ITEM_TYPES, strict=True)))
+_ITEM_TYPES = (pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string()))
+_ITEM = pa.schema(list(zip(("item", "class", "form", "folded", "at", "hash", "head", "length", "n_windows", "item_slots"), _ITEM_TYPES, strict=True)))
 
 
 def item_windows(benchmark: DataFrame, id: str = "item_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(windows of the class representatives, classes: form, item, n_items)."""
+    """(windows of each class's cased form and folded forms, members: class, item)."""
     rows = benchmark.select(F.col(f"`{id}`").cast("long").alias("item"), F.col(f"`{text}`").cast("binary").alias("text"))
-    schema = "item long, form string, at int, hash long, length int, n_windows int, item_slots array<string>"
-    every = written(rows.mapInArrow(_item_windows, schema).withColumn("form", F.sha2("form", 256)), "benchmark-windows")
-    classes = every.groupBy("form").agg(F.min("item").alias("item"), F.count_distinct("item").alias("n_items"))
-    windows = every.dropDuplicates(["form", "at"]).drop("item").join(classes, "form")
-    return written(windows, "benchmark-classes"), every.select("form", "item").distinct()
+    schema = "item long, class string, form string, folded boolean, at int, hash long, head long, length int, n_windows int, item_slots array<string>"
+    every = rows.mapInArrow(_item_windows, schema).withColumn("class", F.sha2("class", 256)).withColumn("form", F.sha2("form", 256))
+    every = written(every, "benchmark-windows")
+    classes = every.groupBy("class").agg(F.min("item").alias("item"), F.count_distinct("item").alias("n_items"))
+    # items of one class differ in their folded forms by their names
+    form = F.when(F.col("folded"), F.col("form")).otherwise(F.col("class"))
+    windows = every.withColumn("form", form).dropDuplicates(["form", "at"]).drop("item").join(classes, "class")
+    return written(windows, "benchmark-classes"), every.select("class", "item").distinct()
+
+
+_HIT = "key string, pos int, hash long, slots array<string>, opens int, nth int, head long, until int"
+_HIT_TYPES = (pa.string(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.int32(), pa.int32(), pa.int64(), pa.int32())
 
 
 def _text_windows(lengths: list[int], wanted: np.ndarray | None):
-    """(key, text) batches -> (key, at, hash, slots) of the windows whose hash is wanted (None: all)."""
+    """(key, text) batches -> the windows whose hash is wanted (None: all), in both readings.
+
+    ``opens`` is 0, or for openings the number of the passage's first word;
+    these are the passage's window ``nth``, and it goes on with the ordinary
+    windows after token ``until``.
+    """
+    some = None
+    if wanted is not None:
+        some = np.packbits(np.bincount((wanted >> np.uint64(42)).astype(np.int64), minlength=1 << 22) > 0) if len(wanted) else np.zeros(1 << 19, np.uint8)
+
+    def hit(hashes: np.ndarray) -> np.ndarray:
+        if wanted is None:
+            return np.arange(len(hashes))
+        top = hashes >> np.uint64(42)
+        near = np.flatnonzero((some[top >> np.uint64(3)] << (top & np.uint64(7)).astype(np.uint8)) & np.uint8(128))
+        return near[wanted[np.minimum(np.searchsorted(wanted, hashes[near]), len(wanted) - 1)] == hashes[near]]
+
+    def rows_of(t: Template, keys: list) -> Iterator[pa.RecordBatch]:
+        def batch(at, pos, hashes, slots, opens, nth, head, until):
+            columns = ([keys[o] for o in t.owner[at].tolist()], pos, hashes.view(np.int64), slots, opens, np.full(len(at), nth), head.view(np.int64), until)
+            arrays = [pa.array(c if isinstance(c, list) else c.astype(k.to_pandas_dtype()), k) for c, k in zip(columns, _HIT_TYPES, strict=True)]
+            return pa.RecordBatch.from_arrays(arrays, [c.split()[0] for c in _HIT.split(", ")])
+
+        word_begin = np.searchsorted(t.tokens.owner, np.arange(t.tokens.n_texts))
+        for n in lengths:
+            starts, hashes = t.windows(n)
+            found = hit(hashes)
+            if len(found):
+                at, none = starts[found], np.zeros(len(found), np.int64)
+                yield batch(at, at - t.begin[t.owner[at]], hashes[found], [t.slots(s, n) for s in at.tolist()], none, -1, none, none)
+            for heads, hashes, nth, on in t.openings(n):
+                found = hit(hashes)
+                if len(found):
+                    heads, at = heads[found], t.at_head[heads[found]]
+                    until, word = at - t.begin[t.owner[at]], t.heads[heads]
+                    slots = [t.opening_slots(h, n, nth, on) for h in heads.tolist()]
+                    yield batch(at, until - (on and nth == 0), hashes[found], slots, word - word_begin[t.owner[at]] + 1, nth, t.tokens.hash[word], until)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
@@ -182,16 +288,9 @@ def _text_windows(lengths: list[int], wanted: np.ndarray | None):
             for lo, hi in zip(cuts, [*cuts[1:], len(texts)], strict=True):
                 if lo == hi:
                     continue
-                t = Template(texts[lo:hi], words)
-                for n in lengths:
-                    starts, hashes = t.windows(n)
-                    if wanted is not None and len(hashes):
-                        hit = wanted[np.minimum(np.searchsorted(wanted, hashes), len(wanted) - 1)] == hashes
-                        starts, hashes = starts[hit], hashes[hit]
-                    if len(starts):
-                        key = [keys[lo + o] for o in t.owner[starts].tolist()]
-                        slots = pa.array([t.slots(s, n) for s in starts.tolist()], pa.list_(pa.string()))
-                        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(starts.astype(np.int32)), pa.array(hashes.view(np.int64)), slots], ["key", "pos", "hash", "slots"])
+                tokens = Tokens(texts[lo:hi], words)
+                for folded in (False,):
+                    yield from rows_of(Template(tokens, folded), keys[lo:hi])
 
     return run
 
@@ -200,25 +299,33 @@ def held_items(docs: DataFrame, benchmark: DataFrame, text: str = "text", simila
     """(key: MD5 of a text, item_id: class representative, n_items, n_matched, n_windows) of every text that holds an item."""
     windows, _ = item_windows(benchmark)
     lengths = sorted(r[0] for r in windows.select("length").distinct().collect())  # at most WINDOW values
+    if not lengths:
+        return docs.sparkSession.createDataFrame([], "key string, item_id long, n_items long, n_matched long, n_windows int")
     hashes = windows.select("hash").distinct()
     wanted = None
     if hashes.count() <= max_filter:
         wanted = np.sort(np.array([r[0] for r in hashes.collect()], np.int64).view(np.uint64))
     body = F.col(f"`{text}`")
     rows = docs.where(body.isNotNull()).select(F.md5(body).alias("key"), body.cast("binary").alias("text"))
-    found = rows.mapInArrow(_text_windows(lengths, wanted), "key string, pos int, hash long, slots array<string>") if lengths else None
-    if found is None:
-        return docs.sparkSession.createDataFrame([], "key string, item_id long, n_items long, n_matched long, n_windows int")
-    hits = found.join(sized(windows), "hash").withColumn("diagonal", F.col("pos") - F.col("at"))
-    by = ["key", "form", "item", "n_items", "n_windows"]
+    found = rows.mapInArrow(_text_windows(lengths, wanted), _HIT)
+    fits = (F.col("opens") == 0) | ((F.col("nth") == F.col("at")) & (found["head"] == windows["head"]))
+    met = found.join(sized(windows), "hash").where(fits).drop("head", "hash", "length", "class")
+    hits = written(met.withColumn("diagonal", F.col("pos") - F.col("at")), "benchmark-hits")
+    diagonal = ["key", "form", "diagonal"]
+    openings = hits.where("opens > 0").select(*diagonal, F.col("opens").alias("o"), F.col("until").alias("u")).distinct()
+    after = hits.where("opens = 0").join(openings, diagonal).where("pos > u").withColumn("opens", F.col("o")).select(*hits.columns)
+    aligned = hits.unionByName(after)
+    by = ["key", "form", "folded", "item", "n_items", "n_windows"]
     pairs = F.transform(F.arrays_zip("item_slots", "slots"), lambda z: F.struct(z["item_slots"].alias("i"), z["slots"].alias("d")))
-    slots = hits.select(*by, "diagonal", F.explode(pairs).alias("p")).groupBy("key", "form", "diagonal")
+    slots = aligned.select(*diagonal, "opens", F.explode(pairs).alias("p")).groupBy(*diagonal, "opens")
     off = slots.agg(
         F.count_distinct("p.i").alias("i"), F.count_distinct("p.d").alias("d"), F.count_distinct("p.i", "p.d").alias("both")
     ).where("i < both OR d < both")
-    fit = hits.join(off, ["key", "form", "diagonal"], "left_anti")
+    fit = aligned.join(off, [*diagonal, "opens"], "left_anti")
     cover = fit.groupBy(*by).agg(F.count_distinct("at").alias("n_matched")).where(F.col("n_matched") >= similarity * F.col("n_windows"))
-    return cover.select("key", F.col("item").alias("item_id"), "n_items", "n_matched", "n_windows")
+    best = F.min(F.struct("folded", (-F.col("n_matched")).alias("less"), "n_windows")).alias("best")
+    held = cover.groupBy("key", "item", "n_items").agg(best)
+    return held.select("key", F.col("item").alias("item_id"), "n_items", (-F.col("best.less")).alias("n_matched"), "best.n_windows")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -68,3 +68,18 @@ def test_planted_passages_against_brute_force(spark):
     d, b = spark.createDataFrame(docs, DOC), spark.createDataFrame(items, ITEM)
     every = decontam.held_items(d, b, max_filter=0).join(d.selectExpr("doc_id", "md5(text) AS key"), "key")
     assert {(r["doc_id"], r["item_id"]) for r in every.collect()} == want
+
+
+def test_copies_in_mid_sentence(spark):
+    """A copy is found whatever stands before it, also a short item or one with a name as its second word."""
+    name = "When {a} bought {n} apples at the old market and then {a} sold {n} apples to the baker who lives there."
+    items = [(1, "What is the capital of France?"), (2, name.format(a="Alice", n=5)), (3, "Miles are longer than one kilometer by far."), (4, "Why do birds sing?")]
+    heads = ["Question: ", "some words\n", "so we asked ", "as Doctor Smith said ", "1. ", "(a) ", "it took 5 "]
+    docs, want = [], set()
+    for h in heads:
+        for i, t in [*items, (1, "What is the capital of Spain?"), (2, name.format(a="Maria", n=12))]:
+            want.add((len(docs), i))
+            docs.append((len(docs), f"{FILL} {h}{t} {FILL}"))
+    wrong = name.format(a="Maria", n=12).replace("sold 12", "sold 13").replace("then Maria", "then Bob")
+    docs += [(len(docs), f"{FILL} Question: {wrong} {FILL}"), (len(docs) + 1, f"{FILL} Question: What is the size of France?")]
+    assert set(pairs(spark, docs, items)) == want
