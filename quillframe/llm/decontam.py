@@ -11,7 +11,9 @@ the windows of consistent alignments cover at least 80% of the item's windows.
 
 An item's first word is never a name or a unit, so each word of a text that is
 one is also read as the plain first word of a passage that begins with it: a
-copy is found after any mark or in mid-sentence.
+copy is found after any mark or in mid-sentence.  Texts and items have a second
+reading, without regard to letter case, in which names are plain words; it finds
+copies in other letter case with the item's own names.
 
 Items that differ in slot values only are one class, named by the least
 item_id, so a hot template gives one row a text.  Texts are keyed by their MD5
@@ -200,7 +202,7 @@ def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             tokens = Tokens([text or b""], words)
             forms = []
-            for folded in (False,):
+            for folded in (False, True):
                 t = Template(tokens, folded)
                 n = min(WINDOW, len(t.hash))
                 starts, hashes = t.windows(n) if n else ([], [])
@@ -289,7 +291,7 @@ def _text_windows(lengths: list[int], wanted: np.ndarray | None):
                 if lo == hi:
                     continue
                 tokens = Tokens(texts[lo:hi], words)
-                for folded in (False,):
+                for folded in (False, True):
                     yield from rows_of(Template(tokens, folded), keys[lo:hi])
 
     return run

@@ -83,3 +83,12 @@ def test_copies_in_mid_sentence(spark):
     wrong = name.format(a="Maria", n=12).replace("sold 12", "sold 13").replace("then Maria", "then Bob")
     docs += [(len(docs), f"{FILL} Question: {wrong} {FILL}"), (len(docs) + 1, f"{FILL} Question: What is the size of France?")]
     assert set(pairs(spark, docs, items)) == want
+
+
+def test_copies_in_other_letter_case(spark):
+    """Copies that differ in letter case only are found; the class gives one row."""
+    items = [(1, q()), (2, q("Maria", 12, 90, 44)), (3, "The quick brown fox jumps over the lazy dog near the old river bank while nobody is watching it."), (4, "Alice Bob Carol Dan Eve Frank")]
+    cases = (str.upper, str.lower, str.title, str.swapcase)
+    docs = [(10 * k + i, f"{FILL} see {case(t)} {FILL}") for k, case in enumerate(cases) for i, t in items]
+    docs += [(100, f"{FILL} {q().replace('sold 5', 'sold 6').upper()} {FILL}")]
+    assert pairs(spark, docs, items) == sorted((10 * k + i, 1 if i == 2 else i) for k in range(len(cases)) for i, _ in items)
