@@ -12,8 +12,9 @@ Costs: a piece's rank in the vocabulary file under Zipf's law,
 in whole numbers so that ties are exact; of equal paths the one whose last
 piece starts first wins.  Characters that no piece covers (and a literal
 U+2581, which the file uses for the space) become byte pieces, so decoding
-returns every text exactly.  Words longer than ``LONGEST`` characters are cut
-there.
+returns every text exactly.  Words are never cut: those longer than ``LONGEST``
+characters, whose lattice would be too large for one row, take the same least-cost
+path in one pass that keeps the costs of the last longest piece's length.
 
 Null and empty texts have no ids and decode to the empty text.  Texts are keyed
 by their digest, so repeated rows and null ids are harmless.
@@ -22,7 +23,7 @@ by their digest, so repeated rows and null ids are harmless.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cache
 
@@ -33,17 +34,18 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import fresh, written
+from quillframe.llm.common import fresh
 
 #: Default vocabulary; any SentencePiece file with byte pieces can be named instead.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+#: Words up to this length meet the piece table as rows of substrings.
 LONGEST = 256
 #: Piece tables up to this size are broadcast; vocabulary files beyond it are refused.
 MOST_PIECES = 1_000_000
 #: Words of a block of texts, about (a longer text is a block of its own).
 BLOCK_WORDS = 1_000_000
 LAYOUT = np.dtype([("key", "V32"), ("words", "<i8")])
-WORD = rf"(?s) {{0,{LONGEST // 2}}}[^ \n]{{1,{LONGEST // 2}}}| {{1,{LONGEST // 2}}}|\n"
+WORD = r"(?s) *+[^ \n]++| ++|\n"
 
 
 @dataclass(frozen=True)
@@ -128,8 +130,35 @@ def _ids(word: Column, path: Column, byte_ids: tuple[int, ...]) -> Column:
     return F.flatten(F.transform(path, of))
 
 
+def _long_path(voc: Vocabulary) -> Callable[[str], np.ndarray]:
+    """A word of any length -> the ids of its least-cost path, in one pass over its ends."""
+    pieces = {t: (i, c) for t, i, c in voc.pieces}
+
+    def ids_of(word: str) -> np.ndarray:
+        costs, starts = [0] + [0] * voc.longest, np.zeros(len(word) + 1, np.int32)  # costs[p % len(costs)]: of the path to p
+        names, ring = np.zeros(len(word) + 1, np.int32), len(costs)
+        for end in range(1, len(word) + 1):
+            best = (1 << 60, -1, -1)
+            for start in range(max(0, end - voc.longest), end):
+                part = word[start:end]
+                found = pieces.get(part)
+                if found is None and end == start + 1:
+                    found = (-1, len(part.encode()) * voc.byte_cost)
+                if found is not None and costs[start % ring] + found[1] < best[0]:
+                    best = (costs[start % ring] + found[1], start, found[0])
+            costs[end % ring], starts[end], names[end] = best
+        out, at = [], len(word)
+        while at > 0:
+            start = int(starts[at])
+            out += [names[at]] if names[at] >= 0 else [voc.byte_ids[b] for b in reversed(word[start:at].encode())]
+            at = start
+        return np.array(out[::-1], np.int32)
+
+    return ids_of
+
+
 def encoded_words(words: DataFrame, model: str = MODEL) -> DataFrame:
-    """(word, ids) for the distinct non-empty ``word`` column: explode, equi-join, group, fold."""
+    """(word, ids) for the distinct non-empty ``word`` column, up to ``LONGEST`` characters: explode, equi-join, group, fold."""
     voc = vocabulary(model)
     pieces = F.broadcast(piece_table(words.sparkSession, model))  # at most MOST_PIECES rows
     size = F.length("word")
@@ -179,12 +208,19 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             block += 1
 
 
-def _unblocked(block: pa.Table) -> pa.Table:
-    """The rows of one block with their words' ids -> (key, ids) of its texts."""
-    is_word = block["word"].is_valid().to_numpy()
+def _unblocked(block: pa.Table, long_path: Callable[[str], np.ndarray] | None = None) -> pa.Table:
+    """The rows of one block with their words' ids (without ids: a long word) -> (key, ids) of its texts."""
+    given = block["ids"].is_valid().to_numpy()
+    is_word = block["word"].is_valid().to_numpy() | given
     layout = np.frombuffer(block["data"].to_pylist()[int(np.flatnonzero(~is_word)[0])], LAYOUT)
-    words = block.filter(pa.array(is_word)).combine_chunks()
+    n_long = int((is_word & ~given).sum())
+    words = block.take(pa.array(np.concatenate([np.flatnonzero(is_word & ~given), np.flatnonzero(given)]))).combine_chunks()
     data, ids = words["data"].to_pylist(), words["ids"].combine_chunks()
+    if n_long:
+        long = words["word"].slice(0, n_long).to_pylist()
+        if long_path is None or any(len(w) <= LONGEST for w in long):
+            raise ValueError("a word of the block has no ids")
+        ids = pa.concat_arrays([pa.array([long_path(w) for w in long], ids.type), ids.slice(n_long)])
     counts = np.fromiter((len(x) // 4 for x in data), np.int64, len(data))
     total = int(counts.sum())
     if total != layout["words"].sum():
@@ -213,10 +249,17 @@ def encoded(docs: DataFrame, text: str = "text", out: str = "ids", model: str =
     key, found = fresh(docs, "_text_key"), fresh(docs, "_ids")
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     words = docs.where(body != "").select(F.sha2(body, 256).alias("key"), words_of(body).alias("words"))
-    table = encoded_words(words.select(F.explode("words").alias("word")).distinct(), model)
+    short = words.select(F.explode("words").alias("word")).where(F.length("word") <= LONGEST)
+    table = encoded_words(short.distinct(), model)
     blocks = words.select(F.unhex("key").alias("key"), "words").mapInArrow(_blocks, "block long, word string, data binary")
-    joined = blocks.join(table, "word", "left").select("block", "word", "data", "ids")
-    texts = joined.groupBy("block").applyInArrow(_unblocked, "key binary, ids array<int>").groupBy("key").agg(F.first("ids").alias(found))
+    word = F.when(F.col("ids").isNull(), F.col("word")).alias("word")  # only long words travel on
+    joined = blocks.join(table, "word", "left").select("block", word, "data", "ids")
+    long_path = _long_path(vocabulary(model))
+
+    def unblocked(block: pa.Table) -> pa.Table:
+        return _unblocked(block, long_path)
+
+    texts = joined.groupBy("block").applyInArrow(unblocked, "key binary, ids array<int>").groupBy("key").agg(F.first("ids").alias(found))
     keyed = docs.withColumn(key, F.unhex(F.sha2(body, 256))).join(texts.withColumnRenamed("key", key), key, "left")
     filled = keyed.withColumn(out, F.coalesce(F.col(found), F.array().cast("array<int>")))
     return filled.select(*[f"`{c}`" for c in docs.columns if c != out], out)

@@ -1,5 +1,6 @@
 """SentencePiece lattice: best paths against brute force, exact round trips, odd rows."""
 
+import random
 import re
 
 import sentencepiece
@@ -55,3 +56,18 @@ def test_rows(spark):
     assert sorted(r["decoded"] for r in again.collect()) == ["", "a b", "a b", "a b"]
     assert spieces.op4_sentencepiece(docs).where("round_trip").count() == 4
     assert spieces.op4_sentencepiece(docs.limit(0)).count() == 0
+
+
+def test_long_words(spark):
+    """Words of any length take the least-cost path of the uncut word: no piece is lost at a bound."""
+    rng = random.Random(5)
+    letters = "".join(t for t in PIECES if 2 < len(t) < 9 and " " not in t)[:20_000]
+    texts = ["".join(rng.choice(letters) for _ in range(n)) for n in (127, 128, 129, 255, 256, 257, 1000)]
+    texts += [letters[:3000], "a" + letters[500:1200] + "\n" + " " * 300 + letters[:400], "日本語の文章です。" * 60, "é\t▁😀\x00" * 100, " " * 1000, "https://example.org/" + "path/to/the/page" * 40]
+    docs = spark.createDataFrame(list(enumerate(texts)), DOC)
+    rows = {r["doc_id"]: r for r in spieces.decoded(spieces.encoded(docs)).collect()}
+    for i, t in enumerate(texts):
+        words = re.findall(r" *[^ \n]+| +|\n", " " + t)
+        assert "".join(words) == " " + t
+        assert rows[i]["ids"] == [x for w in words for x in brute(w)], t[:50]
+        assert rows[i]["decoded"] == t
