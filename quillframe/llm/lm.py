@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from quillframe.llm.common import written
 
-ORDER = 2
+ORDER = 3
 ALPHA = 0.4
 MIN_COUNT = 2
 #: Words that a task combines at a time, and words whose hashes it remembers.

@@ -60,3 +60,12 @@ def test_small_chunks(spark, monkeypatch):
     monkeypatch.setattr(lm, "BATCH_WORDS", 5)
     batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([b"a b c d e f", b"", b"g"])], ["doc", "text"])
     assert [len(c) for c in lm._chunks(iter([batch]))] == [1, 2]
+
+
+def test_query_uses_trigrams(spark):
+    """The registered query scores words by two words of context."""
+    rows = [r for r in corpus() if r[0] is not None]
+    want, pairs = brute(rows, 3), brute(rows, 2)
+    got = {r["doc_id"]: r["log_score"] for r in lm.op1_lm_scores(spark.createDataFrame(rows, DOC)).collect()}
+    assert all(math.isclose(got[d], x, abs_tol=1e-5) for d, (_, x) in want.items())
+    assert any(not math.isclose(got[d], x, abs_tol=1e-5) for d, (_, x) in pairs.items())
