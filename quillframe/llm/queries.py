@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillframe.llm import decontam, lm, negatives, pii, quality, ranked, repeats, secrets, simhash, spieces, urls, warc
+from quillframe.llm import decontam, embeddings, lm, negatives, pii, quality, ranked, repeats, secrets, simhash, spieces, urls, warc
 from quillframe.llm.common import documents
 from quillframe.sources.tables import table
 
@@ -19,6 +19,7 @@ QUERIES = {
     "op10_secret_scans": lambda spark, d: secrets.op10_secret_scans(documents(spark, d)),
     "op11_ranked_search": lambda spark, d: ranked.op11_ranked_search(documents(spark, d), table(spark, d, "benchmark")),
     "op12_hard_negatives": lambda spark, d: negatives.op12_hard_negatives(table(spark, d, "embeddings")),
+    "op13_embedding_dedup": lambda spark, d: embeddings.op13_embedding_dedup(table(spark, d, "embeddings")),
 }
 
 ORACLE = {
@@ -28,4 +29,5 @@ ORACLE = {
     "op10_secret_scans": secrets.OP10_SQL,
     "op11_ranked_search": ranked.OP11_SQL,
     "op12_hard_negatives": negatives.OP12_SQL,
+    "op13_embedding_dedup": embeddings.OP13_SQL,
 }
