@@ -4,8 +4,6 @@ A completer turns a request table into the same rows plus response columns
 ``raw`` (the chat-completions JSON body), ``latency_ms``, ``error`` and
 ``retries``.  Parsing (I3) always happens JVM-side with ``from_json``.
 
-* :class:`ExpressionCompleter` computes replies as Column expressions -- a
-  deterministic fake for tests and driver queries (no Python per row).
 * :class:`HttpCompleter` calls an OpenAI-compatible endpoint from
   ``mapInPandas``: one HTTP client per partition, row-level retries with
   backoff, and per-row failure isolation (a failing call becomes an error row,
@@ -58,92 +56,6 @@ class Completer:
         raise NotImplementedError
 
 
-def response_json(
-    content: Column,
-    prompt_tokens: Column,
-    completion_tokens: Column,
-    cached_tokens: Column | None = None,
-    model: Column | None = None,
-    finish_reason: str = "stop",
-    reasoning: Column | None = None,
-) -> Column:
-    """Build a chat-completions style JSON body (used by fake completers)."""
-    cached = cached_tokens if cached_tokens is not None else F.lit(0).cast("bigint")
-    return F.to_json(
-        F.struct(
-            (model if model is not None else F.lit("fake")).alias("model"),
-            F.array(
-                F.struct(
-                    F.struct(content.alias("content"), (reasoning if reasoning is not None else F.lit(None).cast("string")).alias("reasoning_content")).alias("message"),
-                    F.lit(finish_reason).alias("finish_reason"),
-                )
-            ).alias("choices"),
-            F.struct(
-                prompt_tokens.cast("bigint").alias("prompt_tokens"),
-                completion_tokens.cast("bigint").alias("completion_tokens"),
-                (prompt_tokens + completion_tokens).cast("bigint").alias("total_tokens"),
-                F.struct(cached.cast("bigint").alias("cached_tokens")).alias("prompt_tokens_details"),
-            ).alias("usage"),
-        )
-    )
-
-
-def approx_tokens(text: Column) -> Column:
-    """A stand-in token count: ceil(chars / 4)."""
-    return ((F.length(F.coalesce(text, F.lit(""))) + 3) / 4).cast("bigint")
-
-
-def prompt_chars(messages: Column) -> Column:
-    return F.aggregate(messages, F.lit(0).cast("bigint"), lambda acc, m: acc + F.length(m["content"]))
-
-
-@dataclass
-class ExpressionCompleter(Completer):
-    """Replies computed by Column expressions over the request row.
-
-    ``replies`` maps a stage name to ``fn(row_columns) -> content Column``;
-    stages without an entry echo the last 200 characters of the user prompt.
-    ``errors`` optionally maps a stage to ``fn(row) -> error Column`` (null =
-    success) to script failures.  Usage is ceil(chars/4) for prompt and reply.
-    """
-
-    replies: Mapping[str, Callable[[Callable[[str], Column]], Column]] = field(default_factory=dict)
-    errors: Mapping[str, Callable[[Callable[[str], Column]], Column]] = field(default_factory=dict)
-    deterministic: bool = True
-
-    def complete(self, requests: DataFrame, stage: str | None = None) -> DataFrame:
-        present = set(requests.columns)
-
-        def col(name: str) -> Column:
-            # replies for other stages may read columns this request table lacks
-            return F.col(name) if name in present else F.lit(None)
-
-        content = F.substring(F.col("user_prompt"), -200, 200)
-        error = F.lit(None).cast("string")
-        if stage is not None:
-            # one stage per table: only its expressions enter the plan
-            if stage in self.replies:
-                content = self.replies[stage](col)
-            if stage in self.errors:
-                error = self.errors[stage](col)
-        else:
-            for name, fn in self.replies.items():
-                content = F.when(F.col("stage") == name, fn(col)).otherwise(content)
-            for name, fn in self.errors.items():
-                error = F.when(F.col("stage") == name, fn(col)).otherwise(error)
-        p_tok = ((prompt_chars(F.col("messages")) + 3) / 4).cast("bigint")
-        c_tok = approx_tokens(content)
-        cached = F.when(F.col("iteration") > 1, (p_tok / 2).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
-        raw = response_json(content, p_tok, c_tok, cached, model=F.col("model"))
-        return requests.select(
-            "*",
-            F.when(error.isNull(), raw).alias("raw"),
-            (F.lit(100.0) + c_tok.cast("double")).alias("latency_ms"),
-            error.alias("error"),
-            F.lit(0).alias("retries"),
-        )
-
-
 # ------------------------------------------------------------------ HTTP path
 
 

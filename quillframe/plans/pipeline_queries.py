@@ -18,6 +18,7 @@ from quillframe.operators import inference as I
 from quillframe.operators import stages as S
 from quillframe.plans import workflow as W
 from quillframe.plans.registry import query
+from quillframe.plans.simulated import ExpressionCompleter
 from quillframe.plans.text_queries import SQL_MARKDOWN, SQL_TITLE, doc_markdown, doc_title, sql_markdown_to_html
 from quillframe.sources.tables import table
 
@@ -29,7 +30,7 @@ def score_expr(col, iteration: Column) -> Column:
     return F.lit(40) + F.lit(25) * F.coalesce(col("quality"), F.lit(0)) + col("n_chars") % 20 + F.lit(10) * iteration
 
 
-def doc_completer() -> I.ExpressionCompleter:
+def doc_completer() -> ExpressionCompleter:
     """Deterministic replies for every stage, computed from carried columns."""
 
     def quality(col):
@@ -65,7 +66,7 @@ def doc_completer() -> I.ExpressionCompleter:
             )
         )
 
-    return I.ExpressionCompleter(
+    return ExpressionCompleter(
         replies={
             "research": lambda col: F.concat(F.lit("Research notes: "), col("topic"), F.lit(". Key statistics and an expert quote follow.")),
             "outline": lambda col: F.concat(F.lit("# "), col("topic"), F.lit("\n## Background\n## Findings\n## Outlook")),

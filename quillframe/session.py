@@ -71,6 +71,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/tables/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def rocksdb_state(spark: SparkSession) -> None:
+    """Streaming state with lists, timers and more rows than the heap holds needs the RocksDB store."""
+    spark.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    )
+    # a commit writes what the batch changed; snapshots follow in the background
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+
+
 _SHIPPED: set[str] = set()
 
 

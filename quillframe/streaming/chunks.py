@@ -1,5 +1,5 @@
 """Streamed reply chunks: decode (X1), batch assembly (X2), streaming
-assembly (X3) and the stream-line source (S4).
+assembly (X3) and the stream-line sources (S4).
 
 A chunk line is one server-sent-events line of a streamed chat completion,
 keyed by (response_id, seq).  Only ``data: `` lines count; ``[DONE]`` ends a
@@ -9,21 +9,15 @@ with an empty ``choices`` list is skipped too instead of ending the stream).
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import (
-    BooleanType,
-    LongType,
-    StringType,
-    StructField,
-    StructType,
-)
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from quillframe.functions import text as T
+from quillframe.session import rocksdb_state, ship_package
 
 CHUNK_SCHEMA = (
     "struct<choices:array<struct<delta:struct<content:string,reasoning_content:string>,finish_reason:string>>,"
@@ -32,21 +26,54 @@ CHUNK_SCHEMA = (
 LINE_SCHEMA = "response_id bigint, seq bigint, event_time timestamp, line string"
 
 
-def read_lines(spark, path: str, stream: bool = False) -> DataFrame:
+def read_lines(spark, path: str, stream: bool = False, files_per_batch: int | None = None) -> DataFrame:
     """Chunk lines stored as parquet (response_id, seq, event_time, line)."""
     if stream:
-        return spark.readStream.schema(LINE_SCHEMA).parquet(path)
+        reader = spark.readStream.schema(LINE_SCHEMA)
+        return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(path)
     return spark.read.schema(LINE_SCHEMA).parquet(path)
 
 
-def decode(lines: DataFrame) -> DataFrame:
+#: Comment line by which a capture names the reply whose lines follow; as a
+#: comment it is no data line.
+CAPTURE_HEADER = ": response "
+
+
+def read_captures(spark, path: str, stream: bool = False) -> DataFrame:
+    """Captured text lines, batch or stream: (response_id, seq, event_time, line, file).
+
+    A capture file holds the raw lines of one or more replies, each after a
+    line ``: response <id>``; what comes before the first such line (the whole
+    file, if there is none) is a reply named by the hash of the file's path.
+    ``seq`` is the line's position in its reply, so it is the same whenever and
+    in whatever order files are read; event_time is the file's modification
+    time.  A file is one cell until it is split: writers cap its size (see
+    ``maxRecordsPerFile``).
+    """
+    reader = spark.readStream if stream else spark.read
+    files = reader.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("event_time"))
+    whole = F.regexp_replace("value", r"\r?\n\z", "")
+    parts = files.select("file", "event_time", F.explode(F.split(whole, rf"\r?\n(?={CAPTURE_HEADER}-?[0-9]+\r?(?:\n|\z))")).alias("part"))
+    named = F.regexp_extract("part", rf"\A{CAPTURE_HEADER}(-?[0-9]+)\r?(?:\n|\z)", 1)
+    body = F.when(named != "", F.regexp_replace("part", r"\A[^\n]*(?:\n|\z)", "")).otherwise(F.col("part"))
+    replies = parts.select(
+        F.when(named != "", named.cast("bigint")).otherwise(F.xxhash64("file")).alias("response_id"),
+        "file", "event_time", F.posexplode(F.split(body, r"\r?\n")).alias("seq", "line"),
+    )
+    return replies.select("response_id", F.col("seq").cast("bigint").alias("seq"), "event_time", "line", "file")
+
+
+def decode(lines: DataFrame, keep_skipped: bool = False) -> DataFrame:
     """X1 + F4: keep ``data: `` lines, mark ``[DONE]``, parse the rest.
 
     Output: response_id, seq, event_time, is_done, delta ('' when absent),
     reasoning_delta, finish_reason, usage.  Stateless, so it runs the same
-    on a batch or a streaming DataFrame.
+    on a batch or a streaming DataFrame.  With ``keep_skipped`` the lines that
+    don't count stay, without content, so that a reader can tell a skipped
+    line from one that has not arrived.
     """
-    data = lines.where(F.col("line").startswith("data: "))
+    counts = F.coalesce(F.col("line").startswith("data: "), F.lit(False))
+    data = lines.withColumn("line", F.when(counts, F.col("line"))) if keep_skipped else lines.where(counts)
     payload = T.strip_ws(F.substring(F.col("line"), 7, 1 << 30))
     parsed = data.select(
         "response_id",
@@ -57,7 +84,12 @@ def decode(lines: DataFrame) -> DataFrame:
     )
     choice = F.try_element_at(F.col("c.choices"), F.lit(1))
     ok = F.col("is_done") | (F.col("c").isNotNull() & (F.coalesce(F.size("c.choices"), F.lit(0)) >= 1))
-    return parsed.where(ok).select(
+    if keep_skipped:
+        ok = F.coalesce(ok, F.lit(False))
+        parsed = parsed.withColumns({"c": F.when(ok, F.col("c")), "is_done": F.coalesce("is_done", F.lit(False))})
+    else:
+        parsed = parsed.where(ok)
+    return parsed.select(
         "response_id",
         "seq",
         "event_time",
@@ -106,148 +138,114 @@ def assemble(decoded: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------- X3
 
 
-ASSEMBLED_SCHEMA = StructType(
-    [
-        StructField("response_id", LongType()),
-        StructField("content", StringType()),
-        StructField("reasoning_content", StringType()),
-        StructField("prompt_tokens", LongType()),
-        StructField("completion_tokens", LongType()),
-        StructField("total_tokens", LongType()),
-        StructField("status", StringType()),
-        StructField("complete", BooleanType()),
-    ]
+ASSEMBLED_SCHEMA = (
+    "response_id bigint, content string, reasoning_content string, prompt_tokens bigint, completion_tokens bigint, "
+    "total_tokens bigint, status string, complete boolean"
 )
-STATE_SCHEMA = StructType([StructField("parts", StringType()), StructField("done_seq", LongType())])
+PART_STATE = "seq bigint, delta string, reasoning string, counted boolean, prompt_tokens bigint, completion_tokens bigint, total_tokens bigint"
+META_STATE = "done bigint, last_ms bigint, timer_ms bigint, closed boolean"
 
 
-def _emit(rid, parts: list, done_seq, status: str) -> pd.DataFrame:
-    parts = sorted((p for p in parts if done_seq is None or p[0] < done_seq), key=lambda p: p[0])
-    content = "".join(p[1] for p in parts if p[1])
-    reasons = [p[2] for p in parts if p[2]]
-    usage = [p[3] for p in parts if p[3] is not None]
-    u = usage[-1] if usage else {}
-    return pd.DataFrame(
-        [
-            {
-                "response_id": rid,
-                "content": content,
-                "reasoning_content": "".join(reasons) if reasons else None,
-                "prompt_tokens": int(u.get("prompt_tokens") or 0),
-                "completion_tokens": int(u.get("completion_tokens") or 0),
-                "total_tokens": int(u.get("total_tokens") or 0),
-                "status": status,
-                "complete": done_seq is not None,
-            }
-        ]
-    )
-
+class ReplyAssembler(StatefulProcessor):
+    """State of one reply: a list of the chunks that have come, and how far it is.
 
-def _assemble_state(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    (rid,) = key
-    if state.hasTimedOut:
-        parts_json, done_seq = state.get
-        state.remove()
-        yield _emit(rid, json.loads(parts_json), done_seq, "partial")
-        return
-    parts, done_seq = ([], None)
-    if state.exists:
-        pj, done_seq = state.get
-        parts = json.loads(pj)
-    max_time = None
-    for pdf in batches:
-        for r in pdf.itertuples(index=False):
-            if r.is_done:
-                done_seq = int(r.seq) if done_seq is None else min(done_seq, int(r.seq))
-            else:
-                u = r.usage
-                u = dict(u) if u is not None and not (isinstance(u, float)) else None
-                parts.append([int(r.seq), r.delta or "", r.reasoning_delta or None, u])
-            t = pd.Timestamp(r.event_time)
-            max_time = t if max_time is None or t > max_time else max_time
-    if done_seq is not None:
-        state.remove()
-        yield _emit(rid, parts, done_seq, "success")
-        return
-    state.update((json.dumps(parts), done_seq))
-    if max_time is not None:
-        state.setTimeoutTimestamp(int(max_time.timestamp() * 1000) + 1)
-
-
-def assemble_stream(decoded: DataFrame, abandon_after: str = "10 minutes") -> DataFrame:
-    """Incremental assembly on a streaming DataFrame of decoded chunks.
-
-    Chunks are buffered per response in state until ``[DONE]`` arrives, then
-    one row is emitted (status ``success``).  A response whose stream stops
-    without ``[DONE]`` is emitted as ``partial`` once the event-time
-    watermark passes its last chunk (abandoned responses do not hold state
-    forever).  Chunks arriving after ``[DONE]`` are dropped, as in batch.
+    A reply is emitted once: as ``success`` when ``[DONE]`` and every position
+    before it are there, or as ``partial`` when the watermark passes its last
+    chunk.  A closed reply keeps a marker, so that repeated or late chunks open
+    no second one; the marker goes ``keep_ms`` of event time later.
     """
-    from quillframe.session import ship_package
-
-    ship_package(decoded.sparkSession)
-    d = decoded.withWatermark("event_time", abandon_after)
-    return d.groupBy("response_id").applyInPandasWithState(
-        _assemble_state, ASSEMBLED_SCHEMA, STATE_SCHEMA, "append", "EventTimeTimeout"
-    )
 
-
-# ----------------------------------------------------------- line builder
+    def __init__(self, keep_ms: int) -> None:
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.parts = handle.getListState("parts", PART_STATE)
+        self.meta = handle.getValueState("meta", META_STATE)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        known = self.meta.exists()
+        done, last, timer, closed = self.meta.get() if known else (None, None, None, False)
+        came: list[tuple] = []
+        for pdf in rows:
+            newest = int(pdf["event_time"].max().value // 1_000_000)
+            last = newest if last is None else max(last, newest)
+            if closed:
+                continue
+            ends = pdf.loc[pdf["is_done"], "seq"]
+            if len(ends):
+                done = int(ends.min()) if done is None else min(done, int(ends.min()))
+            came += _parts(pdf[~pdf["is_done"]])
+        if not closed and done is not None:
+            held = list(self.parts.get()) if known else []
+            parts = _in_order(held + came, done)
+            if len(parts) == done:
+                self.parts.clear()
+                closed = True
+                yield _reply(key[0], parts, "success")
+        if not closed and came:
+            self.parts.appendList(came)
+        self._set(done, last, timer, closed, last + self.keep_ms if closed else last)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not self.meta.exists():
+            return
+        done, last, timer, closed = self.meta.get()
+        if timer != expiredTimerInfo.getExpiryTimeInMs():
+            return
+        if closed:
+            self.meta.clear()
+            return
+        yield _reply(key[0], _in_order(list(self.parts.get()), done), "partial")
+        self.parts.clear()
+        self._set(done, last, None, True, last + self.keep_ms)
+
+    def _set(self, done, last, timer, closed, new_timer) -> None:
+        if timer != new_timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(new_timer)
+        self.meta.update((done, last, new_timer, closed))
+
+    def close(self) -> None:
+        pass
+
+
+def _parts(pdf: pd.DataFrame) -> list[tuple]:
+    """State rows of decoded chunks, column by column."""
+    usage = [u if isinstance(u, dict) else (u.asDict() if hasattr(u, "asDict") else None) for u in pdf["usage"]]
+    counts = [[None if u is None else int(u.get(c) or 0) for u in usage] for c in ("prompt_tokens", "completion_tokens", "total_tokens")]
+    text = [[x if isinstance(x, str) and x else None for x in pdf[c]] for c in ("delta", "reasoning_delta")]
+    return list(zip((int(x) for x in pdf["seq"]), *text, (u is not None for u in usage), *counts, strict=True))
+
+
+def _in_order(parts: list[tuple], done: int | None) -> list[tuple]:
+    """One chunk per position before ``done``, in order; the first to come counts."""
+    once: dict[int, tuple] = {}
+    for p in parts:
+        if done is None or p[0] < done:
+            once.setdefault(p[0], p)
+    return [once[k] for k in sorted(once)]
+
+
+def _reply(response_id, parts: list[tuple], status: str) -> pd.DataFrame:
+    reasons = [p[2] for p in parts if p[2]]
+    usage = next((p[4:] for p in reversed(parts) if p[3]), (0, 0, 0))
+    row = (response_id, "".join(p[1] for p in parts if p[1]), "".join(reasons) if reasons else None, *usage, status, status == "success")
+    return pd.DataFrame([row], columns=[c.split()[0] for c in ASSEMBLED_SCHEMA.split(", ")])
 
 
-def sse_lines(responses: DataFrame, text: Column, chunk_chars: int = 20, reasoning: Column | None = None,
-              prompt_tokens: Column | None = None) -> DataFrame:
-    """Build a realistic chunk-line stream for each (response_id, event_time) row:
+def assemble_stream(decoded: DataFrame, abandon_after: str = "10 minutes", keep_closed_s: int = 3600) -> DataFrame:
+    """Incremental assembly on a streaming DataFrame of chunks decoded with ``keep_skipped``.
 
-    role-only opener, a keep-alive comment, the text cut into ``chunk_chars``
-    pieces, an optional reasoning chunk, a malformed line, an empty-choices
-    line, a usage chunk with finish_reason, ``[DONE]`` and one stray line after
-    it.  Pure generator (explode) over the input rows -- no shuffle.
+    Chunks may come late, repeated and out of order, over any number of
+    micro-batches (see :class:`ReplyAssembler`).  ``abandon_after`` is the
+    watermark: a reply whose stream stops without all its chunks is emitted as
+    ``partial`` once event time is that much past its last one.  State lives
+    in the RocksDB store and is written chunk by chunk.
     """
-    n = ((F.length(text) + chunk_chars - 1) / chunk_chars).cast("int")
-    pieces = F.transform(
-        F.sequence(F.lit(0), F.greatest(n - 1, F.lit(-1))),
-        lambda i: F.substring(text, i * chunk_chars + 1, chunk_chars),
-    )
-    pieces = F.when(n > 0, pieces).otherwise(F.expr("CAST(array() AS array<string>)"))
-
-    def delta_line(content: Column) -> Column:
-        return F.concat(
-            F.lit("data: "),
-            F.to_json(F.struct(F.array(F.struct(F.struct(content.alias("content")).alias("delta"))).alias("choices"))),
-        )
-
-    pt = prompt_tokens if prompt_tokens is not None else F.lit(0)
-    ct = ((F.length(text) + 3) / 4).cast("bigint")
-    usage_line = F.concat(
-        F.lit("data: "),
-        F.to_json(
-            F.struct(
-                F.array(F.struct(F.struct().alias("delta"), F.lit("stop").alias("finish_reason"))).alias("choices"),
-                F.struct(pt.cast("bigint").alias("prompt_tokens"), ct.alias("completion_tokens"), (pt + ct).cast("bigint").alias("total_tokens")).alias("usage"),
-            )
-        ),
-    )
-    reason_lines = F.expr("CAST(array() AS array<string>)")
-    if reasoning is not None:
-        reason_line = F.concat(
-            F.lit("data: "),
-            F.to_json(F.struct(F.array(F.struct(F.struct(reasoning.alias("reasoning_content")).alias("delta"))).alias("choices"))),
-        )
-        reason_lines = F.when(reasoning.isNotNull(), F.array(reason_line)).otherwise(reason_lines)
-    lines = F.concat(
-        F.array(F.lit('data: {"choices":[{"delta":{"role":"assistant"}}]}'), F.lit(": keep-alive")),
-        reason_lines,
-        F.transform(pieces, delta_line),
-        F.array(F.lit("data: {not json"), F.lit('data: {"choices":[]}'), usage_line, F.lit("data: [DONE]"), delta_line(F.lit("after done"))),
-    )
-    return responses.select(
-        "response_id",
-        "event_time",
-        F.posexplode_outer(lines).alias("seq", "line"),
-    ).where(F.col("line").isNotNull()).select(
-        "response_id",
-        F.col("seq").cast("bigint").alias("seq"),
-        (F.col("event_time") + F.make_interval(secs=F.col("seq").cast("decimal(18,6)"))).alias("event_time"),
-        "line",
-    )
+    spark = decoded.sparkSession
+    ship_package(spark)
+    rocksdb_state(spark)
+    rows = decoded.withWatermark("event_time", abandon_after).groupBy("response_id")
+    return rows.transformWithStateInPandas(ReplyAssembler(1000 * keep_closed_s), ASSEMBLED_SCHEMA, "Append", "EventTime")

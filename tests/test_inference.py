@@ -9,6 +9,7 @@ from quillframe.operators import inference as I
 from quillframe.operators import requests as Q
 from quillframe.operators import stages as S
 from quillframe.plans import workflow as W
+from quillframe.plans.simulated import ExpressionCompleter
 
 
 def test_quality_score_cases(spark):
@@ -32,7 +33,7 @@ def _drafts(spark, rows, max_iterations=3):
 
 def _scored():
     # score at round i = base + 10 * i
-    return I.ExpressionCompleter(replies={
+    return ExpressionCompleter(replies={
         "editor": lambda col: F.concat(col("draft"), F.lit("+")),
         "quality": lambda col: F.to_json(F.struct((col("base") + 10 * col("iteration")).alias("overall_score"))),
     })
@@ -69,7 +70,7 @@ def _topics(spark):
 
 
 def test_pipeline_end_to_end(spark):
-    c = I.ExpressionCompleter(replies={"quality": lambda col: F.lit('{"overall_score": 95}')})
+    c = ExpressionCompleter(replies={"quality": lambda col: F.lit('{"overall_score": 95}')})
     run = W.run_pipeline(_topics(spark), c, run_id="r1")
     arts = {r.topic_id: r for r in run.articles.collect()}
     a = arts[1]
@@ -84,7 +85,7 @@ def test_pipeline_end_to_end(spark):
 
 
 def test_pipeline_fail_fast_and_soft_failure(spark):
-    c = I.ExpressionCompleter(
+    c = ExpressionCompleter(
         replies={"quality": lambda col: F.lit('{"overall_score": 95}')},
         errors={
             "research": lambda col: F.when(col("topic_id") == 1, F.lit("boom")),
@@ -105,7 +106,7 @@ def test_pipeline_fail_fast_and_soft_failure(spark):
 
 @pytest.mark.parametrize("off, article", [(("research", "seo", "editor"), "body"), (("outline", "writer", "quality"), "+")])
 def test_disabled_stages_pass_rows_through(spark, off, article):
-    c = I.ExpressionCompleter(replies={"writer": lambda col: F.lit("body"), "editor": lambda col: F.concat(col("draft"), F.lit("+")),
+    c = ExpressionCompleter(replies={"writer": lambda col: F.lit("body"), "editor": lambda col: F.concat(col("draft"), F.lit("+")),
                                        "quality": lambda col: F.lit('{"overall_score": 95}')})
     ov = spark.createDataFrame([(i, stage, False, None, None, None, None) for i, stage in enumerate(off)], Q.OVERRIDE_SCHEMA)
     run = W.run_pipeline(_topics(spark), c, overrides=ov, run_id="r1")
@@ -115,7 +116,7 @@ def test_disabled_stages_pass_rows_through(spark, off, article):
 
 
 def test_topic_switches_and_null_lists(spark):
-    c = I.ExpressionCompleter(replies={"quality": lambda col: F.lit('{"overall_score": 95}')})
+    c = ExpressionCompleter(replies={"quality": lambda col: F.lit('{"overall_score": 95}')})
     t = spark.createDataFrame(
         [(1, "Alpha", True, None, False, None), (2, "Beta", True, None, None, ["translator", "publisher"])],
         "topic_id bigint, topic string, enable_translation boolean, target_languages array<string>, seo_enabled boolean, disabled_stages array<string>",
@@ -213,7 +214,7 @@ def test_dedupe_payloads_bills_each_prompt_once(spark, tmp_path):
 def test_partial_pipeline_research_writer_quality(spark):
     """A user-chosen chain of stages composed with run_stage."""
     t = spark.createDataFrame([("r", 1, "Topic")], "run_id string, topic_id bigint, topic string")
-    c = I.ExpressionCompleter(replies={"quality": lambda col: F.lit('{"overall_score": 75}')})
+    c = ExpressionCompleter(replies={"quality": lambda col: F.lit('{"overall_score": 75}')})
     research = I.run_stage(t, S.RESEARCH, c, keep=["topic"])
     writer = I.run_stage(research.withColumn("research_data", F.col("content")), S.WRITER, c,
                          slot_cols={"outline": F.lit("")}, keep=["topic"])

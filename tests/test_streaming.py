@@ -38,32 +38,100 @@ def test_decode_and_assemble(spark):
     assert out[2].content == "partial" and not out[2].complete and out[2].reasoning_content is None
 
 
-def test_stream_assembly_equals_batch_and_times_out(spark):
-    rows = [
-        (1, 0, 0, 'data: {"choices":[{"delta":{"content":"ab"}}]}'),
-        (1, 1, 1, 'data: {"choices":[{"delta":{"content":"cd"}}]}'),
-        (1, 2, 2, "data: [DONE]"),
-        (2, 0, 3, 'data: {"choices":[{"delta":{"content":"left hanging"}}]}'),
-        (3, 0, 4000, 'data: {"choices":[{"delta":{"content":"much later"}}]}'),
-        (3, 1, 4001, "data: [DONE]"),
+def _content(text):
+    return 'data: {"choices":[{"delta":{"content":"%s"}}]}' % text
+
+
+def _assembled(spark, batches, name, path=None, **kw):
+    """Each batch of lines lands as one file; one micro-batch a file."""
+    src = scratch_path(spark, "test-lines") if path is None else path
+    for b in batches:
+        lines(spark, b).coalesce(1).write.mode("append").parquet(src)
+    stream = X.read_lines(spark, src, stream=True, files_per_batch=1)
+    out = L.run_available_now(X.assemble_stream(X.decode(stream, keep_skipped=True), **kw), name, path=src + "-job")
+    return sorted(out.select("response_id", "content", "status", "complete", "total_tokens").collect())
+
+
+def test_stream_assembly_over_late_repeated_and_unordered_chunks(spark):
+    usage = 'data: {"choices":[{"delta":{},"finish_reason":"stop"}],"usage":{"prompt_tokens":3,"completion_tokens":2,"total_tokens":5}}'
+    batches = [
+        # reply 1 ends before its middle has come; 2 breaks off; 4 is whole at once
+        [(1, 0, 0, _content("ab")), (1, 4, 4, "data: [DONE]"), (1, 5, 5, _content("stray")), (2, 0, 3, _content("left hanging")),
+         (4, 0, 0, ": comment"), (4, 1, 1, _content("whole")), (4, 2, 2, "data: [DONE]")],
+        # more of 1, out of order and repeated; a repeat of the closed 4 opens no second reply; 5 has a gap
+        [(1, 3, 3, usage), (1, 0, 0, _content("ab")), (4, 1, 1, _content("whole")), (4, 2, 2, "data: [DONE]"),
+         (5, 0, 9, _content("x")), (5, 2, 9, "data: [DONE]"), (5, 2, 9, "data: [DONE]")],
+        [(1, 2, 2, _content("ef")), (1, 1, 1, _content("cd")), (1, 1, 1, _content("cd"))],
+        # much later: the watermark passes what is still open
+        [(3, 0, 4000, _content("much later")), (3, 1, 4001, "data: [DONE]"), (1, 1, 4001, _content("again"))],
+        [(6, 0, 9000, ": beat")],
     ]
-    src = scratch_path(spark, "test-lines")
-    # two files so the stream sees two micro-batches: the late one moves the watermark
-    lines(spark, rows[:4]).coalesce(1).write.parquet(src + "/a")
-    lines(spark, rows[4:]).coalesce(1).write.parquet(src + "/b")
-    stream = spark.readStream.schema(X.LINE_SCHEMA).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(src)
-    out = L.run_available_now(X.assemble_stream(X.decode(stream), abandon_after="10 minutes"), "test-assembly")
-    got = {r.response_id: r for r in out.collect()}
-    assert got[1].content == "abcd" and got[1].status == "success"
-    assert got[3].content == "much later"
-    assert got[2].status == "partial" and got[2].content == "left hanging"
-
-
-def test_live_windows_equal_batch_for_closed_days(spark):
+    got = _assembled(spark, batches, "test-assembly", abandon_after="10 minutes")
+    assert got == [
+        (1, "abcdef", "success", True, 5), (2, "left hanging", "partial", False, 0), (3, "much later", "success", True, 0),
+        (4, "whole", "success", True, 0), (5, "x", "partial", False, 0),
+    ]
+
+
+def test_stream_assembly_goes_on_after_a_restart(spark):
+    src = scratch_path(spark, "test-restart")
+    assert _assembled(spark, [[(7, 0, 0, _content("one "))]], "restart", path=src) == []
+    assert _assembled(spark, [[(7, 2, 2, "data: [DONE]")]], "restart", path=src) == []
+    want = [(7, "one two", "success", True, 0)]
+    assert _assembled(spark, [[(7, 1, 1, _content("two"))]], "restart", path=src) == want
+    assert _assembled(spark, [[(7, 1, 1, _content("two")), (7, 2, 2, "data: [DONE]")]], "restart", path=src) == want
+
+
+def test_captured_text_lines(spark):
+    src = scratch_path(spark, "test-captures")
+    text = [(": response 5\r\n" + _content("He") + "\r\n: ping\r\n" + _content("y") + "\r\ndata: [DONE]",),
+            (": response -6\n\n" + _content("solo") + "\n" + _content("st"),)]
+    spark.createDataFrame(text, "value string").coalesce(1).write.text(src)
+    spark.createDataFrame([(_content("no header") + "\ndata: [DONE]",)], "value string").coalesce(1).write.mode("append").text(src)
+    rows = X.read_captures(spark, src)
+    assert [(r.seq, r.line) for r in rows.where("response_id = 5").orderBy("seq").collect()] == [
+        (0, _content("He")), (1, ": ping"), (2, _content("y")), (3, "data: [DONE]")]
+    batch = sorted((r.content, r.complete) for r in X.assemble(X.decode(rows)).collect())
+    assert batch == [("Hey", True), ("no header", True), ("solost", False)]
+    streamed = L.run_available_now(X.read_captures(spark, src, stream=True), "test-captures")
+    assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, rows.collect()))
+
+
+def _calls(spark, path, rows):
+    spark.createDataFrame(
+        [(i, dt.datetime(2024, 1, d, h), u, "click", 1.0, '{"k": 1}') for i, d, h, u in rows], L.EVENTS_SCHEMA
+    ).coalesce(1).write.mode("append").parquet(path)
+
+
+def test_live_windows_equal_batch_in_any_layout(spark):
     sf = "/root/testdata/sf0.001"
-    live = {(r.period_start, r.stage): r.total_tokens for r in L.live_consumption(spark, sf).collect()}
-    calls = calls_from_events(spark.read.parquet(f"{sf}/events.parquet"))
-    batch = {(r.period_start, r.stage): r.total_tokens for r in M.calendar_consumption(calls).where("grain = 'day'").collect()}
-    assert live and all(batch[k] == v for k, v in live.items())
-    last_day = max(k[0] for k in batch)
-    assert all(k[0] < last_day for k in live)  # the still-open last day is not emitted
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    folder = scratch_path(spark, "test-events")
+    events.repartition(5).write.parquet(f"{folder}/events.parquet")  # a table that is a folder of part files
+    batch = {(r.period_start, r.stage): (r.calls, r.total_tokens) for r in M.calendar_consumption(calls_from_events(events)).where("grain = 'day'").collect()}
+    for table_dir in (sf, folder):
+        live = L.live_events(spark, table_dir).collect()
+        assert {(r.window_start.strftime("%Y-%m-%d"), r.stage): (r.calls, r.total_tokens) for r in live} == batch
+        last = max(r.window_start for r in live)
+        assert all(r.open == (r.window_start == last) for r in live)
+
+
+def test_live_windows_go_on_after_a_restart_and_a_replay(spark):
+    src, table = scratch_path(spark, "test-live-in"), scratch_path(spark, "test-live")
+
+    def run():
+        rows = L.live_consumption(calls_from_events(L.events_stream(spark, "", events_path=src)), table).collect()
+        return sorted((r.window_start.day, r.calls, r.open) for r in rows)
+
+    _calls(spark, src, [(1, 1, 5, 10), (2, 1, 6, 10)])
+    assert run() == [(1, 2, True)]
+    assert run() == [(1, 2, True)]  # nothing new
+    _calls(spark, src, [(3, 1, 7, 10), (4, 2, 0, 10)])
+    assert run() == [(1, 3, True), (2, 1, True)]  # an hour's lateness: day 1 may still get rows
+    _calls(spark, src, [(5, 2, 2, 10)])
+    assert run() == [(1, 3, False), (2, 2, True)]
+    # a batch that is written again replaces its own folder
+    log = spark.read.parquet(f"{table}/table")
+    again = log.where("batch = 1").drop("batch").collect()
+    spark.createDataFrame(again, log.drop("batch").schema).write.mode("overwrite").parquet(f"{table}/table/batch=1")
+    assert run() == [(1, 3, False), (2, 2, True)]
