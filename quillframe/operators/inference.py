@@ -1,13 +1,10 @@
 """Batch inference (I1-I6) with a pluggable completer.
 
 A completer turns a request table into the same rows plus response columns
-``raw`` (the chat-completions JSON body), ``latency_ms``, ``error`` and
-``retries``.  Parsing (I3) always happens JVM-side with ``from_json``.
-
-* :class:`HttpCompleter` calls an OpenAI-compatible endpoint from
-  ``mapInPandas``: one HTTP client per partition, row-level retries with
-  backoff, and per-row failure isolation (a failing call becomes an error row,
-  never a failed task, because a task retry would re-bill the partition).
+``raw`` (the chat-completions JSON body), ``latency_ms``, ``error``,
+``retries``, ``attempt_id`` and ``started_at``.  Parsing (I3) always happens
+JVM-side with ``from_json``; :mod:`quillframe.operators.http_completion` is the
+completer for real endpoints.
 
 Inference output is non-deterministic and billed, so :func:`run_stage`
 materialises it (parquet under the session's checkpoint folder) before any
@@ -16,13 +13,6 @@ second use when the completer says it is not deterministic.
 
 from __future__ import annotations
 
-import json
-import os
-import time
-from collections.abc import Callable, Iterator, Mapping
-from dataclasses import dataclass, field
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,132 +30,24 @@ RESPONSE_SCHEMA = (
     "prompt_tokens_details:struct<cached_tokens:bigint>>>"
 )
 
-RESPONSE_COLS = ["raw", "latency_ms", "error", "retries"]
+RESPONSE_COLS = ["raw", "latency_ms", "error", "retries", "attempt_id", "started_at"]
 
 
 class Completer:
-    """U5 protocol: ``complete(requests, stage=None) -> requests + raw/latency_ms/error/retries``.
+    """U5 protocol: ``complete(requests, stage=None) -> requests + RESPONSE_COLS``.
 
     ``stage`` is a hint that every request row belongs to that stage (the
-    case for :func:`run_stage`); completers may ignore it.
+    case for :func:`run_stage`); completers may ignore it.  ``needs`` names the
+    request columns that a completer reads (None: any).
     """
 
     deterministic: bool = False
+    needs: tuple[str, ...] | None = None
 
     def complete(self, requests: DataFrame, stage: str | None = None) -> DataFrame:  # pragma: no cover - interface
         raise NotImplementedError
 
 
-# ------------------------------------------------------------------ HTTP path
-
-
-def urllib_transport(url: str, body: bytes, headers: Mapping[str, str], timeout: float) -> tuple[int, bytes]:
-    """POST with the standard library; returns (status, body); raises on network errors."""
-    import urllib.error
-    import urllib.request
-
-    req = urllib.request.Request(url, data=body, headers=dict(headers), method="POST")
-    try:
-        with urllib.request.urlopen(req, timeout=timeout) as resp:  # noqa: S310 - endpoint is configured
-            return resp.status, resp.read()
-    except urllib.error.HTTPError as e:
-        return e.code, e.read()
-
-
-RETRYABLE_STATUS = {408, 409, 425, 429, 500, 502, 503, 504}
-
-
-@dataclass
-class HttpCompleter(Completer):
-    """I1/I2 against an OpenAI-compatible ``/chat/completions`` endpoint.
-
-    ``partitions`` bounds concurrent clients (one per task).  Retries cover
-    connect errors, timeouts and status 408/409/425/429/5xx with exponential
-    backoff ``retry_delay_s * 2**attempt``; other statuses fail at once.  The
-    key is read from the environment variable ``api_key_env`` on executors.
-    """
-
-    base_url: str
-    api_key_env: str = ""
-    auth_style: str = "bearer"
-    timeout_s: float = 120.0
-    max_retries: int = 3
-    retry_delay_s: float = 1.0
-    partitions: int | None = None
-    transport: Callable[[str, bytes, Mapping[str, str], float], tuple[int, bytes]] = urllib_transport
-    sleep: Callable[[float], None] = time.sleep
-    deterministic: bool = False
-
-    def _headers(self) -> dict[str, str]:
-        key = os.environ.get(self.api_key_env, "") if self.api_key_env else ""
-        h = {"Content-Type": "application/json"}
-        if self.auth_style == "bearer":
-            h["Authorization"] = f"Bearer {key}"
-        else:
-            h["api-key"] = key
-        return h
-
-    def call_one(self, payload: str) -> tuple[str | None, float, str | None, int]:
-        url = self.base_url.rstrip("/") + "/chat/completions"
-        headers = self._headers()
-        body = payload.encode("utf-8")
-        attempts = max(1, self.max_retries)
-        errors: list[str] = []
-        start = time.monotonic()
-        for attempt in range(attempts):
-            try:
-                status, data = self.transport(url, body, headers, self.timeout_s)
-            except Exception as e:  # noqa: BLE001 - connect errors and timeouts are retried
-                errors.append(f"{type(e).__name__}: {e}")
-                retry = True
-            else:
-                if 200 <= status < 300:
-                    text = data.decode("utf-8", errors="replace")
-                    try:
-                        json.loads(text)
-                    except ValueError:
-                        return None, (time.monotonic() - start) * 1000, "invalid JSON response", attempt
-                    return text, (time.monotonic() - start) * 1000, None, attempt
-                errors.append(f"HTTP {status}: {data[:200].decode('utf-8', errors='replace')}")
-                retry = status in RETRYABLE_STATUS
-            if not retry or attempt == attempts - 1:
-                break
-            self.sleep(self.retry_delay_s * (2**attempt))
-        return None, (time.monotonic() - start) * 1000, errors[-1], len(errors) - 1
-
-    def complete(self, requests: DataFrame, stage: str | None = None) -> DataFrame:
-        cols = requests.columns
-        out_schema = requests.schema
-        from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
-
-        schema = StructType(
-            list(out_schema.fields)
-            + [
-                StructField("raw", StringType()),
-                StructField("latency_ms", DoubleType()),
-                StructField("error", StringType()),
-                StructField("retries", IntegerType()),
-            ]
-        )
-        completer = self
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                res = [completer.call_one(p) for p in pdf["payload"]]
-                pdf = pdf[cols].copy()
-                pdf["raw"] = [r[0] for r in res]
-                pdf["latency_ms"] = [float(r[1]) for r in res]
-                pdf["error"] = [r[2] for r in res]
-                pdf["retries"] = [int(r[3]) for r in res]
-                yield pdf
-
-        from quillframe.session import ship_package
-
-        ship_package(requests.sparkSession)
-        df = requests.repartition(self.partitions) if self.partitions else requests
-        return df.mapInPandas(run, schema)
-
-
 # ----------------------------------------------------------------- I3 / I4 / I5
 
 
@@ -233,6 +115,11 @@ RESULT_COLS = [
     "completion_tokens",
     "cached_tokens",
     "retries",
+    "call_id",
+    "attempt_id",
+    "model",
+    "started_at",
+    "call_failed",
 ]
 
 
@@ -240,11 +127,15 @@ def stage_results(parsed: DataFrame, stage: S.Stage, keep: list[str] | None = No
     """I4 + I5: one result row per request.
 
     Failures (transport error, unparseable body, J4 type failure) give status
-    ``failed``, empty content, 0 tokens and empty metadata; the call still
-    counts (errors = 1, latency kept).  tokens_used is the API total.
+    ``failed``, empty content, 0 ``tokens_used`` and empty metadata.  The token
+    counts are those of the call: a reply that was billed keeps its usage
+    though the stage could not use it; only a call that failed itself
+    (``call_failed``) counts 0 tokens and an error.  tokens_used is the API
+    total.
     """
     keep = [c for c in (keep or []) if c in parsed.columns]
     df = parsed
+    call_failed = F.col("error").isNotNull()
     failed = F.col("error").isNotNull() | F.col("content").isNull()
     err = F.coalesce(F.col("error"), F.when(F.col("content").isNull(), F.lit("reply has no content")))
     meta = stage.finish_metadata(F.col("meta_in"), F.col("content"))
@@ -275,10 +166,13 @@ def stage_results(parsed: DataFrame, stage: S.Stage, keep: list[str] | None = No
             "reasoning"
         ),
         F.when(failed, empty_meta).otherwise(meta).alias("metadata"),
-        F.when(failed, 0).otherwise(F.col("usage.prompt_tokens")).cast("bigint").alias("prompt_tokens"),
-        F.when(failed, 0).otherwise(F.col("usage.completion_tokens")).cast("bigint").alias("completion_tokens"),
-        F.when(failed, 0).otherwise(F.col("usage.cached_tokens")).cast("bigint").alias("cached_tokens"),
+        *[F.when(call_failed, 0).otherwise(F.col(f"usage.{c}")).cast("bigint").alias(c) for c in ("prompt_tokens", "completion_tokens", "cached_tokens")],
         F.coalesce(F.col("retries"), F.lit(0)).cast("int").alias("retries"),
+        (F.col("call_id") if "call_id" in parsed.columns else F.col("request_id")).alias("call_id"),
+        "attempt_id",
+        "model",
+        "started_at",
+        call_failed.alias("call_failed"),
     )
 
 
@@ -286,23 +180,6 @@ def stage_results(parsed: DataFrame, stage: S.Stage, keep: list[str] | None = No
 SKIPPED = "skipped"
 
 
-def calls_from_results(results: DataFrame, event_time: Column | None = None) -> DataFrame:
-    """The ``calls`` fact rows (A1 input) for stage results: one row per call."""
-    return results.select(
-        "run_id",
-        "topic_id",
-        F.col("stage"),
-        "iteration",
-        (event_time if event_time is not None else F.current_timestamp()).alias("event_time"),
-        "prompt_tokens",
-        "completion_tokens",
-        "cached_tokens",
-        F.col("latency_ms").cast("decimal(18,2)").alias("latency_ms"),
-        (F.col("status") == "failed").cast("int").alias("errors"),
-        "retries",
-    )
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as parquet under the checkpoint folder and read it back.
 
@@ -317,17 +194,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def complete_distinct(requests: DataFrame, completer: Completer, stage: str | None = None) -> DataFrame:
     """Response cache: send each distinct payload once and join the reply back.
 
-    Requests are keyed by ``sha2(payload)``; one representative per key goes
-    to the completer (its output is written once), and every request row takes
-    the reply of its key through an equi join on the hash.  Identical prompts
-    -- repeated topics, re-runs -- are billed once.  The join is one-to-many
-    on a unique right side; a hot prompt is skew handled by AQE.
+    Requests are keyed by ``sha2(payload)``; of each key one row, cut to what
+    the completer needs, goes to it (its output is written once), and every
+    request row takes the reply of its key through an equi join on the hash.
+    Identical prompts -- repeated topics, re-runs -- are billed once: all rows
+    of a key carry the ``call_id`` of the request that was sent.
     """
     keyed = requests.withColumn("payload_sha", F.sha2(F.col("payload"), 256))
+    columns = ["payload_sha", *(completer.needs or requests.columns)]
     # any row of a key can represent it: the payloads are identical
-    reps = keyed.dropDuplicates(["payload_sha"])
-    resp = completer.complete(reps, stage=stage)
-    replies = resp.select("payload_sha", *[F.col(c) for c in RESPONSE_COLS])
+    resp = completer.complete(keyed.select(*columns).dropDuplicates(["payload_sha"]), stage=stage)
+    replies = resp.select("payload_sha", F.col("request_id").alias("call_id"), *RESPONSE_COLS)
     if not completer.deterministic:
         replies = materialize(replies, f"responses-{stage or 'any'}")
     return keyed.join(replies, "payload_sha", "left").drop("payload_sha")
@@ -367,13 +244,14 @@ def run_stage(
     else:
         resp = completer.complete(req, stage=stage.name)
         if not completer.deterministic:
-            resp = materialize(resp.drop("messages"), f"responses-{stage.name}")
+            resp = materialize(resp.drop("messages", "payload", "system_prompt", "user_prompt"), f"responses-{stage.name}")
     parsed = parse_responses(resp)
     results = stage_results(parsed, stage, keep=keep, threshold_col=threshold_col)
     if not pass_disabled or (overrides is None and enabled is None):
         return results
     known = {"status": F.lit(SKIPPED), "tokens_used": F.lit(0), "latency_ms": F.lit(0.0)}
     known |= {c: F.lit(0) for c in ("prompt_tokens", "completion_tokens", "cached_tokens", "retries")}
+    known |= {c: F.lit(None) for c in ("call_id", "attempt_id", "started_at")} | {"call_failed": F.lit(False)}
     blank = [
         f.name if f.name in off.columns and f.name not in known else known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name)
         for f in results.schema

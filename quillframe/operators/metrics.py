@@ -74,15 +74,17 @@ def run_totals(calls: DataFrame) -> DataFrame:
 def run_duration(calls: DataFrame) -> DataFrame:
     """A4: run duration = last minus first call time, in seconds.
 
-    ``duration_s`` is exact (microseconds / 1e6); ``duration_s_2dp`` rounds half
-    up to 2 decimals in integer arithmetic, so every engine agrees.
+    Calls that know when they ended (``ended_at``, as the ledger's do) count to
+    their end.  ``duration_s`` is exact (microseconds / 1e6); ``duration_s_2dp``
+    rounds half up to 2 decimals in integer arithmetic, so every engine agrees.
     """
-    micros = F.unix_micros(F.max("event_time").cast("timestamp")) - F.unix_micros(
+    end = F.coalesce("ended_at", "event_time") if "ended_at" in calls.columns else F.col("event_time")
+    micros = F.unix_micros(F.max(end).cast("timestamp")) - F.unix_micros(
         F.min("event_time").cast("timestamp")
     )
     return (
         calls.groupBy("run_id")
-        .agg(micros.alias("duration_us"), F.min("event_time").alias("started"), F.max("event_time").alias("ended"))
+        .agg(micros.alias("duration_us"), F.min("event_time").alias("started"), F.max(end).alias("ended"))
         .select(
             "run_id",
             "started",
@@ -142,6 +144,7 @@ def consumption_report(calls: DataFrame) -> DataFrame:
         F.sum("prompt_tokens").cast("bigint").alias("prompt_tokens"),
         F.sum("cached_tokens").cast("bigint").alias("cached_tokens"),
         F.sum(F.col("latency_ms").cast("decimal(18,2)")).alias("total_latency_ms"),
+        F.sum("errors").cast("bigint").alias("errors"),
         F.min(F.struct("event_time", "call_id")).alias("first_use"),
     )
     w = Window.partitionBy("run_id").orderBy(F.col("total_tokens").desc(), F.col("first_use"), F.col("stage"))
@@ -149,7 +152,7 @@ def consumption_report(calls: DataFrame) -> DataFrame:
     ranked = agg.select(
         "*",
         F.row_number().over(w).cast("bigint").alias("report_rank"),
-        *[F.sum(c).over(run).alias(f"run_{c}") for c in ("calls", "total_tokens", "prompt_tokens", "cached_tokens", "total_latency_ms")],
+        *[F.sum(c).over(run).alias(f"run_{c}") for c in ("calls", "total_tokens", "prompt_tokens", "cached_tokens", "total_latency_ms", "errors")],
     )
     stage_row = F.struct(
         F.col("stage").alias("stage"),
@@ -163,6 +166,7 @@ def consumption_report(calls: DataFrame) -> DataFrame:
         _ratio(F.col("total_tokens"), F.col("calls")).alias("tokens_per_call"),
         _ratio(F.col("total_latency_ms").cast("double"), F.col("calls")).alias("avg_latency_ms"),
         _ratio(F.col("cached_tokens"), F.col("prompt_tokens")).alias("cache_hit_rate"),
+        F.col("errors").alias("errors"),
     )
     total_row = F.struct(
         F.lit("TOTAL").alias("stage"),
@@ -178,6 +182,7 @@ def consumption_report(calls: DataFrame) -> DataFrame:
         (F.col("run_cached_tokens").cast("double") / F.greatest(F.col("run_prompt_tokens"), F.lit(1)).cast("double")).alias(
             "cache_hit_rate"
         ),
+        F.col("run_errors").cast("bigint").alias("errors"),
     )
     # the rank-1 row of each run also emits the TOTAL row: one pass, no union
     rows = F.when(F.col("report_rank") == 1, F.array(stage_row, total_row)).otherwise(F.array(stage_row))
@@ -282,11 +287,13 @@ def calendar_consumption(calls: DataFrame) -> DataFrame:
 def cost_by_stage(calls: DataFrame, prices: DataFrame) -> DataFrame:
     """A10: USD cost per (run, stage) from a user-given price list.
 
-    prices(model, input_per_m, output_per_m, cached_per_m) is a per-model
-    dimension (tens of rows), so the join is broadcast; uncached prompt
-    tokens pay the input price, cached ones the cached price.
+    prices(model, input_per_m, output_per_m, cached_per_m) is joined without a
+    hint: AQE broadcasts it if it measures small.  Of a model that is listed
+    twice the highest price counts.  Uncached prompt tokens pay the input
+    price, cached ones the cached price.
     """
-    p = F.broadcast(prices)
+    # the list must name a model once: a second row would count its calls twice
+    p = prices.groupBy("model").agg(*[F.max(c).alias(c) for c in ("input_per_m", "output_per_m", "cached_per_m")])
     priced = calls.join(p, "model", "left").select(
         "run_id",
         "stage",
@@ -303,3 +310,14 @@ def cost_by_stage(calls: DataFrame, prices: DataFrame) -> DataFrame:
         (F.sum("micro_usd").cast("double") / F.lit(1_000_000.0)).alias("cost_usd"),
         F.sum(F.col("unpriced").cast("int")).cast("bigint").alias("unpriced_calls"),
     )
+
+
+def run_statement(calls: DataFrame, prices: DataFrame) -> DataFrame:
+    """A6 + A10 + A4 in one table: per run its report rows (stages and TOTAL) with cost and run duration.
+
+    The three aggregates are joined on (run, stage) and run: a row a stage.
+    """
+    cost = cost_by_stage(calls, prices)
+    total = cost.groupBy("run_id").agg(F.sum("cost_usd").alias("cost_usd"), F.sum("unpriced_calls").alias("unpriced_calls"))
+    every = cost.select("run_id", "stage", "cost_usd", "unpriced_calls").unionByName(total.withColumn("stage", F.lit("TOTAL")))
+    return consumption_report(calls).join(every, ["run_id", "stage"], "left").join(run_duration(calls), "run_id", "left")

@@ -9,7 +9,9 @@ shuffles while it is built.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import os
+from collections.abc import Mapping
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,6 +35,7 @@ class LLMSettings:
     timeout_s: float = 120.0
     max_retries: int = 3
     retry_delay_s: float = 1.0
+    api_key_env: str = ""
 
 
 # Provider presets (name, base_url, auth_style, default model,
@@ -64,6 +67,26 @@ def presets_df(spark: SparkSession, extra: list[tuple] | None = None) -> DataFra
     return spark.createDataFrame(list(rows.values()), PRESET_SCHEMA)
 
 
+def resolved_settings(settings: LLMSettings, presets: list[tuple] | None = None, env: Mapping[str, str] | None = None) -> LLMSettings:
+    """R5 + B3 for the one connection of a job: empty fields filled from the provider's preset.
+
+    An unknown provider takes the default preset; an empty base URL the
+    preset's variable of ``env`` (the driver's environment) before the preset's
+    own.  ``presets`` add or replace presets (U3).  Keys stay in the
+    environment: only their variable's name is kept.
+    """
+    known = {r[0]: r for r in [*PROVIDER_PRESETS, *(presets or [])]}
+    _, base_url, auth_style, model, key_env, url_env = known.get(settings.provider, known[DEFAULT_PROVIDER])
+    env = os.environ if env is None else env
+    return replace(
+        settings,
+        base_url=settings.base_url or env.get(url_env, base_url),
+        model=settings.model or model,
+        auth_style=settings.auth_style or auth_style,
+        api_key_env=settings.api_key_env or key_env,
+    )
+
+
 def resolve_providers(connections: DataFrame, presets: DataFrame) -> DataFrame:
     """R5 + B3: fill empty connection fields from the provider's preset.
 
@@ -215,6 +238,7 @@ def build_requests(
     of the same name unless given in ``slot_cols``.  ``keep`` lists input
     columns carried through to the result (for later stages / completers).
     """
+    settings = resolved_settings(settings)
     slots = {c: F.col(c) for c in inputs.columns}
     slots.update(slot_cols or {})
     user_prompt = stage.user_prompt(slots)
@@ -238,7 +262,7 @@ def build_requests(
         F.lit(stage.system_prompt),
         call_max_tokens=F.lit(stage.call_max_tokens).cast("int") if stage.call_max_tokens else None,
     )
-    model = F.coalesce(F.col("model"), F.lit(settings.model or "default"))
+    model = F.col("model")
     msgs = assemble_messages(F.col("system_prompt"), F.col("user_prompt"))
     return base.select(
         F.sha2(

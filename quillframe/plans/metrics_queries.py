@@ -84,7 +84,7 @@ def run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
          CAST(sum(prompt_tokens + completion_tokens) AS BIGINT) AS total_tokens,
          CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens,
          CAST(sum(cached_tokens) AS BIGINT) AS cached_tokens,
-         sum(latency_ms) AS total_latency_ms,
+         sum(latency_ms) AS total_latency_ms, CAST(sum(errors) AS BIGINT) AS errors,
          min(event_time) AS first_time, arg_min(call_id, event_time) AS first_call
   FROM calls GROUP BY run_id, stage)
 SELECT run_id, stage, false AS is_total,
@@ -93,7 +93,7 @@ SELECT run_id, stage, false AS is_total,
        CAST(total_latency_ms AS DOUBLE) AS total_latency_ms,
        CAST(total_tokens AS DOUBLE) / CAST(calls AS DOUBLE) AS tokens_per_call,
        CAST(total_latency_ms AS DOUBLE) / CAST(calls AS DOUBLE) AS avg_latency_ms,
-       CASE WHEN prompt_tokens = 0 THEN 0.0 ELSE CAST(cached_tokens AS DOUBLE) / CAST(prompt_tokens AS DOUBLE) END AS cache_hit_rate
+       CASE WHEN prompt_tokens = 0 THEN 0.0 ELSE CAST(cached_tokens AS DOUBLE) / CAST(prompt_tokens AS DOUBLE) END AS cache_hit_rate, errors
 FROM agg
 UNION ALL
 SELECT run_id, 'TOTAL', true, CAST(NULL AS BIGINT),
@@ -101,7 +101,7 @@ SELECT run_id, 'TOTAL', true, CAST(NULL AS BIGINT),
        CAST(sum(cached_tokens) AS BIGINT), CAST(sum(total_latency_ms) AS DOUBLE),
        CAST(sum(total_tokens) AS DOUBLE) / CAST(sum(calls) AS DOUBLE),
        CAST(sum(total_latency_ms) AS DOUBLE) / CAST(sum(calls) AS DOUBLE),
-       CAST(sum(cached_tokens) AS DOUBLE) / CAST(greatest(sum(prompt_tokens), 1) AS DOUBLE)
+       CAST(sum(cached_tokens) AS DOUBLE) / CAST(greatest(sum(prompt_tokens), 1) AS DOUBLE), CAST(sum(errors) AS BIGINT)
 FROM agg GROUP BY run_id
 """
     ),

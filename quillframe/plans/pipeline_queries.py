@@ -19,6 +19,7 @@ from quillframe.operators import stages as S
 from quillframe.plans import workflow as W
 from quillframe.plans.registry import query
 from quillframe.plans.simulated import ExpressionCompleter
+from quillframe.session import scratch_path
 from quillframe.plans.text_queries import SQL_MARKDOWN, SQL_TITLE, doc_markdown, doc_title, sql_markdown_to_html
 from quillframe.sources.tables import table
 
@@ -413,7 +414,6 @@ def _article_summary_sql() -> str:
             f"WHEN doc_id % 17 = 0 THEN '{{\"overall_score\": true}}' ELSE {full} END)"
         )
 
-    failed_q = "(doc_id % 19 = 0 OR doc_id % 11 = 0)"
     calls = [
         (ptoks("research", {"topic": t}), toks(research), "true"),
         (ptoks("outline", {"target_words": "'2000'", "research_data": research}), toks(outline), "true"),
@@ -423,7 +423,8 @@ def _article_summary_sql() -> str:
     for i in (1, 2, 3):
         edited = draft(i + 1)
         calls.append((ptoks("editor", {"target_reading_level": "'general'", "seo_recommendations": seo, "content": draft(i)}), toks(edited), "true"))
-        calls.append((ptoks("quality", {"title": t, "threshold_pct": "'80.0'", "content": edited}), toks(quality_reply(i)), f"NOT {failed_q}"))
+        # a reply that the stage can't use was billed all the same
+        calls.append((ptoks("quality", {"title": t, "threshold_pct": "'80.0'", "content": edited}), toks(quality_reply(i)), "true"))
     article = draft(4)
     pub = "('{\"formats\":{\"social_twitter\":\"' || title || '\"},\"metadata\":{\"title\":\"' || title || '\"}}')"
     targets = "CASE WHEN doc_id % 3 = 0 THEN 'markdown, html, text' WHEN doc_id % 3 = 1 THEN 'html' ELSE 'markdown' END"
@@ -434,7 +435,7 @@ def _article_summary_sql() -> str:
     tr_c = toks(f"('[' || l || '] ' || {article})")
     return f"""WITH d AS (
   SELECT doc_id, source, text, lang, n_chars, {SQL_TITLE} AS title,
-         CASE WHEN lang = 'en' THEN ['ms', 'zh'] WHEN lang = 'fr' THEN ['en'] WHEN lang = 'es' THEN ['ja', 'ko'] ELSE [] END AS langs
+         CASE WHEN lang = 'en' THEN ['zh', 'ms'] WHEN lang = 'fr' THEN ['en'] WHEN lang = 'es' THEN ['ja', 'ko'] ELSE [] END AS langs
   FROM documents),
 b AS (SELECT *, {tokens} AS tok, {latency} AS lat FROM d),
 tr AS (SELECT doc_id, sum({tr_tokens} + {tr_c}) AS tok, sum(100 + {tr_c}) AS lat, count(*) AS n
@@ -448,7 +449,7 @@ SELECT source AS run_id, doc_id AS topic_id, 'success' AS status,
          || ',publisher' AS agents_run,
        CAST(length({article}) AS BIGINT) AS article_length,
        CAST(len(regexp_extract_all(text, '[^{T.WS}]+')) + 6 AS BIGINT) AS word_count,
-       array_to_string(langs, ',') AS translations
+       array_to_string(list_sort(langs), ',') AS translations
 FROM s"""
 
 
@@ -468,7 +469,7 @@ def _stage_switches_sql() -> str:
     once = " + ".join(f"CAST({on[n]} AS INTEGER)" for n in names if n not in ("editor", "quality", "translator"))
     return f"""WITH d AS (
   SELECT doc_id, source, text, lang, doc_id % {len(names) + 1} AS k,
-         CASE WHEN lang = 'en' THEN ['ms', 'zh'] WHEN lang = 'fr' THEN ['en'] WHEN lang = 'es' THEN ['ja', 'ko'] ELSE [] END AS langs
+         CASE WHEN lang = 'en' THEN ['zh', 'ms'] WHEN lang = 'fr' THEN ['en'] WHEN lang = 'es' THEN ['ja', 'ko'] ELSE [] END AS langs
   FROM documents),
 s AS (SELECT *, CASE WHEN {on['writer']} THEN text ELSE '' END AS draft, CASE WHEN {on['quality']} THEN 3 ELSE 1 END AS r,
              CASE WHEN {on['translator']} THEN langs ELSE [] END AS ls FROM d),
@@ -493,3 +494,106 @@ def stage_switches(spark: SparkSession, sf_dir: str) -> DataFrame:
         "run_id", "topic_id", "status", "total_calls", F.array_join("agents_run", ",").alias("agents_run"),
         F.length("article").cast("bigint").alias("article_length"), F.md5("article").alias("article_md5"),
     )
+
+
+# ------------------------------------------------------------------- ledger
+
+#: Stages of the ledger query; the others are off.
+LEDGER_STAGES = ("research", "outline", "quality")
+#: Prices per million tokens of the ledger query: (model, input, output, cached).  The second model has none.
+LEDGER_MODELS = ("model-p", "model-q")
+LEDGER_PRICE = (2, 6, 1)
+
+
+def ledger_completer() -> ExpressionCompleter:
+    """The scripted replies, with failing calls and a start time for every call:
+    the article's minute, plus a second a stage and ten a round."""
+    base = doc_completer()
+    errors = {
+        "research": lambda col: F.when(col("topic_id") % 23 == 0, F.lit("connection refused")),
+        "quality": lambda col: F.when((col("topic_id") % 29 == 0) & (col("iteration") == 1), F.lit("HTTP 503")),
+    }
+    places = {n: i for i, n in enumerate(S.STAGE_ORDER)}
+    place = lambda col: F.get(F.array(*[F.lit(places[n]) for n in S.STAGE_ORDER]), F.array_position(F.array(*[F.lit(n) for n in S.STAGE_ORDER]), col("stage")).cast("int") - 1)
+    clock = lambda col: F.timestamp_seconds(F.lit(1704067200) + 60 * col("topic_id") + place(col) + 10 * col("iteration"))
+    return ExpressionCompleter(replies=base.replies, errors=errors, clock=clock)
+
+
+def _sql_text(stage: str, slots: dict[str, str]) -> str:
+    from quillframe.plans.request_queries import _sql_lit
+
+    st = S.get_stage(stage)
+    return f"(length({_sql_lit(st.system_prompt)}) + length({st.template.sql(slots)}))"
+
+
+def _ledger_sql() -> str:
+    """The tracker's rule over the calls that the chain makes: a call that failed
+    counts an error and no tokens, any other its usage, whatever the stage made of it."""
+    research = "('Research notes: ' || title || '. Key statistics and an expert quote follow.')"
+    outline = "('# ' || title || chr(10) || '## Background' || chr(10) || '## Findings' || chr(10) || '## Outlook')"
+    score = "(40 + n_chars % 20 + 10 * i)"
+    dims = " || ',' || ".join(f"'\"{d}\":{{\"score\":' || CAST((n_chars + {13 * k}) % 101 AS VARCHAR) || ',\"notes\":\"{d} note\"}}'" for k, d in enumerate(DIMENSIONS))
+    reply = (
+        f"(CASE WHEN doc_id % 19 = 0 THEN '' WHEN doc_id % 11 = 0 THEN '{{\"overall_score\":\"' || CAST({score} AS VARCHAR) || '\"}}' "
+        f"WHEN doc_id % 13 = 0 THEN '```json' || chr(10) || '{{\"overall_score\":' || CAST({score} AS VARCHAR) || '}}' || chr(10) || '```' "
+        "WHEN doc_id % 17 = 0 THEN '{\"overall_score\": true}' ELSE "
+        f"'{{\"overall_score\":' || CAST({score} AS VARCHAR) || ',\"pass_threshold\":' || CASE WHEN {score} >= 80 THEN 'true' ELSE 'false' END"
+        f" || ',\"dimensions\":{{' || {dims} || '}},\"factual_issues\":[' || "
+        "array_to_string(list_transform(range(n_chars % 3), lambda x: '\"issue\"'), ',') || '],\"strengths\":[\"clear\"]}' END)"
+    )
+
+    def call(stage: str, i: str, slots: dict, said: str, failed: str, source: str) -> str:
+        k = S.STAGE_ORDER.index(stage)
+        p, c = f"(({_sql_text(stage, slots)} + 3) // 4)", f"((length({said}) + 3) // 4)"
+        return (
+            f"SELECT source AS run_id, doc_id, '{stage}' AS stage, 60 * doc_id + {k} + 10 * {i} AS begun, "
+            f"CASE WHEN {failed} THEN 0 ELSE {p} END AS p, CASE WHEN {failed} THEN 0 ELSE {c} END AS c, "
+            f"CASE WHEN {failed} OR {i} = 1 THEN 0 ELSE {p} // 2 END AS k, 100 + {c} AS lat, CAST({failed} AS INTEGER) AS err, "
+            f"CASE WHEN '{stage}' = 'quality' THEN '{LEDGER_MODELS[1]}' ELSE '{LEDGER_MODELS[0]}' END AS model FROM {source}"
+        )
+
+    # a review that failed has no score: the loop goes on, to three rounds in all as no score reaches 80 before
+    calls = "\nUNION ALL\n".join([
+        call("research", "1", {"topic": "title"}, research, "doc_id % 23 = 0", "d"),
+        call("outline", "1", {"target_words": "'2000'", "research_data": research}, outline, "false", "(SELECT * FROM d WHERE doc_id % 23 <> 0)"),
+        call("quality", "i", {"title": "title", "threshold_pct": "'80.0'", "content": "''"}, reply, "(doc_id % 29 = 0 AND i = 1)",
+             "(SELECT *, unnest([1, 2, 3]) AS i FROM d WHERE doc_id % 23 <> 0)"),
+    ])
+    inp, out, cached = LEDGER_PRICE
+    return f"""WITH d AS (SELECT doc_id, source, n_chars, {SQL_TITLE} AS title FROM documents),
+c AS ({calls}),
+r AS (SELECT run_id, (max(begun * 1000000 + lat * 1000) - min(begun * 1000000)) AS us FROM c GROUP BY run_id),
+s AS (SELECT run_id, stage, count(*) AS calls, sum(p + c) AS total_tokens, sum(p) AS p, sum(k) AS k, sum(lat) AS lat, sum(err) AS errors, min(begun * 1000000) AS first_at,
+             sum(CASE WHEN model = '{LEDGER_MODELS[0]}' THEN (p - k) * {inp} + k * {cached} + c * {out} END) AS micro, count(*) FILTER (WHERE model <> '{LEDGER_MODELS[0]}') AS unpriced
+      FROM c GROUP BY run_id, stage),
+report AS (
+  SELECT run_id, stage, row_number() OVER (PARTITION BY run_id ORDER BY total_tokens DESC, first_at, stage) AS report_rank, calls, total_tokens, errors,
+         CAST(lat AS DOUBLE) / calls AS avg_latency_ms, CASE WHEN p = 0 THEN 0.0 ELSE CAST(k AS DOUBLE) / p END AS cache_hit_rate, micro, unpriced FROM s
+  UNION ALL
+  SELECT run_id, 'TOTAL', NULL, sum(calls), sum(total_tokens), sum(errors), CAST(sum(lat) AS DOUBLE) / sum(calls), CAST(sum(k) AS DOUBLE) / greatest(sum(p), 1), sum(micro), sum(unpriced)
+  FROM s GROUP BY run_id)
+SELECT run_id, stage, CAST(report_rank AS BIGINT) AS report_rank, CAST(calls AS BIGINT) AS calls, CAST(total_tokens AS BIGINT) AS total_tokens, CAST(errors AS BIGINT) AS errors,
+       avg_latency_ms, cache_hit_rate, CAST(micro AS DOUBLE) / 1000000.0 AS cost_usd, CAST(unpriced AS BIGINT) AS unpriced_calls,
+       CAST((us + 5000) // 10000 AS DOUBLE) / 100.0 AS duration_s_2dp
+FROM report JOIN r USING (run_id)"""
+
+
+@query("run_ledger", _ledger_sql())
+def run_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I5 + A1 + A4 + A6 + A10 on the engine's own calls: the chain runs over
+    every document with failing calls and unusable replies, its calls go to a
+    ledger twice (a job that was repeated), and the report, the cost and the
+    duration of every run are read back from there."""
+    from quillframe.operators import ledger, metrics, requests
+
+    off = [n for n in S.STAGE_ORDER if n not in LEDGER_STAGES]
+    t = _doc_topics(spark, sf_dir).withColumn("disabled_stages", F.array(*[F.lit(n) for n in off]))
+    models = spark.createDataFrame([(0, "quality", True, LEDGER_MODELS[1], None, None, None)], requests.OVERRIDE_SCHEMA)
+    path = scratch_path(spark, "ledger")
+    run = W.run_pipeline(t, ledger_completer(), requests.LLMSettings(model=LEDGER_MODELS[0]), models, keep=["n_chars", "quality"], metrics_path=path)
+    ledger.append(run.calls, path)
+    calls = W.cut(ledger.read(spark, path), "ledger-calls")
+    prices = spark.createDataFrame([(LEDGER_MODELS[0], *LEDGER_PRICE)], "model string, input_per_m int, output_per_m int, cached_per_m int")
+    return metrics.run_statement(calls, prices).select(
+        "run_id", "stage", "report_rank", "calls", "total_tokens", "errors", "avg_latency_ms", "cache_hit_rate", "cost_usd", "unpriced_calls", "duration_s_2dp"
+    )

@@ -15,12 +15,12 @@ from quillframe.plans.registry import query
 from quillframe.plans.text_queries import SQL_TITLE, doc_title
 from quillframe.sources.tables import table
 
-SETTINGS = Q.LLMSettings()
+SETTINGS = Q.resolved_settings(Q.LLMSettings(), env={})
 
 
 def _payload_sql(messages_sql: str) -> str:
     return (
-        f"CAST(to_json({{'model': 'default', 'messages': {messages_sql}, 'max_tokens': 4096, "
+        f"CAST(to_json({{'model': '{SETTINGS.model}', 'messages': {messages_sql}, 'max_tokens': 4096, "
         "'temperature': CAST(0.7 AS DOUBLE), 'top_p': CAST(0.9 AS DOUBLE), 'stream': false}) AS VARCHAR)"
     )
 
@@ -68,7 +68,7 @@ def payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = Q.messages_from_turns(table(spark, sf_dir, "conversations"))
     return m.select(
         "conv_id",
-        Q.payload_json(F.lit("default"), F.col("messages"), F.lit(SETTINGS.max_tokens), F.lit(SETTINGS.temperature), F.lit(SETTINGS.top_p)).alias(
+        Q.payload_json(F.lit(SETTINGS.model), F.col("messages"), F.lit(SETTINGS.max_tokens), F.lit(SETTINGS.temperature), F.lit(SETTINGS.top_p)).alias(
             "payload"
         ),
     )
@@ -145,7 +145,7 @@ def _params_sql() -> str:
         sysp = _sql_lit(st.system_prompt)
         parts.append(
             f"""SELECT doc_id, '{name}' AS stage,
-       coalesce(nullif(o.model_override, ''), 'default') AS model,
+       coalesce(nullif(o.model_override, ''), '{SETTINGS.model}') AS model,
        CAST(coalesce(nullif(o.temperature_override, 0.0), 0.7) AS DOUBLE) AS temperature,
        CAST(coalesce({call_max}, nullif(o.max_tokens_override, 0), 4096) AS INTEGER) AS max_tokens,
        coalesce(o.enabled, true) AS stage_enabled,

@@ -61,10 +61,12 @@ class ExpressionCompleter(Completer):
     stages without an entry echo the last 200 characters of the user prompt.
     ``errors`` optionally maps a stage to ``fn(row) -> error Column`` (null =
     success) to script failures.  Usage is ceil(chars/4) for prompt and reply.
+    ``clock`` gives the time at which a request's call starts (default: now).
     """
 
     replies: Mapping[str, Callable[[Callable[[str], Column]], Column]] = field(default_factory=dict)
     errors: Mapping[str, Callable[[Callable[[str], Column]], Column]] = field(default_factory=dict)
+    clock: Callable[[Callable[[str], Column]], Column] | None = None
     deterministic: bool = True
 
     def complete(self, requests: DataFrame, stage: str | None = None) -> DataFrame:
@@ -97,6 +99,8 @@ class ExpressionCompleter(Completer):
             (F.lit(100.0) + c_tok.cast("double")).alias("latency_ms"),
             error.alias("error"),
             F.lit(0).alias("retries"),
+            F.lit("1").alias("attempt_id"),
+            (self.clock(col) if self.clock else F.current_timestamp()).alias("started_at"),
         )
 
 

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from quillframe.functions import text as T
 from quillframe.operators import inference as I
+from quillframe.operators import ledger as L
 from quillframe.operators import requests as Q
 from quillframe.operators import stages as S
 from quillframe.session import ensure_checkpoint_dir
@@ -43,6 +44,7 @@ TOPIC_DEFAULTS = {
 LIST_DEFAULTS = {"target_languages": ("zh", "ms"), "publish_targets": ("markdown",)}
 
 RESULT_UNION_COLS = [
+    "request_id",
     "run_id",
     "topic_id",
     "stage",
@@ -53,11 +55,17 @@ RESULT_UNION_COLS = [
     "tokens_used",
     "latency_ms",
     "error",
+    "reasoning",
     "metadata",
     "prompt_tokens",
     "completion_tokens",
     "cached_tokens",
     "retries",
+    "call_id",
+    "attempt_id",
+    "model",
+    "started_at",
+    "call_failed",
 ]
 
 
@@ -97,7 +105,7 @@ def cut(df: DataFrame, name: str = "round") -> DataFrame:
 class PipelineRun:
     results: DataFrame  # every stage call's result row (W5 history included)
     articles: DataFrame  # W8: one row per (run_id, topic_id)
-    calls: DataFrame  # A1 input: one row per model call
+    calls: DataFrame  # A1 input: the ledger of the run, one row per billed attempt
 
     def summary(self) -> DataFrame:
         return article_summary(self.articles)
@@ -175,7 +183,7 @@ def refine_loop(
         )
         if checkpoint_rounds:
             q = cut(q, f"quality-{i}")
-        rounds += [sent(ed), sent(q)]
+        rounds += [ed, q]
         passed = F.coalesce(F.col("metadata.passes_threshold"), F.lit(False))
         unjudged = F.col("status") == I.SKIPPED  # nothing can pass or fail the gate: one edit is final
         over = passed | unjudged | (F.col("max_iterations") <= i)
@@ -208,11 +216,12 @@ def translate(
     """One translator call per (article, distinct target language).
 
     ``articles`` carries article, language, target_languages and
-    enable_translation.  Result rows have variant = target language.
+    enable_translation.  Result rows have variant = target language and
+    iteration = the call's place among the article's translations.
     """
     keep = list(dict.fromkeys((keep or []) + ["article"]))
-    tr_in = articles.where(F.coalesce(F.col("enable_translation"), F.lit(False))).withColumn(
-        "target_language", F.explode(F.array_distinct("target_languages"))
+    tr_in = articles.where(F.coalesce(F.col("enable_translation"), F.lit(False))).select(
+        "*", F.posexplode(F.array_distinct("target_languages")).alias("_place", "target_language")
     )
     switches = "disabled_stages" in articles.columns
     if switches:
@@ -222,7 +231,8 @@ def translate(
         tr_in, S.TRANSLATOR, completer, settings, overrides,
         slot_cols={"content": F.col("article"), "source_language": F.col("language"),
                    "target_language": F.col("target_language"), "keywords_note": note},
-        variant=F.col("target_language"), keep=keep + ["target_language"], enabled=_on("translator", switches),
+        iteration=F.col("_place") + 1, variant=F.col("target_language"), keep=keep + ["target_language"],
+        enabled=_on("translator", switches),
     )
 
 
@@ -255,6 +265,7 @@ def run_pipeline(
     keep: list[str] | None = None,
     strict: bool = False,
     materialize_stages: bool = True,
+    metrics_path: str | None = None,
 ) -> PipelineRun:
     """Research -> outline -> writer -> seo -> (editor -> quality)* ->
     translator -> publisher over every topic row.
@@ -263,7 +274,9 @@ def run_pipeline(
     may read them).  ``strict`` turns W3 soft failures into failed articles.
     With ``materialize_stages`` each stage's results are written once (parquet
     in the checkpoint folder) so the chain is never recomputed by the loop,
-    the fan-outs and the final assembly.
+    the fan-outs and the final assembly.  With ``metrics_path`` the run's calls
+    are appended to the ledger there, failed calls and articles included, and
+    the articles name that path.
     """
     t = normalize_topics(topics, run_id)
     cfg = ["topic", "target_word_count", "language", "quality_threshold", "max_iterations",
@@ -302,105 +315,118 @@ def run_pipeline(
 
     translator = translate(final, completer, settings, overrides, keep=cfg)
     publisher = publish(final, completer, settings, overrides, keep=cfg)
-    results = _union([sent(research), sent(outline), sent(writer), sent(seo), *rounds, translator, publisher])
-    articles = assemble(results, final, t, strict=strict)
-    calls = I.calls_from_results(results.withColumn("latency_ms", F.col("latency_ms")))
+    every = _union([research, outline, writer, seo, *rounds, translator, publisher])
+    if materialize_stages:
+        every = stage_out(every, "results")
+    results = sent(every)
+    calls = L.ledger_rows(results)
+    if metrics_path:
+        L.append(calls, metrics_path)
+    articles = assemble(every, final, t, strict=strict).withColumn("metrics_path", F.lit(metrics_path).cast("string"))
     return PipelineRun(results=results, articles=articles, calls=calls)
 
 
 def assemble(results: DataFrame, final: DataFrame, topics: DataFrame, strict: bool = False) -> DataFrame:
-    """W8 + W5 + W2/W3/W11: one row per (run_id, topic_id).
-
-    One groupBy, no join: the article's stage rows and its final text are
-    collected together (bounded: stages x rounds + languages), sorted by
-    pipeline order, and reduced to the last row per stage key (translator
-    keys are ``translator_<lang>``).
+    """W8 + W5 + W2/W3/W11: one row per (run_id, topic_id) of ``topics``.
+
+    One groupBy, no join: the article's stage rows, its final text and the
+    topic itself are collected together (bounded: stages x rounds +
+    languages), sorted by pipeline order, and reduced to the last row per stage
+    key (translator keys are ``translator_<lang>``, in the order of the calls).
+    A topic whose rows were lost is there all the same, and failed: a stage
+    without a row is excused only if a ``skipped`` row says that it was off,
+    or an earlier stage has failed already.
     """
     key = F.when(F.col("stage") == "translator", F.concat(F.lit("translator_"), F.col("variant"))).otherwise(F.col("stage"))
+    no_meta = F.lit(None).cast(S.METADATA_TYPE)
 
-    def item(ord_: Column, k: Column, it: Column, stage: Column, variant: Column, status: Column, content: Column,
-             tokens: Column, latency: Column, error: Column) -> Column:
-        return F.struct(ord_.alias("ord"), k.alias("key"), it.cast("int").alias("iteration"), stage.alias("stage"),
+    def item(ord_: Column, it: Column, k: Column, stage: Column, variant: Column, status: Column, content: Column,
+             tokens: Column, latency: Column, error: Column, reasoning: Column, metadata: Column) -> Column:
+        return F.struct(ord_.alias("ord"), it.cast("int").alias("iteration"), k.alias("key"), stage.alias("stage"),
                         variant.alias("variant"), status.alias("status"), content.alias("content"),
                         tokens.cast("bigint").alias("tokens_used"), latency.cast("double").alias("latency_ms"),
-                        error.cast("string").alias("error"))
+                        error.cast("string").alias("error"), reasoning.cast("string").alias("reasoning"), metadata.alias("metadata"))
 
+    made = F.col("status") != I.SKIPPED
+    billed = made & (F.col("call_id") == F.col("request_id"))  # a shared reply is one call, of the request that was sent
     rows = results.select(
         "run_id",
         "topic_id",
-        # writer and editor texts are not assembly outputs (the final article
-        # travels as its own item), so they are not shuffled
-        item(S.stage_order_index(F.col("stage")), key, F.col("iteration"), F.col("stage"), F.col("variant"), F.col("status"),
-             F.when(F.col("stage").isin("writer", "editor"), F.lit(None).cast("string")).otherwise(F.col("content")),
-             F.col("tokens_used"), F.col("latency_ms"), F.col("error")).alias("r"),
-        (F.col("prompt_tokens") + F.col("completion_tokens")).alias("tok"),
-        F.col("latency_ms").cast("decimal(18,2)").alias("lat"),
+        # the last editor's text is the article, which travels once, as its own item
+        item(S.stage_order_index(F.col("stage")), F.col("iteration"), key, F.col("stage"), F.col("variant"), F.col("status"),
+             F.when(F.col("stage") == "editor", F.lit(None).cast("string")).otherwise(F.col("content")),
+             F.col("tokens_used"), F.col("latency_ms"), F.col("error"), F.col("reasoning"), F.col("metadata")).alias("r"),
+        F.when(billed, F.col("prompt_tokens") + F.col("completion_tokens")).otherwise(F.lit(0)).alias("tok"),
+        F.when(billed, F.col("latency_ms").cast("decimal(18,2)")).alias("lat"),
+        F.when(billed, 1).alias("call"),
     )
-    # the final article travels as one extra item of the same group (no join)
-    art = final.select(
-        "run_id",
-        "topic_id",
-        item(F.lit(0), F.lit("_article"), F.lit(0), F.lit("_article"), F.lit(""), F.lit("success"), F.col("article"),
-             F.lit(0), F.lit(0.0), F.lit(None)).alias("r"),
-        F.lit(0).cast("bigint").alias("tok"),
-        F.lit(None).cast("decimal(18,2)").alias("lat"),
-    )
-    per = rows.unionByName(art).groupBy("run_id", "topic_id").agg(
+
+    def extra(df: DataFrame, name: str, content: Column) -> DataFrame:
+        none = F.lit(None)
+        return df.select(
+            "run_id", "topic_id",
+            item(F.lit(0), F.lit(0), F.lit(name), F.lit(name), F.lit(""), F.lit("success"), content, F.lit(0), F.lit(0.0), none, none, no_meta).alias("r"),
+            F.lit(0).cast("bigint").alias("tok"), none.cast("decimal(18,2)").alias("lat"), none.cast("int").alias("call"),
+        )
+
+    # the final article and the topic travel as further items of the same group (no join)
+    art = extra(final, "_article", F.col("article"))
+    asked = extra(topics, "_topic", F.lit(None).cast("string"))
+    per = rows.unionByName(art).unionByName(asked).groupBy("run_id", "topic_id").agg(
         F.array_sort(F.collect_list("r")).alias("rs"),
         F.sum("tok").cast("bigint").alias("total_tokens"),
         F.sum("lat").alias("lat_ms"),
-        F.count(F.when(F.col("r.stage") != "_article", 1)).alias("total_calls"),
-    )
-    last = F.filter(
-        "rs",
-        lambda x: (x["key"] != "_article")
-        & ~F.exists("rs", lambda y: (y["key"] == x["key"]) & (y["iteration"] > x["iteration"])),
+        F.count("call").alias("total_calls"),
     )
+    staged = F.filter("rs", lambda x: ~x["key"].startswith("_"))
+    last = F.filter(staged, lambda x: ~F.exists("rs", lambda y: (y["key"] == x["key"]) & (y["iteration"] > x["iteration"])))
     article = F.try_element_at(F.filter("rs", lambda x: x["key"] == "_article"), F.lit(1))["content"]
+    per = per.select("*", last.alias("last"), article.alias("_article"))
+    ran = F.filter("last", lambda x: x["status"] != I.SKIPPED)
+
+    def text_of(x: Column) -> Column:
+        return F.when((x["stage"] == "editor") & (x["status"] == "success"), F.col("_article")).otherwise(F.coalesce(x["content"], F.lit("")))
 
     def content_of(stage: str) -> Column:
-        return F.coalesce(F.try_element_at(F.filter(last, lambda x: x["key"] == stage), F.lit(1))["content"], F.lit(""))
+        return F.coalesce(F.try_element_at(F.filter(ran, lambda x: x["key"] == stage), F.lit(1))["content"], F.lit(""))
 
-    def status_of(stage: str) -> Column:
-        return F.try_element_at(F.filter(last, lambda x: x["key"] == stage), F.lit(1))["status"]
+    def broken(stage: str) -> Column:
+        """No row, or a failed one."""
+        status = F.try_element_at(F.filter("last", lambda x: x["key"] == stage), F.lit(1))["status"]
+        return F.coalesce(status, F.lit("lost")).isin("lost", "failed")
 
-    tr = F.filter(last, lambda x: x["stage"] == "translator")
-    out = per.select(
+    tr = F.filter(ran, lambda x: x["stage"] == "translator")
+    return per.select(
         "run_id",
         "topic_id",
-        F.when(
-            # no row: the stage was switched off, or the failed research already decides
-            (F.coalesce(status_of("research"), F.lit("success")) != "success")
-            | (F.coalesce(status_of("outline"), F.lit("success")) != "success"),
-            F.lit("failed"),
-        )
-        .when(F.lit(strict) & F.exists(last, lambda x: x["status"] != "success"), F.lit("failed"))
+        F.when(broken("research") | broken("outline"), F.lit("failed"))
+        .when(F.lit(strict) & F.exists(ran, lambda x: x["status"] != "success"), F.lit("failed"))
+        .when(F.col("_article").isNull(), F.lit("failed"))
         .otherwise(F.lit("success"))
         .alias("status"),
-        F.coalesce(article, F.lit("")).alias("article"),
+        F.coalesce(F.col("_article"), F.lit("")).alias("article"),
         content_of("research").alias("research"),
         content_of("outline").alias("outline"),
         content_of("seo").alias("seo_analysis"),
         content_of("quality").alias("quality_report"),
         content_of("publisher").alias("publisher_output"),
         F.map_from_entries(F.transform(tr, lambda x: F.struct(x["variant"], x["content"]))).alias("translations"),
-        F.transform(last, lambda x: x["key"]).alias("agents_run"),
+        F.transform(ran, lambda x: x["key"]).alias("agents_run"),
         F.map_from_entries(
             F.transform(
-                last,
+                ran,
                 lambda x: F.struct(
                     x["key"],
-                    F.struct(x["status"].alias("status"), x["tokens_used"].alias("tokens_used"),
-                             x["latency_ms"].alias("latency_ms"), x["error"].alias("error"),
-                             x["iteration"].alias("iteration")),
+                    F.struct(x["status"].alias("status"), text_of(x).alias("content"), x["tokens_used"].alias("tokens_used"),
+                             x["latency_ms"].alias("latency_ms"), x["error"].alias("error"), x["iteration"].alias("iteration"),
+                             x["reasoning"].alias("reasoning"), x["metadata"].alias("metadata")),
                 ),
             )
         ).alias("agent_results"),
         "total_tokens",
         "total_calls",
-        (F.col("lat_ms").cast("double") / F.lit(1000.0)).alias("pipeline_duration_s"),
+        (F.coalesce(F.col("lat_ms"), F.lit(0)).cast("double") / F.lit(1000.0)).alias("pipeline_duration_s"),
     )
-    return out
 
 
 def article_summary(articles: DataFrame) -> DataFrame:
@@ -416,4 +442,5 @@ def article_summary(articles: DataFrame) -> DataFrame:
         F.length("article").cast("bigint").alias("article_length"),
         T.ws_word_count("article").alias("word_count"),
         F.array_sort(F.map_keys("translations")).alias("translations"),
+        "metrics_path",
     )

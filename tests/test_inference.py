@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillframe.operators import inference as I
+from quillframe.operators.http_completion import HttpCompleter
 from quillframe.operators import requests as Q
 from quillframe.operators import stages as S
 from quillframe.plans import workflow as W
@@ -75,7 +76,7 @@ def test_pipeline_end_to_end(spark):
     arts = {r.topic_id: r for r in run.articles.collect()}
     a = arts[1]
     assert a.status == "success"
-    assert a.agents_run == ["research", "outline", "writer", "seo", "editor", "quality", "translator_ms", "translator_zh", "publisher"]
+    assert a.agents_run == ["research", "outline", "writer", "seo", "editor", "quality", "translator_zh", "translator_ms", "publisher"]
     assert sorted(a.translations) == ["ms", "zh"] and a.total_calls == 9
     assert arts[2].agents_run == ["research", "outline", "writer", "seo", "editor", "quality", "publisher"]
     s = {r.topic_id: r for r in run.summary().collect()}
@@ -122,7 +123,7 @@ def test_topic_switches_and_null_lists(spark):
         "topic_id bigint, topic string, enable_translation boolean, target_languages array<string>, seo_enabled boolean, disabled_stages array<string>",
     )
     arts = {r.topic_id: r for r in W.run_pipeline(t, c).articles.collect()}
-    assert arts[1].agents_run == ["research", "outline", "writer", "editor", "quality", "translator_ms", "translator_zh", "publisher"]
+    assert arts[1].agents_run == ["research", "outline", "writer", "editor", "quality", "translator_zh", "translator_ms", "publisher"]
     assert arts[2].agents_run == ["research", "outline", "writer", "seo", "editor", "quality"]
     assert arts[1].run_id == arts[2].run_id != W.normalize_topics(t).first().run_id
 
@@ -152,24 +153,24 @@ class Script:
 
 def test_http_retries_then_success():
     t = Script([(503, b"busy"), TimeoutError("slow"), (200, _ok_body())])
-    c = I.HttpCompleter(base_url="http://x/v1", transport=t, sleep=lambda s: None)
+    c = HttpCompleter(base_url="http://x/v1", transport=t, sleep=lambda s: None)
     raw, _, err, retries = c.call_one('{"model":"m"}')
     assert err is None and retries == 2 and json.loads(raw)["usage"]["total_tokens"] == 7 and t.calls == 3
 
 
 def test_http_no_retry_on_client_error_and_bad_json():
     t = Script([(400, b"bad request")])
-    c = I.HttpCompleter(base_url="http://x/v1", transport=t, sleep=lambda s: None)
+    c = HttpCompleter(base_url="http://x/v1", transport=t, sleep=lambda s: None)
     raw, _, err, retries = c.call_one("{}")
     assert raw is None and err.startswith("HTTP 400") and retries == 0 and t.calls == 1
     t2 = Script([(200, b"not json")])
-    raw, _, err, _ = I.HttpCompleter(base_url="http://x", transport=t2, sleep=lambda s: None).call_one("{}")
+    raw, _, err, _ = HttpCompleter(base_url="http://x", transport=t2, sleep=lambda s: None).call_one("{}")
     assert raw is None and err == "invalid JSON response"
 
 
 def test_http_gives_up_after_max_retries():
     t = Script([(500, b"x")] * 3)
-    raw, _, err, retries = I.HttpCompleter(base_url="http://x", transport=t, sleep=lambda s: None, max_retries=3).call_one("{}")
+    raw, _, err, retries = HttpCompleter(base_url="http://x", transport=t, sleep=lambda s: None, max_retries=3).call_one("{}")
     assert raw is None and retries == 2 and t.calls == 3
 
 
@@ -182,7 +183,7 @@ def fake_transport(url, body, headers, timeout):
 
 def test_http_completer_in_stage(spark):
     d = spark.createDataFrame([("r", 1, "Topic ok"), ("r", 2, "fail this")], "run_id string, topic_id bigint, topic string")
-    c = I.HttpCompleter(base_url="http://x/v1", transport=fake_transport, sleep=lambda s: None, partitions=2)
+    c = HttpCompleter(base_url="http://x/v1", transport=fake_transport, sleep=lambda s: None, partitions=2)
     res = {r.topic_id: r for r in I.run_stage(d, S.RESEARCH, c).collect()}
     assert res[1].status == "success" and res[1].tokens_used == 7 and res[1].cached_tokens == 1
     assert res[2].status == "failed" and res[2].content == "" and res[2].retries == 2 and res[2].tokens_used == 0
@@ -205,7 +206,7 @@ def test_dedupe_payloads_bills_each_prompt_once(spark, tmp_path):
         [("r", i, "Same topic" if i < 4 else "Other") for i in range(6)], "run_id string, topic_id bigint, topic string"
     )
     counter = tmp_path / "calls.txt"
-    c = I.HttpCompleter(base_url="http://x/v1", transport=CountingTransport(str(counter)), sleep=lambda s: None)
+    c = HttpCompleter(base_url="http://x/v1", transport=CountingTransport(str(counter)), sleep=lambda s: None)
     res = I.run_stage(d, S.RESEARCH, c, dedupe_payloads=True).collect()
     assert len(res) == 6 and all(r.status == "success" and r.tokens_used == 7 for r in res)
     assert len(counter.read_text()) == 2  # two distinct prompts
