@@ -228,34 +228,119 @@ def links(html: Column | str) -> Column:
 # -------------------------------------------------------- P6 link candidates
 
 
-def link_candidates(pages: DataFrame, keywords: DataFrame, key: str = "page_id", url: str = "url",
-                    html: str = "html", max_df_share: float = 0.10) -> DataFrame:
-    """Internal-link suggestions without an all-pairs self-join.
-
-    Distinctive keywords (P3 rows ``key, term, score``; terms held by more
-    than ``max_df_share`` of pages dropped) each get one hub page -- the page
-    where the term scores highest (ties: lowest key).  A page is pointed to
-    the hubs of its own keywords, unless it is the hub or already links to it
-    (``left_anti`` on the link inventory).  One row per (page, hub) with the
-    shared keywords.
+def _path_without_dots(path: Column) -> Column:
+    """Dot segments removed: ``.`` goes, ``..`` takes the segment before it along; an empty path is ``/``."""
+    parts = F.slice(F.split(path, "/", -1), 2, 1 << 20)
+    none = F.array().cast("array<string>")
+
+    def step(acc: Column, x: Column) -> Column:
+        up = F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))
+        return F.when(x == "..", up).when(x == ".", acc).otherwise(F.concat(acc, F.array(x)))
+
+    last = F.element_at(parts, -1)
+    kept = F.aggregate(parts, none, step)
+    closed = F.when(last.isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    plain = F.when(F.contains(path, F.lit("/.")), F.concat(F.lit("/"), F.array_join(closed, "/"))).otherwise(path)
+    return F.when(path == "", F.lit("/")).otherwise(plain)
+
+
+def url_page(url: Column | str, base: Column | str | None = None) -> Column:
+    """struct(host, path): the page that a link names, null if it names none.
+
+    ``url`` is absolute or, with ``base`` (the absolute URL of the page that
+    holds it), a reference of any form: ``//host/path``, ``/path``, ``path``,
+    ``../path``, ``?query``, ``#part`` or empty.  Hosts are lower-cased,
+    without user, and without a port that is the scheme's own; dot segments
+    are removed; query and fragment name no other page.  Schemes other than
+    http(s) (``mailto:``, ``javascript:``, ``data:``) name no page.
     """
-    n_pages = pages.select(F.count(F.lit(1))).scalar()
-    # keyword rows carry the term's document frequency (P3 output)
-    kw = keywords.where(F.col("df") <= n_pages * F.lit(max_df_share))
-    hubs = kw.groupBy("term").agg(
-        F.max_by(F.col(key), F.struct(F.col("score"), -F.col(key))).alias("hub")
+    u = F.trim(_c(url))
+    b = F.trim(_c(base)) if base is not None else F.lit(None).cast("string")
+    scheme = F.lower(F.regexp_extract(u, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
+    base_scheme = F.lower(F.regexp_extract(b, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
+    base_host = F.regexp_extract(b, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
+    base_path = F.regexp_extract(b, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    own_host = F.regexp_extract(u, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1)
+    with_host = u.rlike(r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//")
+    own_path = F.when(with_host, F.regexp_extract(u, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*([^?#]*)", 1)).otherwise(
+        F.regexp_extract(u, r"^([^?#]*)", 1)
     )
-    cand = kw.join(hubs, "term").where(F.col(key) != F.col("hub"))
-    pair = cand.groupBy(key, "hub").agg(
-        F.array_sort(F.collect_list("term")).alias("shared_terms"), F.count(F.lit(1)).alias("shared")
+    # a relative path takes the place of the base's last segment
+    folder = F.regexp_extract(F.when(base_path == "", F.lit("/")).otherwise(base_path), r"^(.*/)", 1)
+    path = (
+        F.when(with_host, own_path)
+        .when(own_path == "", base_path)
+        .when(own_path.startswith("/"), own_path)
+        .otherwise(F.concat(folder, own_path))
     )
-    # existing links: href path equal to the hub's URL path
-    path = F.regexp_extract(F.col(url), r"^[a-z]+://[^/]+(/[^?#]*)", 1)
-    hub_paths = pages.select(F.col(key).alias("hub"), path.alias("hub_path"))
-    have = pages.select(F.col(key), F.explode_outer(links(html)).alias("href")).where(F.col("href").isNotNull()).join(
-        hub_paths, F.col("href") == F.col("hub_path")
-    ).select(key, "hub")
-    return pair.join(have, [key, "hub"], "left_anti")
+    used = F.when(scheme != "", scheme).otherwise(base_scheme)
+    host = F.lower(F.regexp_replace(F.when(with_host, own_host).otherwise(base_host), r"^[^@]*@", ""))
+    port = F.when(used == "https", F.lit(":443")).otherwise(F.lit(":80"))
+    host = F.regexp_replace(host, F.concat(port, F.lit("$")), F.lit(""))
+    ok = used.isin("http", "https") & (host != "") & ((scheme == "") | with_host)
+    return F.when(ok, F.struct(host.alias("host"), _path_without_dots(path).alias("path")))
+
+
+def link_inventory(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """(key, target): distinct links of each page to other pages of the table.
+
+    Links are resolved against their page's URL and joined on (host, path), so
+    two sites that share a path stay apart.
+    """
+    own = pages.select(F.col(key).alias("target"), url_page(F.col(url)).alias("p")).where(F.col("p").isNotNull())
+    out = pages.select(F.col(key), F.col(url).alias("_u"), F.explode_outer(links(html)).alias("_h")).where(F.col("_h").isNotNull())
+    named = out.select(key, url_page(F.col("_h"), F.col("_u")).alias("p")).where(F.col("p").isNotNull())
+    # a page links a target once, however often: pairs are made distinct before they meet the targets
+    named = named.select(key, "p.host", "p.path").distinct()
+    return named.join(own.select("target", "p.host", "p.path"), ["host", "path"]).where(F.col(key) != F.col("target")).select(key, "target").distinct()
+
+
+def term_index(texts: DataFrame, key: str = "page_id", text: str = "text") -> DataFrame:
+    """(term, key, tf, df): the inverted index with complete statistics, no term or page left out.
+
+    tf counts per page, df pages per term; both are combined before their
+    shuffles.  The join of df back onto a term that a third of all pages hold
+    is a skewed join with one row on the other side, which AQE splits.
+    """
+    tf = term_frequencies(texts, key, text)
+    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return tf.join(df, "term").select("term", key, "tf", "df")
+
+
+def link_candidates(index: DataFrame, inventory: DataFrame, key: str = "page_id") -> DataFrame:
+    """One row per page and term that it shares with pages it does not link to.
+
+    ``index`` is :func:`term_index`, ``inventory`` :func:`link_inventory`; both
+    are read more than once, so pass written tables.  Per row: df (pages that
+    hold the term), ``linked`` (of the other holders, those that the page
+    links to already), ``candidates`` (those that it does not), and ``best``,
+    the other holder with the term most often (ties: least key), with
+    ``best_linked``.  Terms whose other holders are all linked drop out.
+
+    Candidates are counted, not listed, so no page pairs arise: linked holders
+    are found from the links (links x terms of the target, semi-joined with
+    the page's own terms) and the two most frequent holders of a term by
+    aggregates that combine before the shuffle.
+    """
+    shared = index.where(F.col("df") > 1)
+    often = F.struct(F.col("tf").alias("tf"), (-F.col(key)).alias("k"))
+    first = shared.groupBy("term").agg(F.max(often).alias("_1"))
+    second = shared.join(first, "term").where(often != F.col("_1")).groupBy("term").agg(F.max(often).alias("_2"))
+    tops = first.join(second, "term").select("term", (-F.col("_1.k")).alias("_first"), (-F.col("_2.k")).alias("_second"))
+
+    held = inventory.join(shared.select(F.col(key).alias("target"), "term"), "target")
+    held = held.join(shared.select(key, "term"), [key, "term"], "left_semi")
+    linked = held.groupBy(key, "term").agg(F.count(F.lit(1)).alias("linked"))
+
+    rows = shared.join(linked, [key, "term"], "left").withColumn("linked", F.coalesce("linked", F.lit(0)))
+    full = rows.where(F.col("df") - 1 - F.col("linked") > 0).join(tops, "term")
+    full = full.withColumn("best", F.when(F.col("_first") == F.col(key), F.col("_second")).otherwise(F.col("_first")))
+    known = inventory.select(F.col(key), F.col("target").alias("best"), F.lit(True).alias("best_linked"))
+    full = full.join(known, [key, "best"], "left")
+    return full.select(
+        key, "term", "tf", "df", "linked", (F.col("df") - 1 - F.col("linked")).alias("candidates"), "best",
+        F.coalesce("best_linked", F.lit(False)).alias("best_linked"),
+    )
 
 
 # ------------------------------------------------------------ P7 readability
@@ -302,30 +387,45 @@ def shingles(tokens: Column | str, w: int = 8) -> Column:
     return F.when(n >= w, F.array_distinct(sh)).otherwise(F.expr("CAST(array() AS array<string>)"))
 
 
+#: Reference shingles that may go to every task (12 bytes each).
+OVERLAP_BROADCAST = 1_000_000
+#: Documents that share one shingle before its rows are salted.
+OVERLAP_HOT = 10_000
+OVERLAP_SALTS = 32
+
+
 def shingle_overlap(docs: DataFrame, corpus: DataFrame, w: int = 8, key: str = "doc_id", ref_key: str = "item_id",
-                    text: str = "text", ref_text: str = "text") -> DataFrame:
+                    text: str = "text", ref_text: str = "text", broadcast_rows: int = OVERLAP_BROADCAST, hot: int = OVERLAP_HOT) -> DataFrame:
     """Per (doc, reference item) sharing shingles: shared distinct shingles
     and containment = shared / doc's distinct shingles.
 
-    Exact string equi-join on the shingle (no hash-only matching); AQE's skew
-    join splits a shingle partition that a third of all documents share.
+    Shingles meet as 64-bit hashes.  The reference's are written and counted:
+    up to ``broadcast_rows`` they go to every task and the documents are not
+    shuffled at all.  Beyond that, documents' shingles that no reference item
+    holds are dropped first (semi join), and shingles that more than ``hot``
+    documents share are salted, with their few reference rows repeated.
     ``explode_outer`` + a null filter keeps the optimizer from inferring a
     non-empty filter below the tokenizer projection (which would re-run the
     tokenizer inside the shingle lambda).
     """
-    ds = (
-        docs.select(key, T.tokens(text).alias("_tk"))
-        .select(key, shingles("_tk", w).alias("sh"))
-        .select(key, F.size("sh").alias("own"), F.explode_outer("sh").alias("shingle"))
-        .where(F.col("shingle").isNotNull())
-    )
-    rs = (
-        corpus.select(F.col(ref_key), T.tokens(ref_text).alias("_tk"))
-        .select(ref_key, F.explode_outer(shingles("_tk", w)).alias("shingle"))
-        .where(F.col("shingle").isNotNull())
-        .distinct()
-    )
-    j = ds.join(rs, "shingle")
+    from quillframe.operators.inference import materialize
+
+    def hashed(df: DataFrame, k: str, x: str) -> DataFrame:
+        sh = df.select(F.col(k), T.tokens(x).alias("_tk")).select(k, shingles("_tk", w).alias("sh"))
+        sh = sh.select(k, F.transform("sh", lambda s: F.xxhash64(s)).alias("sh"))
+        return sh.select(k, F.size("sh").alias("own"), F.explode_outer("sh").alias("shingle")).where(F.col("shingle").isNotNull())
+
+    rs = materialize(hashed(corpus, ref_key, ref_text).select(ref_key, "shingle").distinct(), "reference-shingles")
+    ds = hashed(docs, key, text)
+    if rs.count() <= broadcast_rows:
+        j = ds.join(F.broadcast(rs), "shingle")
+    else:
+        ds = materialize(ds.join(rs.select("shingle").distinct(), "shingle", "left_semi"), "document-shingles")
+        many = materialize(ds.groupBy("shingle").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot).select("shingle"), "hot-shingles")
+        cold = ds.join(many, "shingle", "left_anti").join(rs, "shingle")
+        salted = ds.join(many, "shingle", "left_semi").withColumn("_salt", F.pmod(F.xxhash64(F.col(key)), F.lit(OVERLAP_SALTS)))
+        spread = rs.join(many, "shingle", "left_semi").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(OVERLAP_SALTS - 1).cast("bigint"))))
+        j = cold.unionByName(salted.join(spread, ["shingle", "_salt"]).drop("_salt"))
     return j.groupBy(key, ref_key).agg(
         F.count(F.lit(1)).alias("shared"), F.first("own").alias("own")
     ).select(key, ref_key, "shared", "own", (F.col("shared") / F.col("own")).alias("containment"))
@@ -450,6 +550,60 @@ def translation_parity(source_md: Column, target_md: Column, keywords: Column) -
     )
 
 
+def parity_of_tables(
+    sources: DataFrame,
+    translations: DataFrame,
+    key: str = "topic_id",
+    body: str = "body",
+    languages: str = "target_languages",
+    keywords: str = "keywords",
+    language: str = "language",
+) -> DataFrame:
+    """P11 on two tables: every translation held against its source, one row per (key, language).
+
+    ``sources`` has the body, the languages asked for and the keywords to keep;
+    ``translations`` (key, language, body).  ``status`` is ``missing`` (asked
+    for, not there), ``unasked`` (there, not asked for) or ``ok``.  The heading
+    levels of both are aligned one by one; ``difference`` names the first place
+    where they part: ``level`` (``position`` from 1, ``source_level``,
+    ``target_level``), ``missing`` or ``extra`` when one side has ended.
+
+    One equi join on (key, language), both sides as they are; a translation of
+    a key that has no source has a null source.
+    """
+    none = F.array().cast("array<string>")
+    level = lambda c: F.transform(heading_levels(c), lambda x: x["level"].cast("int"))
+    own = sources.select(F.col(key), level(body).alias("_sl"), F.length(body).alias("_sn"), F.coalesce(F.col(keywords), none).alias("_kw"), F.coalesce(F.col(languages), none).alias("_asked"))
+    asked = own.select("*", F.explode(F.array_distinct("_asked")).alias(language))
+    there = translations.select(F.col(key), F.col(language), F.col(body).alias("_t"))
+    # both sides are cut to what they bring to the key: bodies of sources are not repeated per language
+    wanted = asked.select(key, language, F.lit(True).alias("_wanted"))
+    pairs = wanted.join(there, [key, language], "full_outer")
+    rows = pairs.join(own.drop("_asked"), key, "left").withColumn("_tl", F.when(F.col("_t").isNotNull(), level("_t")))
+    pairwise = F.zip_with("_sl", "_tl", lambda a, b: F.struct(a.alias("s"), b.alias("t")))
+    start = F.struct(F.lit(0).alias("at"), F.lit(None).cast("struct<position:int,s:int,t:int>").alias("found"))
+    fold = F.aggregate(
+        pairwise, start,
+        lambda acc, x: F.struct(
+            (acc["at"] + 1).alias("at"),
+            F.when(acc["found"].isNull() & ~x["s"].eqNullSafe(x["t"]), F.struct((acc["at"] + 1).alias("position"), x["s"].alias("s"), x["t"].alias("t"))).otherwise(acc["found"]).alias("found"),
+        ),
+        lambda acc: acc["found"],
+    )
+    rows = rows.withColumn("_d", F.when(F.col("_sl").isNotNull() & F.col("_tl").isNotNull(), fold))
+    d = F.col("_d")
+    both = F.col("_t").isNotNull() & F.col("_sn").isNotNull()
+    return rows.select(
+        key, language,
+        F.when(F.col("_wanted").isNull(), F.lit("unasked")).when(F.col("_t").isNull(), F.lit("missing")).otherwise(F.lit("ok")).alias("status"),
+        F.when(both, d.isNull()).alias("same_structure"),
+        F.when(d["s"].isNull() & d.isNotNull(), F.lit("extra")).when(d["t"].isNull() & d.isNotNull(), F.lit("missing")).when(d.isNotNull(), F.lit("level")).alias("difference"),
+        d["position"].alias("position"), d["s"].alias("source_level"), d["t"].alias("target_level"),
+        F.when(both, F.size(F.filter("_kw", lambda k: ~F.contains(F.col("_t"), k)))).alias("keywords_lost"),
+        F.when(both & (F.col("_sn") > 0), F.length("_t").cast("double") / F.col("_sn").cast("double")).alias("length_ratio"),
+    )
+
+
 # ------------------------------------------------------------ P13 target
 
 

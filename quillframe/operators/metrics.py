@@ -285,7 +285,12 @@ def calendar_consumption(calls: DataFrame) -> DataFrame:
 
 
 def cost_by_stage(calls: DataFrame, prices: DataFrame) -> DataFrame:
-    """A10: USD cost per (run, stage) from a user-given price list.
+    """A10: USD cost per (run, stage) from a user-given price list (see :func:`_stage_cost`)."""
+    return _stage_cost(calls, prices).select("run_id", "stage", "calls", "cost_usd", "unpriced_calls")
+
+
+def _stage_cost(calls: DataFrame, prices: DataFrame) -> DataFrame:
+    """Per (run, stage) calls, exact millionths of a dollar, the same in dollars, and unpriced calls.
 
     prices(model, input_per_m, output_per_m, cached_per_m) is joined without a
     hint: AQE broadcasts it if it measures small.  Of a model that is listed
@@ -305,11 +310,16 @@ def cost_by_stage(calls: DataFrame, prices: DataFrame) -> DataFrame:
         ).alias("micro_usd"),
         F.col("input_per_m").isNull().alias("unpriced"),
     )
-    return priced.groupBy("run_id", "stage").agg(
+    sums = priced.groupBy("run_id", "stage").agg(
         F.count(F.lit(1)).alias("calls"),
-        (F.sum("micro_usd").cast("double") / F.lit(1_000_000.0)).alias("cost_usd"),
+        F.sum("micro_usd").alias("micro_usd"),
         F.sum(F.col("unpriced").cast("int")).cast("bigint").alias("unpriced_calls"),
     )
+    return sums.withColumn("cost_usd", _usd("micro_usd"))
+
+
+def _usd(micro: str) -> Column:
+    return F.col(micro).cast("double") / F.lit(1_000_000.0)
 
 
 def run_statement(calls: DataFrame, prices: DataFrame) -> DataFrame:
@@ -317,7 +327,8 @@ def run_statement(calls: DataFrame, prices: DataFrame) -> DataFrame:
 
     The three aggregates are joined on (run, stage) and run: a row a stage.
     """
-    cost = cost_by_stage(calls, prices)
-    total = cost.groupBy("run_id").agg(F.sum("cost_usd").alias("cost_usd"), F.sum("unpriced_calls").alias("unpriced_calls"))
-    every = cost.select("run_id", "stage", "cost_usd", "unpriced_calls").unionByName(total.withColumn("stage", F.lit("TOTAL")))
+    cost = _stage_cost(calls, prices).select("run_id", "stage", "micro_usd", "unpriced_calls")
+    total = cost.groupBy("run_id").agg(F.sum("micro_usd").alias("micro_usd"), F.sum("unpriced_calls").alias("unpriced_calls"))
+    every = cost.unionByName(total.withColumn("stage", F.lit("TOTAL")))
+    every = every.select("run_id", "stage", _usd("micro_usd").alias("cost_usd"), "unpriced_calls")
     return consumption_report(calls).join(every, ["run_id", "stage"], "left").join(run_duration(calls), "run_id", "left")

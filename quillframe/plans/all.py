@@ -6,6 +6,7 @@ from quillframe.plans import (  # noqa: F401
     metrics_queries,
     pipeline_queries,
     request_queries,
+    sink_queries,
     stream_queries,
     text_queries,
 )

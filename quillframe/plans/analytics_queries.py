@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from quillframe.functions import render as R
 from quillframe.functions import text as T
 from quillframe.operators import analytics as A
+from quillframe.operators import near_duplicates as N
 from quillframe.plans.pipeline_queries import _sql_plain
+from quillframe.plans import workflow as W
 from quillframe.plans.registry import query
 from quillframe.plans.text_queries import SQL_MARKDOWN, SQL_TITLE, WS, doc_markdown, doc_title, sql_strip, sql_word_count
 from quillframe.sources.tables import table
@@ -195,31 +197,56 @@ _SQL_PAGE_TEXT = (
 )
 
 
+def linked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages, three of four with a link to the page of the next id: its URL
+    as it is, without a scheme, or with the host in capitals and the port."""
+    p = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    after = p.select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("_next"))
+    nxt = F.col("_next")
+    rest = F.regexp_replace(nxt, "^[a-z]+://[^/?#]*", "")
+    host = F.regexp_extract(nxt, "^[a-z]+://([^/?#]*)", 1)
+    href = (
+        F.when(F.col("page_id") % 4 == 0, nxt)
+        .when(F.col("page_id") % 4 == 1, F.concat(F.lit("//"), host, rest))
+        .when(F.col("page_id") % 4 == 2, F.concat(F.lit("http://"), F.upper(host), F.lit(":80"), rest))
+    )
+    more = F.coalesce(F.concat(F.lit('<a href="'), href, F.lit('">next</a>')), F.lit(""))
+    return p.join(after, "page_id", "left").select("page_id", "url", F.concat("html", more).alias("html"))
+
+
+_SQL_HOST = "regexp_extract({u}, '^[a-z]+://([^/?#]*)', 1)"
+_SQL_PATH = "regexp_extract({u}, '^[a-z]+://[^/?#]*([^?#]*)', 1)"
+
+
 @query(
     "link_candidates",
-    f"""WITH p AS (SELECT page_id, url, html, {_SQL_PAGE_TEXT} AS text FROM pages),
+    f"""WITH q AS (SELECT a.page_id, a.url, a.html || coalesce('<a href="' || CASE a.page_id % 4
+    WHEN 0 THEN b.url WHEN 1 THEN regexp_replace(b.url, '^[a-z]+:', '')
+    WHEN 2 THEN 'http://' || upper({_SQL_HOST.format(u='b.url')}) || ':80' || regexp_replace(b.url, '^[a-z]+://[^/?#]*', '') END || '">next</a>', '') AS html
+  FROM pages a LEFT JOIN pages b ON b.page_id = a.page_id + 1),
+p AS (SELECT page_id, {_SQL_HOST.format(u='url')} AS host, {_SQL_PATH.format(u='url')} AS path, {_SQL_PAGE_TEXT} AS text, {_SQL_HREF} AS hrefs FROM q),
+h AS (SELECT page_id, host, unnest(hrefs) AS href FROM p),
+r AS (SELECT page_id, lower(CASE WHEN href LIKE 'http%' THEN regexp_replace({_SQL_HOST.format(u='href')}, ':80$', '') WHEN href LIKE '//%' THEN regexp_extract(href, '^//([^/?#]*)', 1) ELSE host END) AS host,
+             CASE WHEN href LIKE 'http%' THEN {_SQL_PATH.format(u='href')} WHEN href LIKE '//%' THEN regexp_extract(href, '^//[^/?#]*([^?#]*)', 1)
+                  ELSE regexp_extract(href, '^([^?#]*)', 1) END AS path FROM h),
+inv AS (SELECT DISTINCT r.page_id, p.page_id AS target FROM r JOIN p ON r.host = p.host AND r.path = p.path WHERE r.page_id <> p.page_id),
 tk AS (SELECT page_id, unnest({SQL_TOKENS.format(x='text')}) AS term FROM p),
 tf AS (SELECT page_id, term, count(*) AS tf FROM tk GROUP BY 1, 2),
-df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-n AS (SELECT count(*) AS n FROM pages),
-s AS (SELECT tf.page_id, tf.term, df.df, tf.tf * ln(CAST(n.n AS DOUBLE) / df.df) AS score FROM tf JOIN df USING (term), n),
-kw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, term) AS rank FROM s) WHERE rank <= 5),
-dk AS (SELECT kw.* FROM kw, n WHERE df <= n.n * 0.1),
-hubs AS (SELECT term, page_id AS hub FROM (SELECT term, page_id, row_number() OVER (PARTITION BY term ORDER BY score DESC, page_id) AS r FROM dk) WHERE r = 1),
-pairs AS (SELECT dk.page_id, hubs.hub, count(*) AS shared, array_to_string(list_sort(list(dk.term)), ',') AS shared_terms
-          FROM dk JOIN hubs USING (term) WHERE dk.page_id <> hubs.hub GROUP BY 1, 2),
-have AS (SELECT l.page_id, h.page_id AS hub
-         FROM (SELECT page_id, unnest({_SQL_HREF}) AS href FROM pages) l
-         JOIN (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+(/[^?#]*)', 1) AS path FROM pages) h ON l.href = h.path)
-SELECT page_id, hub, shared, shared_terms FROM pairs ANTI JOIN have USING (page_id, hub)""",
+ix AS (SELECT *, count(*) OVER (PARTITION BY term) AS df FROM tf),
+top AS (SELECT term, max(page_id) FILTER (WHERE k = 1) AS one, max(page_id) FILTER (WHERE k = 2) AS two
+        FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY tf DESC, page_id) AS k FROM ix WHERE df > 1) GROUP BY term),
+lk AS (SELECT inv.page_id, a.term, count(*) AS linked FROM inv JOIN ix a ON a.page_id = inv.target JOIN ix b ON b.page_id = inv.page_id AND b.term = a.term GROUP BY 1, 2),
+f AS (SELECT ix.*, coalesce(linked, 0) AS linked, CASE WHEN one = ix.page_id THEN two ELSE one END AS best
+      FROM ix JOIN top USING (term) LEFT JOIN lk ON lk.page_id = ix.page_id AND lk.term = ix.term WHERE df > 1)
+SELECT f.page_id, term, tf, df, linked, df - 1 - linked AS candidates, best, inv.target IS NOT NULL AS best_linked
+FROM f LEFT JOIN inv ON inv.page_id = f.page_id AND inv.target = f.best WHERE df - 1 - linked > 0""",
 )
 def link_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per page, hub pages of its distinctive top keywords it does not link to yet."""
-    p = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    txt = p.select("page_id", page_text(F.col("html")).alias("text"))
-    kw = A.top_keywords(txt, 5, key="page_id")
-    c = A.link_candidates(p, kw, key="page_id")
-    return c.select("page_id", "hub", "shared", F.array_join("shared_terms", ",").alias("shared_terms"))
+    """Per page and term shared with other pages, how many of them it does not link to yet, and the best holder."""
+    pages = W.cut(linked_pages(spark, sf_dir), "linked-pages")
+    index = W.cut(A.term_index(pages.select("page_id", page_text(F.col("html")).alias("text"))), "term-index")
+    inventory = W.cut(A.link_inventory(pages), "link-inventory")
+    return A.link_candidates(index, inventory)
 
 
 _SQL_SHINGLES = (
@@ -246,6 +273,28 @@ def benchmark_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("doc_id", "item_id", "shared", F.col("own").cast("int").alias("own"), "containment")
 
 
+_SQL_FIVE = "list_transform(range(1, greatest(len(tk) - 3, 2)), lambda i: array_to_string(tk[i:i + 4], ' '))"
+
+
+@query(
+    "near_duplicates",
+    f"""WITH d AS (SELECT doc_id, {SQL_TOKENS.format(x='text')} AS tk FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct({_SQL_FIVE})) AS sh FROM d WHERE len(tk) > 0),
+c AS (SELECT min(doc_id) AS id, count(*) AS copies, sh FROM s GROUP BY sh),
+x AS (SELECT id, copies, len(sh) AS n, unnest(sh) AS shingle FROM c),
+p AS (SELECT a.id AS class_a, b.id AS class_b, any_value(a.copies) AS copies_a, any_value(b.copies) AS copies_b, count(*) AS shared, any_value(a.n + b.n) AS n
+      FROM x a JOIN x b ON a.shingle = b.shingle AND a.id < b.id GROUP BY 1, 2)
+SELECT class_a, class_b, copies_a, copies_b, shared, CAST(shared AS DOUBLE) / (n - shared) AS jaccard FROM p WHERE CAST(shared AS DOUBLE) / (n - shared) >= 0.8""",
+)
+def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P8, near form: every pair of different texts whose five-word shingles have a Jaccard
+    similarity of 0.8, by class of equal texts, with the number of copies of each."""
+    pairs, members = N.near_duplicates(_docs(spark, sf_dir, "text"))
+    copies = members.where("doc_id = class_id").select("class_id", "copies")
+    a, b = (copies.select(F.col("class_id").alias(f"class_{x}"), F.col("copies").alias(f"copies_{x}")) for x in "ab")
+    return pairs.join(a, "class_a").join(b, "class_b").select("class_a", "class_b", "copies_a", "copies_b", "shared", "jaccard")
+
+
 def _outline_rows(d: DataFrame) -> DataFrame:
     lines = F.split(F.col("text"), "\n")
     heads = F.filter(F.transform(lines, lambda l, i: F.struct((i + 1).alias("i"), l.alias("l"))), lambda x: (x["i"] % 5 == 0) & (x["l"] != ""))
@@ -331,3 +380,44 @@ def plain_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Markdown stripped to plain text."""
     d = _docs(spark, sf_dir, "text").select("doc_id", R.markdown_to_text(doc_markdown(F.col("text"))).alias("t"))
     return d.select("doc_id", F.length("t").cast("bigint").alias("text_chars"), F.md5("t").alias("text_md5"))
+
+
+_SQL_OTHER = """CASE (doc_id + length(language)) % 4 WHEN 0 THEN md WHEN 1 THEN regexp_replace(md, '(?m)^### ', '## ', 'g')
+                  WHEN 2 THEN md || chr(10) || '## End' ELSE regexp_replace(md, '^# ', '') END"""
+
+
+@query(
+    "translation_tables",
+    f"""WITH d AS (SELECT doc_id, {SQL_MARKDOWN} AS md, list_distinct({SQL_TOKENS.format(x=SQL_TITLE)}) AS kw FROM documents),
+asked AS (SELECT doc_id, unnest(['zh', 'may']) AS language FROM d),
+there AS (SELECT doc_id, language, {_SQL_OTHER} AS tg FROM d, (SELECT unnest(['zh', 'may', 'fr']) AS language)
+          WHERE (language = 'zh' AND doc_id % 7 <> 0) OR language = 'may' OR (language = 'fr' AND doc_id % 11 = 0)),
+j AS (SELECT coalesce(a.doc_id, t.doc_id) AS doc_id, coalesce(a.language, t.language) AS language, a.doc_id IS NOT NULL AS wanted, tg
+      FROM asked a FULL OUTER JOIN there t ON a.doc_id = t.doc_id AND a.language = t.language),
+l AS (SELECT j.*, md, kw, {SQL_LEVELS.format(md='md')} AS sl, CASE WHEN tg IS NOT NULL THEN {SQL_LEVELS.format(md='tg')} END AS tl FROM j JOIN d USING (doc_id)),
+f AS (SELECT *, CASE WHEN tg IS NOT NULL THEN list_filter(range(1, greatest(len(sl), len(tl)) + 1), lambda i: sl[i] IS DISTINCT FROM tl[i])[1] END AS pos FROM l)
+SELECT doc_id AS topic_id, language, CASE WHEN NOT wanted THEN 'unasked' WHEN tg IS NULL THEN 'missing' ELSE 'ok' END AS status,
+       CASE WHEN tg IS NOT NULL THEN pos IS NULL END AS same_structure,
+       CASE WHEN pos IS NULL THEN NULL WHEN pos > len(sl) THEN 'extra' WHEN pos > len(tl) THEN 'missing' ELSE 'level' END AS difference,
+       CAST(pos AS INTEGER) AS position, CAST(sl[pos] AS INTEGER) AS source_level, CAST(tl[pos] AS INTEGER) AS target_level,
+       CASE WHEN tg IS NOT NULL THEN CAST(len(list_filter(kw, lambda k: NOT contains(tg, k))) AS INTEGER) END AS keywords_lost,
+       CASE WHEN tg IS NOT NULL AND length(md) > 0 THEN CAST(length(tg) AS DOUBLE) / CAST(length(md) AS DOUBLE) END AS length_ratio
+FROM f""",
+)
+def translation_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P11 on two tables: articles with the languages asked for, and the translations that came
+    (some missing, some unasked, some with another heading level, a heading more or one fewer)."""
+    d = _docs(spark, sf_dir, "text").select(
+        F.col("doc_id").alias("topic_id"), doc_markdown(F.col("text")).alias("body"), F.array_distinct(T.tokens(doc_title(F.col("text")))).alias("keywords"),
+        F.array(F.lit("zh"), F.lit("may")).alias("target_languages"),
+    )
+    t = d.select("topic_id", "body", F.explode(F.array(F.lit("zh"), F.lit("may"), F.lit("fr"))).alias("language"))
+    t = t.where(((F.col("language") == "zh") & (F.col("topic_id") % 7 != 0)) | (F.col("language") == "may") | ((F.col("language") == "fr") & (F.col("topic_id") % 11 == 0)))
+    kind = (F.col("topic_id") + F.length("language")) % 4
+    other = (
+        F.when(kind == 0, F.col("body"))
+        .when(kind == 1, F.regexp_replace("body", r"(?md)^### ", "## "))
+        .when(kind == 2, F.concat("body", F.lit("\n## End")))
+        .otherwise(F.regexp_replace("body", r"\A# ", ""))
+    )
+    return A.parity_of_tables(d, t.select("topic_id", "language", other.alias("body")))

@@ -597,3 +597,53 @@ def run_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.run_statement(calls, prices).select(
         "run_id", "stage", "report_rank", "calls", "total_tokens", "errors", "avg_latency_ms", "cache_hit_rate", "cost_usd", "unpriced_calls", "duration_s_2dp"
     )
+
+
+@query(
+    "round_report",
+    f"""WITH d AS (SELECT *, {_sql_rounds()} AS rounds FROM {_SQL_LABELED}),
+r AS (SELECT doc_id, CAST(i AS INTEGER) AS round, rounds, doc_id % 19 = 0 OR doc_id % 11 = 0 AS failed,
+             CASE WHEN doc_id % 19 = 0 OR doc_id % 11 = 0 THEN NULL WHEN doc_id % 13 = 0 THEN 0.0 WHEN doc_id % 17 = 0 THEN 1.0
+                  ELSE CAST({_SQL_SCORE.format(i='i')} AS DOUBLE) END AS score
+      FROM (SELECT *, unnest(range(1, CAST(rounds AS BIGINT) + 1)) AS i FROM d))
+SELECT doc_id, round, CASE WHEN failed THEN 'failed' ELSE 'success' END AS status, score,
+       coalesce(score >= 80, false) AS passed, score - lag(score) OVER w AS gain,
+       CASE WHEN score IS NULL THEN NULL WHEN doc_id % 13 = 0 OR doc_id % 17 = 0 THEN 1 ELSE round END AS best_round, score AS best_score,
+       CASE WHEN score IS NULL THEN NULL ELSE rounds = 1 OR NOT (doc_id % 13 = 0 OR doc_id % 17 = 0) END AS last_is_best
+FROM r WINDOW w AS (PARTITION BY doc_id ORDER BY round)""",
+)
+def round_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score, gain and best round of every review round of every document."""
+    rounds, _ = _refine(spark, sf_dir)
+    r = W.round_report(W._union(rounds))
+    return r.select(F.col("topic_id").alias("doc_id"), "round", "status", "score", "passed", "gain", "best_round", "best_score", "last_is_best")
+
+
+#: Stages of the intake query; the others are off.
+INTAKE_STAGES = ("research", "outline", "writer")
+
+
+@query(
+    "topic_intake",
+    """SELECT doc_id AS topic_id, 'intake-' || CAST(doc_id % 2 AS VARCHAR) AS run_id, 'success' AS status, 'research,outline,writer' AS agents_run,
+       CAST(length(text) AS BIGINT) AS article_chars, md5(text) AS article_md5 FROM documents""",
+)
+def topic_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Topic files that come one after the other drive the chain, a run a
+    micro-batch; the first file comes once more at the end and changes nothing."""
+    from quillframe.sources.tables import read_topics
+    from quillframe.streaming.intake import run_intake
+
+    off = [n for n in S.STAGE_ORDER if n not in INTAKE_STAGES]
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    t = d.select(F.col("doc_id").alias("topic_id"), doc_title(F.col("text")).alias("topic"), "text", F.array(*[F.lit(n) for n in off]).alias("disabled_stages"))
+    src = scratch_path(spark, "intake-topics")
+    files = spark.sparkContext.defaultParallelism
+    for part in (0, 1, 0):
+        t.where(F.pmod("topic_id", F.lit(2)) == part).repartition(files, F.rand(1)).write.mode("append").json(src)
+    schema = "topic_id bigint, topic string, text string, disabled_stages array<string>"
+    topics = read_topics(spark, src, "json", stream=True, files_per_batch=files, schema=schema)
+    done = run_intake(topics, scratch_path(spark, "intake"), doc_completer(), keep=["text"])
+    return done.select(
+        "topic_id", "run_id", "status", F.array_join("agents_run", ",").alias("agents_run"), F.length("article").cast("bigint").alias("article_chars"), F.md5("article").alias("article_md5")
+    )

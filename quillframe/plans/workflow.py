@@ -23,7 +23,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillframe.functions import text as T
@@ -32,6 +32,7 @@ from quillframe.operators import ledger as L
 from quillframe.operators import requests as Q
 from quillframe.operators import stages as S
 from quillframe.session import ensure_checkpoint_dir
+from quillframe.sinks import writers
 
 TOPIC_DEFAULTS = {
     "target_word_count": 2000,
@@ -266,6 +267,7 @@ def run_pipeline(
     strict: bool = False,
     materialize_stages: bool = True,
     metrics_path: str | None = None,
+    output_path: str | None = None,
 ) -> PipelineRun:
     """Research -> outline -> writer -> seo -> (editor -> quality)* ->
     translator -> publisher over every topic row.
@@ -276,7 +278,9 @@ def run_pipeline(
     in the checkpoint folder) so the chain is never recomputed by the loop,
     the fan-outs and the final assembly.  With ``metrics_path`` the run's calls
     are appended to the ledger there, failed calls and articles included, and
-    the articles name that path.
+    the articles name that path.  With ``output_path`` every published article
+    and the publisher's reply are written as files there, and the publisher's
+    ``output_files`` name them.
     """
     t = normalize_topics(topics, run_id)
     cfg = ["topic", "target_word_count", "language", "quality_threshold", "max_iterations",
@@ -315,6 +319,8 @@ def run_pipeline(
 
     translator = translate(final, completer, settings, overrides, keep=cfg)
     publisher = publish(final, completer, settings, overrides, keep=cfg)
+    if output_path:
+        publisher = writers.write_published(final, stage_out(publisher, "publisher"), output_path)
     every = _union([research, outline, writer, seo, *rounds, translator, publisher])
     if materialize_stages:
         every = stage_out(every, "results")
@@ -444,3 +450,29 @@ def article_summary(articles: DataFrame) -> DataFrame:
         F.array_sort(F.map_keys("translations")).alias("translations"),
         "metrics_path",
     )
+
+
+def round_report(results: DataFrame) -> DataFrame:
+    """One row per review round of an article: what the round gained, and the best round so far.
+
+    ``results`` are stage results; of them the quality rows count.  A round
+    whose review failed has no score: it gains nothing and the next round's
+    gain is null as well.  ``best_round`` is the first round with the highest
+    score up to here, ``last_is_best`` says whether the text that the loop kept
+    (the last round's) is the best one.  The windows hold one article's rounds.
+    """
+    w = Window.partitionBy("run_id", "topic_id").orderBy("iteration")
+    whole = Window.partitionBy("run_id", "topic_id")
+    rows = results.where((F.col("stage") == "quality") & (F.col("status") != I.SKIPPED)).select(
+        "run_id", "topic_id", F.col("iteration").cast("int").alias("round"), "iteration", "status", F.col("metadata.overall_score").alias("score"),
+        F.coalesce("metadata.passes_threshold", F.lit(False)).alias("passed"),
+    )
+    rank = F.when(F.col("score").isNotNull(), F.struct(F.col("score"), -F.col("round")))
+    best = F.max(rank)
+    return rows.select(
+        "run_id", "topic_id", "round", "status", "score", "passed",
+        (F.col("score") - F.lag("score").over(w)).alias("gain"),
+        (-best.over(w)["col2"]).cast("int").alias("best_round"),
+        best.over(w)["score"].alias("best_score"),
+        (F.max("round").over(whole) == -best.over(whole)["col2"]).alias("last_is_best"),
+    )

@@ -1,8 +1,8 @@
 """Sinks (K1-K7) and the run-metrics reader.
 
-Every writer is a DataFrame write keyed by (run_id, topic_id) and
-partitioned by run date, so runs never overwrite each other and readers can
-prune by date.  Writes are committed by Spark's output committer: a task lost
+Tables are DataFrame writes keyed by (run_id, topic_id) and partitioned by run
+date, so runs never overwrite each other and readers can prune by date;
+documents are files of their own (:mod:`quillframe.sinks.documents`).  Writes are committed by Spark's output committer: a task lost
 with its executor is rerun and only one attempt's files are kept.
 """
 
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quillframe.functions import render as R
 from quillframe.functions import text as T
+from quillframe.sinks import documents as D
 
 # The shape of one saved run-metrics document.
 METRICS_SCHEMA = (
@@ -34,9 +35,9 @@ def write_articles(articles: DataFrame, path: str, fmt: str = "parquet", run_dat
     _with_run_date(articles, run_date).write.mode(mode).partitionBy("run_date").format(fmt).save(path)
 
 
-def write_article_bodies(articles: DataFrame, path: str, mode: str = "append") -> None:
-    """K1 (body only): the article text as is, one text record per article."""
-    articles.select("article").write.mode(mode).text(path)
+def write_article_bodies(articles: DataFrame, path: str, name: str = "article.md") -> None:
+    """K1 (body only): the article text as is, one file per (run_id, topic_id) (see ``sinks.documents``)."""
+    D.write_documents(articles, path, F.col("article"), name)
 
 
 def write_publisher_output(results: DataFrame, path: str, run_date: Column | None = None, mode: str = "append") -> None:
@@ -60,16 +61,40 @@ def markdown_document(body: Column, title: Column, extra: list[tuple[str, Column
     return T.render_front_matter(F.array(*items), body)
 
 
-def write_markdown(df: DataFrame, path: str, body: str = "article", title: str = "topic", mode: str = "append") -> None:
-    """K3: one Markdown-with-front-matter text record per row."""
-    df.select(markdown_document(F.col(body), F.col(title)).alias("value")).write.mode(mode).text(path)
+def write_markdown(df: DataFrame, path: str, body: str = "article", title: str = "topic", extra: list[tuple[str, Column]] | None = None,
+                   name: str = "article.md") -> None:
+    """K3: one Markdown file with front matter per (run_id, topic_id)."""
+    D.write_documents(df, path, markdown_document(F.col(body), F.col(title), extra), name)
 
 
 def write_html(df: DataFrame, path: str, body: str = "article", title: str = "topic", description: str | None = None,
-               date: Column | None = None, mode: str = "append") -> None:
-    """K4: one HTML page per row (T10 + T11)."""
+               date: Column | None = None, name: str = "article.html") -> None:
+    """K4: one HTML page (T10 + T11) per (run_id, topic_id)."""
     page = R.html_page(F.col(body), F.col(title), F.col(description) if description else None, date=date)
-    df.select(page.alias("value")).write.mode(mode).text(path)
+    D.write_documents(df, path, page, name)
+
+
+def write_published(final: DataFrame, publisher: DataFrame, path: str) -> DataFrame:
+    """K1 + K2 of a run: the article and the publisher's reply as files, where the publisher succeeded.
+
+    ``final`` has (run_id, topic_id, article), ``publisher`` the stage's result
+    rows.  Returns ``publisher`` with the files' paths in ``output_files`` of
+    its metadata: one join on (run_id, topic_id) each way.
+    """
+    spark = publisher.sparkSession
+    ok = publisher.where(F.col("status") == "success").select("run_id", "topic_id", F.col("content").alias("_reply"))
+    done = final.select("run_id", "topic_id", "article").join(ok, ["run_id", "topic_id"])
+    files = F.array(
+        F.struct(F.lit("article.md").alias("name"), F.col("article").alias("body")),
+        F.struct(F.lit("publisher_output.json").alias("name"), F.col("_reply").alias("body")),
+    )
+    rows = done.select("run_id", "topic_id", F.explode(files).alias("_f")).select("run_id", "topic_id", "_f.name", "_f.body")
+    D.write_documents(rows, path, F.col("body"), F.col("name"))
+    written = D.read_manifest(spark, path).groupBy("run_id", "topic_id").agg(F.array_sort(F.collect_list("path")).alias("_files"))
+    written = written.select("run_id", F.col("topic_id").cast(publisher.schema["topic_id"].dataType).alias("topic_id"), "_files")
+    joined = publisher.join(written, ["run_id", "topic_id"], "left")
+    meta = F.when(F.col("status") == "success", F.col("metadata").withField("output_files", F.col("_files"))).otherwise(F.col("metadata"))
+    return joined.withColumn("metadata", meta).select(*publisher.columns)
 
 
 def json_report(df: DataFrame) -> DataFrame:

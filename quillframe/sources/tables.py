@@ -88,23 +88,29 @@ def first_line(text: Column) -> Column:
     return F.substring_index(text, "\n", 1)
 
 
-def read_topics(spark: SparkSession, path: str, fmt: str = "text", stream: bool = False) -> DataFrame:
+def read_topics(spark: SparkSession, path: str, fmt: str = "text", stream: bool = False, files_per_batch: int | None = None,
+                schema: str | None = None) -> DataFrame:
     """Topic intake from files: one topic per line (``text``) or records
     with a ``topic`` field (``json`` / ``parquet``); ``stream=True`` reads the
-    folder as a file stream for continuous intake.
+    folder as a file stream for continuous intake, ``files_per_batch`` files at
+    a time.  ``schema`` states the records' fields; without it they are inferred
+    from the files that are there.
 
     topic_id = xxhash64 of the topic text, so re-reading the same topics gives
     the same keys; other record fields (per-topic configuration) are kept.
     """
     if fmt == "text":
         reader = spark.readStream if stream else spark.read
+        if stream and files_per_batch:
+            reader = reader.option("maxFilesPerTrigger", files_per_batch)
         df = reader.text(path).select(F.trim(F.col("value")).alias("topic")).where(F.col("topic") != "")
     else:
-        if stream:
-            sample = spark.read.format(fmt).load(path)
-            df = spark.readStream.schema(sample.schema).format(fmt).load(path)
-        else:
-            df = spark.read.format(fmt).load(path)
+        reader = spark.readStream if stream else spark.read
+        if stream or schema:
+            reader = reader.schema(schema or spark.read.format(fmt).load(path).schema)
+        if stream and files_per_batch:
+            reader = reader.option("maxFilesPerTrigger", files_per_batch)
+        df = reader.format(fmt).load(path)
     if "topic_id" not in df.columns:
         df = df.withColumn("topic_id", F.xxhash64("topic"))
     return df
@@ -113,10 +119,14 @@ def read_topics(spark: SparkSession, path: str, fmt: str = "text", stream: bool
 def read_overrides(spark: SparkSession, path: str) -> DataFrame:
     """S3: stage overrides as JSON records (name, enabled, model_override,
     temperature_override, max_tokens_override, system_prompt_override);
-    ``position`` (config order, first match wins) defaults to file order.
+    ``position`` (first match wins) defaults to the order of a stage's entries
+    by file name and line.
     Values are taken literally (no ``${VAR}`` interpolation)."""
     from quillframe.operators.requests import OVERRIDE_SCHEMA
 
     df = spark.read.schema(OVERRIDE_SCHEMA).json(path)
-    order = F.monotonically_increasing_id()
-    return df.withColumn("position", F.coalesce(F.col("position"), F.row_number().over(Window.orderBy(order)).cast("int")))
+    # the place in its file: block start and order of reading within it; the window is one stage's few entries
+    place = F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
+    rows = df.select("*", place.alias("_place"))
+    w = Window.partitionBy("name").orderBy("_place")
+    return rows.withColumn("position", F.coalesce(F.col("position"), F.row_number().over(w).cast("int"))).drop("_place")

@@ -1,8 +1,11 @@
 """Corpus analytics (P1-P14) on literal fixtures."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from quillframe.operators import analytics as A
+from quillframe.operators import near_duplicates as NearDuplicates
 from quillframe.operators import contracts as C
 
 
@@ -53,18 +56,80 @@ def test_shingle_overlap(spark):
     assert words
 
 
-def test_link_candidates_hub(spark):
-    pages = spark.createDataFrame(
-        [(1, "http://s/a", '<a href="/b">b</a>'), (2, "http://s/b", ""), (3, "http://s/c", "")] + [(i, f"http://s/{i}", "") for i in range(4, 41)],
-        "page_id bigint, url string, html string",
-    )
-    kw = spark.createDataFrame(
-        [(1, "spark", 2.0, 3), (2, "spark", 5.0, 3), (3, "spark", 1.0, 3), (3, "delta", 4.0, 1)],
-        "page_id bigint, term string, score double, df bigint",
-    )
-    c = {(r.page_id, r.hub) for r in A.link_candidates(pages, kw).collect()}
-    # page 2 is the spark hub; page 1 already links to /b; page 3 gets a suggestion
-    assert c == {(3, 2)}
+def test_url_references(spark):
+    """The forms of a reference, resolved by hand (host, path)."""
+    base = "https://Me@WWW.site.org:443/a/b/c.html?q=1#top"
+    cases = {
+        "https://other.org": ("other.org", "/"), "HTTP://Other.org:80/x?y#z": ("other.org", "/x"), "http://other.org:443/": ("other.org:443", "/"),
+        "//cdn.org/p": ("cdn.org", "/p"), "/": ("www.site.org", "/"), "/x/./y/../z": ("www.site.org", "/x/z"), "d": ("www.site.org", "/a/b/d"),
+        "../d/": ("www.site.org", "/a/d/"), "../../../up": ("www.site.org", "/up"), "./": ("www.site.org", "/a/b/"), "..": ("www.site.org", "/a/"),
+        "?q=2": ("www.site.org", "/a/b/c.html"), "#part": ("www.site.org", "/a/b/c.html"), "": ("www.site.org", "/a/b/c.html"), "/.well-known/x": ("www.site.org", "/.well-known/x"),
+        "mailto:me@x.org": None, "javascript:void(0)": None, "data:text/plain,x": None, "ftp://x.org/": None, "http:x": None,
+    }
+    df = spark.createDataFrame([(k, base) for k in cases], "h string, b string")
+    got = {r.h: r.p and tuple(r.p) for r in df.select("h", A.url_page(F.col("h"), F.col("b")).alias("p")).collect()}
+    assert got == cases
+    assert spark.range(1).select(A.url_page(F.lit("/x"), F.lit(None).cast("string"))).first()[0] is None
+
+
+def test_link_candidates_of_two_sites_and_a_hot_term(spark):
+    page = "page_id bigint, url string, html string, text string"
+    rows = [
+        (1, "http://a.org/", '<a href="/x">x</a><a href="/x#y">again</a><a href="/">me</a>', "hot rare"),
+        (2, "http://a.org/x", '<a href="http://B.org">b</a>', "hot rare rare"),
+        (3, "http://b.org/", '<a href="mailto:q">q</a>', "hot hot alone"),
+        (4, "https://b.org/y", '<a href="..">up</a><a href="//a.org/x">x</a>', "hot rare"),
+    ]
+    rows += [(i, f"http://c.org/{i}", "", "hot") for i in range(10, 210)]
+    pages = spark.createDataFrame(rows, page)
+    inv = A.link_inventory(pages).cache()
+    # the root paths of a.org and b.org are two pages; 4 lies on https, the same host
+    assert sorted(map(tuple, inv.collect())) == [(1, 2), (2, 3), (4, 2), (4, 3)]
+    got = {(r.page_id, r.term): tuple(r[2:]) for r in A.link_candidates(A.term_index(pages).cache(), inv).collect()}
+    assert got[1, "rare"] == (1, 3, 1, 1, 2, True) and got[2, "rare"] == (2, 3, 0, 2, 1, False) and got[4, "rare"] == (1, 3, 1, 1, 2, True)
+    assert got[4, "hot"] == (1, 204, 2, 201, 3, True) and got[3, "hot"] == (2, 204, 0, 203, 1, False)
+    assert len([k for k in got if k[1] == "hot"]) == 204 and ("alone" not in {k[1] for k in got})
+    # a page that links every other holder of a term has no candidate for it
+    full = inv.unionByName(spark.createDataFrame([(4, 1)], "page_id bigint, target bigint"))
+    assert (4, "rare") not in {(r.page_id, r.term) for r in A.link_candidates(A.term_index(pages), full).collect()}
+
+
+def test_near_duplicates_equal_all_pairs(spark):
+    rnd = random.Random(4)
+    words = [f"w{i}" for i in range(400)]
+    texts = []
+    for _ in range(25):
+        base = rnd.choices(words, k=rnd.choice([3, 30, 90, 300]))
+        texts.append(" ".join(base))
+        for _ in range(6):
+            other = list(base)
+            for _ in range(rnd.choice([0, 1, 1, 2, 5])):
+                other[rnd.randrange(len(other))] = rnd.choice(words)
+            texts.append(" ".join(other))
+    texts += [texts[0]] * 40 + ["", "!!", "one two", "two one"]  # copies, no tokens, short texts
+    sets = {}
+    for i, t in enumerate(texts):
+        tk = t.split() if t != "!!" else []
+        if tk:
+            sets.setdefault(frozenset(" ".join(tk[j : j + 5]) for j in range(max(1, len(tk) - 4))), []).append(i)
+    want = {}
+    for x, ix in sets.items():
+        for y, iy in sets.items():
+            if ix[0] < iy[0] and len(x & y) >= 0.8 * len(x | y):
+                want[ix[0], iy[0]] = len(x & y)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    df = df.withColumn("text", F.translate("text", "0123456789", "abcdefghij"))
+    pairs, members = NearDuplicates.near_duplicates(df)
+    got = {(r.class_a, r.class_b): r.shared for r in pairs.collect()}
+    assert want and got == want
+    assert {r.doc_id: (r.class_id, r.copies) for r in members.collect()} == {i: (ix[0], len(ix)) for ix in sets.values() for i in ix}
+
+
+def test_overlap_is_the_same_by_every_route(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{chr(97 + (i * k) % 7)}" for k in range(40)) + " common words in every text that there is") for i in range(60)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, "so common words in every text that there is here"), (2, docs.first().text)], "item_id bigint, text string")
+    want = sorted(map(tuple, A.shingle_overlap(docs, items).collect()))
+    assert len(want) > 60 and sorted(map(tuple, A.shingle_overlap(docs, items, broadcast_rows=0, hot=20).collect())) == want
 
 
 def test_outline_coverage(spark):

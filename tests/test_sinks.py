@@ -3,10 +3,14 @@
 import datetime as dt
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillframe.operators import metrics as M
+from quillframe.plans import workflow as W
+from quillframe.plans.simulated import ExpressionCompleter
 from quillframe.session import scratch_path
+from quillframe.sinks import documents as D
 from quillframe.sinks import writers as K
 from tests.test_metrics import calls
 
@@ -18,20 +22,72 @@ def _articles(spark):
     )
 
 
+def _read(spark, path):
+    return {(r.run_id, r.topic_id, r.name): r.body for r in D.read_documents(spark, path).collect()}
+
+
 def test_article_and_markdown_and_html_sinks(spark):
     a = _articles(spark)
     base = scratch_path(spark, "test-sinks")
     K.write_articles(a, f"{base}/articles", run_date=F.lit(dt.date(2024, 1, 2)))
     back = spark.read.parquet(f"{base}/articles")
     assert back.count() == 2 and back.where("run_date = '2024-01-02'").count() == 2
-    K.write_article_bodies(a, f"{base}/bodies")
-    assert sorted(r.value for r in spark.read.text(f"{base}/bodies", wholetext=False).collect())[0] == "# Hello"
-    K.write_markdown(a, f"{base}/md")
-    md = spark.read.text(f"{base}/md", wholetext=True).collect()
-    assert any(r.value.startswith("---\ntitle: Alpha\n---\n# Hello") for r in md)
-    K.write_html(a, f"{base}/html", date=F.lit("2024-01-02"))
-    html = " ".join(r.value for r in spark.read.text(f"{base}/html", wholetext=True).collect())
-    assert "<title>Alpha</title>" in html and "<h1>Hello</h1>" in html
+    K.write_article_bodies(a, f"{base}/docs", name="body.txt")
+    K.write_markdown(a, f"{base}/docs")
+    K.write_html(a, f"{base}/docs", date=F.lit("2024-01-02"))
+    got = _read(spark, f"{base}/docs")
+    assert len(got) == 6 and got["r1", "1", "body.txt"] == "# Hello\nbody"
+    assert got["r1", "1", "article.md"] == "---\ntitle: Alpha\n---\n# Hello\nbody"
+    assert "<title>Alpha</title>" in got["r1", "1", "article.html"] and "<h1>Hello</h1>" in got["r1", "1", "article.html"]
+
+
+def test_documents_of_any_name_and_text_read_back(spark):
+    rows = [("run/1", "a b%+ü'~", "x.md", "ä\r\n\n"), ("run/1", "a b", "x.md", ""), (None, "0", "x.md", None), ("r", "n" * 300, "x.md", "long name"), ("r", "1", "..", "dots")]
+    df = spark.createDataFrame(rows, "run_id string, topic_id string, name string, body string").repartition(3)
+    path = scratch_path(spark, "test-documents")
+    D.write_documents(df, path, F.col("body"), F.col("name"))
+    assert _read(spark, path) == {r[:3]: r[3] or "" for r in rows}
+    # written again: the newer one counts
+    D.write_documents(df.where("name = '..'"), path, F.lit("newer"), F.col("name"))
+    assert _read(spark, path)["r", "1", ".."] == "newer" and D.read_manifest(spark, path).count() == 5
+
+
+def test_a_failed_job_leaves_no_document(spark, tmp_path):
+    path = str(tmp_path / "docs")
+    ok = spark.createDataFrame([("r", "1", "kept")], "run_id string, topic_id string, body string")
+    D.write_documents(ok, path, F.col("body"), "a.md")
+    bad = spark.range(0, 40, 1, 4).select(F.lit("r").alias("run_id"), F.col("id").cast("string").alias("topic_id"), F.when(F.col("id") < 35, F.lit("x")).otherwise(F.raise_error(F.lit("lost"))).alias("body"))
+    with pytest.raises(Exception):  # noqa: B017
+        D.write_documents(bad, path, F.col("body"), "a.md")
+    assert _read(spark, path) == {("r", "1", "a.md"): "kept"}
+    assert len([f for f in (tmp_path / "docs" / "files").rglob("*") if f.is_file()]) == 1
+
+
+def test_an_attempt_that_does_not_count_is_removed(tmp_path):
+    w = D.DocumentWriter(str(tmp_path))
+    row = {"run_id": "r", "topic_id": "1", "name": "a", "body": "x"}
+    first, second = w.write(iter([row])), w.write(iter([row]))  # a task that ran twice
+    w.commit([second])
+    assert [p.name for p in (tmp_path / "files" / w.job).iterdir()] == [second.folder] != [first.folder]
+    v = D.DocumentWriter(str(tmp_path))
+    v.write(iter([row]))
+    v.abort([None])
+    assert not (tmp_path / "files" / v.job).exists()
+
+
+def test_published_files_are_named_in_the_results(spark):
+    t = spark.createDataFrame([(1, "Alpha"), (2, "Beta")], "topic_id bigint, topic string")
+    c = ExpressionCompleter(
+        replies={"quality": lambda col: F.lit('{"overall_score": 95}'), "editor": lambda col: F.concat(col("topic"), F.lit(" text")), "publisher": lambda col: F.lit('{"formats": {}}')},
+        errors={"publisher": lambda col: F.when(col("topic_id") == 2, F.lit("down"))},
+    )
+    path = scratch_path(spark, "test-published")
+    run = W.run_pipeline(t, c, run_id="r", output_path=path)
+    arts = {r.topic_id: r for r in run.articles.collect()}
+    files = arts[1].agent_results["publisher"].metadata.output_files
+    assert [f.rsplit("~", 1)[1] for f in files] == ["'article.md", "'publisher_output.json"]
+    assert arts[2].agent_results["publisher"].metadata is None
+    assert _read(spark, path) == {("r", "1", "article.md"): "Alpha text", ("r", "1", "publisher_output.json"): '{"formats": {}}'}
 
 
 def test_json_report_keeps_non_ascii(spark):
