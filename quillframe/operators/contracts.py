@@ -66,34 +66,65 @@ def research_facts(df: DataFrame, content: str = "content", keys: tuple[str, ...
     )
 
 
+def _list_items(df: DataFrame, content: str, schema: str, keys: tuple[str, ...], lists: list[tuple[str, str]]) -> DataFrame:
+    """One row per item of a reply's lists: (keys, kind, item_pos, item); ``lists`` are (kind, field of the reply)."""
+    r = df.select(*keys, parse(content, schema).alias("r"))
+
+    def items(kind: str, field: str) -> Column:
+        return F.transform(F.coalesce(F.col(f"r.{field}"), F.array()), lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("pos"), x.alias("item")))
+
+    stacked = F.concat(*[items(k, f) for k, f in lists])
+    rows = r.select(*keys, F.explode_outer(stacked).alias("x")).where(F.col("x").isNotNull())
+    return rows.select(*keys, F.col("x.kind").alias("kind"), F.col("x.pos").alias("item_pos"), F.col("x.item").alias("item"))
+
+
 def research_lists(df: DataFrame, content: str = "content", keys: tuple[str, ...] = ("topic_id",)) -> DataFrame:
     """Claims / sources / angles, one row per list item."""
-    r = df.select(*keys, parse(content, RESEARCH_SCHEMA).alias("r"))
-    stacked = F.concat(
-        F.transform(F.coalesce(F.col("r.controversial_claims"), F.array()), lambda x: F.struct(F.lit("claim").alias("kind"), x.alias("item"))),
-        F.transform(F.coalesce(F.col("r.suggested_sources"), F.array()), lambda x: F.struct(F.lit("source").alias("kind"), x.alias("item"))),
-        F.transform(F.coalesce(F.col("r.trending_angles"), F.array()), lambda x: F.struct(F.lit("angle").alias("kind"), x.alias("item"))),
-    )
-    return r.select(*keys, F.explode_outer(stacked).alias("x")).where(F.col("x").isNotNull()).select(*keys, "x.kind", "x.item")
+    return _list_items(df, content, RESEARCH_SCHEMA, keys, [("claim", "controversial_claims"), ("source", "suggested_sources"), ("angle", "trending_angles")])
+
+
+def seo_lists(df: DataFrame, content: str = "content", keys: tuple[str, ...] = ("topic_id",)) -> DataFrame:
+    """Every list of the review, one row per item."""
+    return _list_items(df, content, SEO_SCHEMA, keys, [
+        ("secondary_keyword", "keyword_analysis.secondary_keywords"), ("keyword_recommendation", "keyword_analysis.recommendations"),
+        ("heading_issue", "heading_structure.issues"), ("heading_suggestion", "heading_structure.suggestions"),
+        ("featured_snippet", "featured_snippet_candidates"), ("internal_link", "internal_link_suggestions"),
+        ("image_alt", "image_alt_suggestions"), ("recommendation", "overall_recommendations"),
+    ])
+
+
+def quality_lists(df: DataFrame, content: str = "content", keys: tuple[str, ...] = ("topic_id",)) -> DataFrame:
+    """Every list of the quality reply, one row per item."""
+    return _list_items(df, content, QUALITY_SCHEMA, keys, [
+        ("factual_issue", "factual_issues"), ("logical_inconsistency", "logical_inconsistencies"), ("bias_flag", "bias_flags"),
+        ("suggestion", "improvement_suggestions"), ("strength", "strengths"),
+    ])
 
 
 def outline_sections(df: DataFrame, content: str = "content", keys: tuple[str, ...] = ("topic_id",)) -> DataFrame:
-    """One row per section with position, budget and keyword list."""
+    """One row per section with position, budget and lists (comma-joined; key points by line), and the reply's own fields."""
     r = df.select(*keys, parse(content, OUTLINE_SCHEMA).alias("o"))
     return r.select(
         *keys,
         F.col("o.title").alias("title"),
         F.col("o.target_word_count").alias("target_word_count"),
+        *[F.col(f"o.{c}").alias(c) for c in ("meta_description", "estimated_reading_time", "content_type")],
         F.posexplode_outer("o.sections").alias("section_pos", "s"),
     ).where(F.col("s").isNotNull()).select(
         *keys,
         "title",
         "target_word_count",
+        "meta_description",
+        "estimated_reading_time",
+        "content_type",
         "section_pos",
         F.col("s.heading").alias("heading"),
         F.col("s.word_allocation").alias("word_allocation"),
         F.coalesce(F.size("s.subheadings"), F.lit(0)).alias("n_subheadings"),
         F.array_join(F.coalesce(F.col("s.seo_keywords"), F.array()), ",").alias("seo_keywords"),
+        F.coalesce(F.size("s.key_points"), F.lit(0)).alias("n_key_points"),
+        F.array_join(F.coalesce(F.col("s.key_points"), F.array()), "\n").alias("key_points"),
+        F.col("s.transition_note").alias("transition_note"),
     )
 
 
@@ -112,6 +143,9 @@ def seo_report(df: DataFrame, content: str = "content", keys: tuple[str, ...] =
         keyword_density_value(F.col("s.keyword_analysis.keyword_density")).alias("keyword_density"),
         F.col("s.title_optimization.current").alias("title_current"),
         F.col("s.title_optimization.suggested").alias("title_suggested"),
+        F.col("s.title_optimization.reason").alias("title_reason"),
+        F.col("s.meta_description.current").alias("meta_current"),
+        F.col("s.meta_description.optimized").alias("meta_optimized"),
         F.col("s.meta_description.char_count").alias("meta_char_count"),
         F.coalesce(F.size("s.heading_structure.issues"), F.lit(0)).alias("heading_issues"),
         F.coalesce(F.size("s.overall_recommendations"), F.lit(0)).alias("recommendations"),
@@ -124,12 +158,13 @@ def quality_dimensions(df: DataFrame, content: str = "content", keys: tuple[str,
     return r.select(
         *keys,
         F.coalesce(F.size("q.factual_issues"), F.lit(0)).alias("factual_issues"),
+        F.coalesce(F.size("q.logical_inconsistencies"), F.lit(0)).alias("logical_inconsistencies"),
         F.coalesce(F.size("q.bias_flags"), F.lit(0)).alias("bias_flags"),
         F.coalesce(F.size("q.improvement_suggestions"), F.lit(0)).alias("suggestions"),
         F.coalesce(F.size("q.strengths"), F.lit(0)).alias("strengths"),
         F.explode_outer("q.dimensions").alias("dimension", "d"),
     ).where(F.col("dimension").isNotNull()).select(*keys, "dimension", F.col("d.score").alias("score"), F.col("d.notes").alias("notes"),
-             "factual_issues", "bias_flags", "suggestions", "strengths")
+             "factual_issues", "logical_inconsistencies", "bias_flags", "suggestions", "strengths")
 
 
 def publisher_formats(df: DataFrame, content: str = "content", keys: tuple[str, ...] = ("topic_id",)) -> DataFrame:
@@ -140,6 +175,7 @@ def publisher_formats(df: DataFrame, content: str = "content", keys: tuple[str,
         F.col("p.metadata.title").alias("title"),
         F.array_join(F.coalesce(F.col("p.metadata.tags"), F.array()), ",").alias("tags"),
         F.col("p.metadata.word_count").alias("word_count"),
+        *[F.col(f"p.metadata.{c}").alias(c) for c in ("description", "category", "reading_time")],
         F.explode_outer("p.formats").alias("format", "text"),
     ).where(F.col("format").isNotNull())
 
