@@ -118,11 +118,9 @@ def keyword_density_rows(df: DataFrame, key: str, text: str, keywords: Column |
     100 * hits * words in keyword / word_count(text), null when the text has
     no words; stuffing when density > ``stuffing_pct``.
 
-    One scan and one shuffle: each row emits its tokens and its keywords as
-    (term, count) items; a hash aggregate on (doc, term) -- pre-aggregated
-    per task, so only distinct terms per document are shuffled -- gives the
-    hits of every single-word keyword.  Multi-word keywords are matched on
-    the row's token array and enter the same aggregate with their count.
+    All within the row, no shuffle.  A one-word keyword is counted by taking
+    it out of the blank-separated tokens and comparing lengths; a phrase is
+    matched on the token array.  Case variants of a keyword are one row.
     """
     a = df.select(
         key,
@@ -130,41 +128,28 @@ def keyword_density_rows(df: DataFrame, key: str, text: str, keywords: Column |
         T.word_count(text).alias("word_count"),
         F.transform(_c(keywords), lambda k: F.struct(k.alias("keyword"), T.tokens(k).alias("kt"))).alias("_kws"),
     )
+    # every token between two blanks of its own
+    a = a.withColumn("_flat", F.concat(F.lit(" "), F.array_join("_tk", "  "), F.lit(" ")))
     tk = F.col("_tk")
     n = F.size(tk)
-    item_t = "struct<term:string,n:bigint,keyword:string,n_words:int,word_count:bigint>"
 
     def phrase_hits(kt: Column) -> Column:
         m = F.size(kt)
         return F.when(n >= m, F.size(F.filter(F.sequence(F.lit(1), F.greatest(n - m + 1, F.lit(1))), lambda i: F.slice(tk, i, m) == kt)))
 
-    token_items = F.transform(
-        tk, lambda t: F.struct(t.alias("term"), F.lit(1).cast("bigint").alias("n"), F.lit(None).cast("string").alias("keyword"),
-                               F.lit(None).cast("int").alias("n_words"), F.lit(None).cast("bigint").alias("word_count"))
-    )
-    kw_items = F.transform(
-        "_kws",
-        lambda k: F.struct(
-            F.array_join(k["kt"], " ").alias("term"),
-            F.when(F.size(k["kt"]) > 1, F.coalesce(phrase_hits(k["kt"]), F.lit(0))).otherwise(F.lit(0)).cast("bigint").alias("n"),
-            k["keyword"].alias("keyword"),
-            F.size(k["kt"]).cast("int").alias("n_words"),
-            F.col("word_count").alias("word_count"),
-        ),
-    )
-    items = a.select(
-        key, F.explode_outer(F.concat(token_items.cast(f"array<{item_t}>"), kw_items.cast(f"array<{item_t}>"))).alias("it")
-    ).where(F.col("it").isNotNull())
-    # declarative aggregates only (max/sum), so this stays a codegen'd hash
-    # aggregate; case variants of one keyword collapse into one row.
-    agg = items.groupBy(key, F.col("it.term").alias("term")).agg(
-        F.sum("it.n").alias("hits"),
-        F.max("it.keyword").alias("keyword"),
-        F.max("it.n_words").alias("n_words"),
-        F.max("it.word_count").alias("word_count"),
-    )
-    b = agg.where(F.col("keyword").isNotNull()).select(key, "keyword", "hits", "n_words", "word_count")
-    b = b.withColumn("hits", F.when(F.col("n_words") == 0, F.lit(0)).otherwise(F.col("hits")).cast("bigint"))
+    def word_hits(kt: Column) -> Column:
+        word = F.concat(F.lit(" "), F.try_element_at(kt, F.lit(1)), F.lit(" "))
+        return ((F.length("_flat") - F.length(F.replace(F.col("_flat"), word, F.lit("")))) / F.length(word)).cast("bigint")
+
+    def counted(kt: Column) -> Column:
+        variants = F.transform(F.filter("_kws", lambda k: k["kt"] == kt), lambda k: k["keyword"])
+        hits = F.when(F.size(kt) == 0, F.lit(0)).when(F.size(kt) == 1, word_hits(kt)).otherwise(F.coalesce(phrase_hits(kt), F.lit(0)))
+        return F.struct(F.array_max(variants).alias("keyword"), hits.cast("bigint").alias("hits"), F.size(kt).alias("n_words"))
+
+    rows = F.transform(F.array_distinct(F.transform("_kws", lambda k: k["kt"])), counted)
+    b = a.select(key, "word_count", F.explode_outer(rows).alias("k")).where(F.col("k").isNotNull())
+    b = b.select(key, F.col("k.keyword").alias("keyword"), F.col("k.hits").alias("hits"), F.col("k.n_words").alias("n_words"), "word_count")
+    b = b.where(F.col("keyword").isNotNull())
     wc = F.col("word_count")
     density = F.when(wc > 0, F.lit(100.0) * F.col("hits") * F.col("n_words") / wc)
     return b.select(key, "keyword", "hits", "word_count", density.alias("density")).withColumn(
@@ -467,17 +452,18 @@ def normalize_heading(h: Column) -> Column:
     return F.regexp_replace(T.strip_ws(F.lower(h)), f"{T.WS_CLASS}+", " ")
 
 
-def article_sections(md: DataFrame, key: str = "doc_id", text: str = "md") -> DataFrame:
-    """Sections of a Markdown article: (key, heading, norm, level, words) where
-    words = word_count of the lines up to the next heading.
+def with_sections(md: DataFrame, text: str = "md") -> DataFrame:
+    """``md`` with ``_secs``: array of struct(heading, level, words), words being
+    the word_count of the lines up to the next heading.
 
     Per-line arrays are materialised as columns first, so each section sums
     a slice of the per-line word counts: O(lines) per document, no shuffle.
     """
+    given = md.columns
     lines = F.split(F.col(text), "\n")
-    a = md.select(key, lines.alias("_lines")).select(
-        key,
-        "_lines",
+    a = md.select("*", lines.alias("_lines"))
+    a = a.select(
+        "*",
         F.transform("_lines", lambda l: F.length(F.regexp_extract(l, r"^(#{1,6}) ", 1))).alias("_lv"),
         F.transform("_lines", lambda l: T.word_count(l)).alias("_wc"),
     )
@@ -501,15 +487,69 @@ def article_sections(md: DataFrame, key: str = "doc_id", text: str = "md") -> Da
             ).alias("words"),
         ),
     )
+    return a.select(*given, secs.alias("_secs"))
+
+
+def article_sections(md: DataFrame, key: str = "doc_id", text: str = "md") -> DataFrame:
+    """Sections of a Markdown article: (key, heading, norm, level, words), see :func:`with_sections`."""
     # explode_outer + filter: a plain explode makes the optimizer infer a
     # size(secs) > 0 filter and push it below the staged projections, which
     # would re-evaluate the per-line arrays inside the lambda.
-    return a.select(key, F.explode_outer(secs).alias("s")).where(F.col("s").isNotNull()).select(
+    return with_sections(md.select(key, text), text).select(key, F.explode_outer("_secs").alias("s")).where(F.col("s").isNotNull()).select(
         key, F.col("s.heading").alias("heading"), normalize_heading(F.col("s.heading")).alias("norm"),
         F.col("s.level").alias("level"), F.col("s.words").alias("words"),
     )
 
 
+COVERAGE = ("outline_sections", "covered", "missing", "extra")
+
+
+def outline_coverage_rows(df: DataFrame, outline: Column, key: str = "doc_id", text: str = "md") -> DataFrame:
+    """P10 on rows that hold their outline (array of struct(heading, word_allocation)) beside the article.
+
+    Both lists are normalised, sorted together by heading and folded once, so a
+    row costs O(n log n) in its own headings and nothing is shuffled.
+    """
+    a = with_sections(df.select(key, text, outline.alias("_outline")), text)
+    item = lambda norm, alloc, words: F.struct(norm.alias("norm"), alloc.cast("bigint").alias("alloc"), words.cast("bigint").alias("words"))
+    none = F.lit(None)
+    planned = F.transform("_outline", lambda o: item(normalize_heading(o["heading"]), o["word_allocation"], none))
+    there = F.transform("_secs", lambda s: item(normalize_heading(s["heading"]), none, s["words"]))
+    a = a.select(key, F.array_sort(F.concat(F.coalesce(planned, F.array().cast("array<struct<norm:string,alloc:bigint,words:bigint>>")), there)).alias("_all"))
+    zero = F.lit(0).cast("bigint")
+    empty = F.struct(
+        none.cast("string").alias("norm"), none.cast("bigint").alias("alloc"), none.cast("bigint").alias("words"),
+        *[zero.alias(c) for c in (*COVERAGE, "allocated_words", "covered_words")],
+    )
+
+    def closed(acc: Column) -> Column:
+        """The heading that ends here, counted."""
+        o, w = acc["alloc"].isNotNull(), acc["words"].isNotNull()
+        add = {"outline_sections": o, "covered": o & w, "missing": o & ~w, "extra": w & ~o}
+        return F.struct(
+            *[(acc[c] + add[c].cast("bigint")).alias(c) for c in COVERAGE],
+            (acc["allocated_words"] + F.coalesce(acc["alloc"], zero)).alias("allocated_words"),
+            (acc["covered_words"] + F.when(o, F.coalesce(acc["words"], zero)).otherwise(zero)).alias("covered_words"),
+        )
+
+    def plus(x: Column, y: Column) -> Column:
+        return F.when(x.isNull(), y).when(y.isNull(), x).otherwise(x + y)
+
+    def step(acc: Column, x: Column) -> Column:
+        same = acc["norm"].eqNullSafe(x["norm"])
+        done = closed(acc)
+        return F.struct(
+            x["norm"].alias("norm"),
+            F.when(same, plus(acc["alloc"], x["alloc"])).otherwise(x["alloc"]).alias("alloc"),
+            F.when(same, plus(acc["words"], x["words"])).otherwise(x["words"]).alias("words"),
+            *[F.when(same, acc[c]).otherwise(done[c]).alias(c) for c in (*COVERAGE, "allocated_words", "covered_words")],
+        )
+
+    out = a.where(F.size("_all") > 0).select(key, F.aggregate("_all", empty, step, closed).alias("_c")).select(key, "_c.*")
+    ratio = F.when(F.col("allocated_words") > 0, F.col("covered_words").cast("double") / F.col("allocated_words").cast("double"))
+    return out.withColumn("coverage_ratio", ratio)
+
+
 def outline_coverage(sections: DataFrame, outline: DataFrame, key: str = "doc_id") -> DataFrame:
     """P10: outline sections (key, heading, word_allocation) vs article sections
     (key, norm, words) by normalised heading -> per key: covered, missing,

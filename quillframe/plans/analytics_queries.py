@@ -295,11 +295,11 @@ def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.join(a, "class_a").join(b, "class_b").select("class_a", "class_b", "copies_a", "copies_b", "shared", "jaccard")
 
 
-def _outline_rows(d: DataFrame) -> DataFrame:
-    lines = F.split(F.col("text"), "\n")
+def _outline(text):
+    lines = F.split(text, "\n")
     heads = F.filter(F.transform(lines, lambda l, i: F.struct((i + 1).alias("i"), l.alias("l"))), lambda x: (x["i"] % 5 == 0) & (x["l"] != ""))
     outline = F.concat(F.transform(heads, lambda x: x["l"]), F.array(F.lit("Summary")))
-    return d.select("doc_id", F.explode_outer(outline).alias("heading"), F.lit(100).alias("word_allocation")).where(F.col("heading").isNotNull())
+    return F.transform(outline, lambda h: F.struct(h.alias("heading"), F.lit(100).alias("word_allocation")))
 
 
 def _sql_norm(x: str) -> str:
@@ -337,8 +337,7 @@ def outline_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P10: the article's sections (words per heading) against an outline
     (every 5th line as a section of 100 words, plus a Summary)."""
     d = _docs(spark, sf_dir, "text")
-    secs = A.article_sections(d.select("doc_id", doc_markdown(F.col("text")).alias("md")))
-    out = A.outline_coverage(secs, _outline_rows(d))
+    out = A.outline_coverage_rows(d.select("doc_id", "text", doc_markdown(F.col("text")).alias("md")).withColumn("_o", _outline(F.col("text"))), F.col("_o"))
     return out.select("doc_id", "outline_sections", "covered", "missing", "extra", "allocated_words", "covered_words", "coverage_ratio")
 
 
