@@ -526,15 +526,12 @@ def _sql_text(stage: str, slots: dict[str, str]) -> str:
     return f"(length({_sql_lit(st.system_prompt)}) + length({st.template.sql(slots)}))"
 
 
-def _ledger_sql() -> str:
-    """The tracker's rule over the calls that the chain makes: a call that failed
-    counts an error and no tokens, any other its usage, whatever the stage made of it."""
-    research = "('Research notes: ' || title || '. Key statistics and an expert quote follow.')"
-    outline = "('# ' || title || chr(10) || '## Background' || chr(10) || '## Findings' || chr(10) || '## Outlook')"
-    score = "(40 + n_chars % 20 + 10 * i)"
+def _sql_quality_reply(i: str, none: str) -> str:
+    """The scripted review of round ``i``; ``none`` stands for a reply without content."""
+    score = f"(40 + n_chars % 20 + 10 * {i})"
     dims = " || ',' || ".join(f"'\"{d}\":{{\"score\":' || CAST((n_chars + {13 * k}) % 101 AS VARCHAR) || ',\"notes\":\"{d} note\"}}'" for k, d in enumerate(DIMENSIONS))
-    reply = (
-        f"(CASE WHEN doc_id % 19 = 0 THEN '' WHEN doc_id % 11 = 0 THEN '{{\"overall_score\":\"' || CAST({score} AS VARCHAR) || '\"}}' "
+    return (
+        f"(CASE WHEN doc_id % 19 = 0 THEN {none} WHEN doc_id % 11 = 0 THEN '{{\"overall_score\":\"' || CAST({score} AS VARCHAR) || '\"}}' "
         f"WHEN doc_id % 13 = 0 THEN '```json' || chr(10) || '{{\"overall_score\":' || CAST({score} AS VARCHAR) || '}}' || chr(10) || '```' "
         "WHEN doc_id % 17 = 0 THEN '{\"overall_score\": true}' ELSE "
         f"'{{\"overall_score\":' || CAST({score} AS VARCHAR) || ',\"pass_threshold\":' || CASE WHEN {score} >= 80 THEN 'true' ELSE 'false' END"
@@ -542,6 +539,14 @@ def _ledger_sql() -> str:
         "array_to_string(list_transform(range(n_chars % 3), lambda x: '\"issue\"'), ',') || '],\"strengths\":[\"clear\"]}' END)"
     )
 
+
+def _ledger_sql() -> str:
+    """The tracker's rule over the calls that the chain makes: a call that failed
+    counts an error and no tokens, any other its usage, whatever the stage made of it."""
+    research = "('Research notes: ' || title || '. Key statistics and an expert quote follow.')"
+    outline = "('# ' || title || chr(10) || '## Background' || chr(10) || '## Findings' || chr(10) || '## Outlook')"
+    reply = _sql_quality_reply("i", "''")
+
     def call(stage: str, i: str, slots: dict, said: str, failed: str, source: str) -> str:
         k = S.STAGE_ORDER.index(stage)
         p, c = f"(({_sql_text(stage, slots)} + 3) // 4)", f"((length({said}) + 3) // 4)"
@@ -647,3 +652,78 @@ def topic_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select(
         "topic_id", "run_id", "status", F.array_join("agents_run", ",").alias("agents_run"), F.length("article").cast("bigint").alias("article_chars"), F.md5("article").alias("article_md5")
     )
+
+
+# ------------------------------------------------------------ full results
+
+#: Metadata fields of the results query, with their SQL types.
+_META = {
+    "topic": "VARCHAR", "has_statistics": "BOOLEAN", "has_quotes": "BOOLEAN", "output_length": "BIGINT", "target_words": "BIGINT", "word_count": "BIGINT",
+    "language": "VARCHAR", "content_length": "BIGINT", "input_length": "BIGINT", "reading_level": "VARCHAR", "overall_score": "DOUBLE", "threshold": "DOUBLE",
+    "passes_threshold": "BOOLEAN", "source_language": "VARCHAR", "target_language": "VARCHAR",
+}
+
+
+def _results_sql() -> str:
+    """Every stage's result row of every article, one review round, with failing research, outlines and reviews."""
+    research = "('Research notes: ' || title || '. Key statistics and an expert quote follow.')"
+    outline = "('# ' || title || chr(10) || '## Background' || chr(10) || '## Findings' || chr(10) || '## Outlook')"
+    seo = "('{\"seo_score\":' || CAST(n_chars % 100 AS VARCHAR) || '}')"
+    edited = "(text || chr(10) || chr(10) || 'Revision 1')"
+    review = _sql_quality_reply("1", "NULL")
+    pub = "('{\"formats\":{\"social_twitter\":\"' || title || '\"},\"metadata\":{\"title\":\"' || title || '\"}}')"
+    targets = "CASE WHEN doc_id % 3 = 0 THEN 'markdown, html, text' WHEN doc_id % 3 = 1 THEN 'html' ELSE 'markdown' END"
+    words = f"CAST(len(regexp_extract_all(text, '[^{T.WS}]+')) AS BIGINT)"
+    tr = f"('[' || l || '] ' || {edited})"
+    ok_r, ok_o = "doc_id % 23 <> 0", "doc_id % 23 <> 0 AND doc_id % 29 <> 0"
+
+    def row(stage: str, content: str, slots: dict, failed: str, error: str, meta: dict[str, str], source: str, key: str | None = None, iteration: str = "1") -> str:
+        tokens = f"(({_sql_text(stage, slots)} + 3) // 4 + (length({content}) + 3) // 4)"
+        fields = ", ".join(f"CASE WHEN NOT ({failed}) THEN CAST({meta.get(c, 'NULL')} AS {t}) END AS m_{c}" for c, t in _META.items())
+        return (
+            f"SELECT doc_id AS topic_id, {key or repr(stage)} AS agent, CASE WHEN {failed} THEN 'failed' ELSE 'success' END AS status, CASE WHEN {failed} THEN {error} END AS error, "
+            f"CAST({iteration} AS INTEGER) AS iteration, CASE WHEN {failed} THEN '' ELSE {content} END AS content, CAST(CASE WHEN {failed} THEN 0 ELSE {tokens} END AS BIGINT) AS tokens_used, {fields} FROM {source}"
+        )
+
+    no = "false"
+    rows = "\nUNION ALL\n".join([
+        row("research", research, {"topic": "title"}, "doc_id % 23 = 0", "'connection refused'", {"topic": "title", "has_statistics": "true", "has_quotes": "true", "output_length": f"length({research})"}, "d"),
+        row("outline", outline, {"target_words": "'2000'", "research_data": research}, "doc_id % 29 = 0", "'HTTP 500'", {"target_words": "2000", "output_length": f"length({outline})"}, f"(SELECT * FROM d WHERE {ok_r})"),
+        row("writer", "text", {"language": "lang", "outline": outline, "research_data": research}, no, "NULL", {"language": "lang", "word_count": words, "output_length": "length(text)"}, "ok"),
+        row("seo", seo, {"keywords": "'auto-detect'", "content": "text"}, no, "NULL", {"content_length": "length(text)"}, "ok"),
+        row("editor", edited, {"target_reading_level": "'general'", "seo_recommendations": seo, "content": "text"}, no, "NULL", {"input_length": "length(text)", "output_length": f"length({edited})", "reading_level": "'general'"}, "ok"),
+        row("quality", review, {"title": "title", "threshold_pct": "'80.0'", "content": edited}, "(doc_id % 19 = 0 OR doc_id % 11 = 0)",
+            "CASE WHEN doc_id % 19 = 0 THEN 'reply has no content' ELSE 'overall_score is not a number' END",
+            {"threshold": "0.8", "content_length": f"length({edited})", "overall_score": "CASE WHEN doc_id % 13 = 0 THEN 0 WHEN doc_id % 17 = 0 THEN 1 ELSE 50 + n_chars % 20 END", "passes_threshold": "false"}, "ok"),
+        row("translator", tr, {"source_language": "lang", "target_language": "l", "keywords_note": "NULL", "content": edited}, no, "NULL",
+            {"source_language": "lang", "target_language": "l", "input_length": f"length({edited})", "output_length": f"length({tr})"},
+            "(SELECT *, unnest(langs) AS l, generate_subscripts(langs, 1) AS place FROM ok)", "'translator_' || l", "place"),
+        row("publisher", pub, {"targets_text": targets, "title": "title", "content": edited}, no, "NULL", {"content_length": f"length({edited})"}, "ok"),
+    ])
+    meta = ", ".join(f"m_{c}" for c in _META)
+    return f"""WITH d AS (SELECT doc_id, text, lang, n_chars, {SQL_TITLE} AS title,
+         CASE WHEN lang = 'en' THEN ['zh', 'ms'] WHEN lang = 'fr' THEN ['en'] WHEN lang = 'es' THEN ['ja', 'ko'] ELSE [] END AS langs FROM documents),
+ok AS (SELECT * FROM d WHERE {ok_o}),
+r AS ({rows})
+SELECT topic_id, agent, status, error, iteration, CAST(length(content) AS BIGINT) AS content_chars, md5(content) AS content_md5, tokens_used, {meta},
+       CASE WHEN topic_id % 23 = 0 OR topic_id % 29 = 0 THEN 'failed' ELSE 'success' END AS article_status
+FROM r"""
+
+
+@query("stage_results", _results_sql())
+def stage_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stage's full result in every article (status, error, content,
+    tokens, metadata), where some research and outlines fail and end their article, and
+    some reviews can't be used and don't."""
+    errors = {
+        "research": lambda col: F.when(col("topic_id") % 23 == 0, F.lit("connection refused")),
+        "outline": lambda col: F.when(col("topic_id") % 29 == 0, F.lit("HTTP 500")),
+    }
+    c = ExpressionCompleter(replies=doc_completer().replies, errors=errors)
+    t = _doc_topics(spark, sf_dir).withColumn("max_iterations", F.lit(1))
+    run = W.run_pipeline(t, c, keep=["text", "n_chars", "quality"])
+    r = run.articles.select("topic_id", F.col("status").alias("article_status"), F.explode("agent_results").alias("agent", "r"))
+    return r.select(
+        "topic_id", "agent", "r.status", "r.error", "r.iteration", F.length("r.content").cast("bigint").alias("content_chars"), F.md5("r.content").alias("content_md5"),
+        "r.tokens_used", *[F.col(f"r.metadata.{c}").alias(f"m_{c}") for c in _META], "article_status",
+    )
