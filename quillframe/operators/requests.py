@@ -2,9 +2,9 @@
 provider (R5), payload (R6), override lookup (B1), preset fallback (B3) and
 stage validation (F6/B2).
 
-Dimensions here (providers, stage overrides, stage registry) are config-sized
-(tens of rows), so they are broadcast; the request table itself never
-shuffles while it is built.
+Dimensions here (providers, stage overrides, stage registry) are joined
+without hints: at their usual tens of rows Spark broadcasts them by their
+size, and the request table is not shuffled while it is built.
 """
 
 from __future__ import annotations
@@ -93,7 +93,7 @@ def resolve_providers(connections: DataFrame, presets: DataFrame) -> DataFrame:
     An unknown provider falls back to the default preset.  Output keeps the
     env-var *names* for key and base URL; secrets never become columns.
     """
-    p = F.broadcast(presets)
+    p = presets  # no hint: a local table of a few rows is broadcast by its known size
     # the default preset is one row: a scalar subquery, not a join
     d = presets.where(F.col("provider") == DEFAULT_PROVIDER).select(F.struct(*presets.columns)).scalar()
     j = connections.join(p, "provider", "left").select("*", d.alias("_d"))
@@ -133,7 +133,7 @@ def with_overrides(requests: DataFrame, overrides: DataFrame | None, stage_col:
     With a constant ``stage_name`` (one stage per request table, the usual
     case) the override is a scalar subquery: evaluated once, no join.  For a
     table whose rows carry different stages it is an equi join on the stage
-    name with the override dimension broadcast (config-sized).
+    name; without a hint, so its size decides whether it is broadcast.
     """
     if overrides is None:
         return requests.select("*", *[F.lit(None).cast(t).alias(c) for c, t in _override_types()])
@@ -142,7 +142,7 @@ def with_overrides(requests: DataFrame, overrides: DataFrame | None, stage_col:
         row = eff.where(F.col("name") == stage_name).select(F.struct(*_OVERRIDE_FIELDS)).scalar()
         with_row = requests.select("*", row.alias("_ov"))
         return with_row.select(*requests.columns, *[F.col(f"_ov.{c}").alias(c) for c in _OVERRIDE_FIELDS])
-    ov = F.broadcast(eff).withColumnRenamed("name", "_ov_name")
+    ov = eff.withColumnRenamed("name", "_ov_name")
     return requests.join(ov, requests[stage_col] == ov["_ov_name"], "left").drop("_ov_name")
 
 
@@ -288,6 +288,51 @@ def build_requests(
     )
 
 
+def build_all_requests(
+    inputs: DataFrame,
+    stages: list[S.Stage],
+    slot_cols: dict[str, dict[str, Column]],
+    settings: LLMSettings = LLMSettings(),
+    overrides: DataFrame | None = None,
+) -> DataFrame:
+    """R1 + R3 + R4 for several stages of every input row, in one scan.
+
+    Each row becomes an array with one entry a stage (prompt, default system
+    prompt, the stage's own max_tokens), which is exploded and meets the
+    overrides in one join on the stage's name.
+    """
+    settings = resolved_settings(settings)
+
+    def entry(stage: S.Stage) -> Column:
+        slots = {c: F.col(c) for c in inputs.columns} | slot_cols.get(stage.name, {})
+        return F.struct(
+            F.lit(stage.name).alias("stage"),
+            stage.user_prompt(slots).alias("user_prompt"),
+            F.lit(stage.system_prompt).alias("_system"),
+            F.lit(stage.call_max_tokens).cast("int").alias("_max_tokens"),
+        )
+
+    rows = inputs.select("run_id", "topic_id", F.explode(F.array(*[entry(s) for s in stages])).alias("_s")).select("run_id", "topic_id", "_s.*")
+    rows = resolve_parameters(with_overrides(rows, overrides), settings, F.col("_system"), call_max_tokens=F.col("_max_tokens"))
+    return rows.select("run_id", "topic_id", "stage", "stage_enabled", "system_prompt", "user_prompt", "model", "temperature", "max_tokens", "top_p")
+
+
+def supported_models(presets: list[tuple] | None = None, more: list[str] | None = None) -> list[str]:
+    """Models that requests may name: the presets' defaults and those that the user adds."""
+    return sorted({r[3] for r in [*PROVIDER_PRESETS, *(presets or [])]} | set(more or []))
+
+
+def unsupported_models(requested: DataFrame, supported: list[str], key: str = "topic_id") -> DataFrame:
+    """error rows (key, model, error) for requested models that are not supported.
+
+    ``requested`` has (key, model); a row without a model takes the default
+    and is no error.
+    """
+    known = ", ".join(supported)
+    bad = requested.where(F.coalesce("model", F.lit("")) != "").where(~F.col("model").isin(supported))
+    return bad.select(key, "model", F.concat(F.lit("unsupported model '"), F.col("model"), F.lit(f"'; supported: {known}")).alias("error"))
+
+
 def stage_registry_df(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(n,) for n in S.stage_names()], "stage string")
 
@@ -299,7 +344,7 @@ def unknown_stages(requested: DataFrame, spark: SparkSession | None = None, key:
     ``requested`` has (key, stages array<string>).
     """
     spark = spark or requested.sparkSession
-    reg = F.broadcast(stage_registry_df(spark))
+    reg = stage_registry_df(spark)
     known = ", ".join(sorted(S.stage_names()))
     names = requested.select(key, F.explode("stages").alias("stage"))
     unknown = names.join(reg, "stage", "left_anti").select(

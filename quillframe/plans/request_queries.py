@@ -168,15 +168,7 @@ def params(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select(
         F.col("source").alias("run_id"), F.col("doc_id").alias("topic_id"), "doc_id", "text", "lang", "source"
     )
-    ov = overrides_df(spark)
-    frames = []
-    for name in S.STAGE_ORDER:
-        st = S.get_stage(name)
-        r = Q.build_requests(d, st, SETTINGS, ov, slot_cols=_stage_slots_spark()[name])
-        frames.append(r)
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
+    out = Q.build_all_requests(d, [S.get_stage(n) for n in S.STAGE_ORDER], _stage_slots_spark(), SETTINGS, overrides_df(spark))
     return out.select(
         F.col("topic_id").alias("doc_id"),
         "stage",
@@ -265,3 +257,41 @@ def unknown_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     req = req.withColumn("stages", F.when(F.col("doc_id") % 4 == 0, F.expr("CAST(array() AS array<string>)")).otherwise(F.col("stages")))
     return Q.unknown_stages(req, key="doc_id")
+
+
+#: A preset that the user adds, and one that takes a known one's place.
+OWN_PRESETS = [
+    ("acme", "https://llm.acme.test/v1", "bearer", "acme-large", "ACME_API_KEY", "ACME_BASE_URL"),
+    ("groq", "https://groq.test/v1", "api-key", "own-llama", "GROQ_API_KEY", "GROQ_BASE_URL"),
+]
+_OWN_NAMES = {r[0] for r in OWN_PRESETS}
+_ALL_PRESETS_SQL = ", ".join("(" + ", ".join(_sql_lit(x) for x in r) + ")" for r in [p for p in Q.PROVIDER_PRESETS if p[0] not in _OWN_NAMES] + OWN_PRESETS)
+
+
+@query(
+    "own_presets",
+    f"""WITH presets(provider, base_url, auth_style, model, api_key_env, base_url_env) AS (VALUES {_ALL_PRESETS_SQL}),
+n AS (SELECT DISTINCT source, CAST(regexp_extract(source, '(\\d+)$', 1) AS INTEGER) AS n FROM documents),
+c AS (SELECT source, {_CHOICE_SQL}[n % 10 + 1] AS provider, CASE WHEN n % 5 = 0 THEN 'custom-model' END AS model, CASE WHEN n % 7 = 0 THEN 'https://proxy.invalid/v1' END AS base_url FROM n)
+SELECT c.source, c.provider, p.provider IS NOT NULL AS preset_found, coalesce(c.base_url, p.base_url, d.base_url) AS base_url, coalesce(c.model, p.model, d.model) AS model,
+       coalesce(p.auth_style, d.auth_style) AS auth_style, coalesce(p.api_key_env, d.api_key_env) AS api_key_env
+FROM c LEFT JOIN presets p ON c.provider = p.provider CROSS JOIN (SELECT * FROM presets WHERE provider = '{Q.DEFAULT_PROVIDER}') d""",
+)
+def own_presets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Provider resolution with a preset that the user adds and one that replaces a known one."""
+    r = Q.resolve_providers(connections(spark, sf_dir), Q.presets_df(spark, OWN_PRESETS))
+    return r.select("source", "provider", "preset_found", "base_url", "model", "auth_style", "api_key_env")
+
+
+_SUPPORTED = Q.supported_models(more=["en-model"])
+
+
+@query(
+    "unsupported_models",
+    f"""SELECT doc_id, lang || '-model' AS model, 'unsupported model ''' || lang || '-model''; supported: {", ".join(_SUPPORTED)}' AS error
+FROM documents WHERE lang <> 'en'""",
+)
+def unsupported_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """requests that name a model which is not supported, one error row each."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat("lang", F.lit("-model")).alias("model"))
+    return Q.unsupported_models(d, _SUPPORTED, key="doc_id")
