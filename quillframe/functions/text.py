@@ -146,7 +146,8 @@ def parse_front_matter(header: Column | str) -> Column:
     Understands ``key: value`` lines and ``key:`` followed by ``  - item``
     lines (everything :func:`render_front_matter` writes).  Values stay
     strings; a repeated key keeps its last occurrence, like YAML loaders.
-    Lines matching neither form are ignored (no general YAML parser).
+    Lines matching neither form are left out (no general YAML parser);
+    :func:`front_matter_errors` lists them.
     """
     lines = F.split(F.coalesce(_c(header), F.lit("")), "\n")
     entry_t = "struct<key:string,values:array<string>>"
@@ -182,6 +183,27 @@ def parse_front_matter(header: Column | str) -> Column:
     return F.aggregate(lines, zero, step)["entries"]
 
 
+def front_matter_errors(header: Column | str) -> Column:
+    """array<struct<line int, text string, reason string>> of the header's lines that hold no field.
+
+    Blank lines and ``#`` comments are no errors; ``item without a key`` is a
+    ``  - item`` line before the first key, anything else is ``not a field``.
+    """
+    lines = F.split(F.coalesce(_c(header), F.lit("")), "\n")
+    keys = F.transform(lines, lambda x: x.rlike(_KEY_LINE))
+    first = F.coalesce(F.nullif(F.array_position(keys, True), F.lit(0)), F.lit(1 << 30))
+    item = lambda x: x.rlike(_ITEM_LINE)
+    found = F.transform(
+        lines,
+        lambda x, i: F.struct(
+            (i + 1).cast("int").alias("line"), x.alias("text"),
+            F.when(x.rlike(r"^\s*(#.*)?$") | x.rlike(_KEY_LINE) | (item(x) & (i + 1 > first)), F.lit(None))
+            .when(item(x), F.lit("item without a key")).otherwise(F.lit("not a field")).alias("reason"),
+        ),
+    )
+    return F.filter(found, lambda e: e["reason"].isNotNull())
+
+
 def render_front_matter(entries: Column | str, body: Column | str) -> Column:
     """``---``, ``key: value`` / ``key:`` + ``  - item`` lines, ``---``, newline, body.
 

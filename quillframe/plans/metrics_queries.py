@@ -331,3 +331,35 @@ def metrics_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "metrics")
     K.write_summary_documents(M.summary_document(calls(spark, sf_dir)), path)
     return K.multi_run_report(K.read_metrics(spark, path))
+
+
+@query(
+    "benchmark_files",
+    with_calls_cte(
+        """
+, runs AS (
+  SELECT run_id, CAST(sum(prompt_tokens + completion_tokens) AS BIGINT) AS total_tokens,
+         CAST(epoch_us(max(event_time)) - epoch_us(min(event_time)) AS DOUBLE) / 1000000.0 AS duration_s,
+         5 * sum(errors) <= count(*) AS ok
+  FROM calls GROUP BY run_id),
+f AS (SELECT * FROM runs ORDER BY run_id LIMIT 5)
+SELECT 'run' AS kind, run_id, total_tokens, duration_s, ok, CAST(NULL AS BIGINT) AS runs FROM runs
+UNION ALL
+SELECT 'first five', NULL, CAST(sum(total_tokens) AS BIGINT), CAST(sum(CAST(duration_s AS DECIMAL(18,6))) AS DOUBLE) / count(*), NULL, count(*) FROM f WHERE ok
+"""
+    ),
+)
+def benchmark_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K7 + B5: the rows of all runs and the aggregate of the first five, written as JSON and read back."""
+    from quillframe.session import scratch_path
+    from quillframe.sinks import writers as K
+
+    path = scratch_path(spark, "benchmark")
+    runs = benchmark_runs(spark, sf_dir)
+    K.write_benchmark_results(runs, M.benchmark_summary(runs, max_runs=5), path)
+    back = spark.read.schema(runs.schema).json(f"{path}/runs").select(F.lit("run").alias("kind"), "run_id", "total_tokens", "duration_s", "ok", F.lit(None).cast("bigint").alias("runs"))
+    total = spark.read.schema("runs bigint, total_tokens bigint, avg_duration_s double").json(f"{path}/aggregate")
+    none = F.lit(None)
+    return back.unionByName(
+        total.select(F.lit("first five").alias("kind"), none.cast("string").alias("run_id"), "total_tokens", F.col("avg_duration_s").alias("duration_s"), none.cast("boolean").alias("ok"), "runs")
+    )

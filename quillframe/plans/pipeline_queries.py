@@ -727,3 +727,45 @@ def stage_results(spark: SparkSession, sf_dir: str) -> DataFrame:
         "topic_id", "agent", "r.status", "r.error", "r.iteration", F.length("r.content").cast("bigint").alias("content_chars"), F.md5("r.content").alias("content_md5"),
         "r.tokens_used", *[F.col(f"r.metadata.{c}").alias(f"m_{c}") for c in _META], "article_status",
     )
+
+
+@query(
+    "batch_completion",
+    f"""WITH p AS (SELECT doc_id, {S.get_stage("research").template.sql({"topic": SQL_TITLE + " || ' ' || CAST(doc_id AS VARCHAR)"})} AS prompt FROM documents),
+k AS (SELECT *, length(prompt) % 5 AS kind FROM p)
+SELECT doc_id, CASE WHEN kind < 3 THEN 'success' ELSE 'failed' END AS status, CASE kind WHEN 3 THEN 'HTTP 400: no' WHEN 4 THEN 'HTTP 503: busy' END AS error,
+       CASE WHEN kind < 3 THEN right(prompt, 20) ELSE '' END AS content, CAST(CASE kind WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 4 THEN 2 ELSE 0 END AS INTEGER) AS retries,
+       CAST(CASE WHEN kind < 3 THEN length(prompt) + 20 ELSE 0 END AS BIGINT) AS tokens_used, kind >= 3 AS call_failed
+FROM k""",
+)
+def batch_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One request a document through the HTTP completer (pools, retries, journal),
+    over a transport that answers at once, late, never, or refuses."""
+    from quillframe.operators.http_completion import HttpCompleter
+    from quillframe.plans.simulated import ScriptedEndpoint, no_wait
+
+    d = table(spark, sf_dir, "documents").select(F.lit("r").alias("run_id"), F.col("doc_id").alias("topic_id"), F.concat(doc_title(F.col("text")), F.lit(" "), F.col("doc_id").cast("string")).alias("topic"))
+    c = HttpCompleter("http://endpoint.invalid/v1", transport=ScriptedEndpoint(), sleep=no_wait, yield_rows=256)
+    r = I.run_stage(d, S.RESEARCH, c)
+    return r.select(F.col("topic_id").alias("doc_id"), "status", "error", "content", "retries", "tokens_used", "call_failed")
+
+
+@query(
+    "chosen_stages",
+    f"""WITH d AS (SELECT doc_id, n_chars, quality, {SQL_TITLE} AS title FROM {_SQL_LABELED})
+SELECT doc_id, CASE WHEN doc_id % 19 = 0 OR doc_id % 11 = 0 THEN 'failed' ELSE 'success' END AS status,
+       CASE WHEN doc_id % 19 = 0 OR doc_id % 11 = 0 THEN NULL WHEN doc_id % 13 = 0 THEN 0.0 WHEN doc_id % 17 = 0 THEN 1.0 ELSE CAST({_SQL_SCORE.format(i=1)} AS DOUBLE) END AS score,
+       CAST(length('Research notes: ' || title || '. Key statistics and an expert quote follow.') AS BIGINT) AS reviewed_chars
+FROM d""",
+)
+def chosen_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A chain of the user's own choice, research straight to quality."""
+    c = doc_completer()
+    d = _drafts(labeled_docs(spark, sf_dir)).select("run_id", "topic_id", "topic", "n_chars", "quality", "quality_threshold")
+    notes = I.run_stage(d, S.RESEARCH, c, keep=["topic", "n_chars", "quality", "quality_threshold"])
+    notes = notes.withColumn("notes", F.col("content"))
+    q = I.run_stage(
+        notes, S.QUALITY, c, keep=["n_chars", "quality", "notes"],
+        slot_cols={"content": F.col("notes"), "title": F.col("topic"), "threshold": F.col("quality_threshold"), "threshold_pct": T.threshold_percent("quality_threshold")},
+    )
+    return q.select(F.col("topic_id").alias("doc_id"), "status", F.col("metadata.overall_score").alias("score"), F.length("notes").cast("bigint").alias("reviewed_chars"))

@@ -5,6 +5,7 @@ Nothing of the engine imports this module.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
@@ -160,3 +161,33 @@ def sse_lines(responses: DataFrame, text: Column, chunk_chars: int = 20, reasoni
         (F.col("event_time") + F.make_interval(secs=F.col("seq").cast("decimal(18,6)"))).alias("event_time"),
         "line",
     )
+
+
+class ScriptedEndpoint:
+    """A transport without a network: what it answers follows from the prompt's length.
+
+    ``length % 5``: 0 answers at once, 1 after one 503, 2 after two timeouts,
+    3 refuses the request, 4 never answers.  The reply is the prompt's last 20
+    characters, the usage its length.
+    """
+
+    def __init__(self) -> None:
+        self.tries: dict[bytes, int] = {}
+
+    def __call__(self, url: str, body: bytes, headers: Mapping[str, str], timeout: float) -> tuple[int, bytes]:
+        prompt = json.loads(body)["messages"][-1]["content"]
+        kind = len(prompt) % 5
+        n = self.tries[body] = self.tries.get(body, 0) + 1
+        if kind == 3:
+            return 400, b"no"
+        if kind == 4 or (kind == 1 and n == 1):
+            return 503, b"busy"
+        if kind == 2 and n <= 2:
+            raise TimeoutError("timed out")
+        self.tries.pop(body)
+        usage = {"prompt_tokens": len(prompt), "completion_tokens": 20, "total_tokens": len(prompt) + 20}
+        return 200, json.dumps({"choices": [{"message": {"content": prompt[-20:]}}], "usage": usage}).encode()
+
+
+def no_wait(_: float) -> None:
+    """In place of the pause between two tries."""

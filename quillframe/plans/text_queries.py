@@ -253,3 +253,21 @@ SELECT doc_id, {sql_markdown_to_html('md')} AS html, CAST(length(md) AS BIGINT)
 def markdown_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _docs(spark, sf_dir, "text").select("doc_id", doc_markdown(F.col("text")).alias("md"))
     return d.select("doc_id", R.markdown_to_html("md").alias("html"), F.length("md").cast("bigint").alias("md_chars"))
+
+
+@query(
+    "front_matter_errors",
+    f"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '  - early' || chr(10) ELSE '' END || 'title: ' || {SQL_TITLE} || chr(10) || '# note' || chr(10) || '  - late' || chr(10) || chr(10) || text AS h FROM documents),
+l AS (SELECT doc_id, unnest(string_split(h, chr(10))) AS x, generate_subscripts(string_split(h, chr(10)), 1) AS i FROM d),
+k AS (SELECT *, regexp_matches(x, '^([^\\s:#-][^:]*):[ \\t]*(.*)$') AS is_key, regexp_matches(x, '^[ \\t]+-[ \\t]+(.*)$') AS is_item FROM l),
+f AS (SELECT *, min(CASE WHEN is_key THEN i END) OVER (PARTITION BY doc_id) AS first_key FROM k)
+SELECT doc_id, CAST(i AS INTEGER) AS line, md5(x) AS text_md5, CASE WHEN is_item THEN 'item without a key' ELSE 'not a field' END AS reason
+FROM f WHERE NOT (regexp_matches(x, '^\\s*(#.*)?$') OR is_key OR (is_item AND i > first_key))""",
+)
+def front_matter_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of front matter that hold no field, with their place and what is wrong."""
+    d = _docs(spark, sf_dir, "text")
+    early = F.when(F.col("doc_id") % 5 == 0, F.lit("  - early\n")).otherwise(F.lit(""))
+    h = F.concat(early, F.lit("title: "), doc_title(F.col("text")), F.lit("\n# note\n  - late\n\n"), F.col("text"))
+    e = d.select("doc_id", F.explode(T.front_matter_errors(h)).alias("e"))
+    return e.select("doc_id", "e.line", F.md5("e.text").alias("text_md5"), "e.reason")
