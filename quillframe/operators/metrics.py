@@ -267,9 +267,7 @@ def calendar_consumption(calls: DataFrame) -> DataFrame:
         "cached_tokens",
         "errors",
     )
-    base.createOrReplaceTempView("_qf_calendar_calls")
-    spark = calls.sparkSession
-    return spark.sql(
+    return calls.sparkSession.sql(
         """
         SELECT CASE WHEN grouping(day) = 0 THEN 'day' WHEN grouping(week) = 0 THEN 'week' ELSE 'month' END AS grain,
                coalesce(day, week, month) AS period_start,
@@ -278,9 +276,10 @@ def calendar_consumption(calls: DataFrame) -> DataFrame:
                CAST(sum(prompt_tokens + completion_tokens) AS BIGINT) AS total_tokens,
                CAST(sum(cached_tokens) AS BIGINT) AS cached_tokens,
                CAST(sum(errors) AS BIGINT) AS errors
-        FROM _qf_calendar_calls
+        FROM {base}
         GROUP BY GROUPING SETS ((day, stage), (week, stage), (month, stage))
-        """
+        """,
+        base=base,
     )
 
 

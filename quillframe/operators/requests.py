@@ -208,6 +208,18 @@ def messages_from_turns(turns: DataFrame, key: str = "conv_id") -> DataFrame:
     )
 
 
+def within_window(turns: DataFrame, max_chars: int, key: str = "conv_id") -> tuple[DataFrame, DataFrame]:
+    """(turns that fit, error rows) for a context window of ``max_chars`` characters.
+
+    A conversation that no model could take is never gathered into one array:
+    its length is summed first (combined before the shuffle), its turns are
+    left out by an anti join, and it is an error row (key, chars, error).
+    """
+    size = turns.groupBy(key).agg(F.sum(F.length(F.coalesce("text", F.lit("")))).cast("bigint").alias("chars"))
+    errors = size.where(F.col("chars") > max_chars).withColumn("error", F.lit(f"conversation exceeds the context window of {max_chars} characters"))
+    return turns.join(errors.select(key), key, "left_anti"), errors
+
+
 def payload_json(model: Column, messages: Column, max_tokens: Column, temperature: Column, top_p: Column, stream: bool = False) -> Column:
     """The chat-completions request body as JSON text (role + content only)."""
     return F.to_json(

@@ -21,6 +21,7 @@ rows (stages x rounds + languages), a small bounded set.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -257,6 +258,27 @@ def publish(
     )
 
 
+@dataclass(frozen=True)
+class ExtraStage:
+    """A stage of the user's own in the chain; with ``rewrites`` its reply becomes the article."""
+
+    stage: S.Stage
+    rewrites: bool = False
+
+
+def extra_stage(final: DataFrame, extra: ExtraStage, completer: I.Completer, settings: Q.LLMSettings, overrides: DataFrame | None, keep: list[str]) -> DataFrame:
+    """One call of ``extra`` an article; its template may use ``content`` (the article), ``title`` and the topic's own columns.
+
+    A stage that is off, or whose call fails, leaves the article as it is.
+    """
+    switches = "disabled_stages" in final.columns
+    carried = [c for c in final.columns if c not in ("run_id", "topic_id")]
+    return I.run_stage(
+        final, extra.stage, completer, settings, overrides, slot_cols={"content": F.col("article"), "title": F.col("topic")},
+        keep=list(dict.fromkeys([*keep, *carried])), enabled=_on(extra.stage.name, switches), pass_disabled=True,
+    )
+
+
 def run_pipeline(
     topics: DataFrame,
     completer: I.Completer,
@@ -268,6 +290,7 @@ def run_pipeline(
     materialize_stages: bool = True,
     metrics_path: str | None = None,
     output_path: str | None = None,
+    extra_stages: Sequence[ExtraStage] = (),
 ) -> PipelineRun:
     """Research -> outline -> writer -> seo -> (editor -> quality)* ->
     translator -> publisher over every topic row.
@@ -280,7 +303,8 @@ def run_pipeline(
     are appended to the ledger there, failed calls and articles included, and
     the articles name that path.  With ``output_path`` every published article
     and the publisher's reply are written as files there, and the publisher's
-    ``output_files`` name them.
+    ``output_files`` name them.  ``extra_stages`` (U1) run in turn over the
+    finished articles, before translation and publishing.
     """
     t = normalize_topics(topics, run_id)
     cfg = ["topic", "target_word_count", "language", "quality_threshold", "max_iterations",
@@ -317,22 +341,29 @@ def run_pipeline(
     drafts = seo.withColumn("seo", F.col("content"))
     rounds, final = refine_loop(drafts, completer, settings, overrides, keep=cfg, bound=bound)
 
+    extras = []
+    for e in extra_stages:
+        ran = stage_out(extra_stage(final, e, completer, settings, overrides, cfg), f"extra-{e.stage.name}")
+        extras.append(ran)
+        took = F.lit(e.rewrites) & (F.col("status") == "success")
+        final = ran.select(*[F.when(took, F.col("content")).otherwise(F.col("article")).alias("article") if c == "article" else c for c in final.columns])
     translator = translate(final, completer, settings, overrides, keep=cfg)
     publisher = publish(final, completer, settings, overrides, keep=cfg)
     if output_path:
         publisher = writers.write_published(final, stage_out(publisher, "publisher"), output_path)
-    every = _union([research, outline, writer, seo, *rounds, translator, publisher])
+    every = _union([research, outline, writer, seo, *rounds, *extras, translator, publisher])
     if materialize_stages:
         every = stage_out(every, "results")
     results = sent(every)
     calls = L.ledger_rows(results)
     if metrics_path:
         L.append(calls, metrics_path)
-    articles = assemble(every, final, t, strict=strict).withColumn("metrics_path", F.lit(metrics_path).cast("string"))
+    rewritten = any(e.rewrites for e in extra_stages)
+    articles = assemble(every, final, t, strict=strict, editor_texts=rewritten).withColumn("metrics_path", F.lit(metrics_path).cast("string"))
     return PipelineRun(results=results, articles=articles, calls=calls)
 
 
-def assemble(results: DataFrame, final: DataFrame, topics: DataFrame, strict: bool = False) -> DataFrame:
+def assemble(results: DataFrame, final: DataFrame, topics: DataFrame, strict: bool = False, editor_texts: bool = False) -> DataFrame:
     """W8 + W5 + W2/W3/W11: one row per (run_id, topic_id) of ``topics``.
 
     One groupBy, no join: the article's stage rows, its final text and the
@@ -341,7 +372,9 @@ def assemble(results: DataFrame, final: DataFrame, topics: DataFrame, strict: bo
     key (translator keys are ``translator_<lang>``, in the order of the calls).
     A topic whose rows were lost is there all the same, and failed: a stage
     without a row is excused only if a ``skipped`` row says that it was off,
-    or an earlier stage has failed already.
+    or an earlier stage has failed already.  The last editor's text is the
+    article and travels once, unless ``editor_texts`` says that a later stage
+    rewrote the article.
     """
     key = F.when(F.col("stage") == "translator", F.concat(F.lit("translator_"), F.col("variant"))).otherwise(F.col("stage"))
     no_meta = F.lit(None).cast(S.METADATA_TYPE)
@@ -358,9 +391,8 @@ def assemble(results: DataFrame, final: DataFrame, topics: DataFrame, strict: bo
     rows = results.select(
         "run_id",
         "topic_id",
-        # the last editor's text is the article, which travels once, as its own item
         item(S.stage_order_index(F.col("stage")), F.col("iteration"), key, F.col("stage"), F.col("variant"), F.col("status"),
-             F.when(F.col("stage") == "editor", F.lit(None).cast("string")).otherwise(F.col("content")),
+             F.when((F.col("stage") == "editor") & F.lit(not editor_texts), F.lit(None).cast("string")).otherwise(F.col("content")),
              F.col("tokens_used"), F.col("latency_ms"), F.col("error"), F.col("reasoning"), F.col("metadata")).alias("r"),
         F.when(billed, F.col("prompt_tokens") + F.col("completion_tokens")).otherwise(F.lit(0)).alias("tok"),
         F.when(billed, F.col("latency_ms").cast("decimal(18,2)")).alias("lat"),
@@ -391,7 +423,7 @@ def assemble(results: DataFrame, final: DataFrame, topics: DataFrame, strict: bo
     ran = F.filter("last", lambda x: x["status"] != I.SKIPPED)
 
     def text_of(x: Column) -> Column:
-        return F.when((x["stage"] == "editor") & (x["status"] == "success"), F.col("_article")).otherwise(F.coalesce(x["content"], F.lit("")))
+        return F.when((x["stage"] == "editor") & (x["status"] == "success") & F.lit(not editor_texts), F.col("_article")).otherwise(F.coalesce(x["content"], F.lit("")))
 
     def content_of(stage: str) -> Column:
         return F.coalesce(F.try_element_at(F.filter(ran, lambda x: x["key"] == stage), F.lit(1))["content"], F.lit(""))

@@ -157,3 +157,17 @@ def test_contract_flatteners(spark):
     seo = spark.createDataFrame([(1, '{"seo_score": 85, "keyword_analysis": {"keyword_density": "2.5%"}}')], "topic_id bigint, content string")
     s = C.seo_report(seo).first()
     assert s.seo_score == 85.0 and s.keyword_density == 2.5
+
+
+def test_coverage_within_the_row_equals_the_joined_form(spark):
+    rnd = random.Random(8)
+    docs, outlines = [], []
+    for i in range(40):
+        heads = [rnd.choice(["Intro", " intro ", "BODY", "Body  two", "End", "Extra"]) for _ in range(rnd.randrange(0, 7))]
+        docs.append((i, "".join(f"{'#' * rnd.randint(1, 3)} {h}\n{'word ' * rnd.randrange(5)}\n" for h in heads)))
+        outlines.append((i, [(rnd.choice(["intro", "body", "body two", "missing"]), rnd.randrange(50)) for _ in range(rnd.randrange(0, 5))]))
+    md = spark.createDataFrame(docs, "doc_id bigint, md string")
+    ol = spark.createDataFrame(outlines, "doc_id bigint, o array<struct<heading:string,word_allocation:int>>")
+    joined = A.outline_coverage(A.article_sections(md), ol.select("doc_id", F.inline("o")))
+    within = A.outline_coverage_rows(md.join(ol, "doc_id"), F.col("o"))
+    assert sorted(map(tuple, within.select(*joined.columns).collect())) == sorted(map(tuple, joined.collect()))

@@ -202,3 +202,24 @@ def test_lost_topics_and_full_results(spark, tmp_path):
     final = spark.createDataFrame([("r", 1, "text")], "run_id string, topic_id bigint, article string")
     lost = {x.topic_id: x for x in W.assemble(kept, final, W.normalize_topics(t, "r")).collect()}
     assert lost[1].status == "failed" and (lost[2].status, lost[2].agents_run, lost[2].total_calls) == ("failed", [], 0)
+
+
+def test_registered_stages_run_in_the_chain(spark):
+    from quillframe.plans.simulated import ExpressionCompleter
+
+    shout = S.register(S.Stage("shout", "Capitals", "Shout.", S.Template(("Rewrite: ", S.Slot("content")))))
+    check = S.register(S.Stage("fact_check", "Checks facts", "Check.", S.Template(("Check ", S.Slot("title"), ": ", S.Slot("content")))))
+    try:
+        t = spark.createDataFrame([(1, "Alpha", None), (2, "Beta", ["shout"])], "topic_id bigint, topic string, disabled_stages array<string>")
+        c = ExpressionCompleter(replies={
+            "quality": lambda col: H.F.lit('{"overall_score": 95}'), "editor": lambda col: H.F.lit("edited"),
+            "shout": lambda col: H.F.upper(col("article")), "publisher": lambda col: H.F.concat(H.F.lit("published "), col("article")),
+        })
+        run = W.run_pipeline(t, c, run_id="r", extra_stages=[W.ExtraStage(check), W.ExtraStage(shout, rewrites=True)])
+        a = {x.topic_id: x for x in run.articles.collect()}
+        assert a[1].article == "EDITED" and a[1].agent_results["editor"].content == "edited" and a[1].publisher_output == "published EDITED"
+        assert a[2].article == "edited" and "shout" not in a[2].agents_run and {"shout", "fact_check"} <= set(a[1].agents_run)
+        assert a[1].agent_results["fact_check"].content.endswith("Check Alpha: edited") and a[1].total_calls == a[2].total_calls + 1
+    finally:
+        for name in ("shout", "fact_check"):
+            S._REGISTRY.pop(name)

@@ -19,7 +19,7 @@ def test_overrides_first_wins_and_falsy_fallthrough(spark):
     w = Q.build_requests(d, S.WRITER, Q.LLMSettings(), ov).first()
     assert (w.model, w.temperature, w.max_tokens, w.system_prompt) == ("m1", 0.9, 8192, "custom")  # call max_tokens wins
     r = Q.build_requests(d, S.RESEARCH, Q.LLMSettings(), ov).first()
-    assert (r.model, r.temperature, r.max_tokens, r.system_prompt) == ("default", 0.7, 4096, S.RESEARCH.system_prompt)
+    assert (r.model, r.temperature, r.max_tokens, r.system_prompt) == (Q.resolved_settings(Q.LLMSettings()).model, 0.7, 4096, S.RESEARCH.system_prompt)
     assert [m.role for m in r.messages] == ["system", "user"] and "Spark at scale" in r.user_prompt
     assert '"stream":false' in r.payload and '"top_p":0.9' in r.payload
 
@@ -59,3 +59,16 @@ def test_registry():
     assert S.get_stage("quality").name == "quality"
     with pytest.raises(ValueError, match="known"):
         S.get_stage("nope")
+
+
+def test_conversations_beyond_the_window_are_error_rows(spark):
+    t = spark.createDataFrame([(1, 0, "user", "short"), (2, 0, "user", "x" * 30), (2, 1, "assistant", "y" * 30), (3, 0, "user", None)], "conv_id bigint, turn int, role string, text string")
+    fits, errors = Q.within_window(t, 40)
+    assert sorted(r.conv_id for r in fits.collect()) == [1, 3]
+    assert [(r.conv_id, r.chars) for r in errors.collect()] == [(2, 60)]
+
+
+def test_unsupported_models(spark):
+    d = spark.createDataFrame([(1, "gpt-4o-mini"), (2, "nothing"), (3, None), (4, ""), (5, "mine")], "topic_id bigint, model string")
+    bad = Q.unsupported_models(d, Q.supported_models(more=["mine"])).collect()
+    assert [(r.topic_id, r.error.split(";")[0]) for r in bad] == [(2, "unsupported model 'nothing'")]
