@@ -118,9 +118,10 @@ def keyword_density_rows(df: DataFrame, key: str, text: str, keywords: Column |
     100 * hits * words in keyword / word_count(text), null when the text has
     no words; stuffing when density > ``stuffing_pct``.
 
-    All within the row, no shuffle.  A one-word keyword is counted by taking
-    it out of the blank-separated tokens and comparing lengths; a phrase is
-    matched on the token array.  Case variants of a keyword are one row.
+    All within the row, no shuffle.  The tokens are sorted once and their runs
+    counted, O(n log n) however many keywords there are; a one-word keyword
+    looks its run up, a phrase is matched on the token array.  Case variants of
+    a keyword are one row.
     """
     a = df.select(
         key,
@@ -128,8 +129,12 @@ def keyword_density_rows(df: DataFrame, key: str, text: str, keywords: Column |
         T.word_count(text).alias("word_count"),
         F.transform(_c(keywords), lambda k: F.struct(k.alias("keyword"), T.tokens(k).alias("kt"))).alias("_kws"),
     )
-    # every token between two blanks of its own
-    a = a.withColumn("_flat", F.concat(F.lit(" "), F.array_join("_tk", "  "), F.lit(" ")))
+    # each step is a column of its own: read inside a lambda, an expression would be evaluated per element
+    a = a.withColumn("_st", F.array_sort("_tk"))
+    places = F.transform("_st", lambda t, i: F.struct(t.alias("t"), i.alias("i")))
+    a = a.withColumn("_runs", F.filter(places, lambda x: (x["i"] == 0) | (F.get(F.col("_st"), x["i"] - 1) != x["t"])))
+    ends = F.transform("_runs", lambda x, j: F.coalesce(F.get(F.col("_runs"), j + 1)["i"], F.size("_st")) - x["i"])
+    a = a.withColumn("_counts", F.map_from_arrays(F.transform("_runs", lambda x: x["t"]), ends))
     tk = F.col("_tk")
     n = F.size(tk)
 
@@ -138,8 +143,7 @@ def keyword_density_rows(df: DataFrame, key: str, text: str, keywords: Column |
         return F.when(n >= m, F.size(F.filter(F.sequence(F.lit(1), F.greatest(n - m + 1, F.lit(1))), lambda i: F.slice(tk, i, m) == kt)))
 
     def word_hits(kt: Column) -> Column:
-        word = F.concat(F.lit(" "), F.try_element_at(kt, F.lit(1)), F.lit(" "))
-        return ((F.length("_flat") - F.length(F.replace(F.col("_flat"), word, F.lit("")))) / F.length(word)).cast("bigint")
+        return F.coalesce(F.try_element_at(F.col("_counts"), F.try_element_at(kt, F.lit(1))), F.lit(0))
 
     def counted(kt: Column) -> Column:
         variants = F.transform(F.filter("_kws", lambda k: k["kt"] == kt), lambda k: k["keyword"])
@@ -545,7 +549,9 @@ def outline_coverage_rows(df: DataFrame, outline: Column, key: str = "doc_id", t
             *[F.when(same, acc[c]).otherwise(done[c]).alias(c) for c in (*COVERAGE, "allocated_words", "covered_words")],
         )
 
-    out = a.where(F.size("_all") > 0).select(key, F.aggregate("_all", empty, step, closed).alias("_c")).select(key, "_c.*")
+    # one-element generator: a filter on the fold's result may not be pushed below it (it would run the fold twice)
+    folded = F.when(F.size("_all") > 0, F.aggregate("_all", empty, step, closed))
+    out = a.select(key, F.explode_outer(F.array(folded)).alias("_c")).where(F.col("_c").isNotNull()).select(key, "_c.*")
     ratio = F.when(F.col("allocated_words") > 0, F.col("covered_words").cast("double") / F.col("allocated_words").cast("double"))
     return out.withColumn("coverage_ratio", ratio)
 
