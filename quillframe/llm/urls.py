@@ -56,14 +56,21 @@ def path_of(url: Column) -> Column:
 
 
 def rule_of(host: Column, path: Column, rules: tuple = RULES) -> Column:
-    """(rule, verdict) of the longest fitting rule, else null."""
-    found = F.lit(None).cast("struct<rule:string,verdict:string>")
-    for verdict, h, p in sorted(rules, key=lambda r: len(r[1] + r[2])):  # stable: the reversed chain tries the longest first
-        fits = ((host == h) | F.endswith(host, F.lit("." + h))) & F.startswith(path, F.lit(p))
-        held = F.struct(F.lit(h + p).alias("rule"), F.lit(verdict).alias("verdict"))
-        longer = found.isNull() | (F.length(found["rule"]) < len(h + p))
-        found = F.when(fits & longer, held).otherwise(found)
-    return found
+    """(rule, verdict) of the longest fitting rule, else null: the first that fits of a constant array, longest first."""
+    ordered = sorted(rules, key=lambda r: -len(r[1] + r[2]))  # stable: the earlier of equally long rules comes first
+    if not ordered:
+        return F.lit(None).cast("struct<rule:string,verdict:string>")
+    quoted = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    rows = (f"named_struct('verdict', {quoted(v)}, 'host', {quoted(h)}, 'path', {quoted(p)})" for v, h, p in ordered)
+    table = F.expr(f"array({', '.join(rows)})")  # folded to one literal
+
+    def fits(r: Column) -> Column:
+        return ((host == r["host"]) | F.endswith(host, F.concat(F.lit("."), r["host"]))) & F.startswith(path, r["path"])
+
+    def found(r: Column) -> Column:
+        return F.when(r.isNotNull(), F.struct(F.concat(r["host"], r["path"]).alias("rule"), r["verdict"].alias("verdict")))
+
+    return let(F.get(F.filter(table, fits), F.lit(0)), found)
 
 
 def buckets(host: Column, path: Column) -> Column:
