@@ -6,6 +6,11 @@ a hot source or long text only costs its own length (n log n for the repeated
 windows, and only in texts that have any).  Windows are compared by 64-bit
 hashes of their five words within one text.
 
+A rule that knows certain languages only (stop words) is asked of rows whose
+language column names one of them; rows of other or unknown languages are
+undecided there and fail no such rule.  Without a language column every row is
+of unknown language.
+
 Empty texts and nulls have no words and fail the base rule.  Rows are judged
 one by one: repeated rows, ties and null ids get the same verdict each time.
 Input columns pass through ``judged``; the measures go into one struct column.
@@ -26,13 +31,16 @@ STOP_WORDS = (
     "el los las y es por con para se del no al lo"
 ).split()
 
+#: Languages that ``STOP_WORDS`` serve, as primary subtags.
+SERVED = ("en", "de", "fr", "es")
+
 #: The threshold table: rule, measured column, per this column, least and most percent,
-#: smallest n_words at which the rule applies.
+#: smallest n_words at which the rule applies, languages that it is asked of (None: all).
 RULES = (
-    ("word_length", "word_chars", "n_words", 300, 1000, 1),
-    ("symbols", "n_symbols", "n_words", None, 10, 1),
-    ("stop_words", "n_stop_words", "n_words", 4, None, 50),
-    ("duplicate_lines", "n_dup_lines", "n_lines", None, 40, 1),
+    ("word_length", "word_chars", "n_words", 300, 1000, 1, None),
+    ("symbols", "n_symbols", "n_words", None, 10, 1, None),
+    ("stop_words", "n_stop_words", "n_words", 4, None, 50, SERVED),
+    ("duplicate_lines", "n_dup_lines", "n_lines", None, 40, 1, None),
 )
 
 WINDOW = 5
@@ -70,25 +78,30 @@ def _repeat_words(words: Column) -> Column:
 
 
 def _failed_rule(rule: tuple) -> Column:
-    name, part, whole, least, most, from_words = rule
+    name, part, whole, least, most, from_words, languages = rule
     bad = F.lit(False)
     if least is not None:
         bad = bad | (100 * F.col(part) < least * F.col(whole))
     if most is not None:
         bad = bad | (100 * F.col(part) > most * F.col(whole))
+    if languages is not None:
+        bad = bad & F.coalesce(F.col("language").isin(*languages), F.lit(False))
     return F.when(bad & (F.col("n_words") >= from_words), F.lit(name))
 
 
-def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One row per input row: the input in struct ``row`` and the measures beside it."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), body.alias("_text"))
+def measured(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """One row per input row: the input in struct ``row``, the language's primary subtag and the measures beside it."""
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    tag = F.col(f"`{lang}`").cast("string") if lang in docs.columns else F.lit(None).cast("string")
+    language = F.substring_index(F.translate(F.lower(F.trim(tag)), "_", "-"), "-", 1)
+    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), body.alias("_text"), language.alias("language"))
     split = base.withColumn("_words", F.filter(F.split("_text", SPACE), lambda w: w != "")).withColumn(
         "_lines", F.filter(F.split("_text", "\n", -1), lambda x: _word_chars(x) > 0)
     )
     stops = F.filter("_words", lambda w: F.translate(F.lower(w), ".,", "").isin(*STOP_WORDS))
     return split.select(
         "row",
+        "language",
         F.size("_words").cast("long").alias("n_words"),
         _word_chars(F.col("_text")).alias("word_chars"),
         (F.length("_text") - F.length(F.translate("_text", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
@@ -99,12 +112,12 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def judged(docs: DataFrame, text: str = "text", rules: tuple = RULES) -> DataFrame:
+def judged(docs: DataFrame, text: str = "text", rules: tuple = RULES, lang: str = "lang") -> DataFrame:
     """``measured`` plus ``base_failed``, ``failed_rules`` (names) and ``kept``."""
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     failed = F.filter(F.array(*[_failed_rule(r) for r in rules]), lambda n: n.isNotNull())
     return (
-        measured(docs, text)
+        measured(docs, text, lang)
         .withColumn("base_failed", base)
         .withColumn("failed_rules", failed)
         .withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
@@ -128,11 +141,12 @@ def quality_sql(source: str = "documents") -> str:
     words = r"regexp_extract_all(t, '[^\x20\x09-\x0D]+')"
     stop = ", ".join(f"'{w}'" for w in STOP_WORDS)
     failed = []
-    for name, part, whole, least, most, n in RULES:
+    for name, part, whole, least, most, n, languages in RULES:
         tests = ([f"100 * {part} < {least} * {whole}"] if least is not None else []) + ([f"100 * {part} > {most} * {whole}"] if most is not None else [])
-        failed.append(f"CASE WHEN n_words >= {n} AND ({' OR '.join(tests)}) THEN '{name}' END")
+        spoken = f" AND language IN ({', '.join(repr(x) for x in languages)})" if languages else ""
+        failed.append(f"CASE WHEN n_words >= {n} AND ({' OR '.join(tests)}){spoken} THEN '{name}' END")
     return f"""
-    WITH base AS (SELECT *, coalesce("text", '') AS t, row_number() OVER () AS rid FROM {source}),
+    WITH base AS (SELECT *, coalesce("text", '') AS t, split_part(translate(lower(trim(lang)), '_', '-'), '-', 1) AS language, row_number() OVER () AS rid FROM {source}),
     w AS (SELECT *, {words} AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM base),
     win AS (SELECT rid, i, array_to_string(ws[i:i+4], ' ') AS x FROM (SELECT rid, ws, unnest(range(1, len(ws) - 3)) AS i FROM w)),
     dup AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, x) AS c FROM win) WHERE c > 1),

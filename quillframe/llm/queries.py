@@ -15,7 +15,7 @@ QUERIES = {
     "op9_decontamination": lambda spark, d: decontam.op9_decontamination(documents(spark, d), table(spark, d, "benchmark")),
     "op6_simhash": lambda spark, d: simhash.op6_simhash(documents(spark, d)),
     "op7_pii": lambda spark, d: pii.op7_pii(documents(spark, d)),
-    "op8_quality_rules": lambda spark, d: quality.op8_quality_rules(documents(spark, d)),
+    "op8_quality_rules": lambda spark, d: quality.op8_quality_rules(documents(spark, d, "doc_id", "text", "lang")),
     "op10_secret_scans": lambda spark, d: secrets.op10_secret_scans(documents(spark, d)),
     "op11_ranked_search": lambda spark, d: ranked.op11_ranked_search(documents(spark, d), table(spark, d, "benchmark")),
     "op12_hard_negatives": lambda spark, d: negatives.op12_hard_negatives(table(spark, d, "embeddings")),

@@ -35,3 +35,18 @@ def test_kept_documents_keep_columns_and_repeats(spark):
     kept = quality.kept_documents(docs)
     assert kept.columns == docs.columns and kept.count() == 3
     assert quality.kept_documents(docs.limit(0)).count() == 0
+
+
+def test_stop_words_are_asked_of_served_languages_only(spark):
+    """Prose of other or unknown languages is not dropped for lacking the served languages' stop words; junk in them is."""
+    other = " ".join(f"слово{i} книга{i}" for i in range(40))
+    italian = " ".join(f"questo libro{i} della storia{i} che ho letto" for i in range(15))
+    junk = " ".join(f"casino{i} pills{i}" for i in range(40))
+    rows = [(1, other, "ru"), (2, italian, "it"), (3, other, None), (4, junk, "en"), (5, junk, "EN_us"), (6, junk, "enm"), (7, "", "en"), (8, junk + " the of and to" * 2, "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    failed = {r["doc_id"]: r["failed_rules"] for r in quality.op8_quality_rules(docs).collect()}
+    assert {i for i, f in failed.items() if "stop_words" in f} == {4, 5}
+    assert sorted(r["doc_id"] for r in quality.kept_documents(docs).collect()) == [1, 2, 3, 6, 8]
+    dotted = docs.withColumnsRenamed({"text": "a.text", "lang": "a.lang"})
+    assert quality.judged(dotted, "a.text", lang="a.lang").where("kept").count() == 5
+    assert quality.kept_documents(docs.drop("lang")).count() == 7
