@@ -2,27 +2,37 @@
 
 Protected entities are the e-mail addresses, IP addresses, card and phone
 numbers found in the whole texts.  Terms (lower-cased letter runs of three or
-more) that stand within ``CONTEXT`` code points of an entity may give it away.
-How much a term tells is its pointwise mutual information with the entity,
-``log2(n_et * N / (n_e * n_t))``: n_et texts in which the term stands near the
-entity, n_e texts with the entity, n_t texts with the term, N texts, all
-counted over the whole corpus.  PMI reaches the entity's own information
-content ``log2(N / n_e)`` when the term occurs nowhere else, so the disclosure
-ratio PMI / IC is compared with two thresholds: terms from ``GENERALISE`` on
-are replaced by a category, from ``REMOVE`` on removed, in the texts that hold
-the entity.  Pairs seen in fewer than ``SUPPORT`` texts tell nothing reliable.
+more) of the texts that hold an entity may give it away.  How much a term tells
+is its pointwise mutual information with the entity,
+``log2(n_et * N / (n_e * (n_t + SMOOTH)))``: n_et texts with both, n_e texts with
+the entity, n_t texts with the term, N texts, all counted over whole texts and
+the whole corpus.  ``SMOOTH`` stands for texts not seen that hold the term
+without the entity: a lower estimate, so that a pair of a single text is judged
+too, with less than full weight.  Without it PMI reaches the entity's own
+information content ``log2(N / n_e)`` when the term occurs nowhere else, so the
+disclosure ratio PMI / IC is compared with two thresholds: terms from
+``GENERALISE`` on are replaced by a category, from ``REMOVE`` on removed, wherever
+they stand in the texts that hold the entity.  An entity that is in every text
+has no information content: nothing can disclose it, and it gets no estimate.
 
 Only DataFrame functions are used.  Texts with no entity are a map over the
-scan.  Counts are map-side combined, so a term or entity in a third of all
-texts is no hot group; (entity, term) pairs are linear in the mentions.
+scan.  Equal texts are counted as often as they occur but meet terms once, by
+their SHA-256; entities of exactly the same texts have the same estimates and
+are one class, named by their count and two XORs of the texts' hashes.  Terms
+too common to disclose anything are left out before they meet the classes of
+their text, by the bound that n_et can't pass n_e nor the term's count in texts
+with entities.  Counts are map-side combined, so a term or entity in a third of
+all texts is no hot group.
 
 Null and empty texts have no spans.  Rows are counted one by one, also
-repeated ones; rows with a null id keep their base spans and get no term
-spans.  Extra columns pass through ``detected``.
+repeated ones; rows need no id, and rows with a null id are judged like
+others.  Extra columns pass through ``detected``.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +41,7 @@ from quillframe.llm.common import SPAN, count_kind, fresh, replaced, sized, span
 KINDS = ("email", "ip", "card", "phone", "general", "removed")
 GENERAL, REMOVED = 4, 5
 
-CONTEXT = 100
-SUPPORT = 2
+SMOOTH = 0.5
 GENERALISE = 0.85
 REMOVE = 0.95
 
@@ -84,37 +93,43 @@ def _terms(text: Column) -> Column:
     return F.filter(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)), lambda t: F.length(t) >= 3)
 
 
-def _near(text: Column, r: Column) -> Column:
-    """Terms near a span; a word cut by the border of the context is left out."""
-    left = F.substr(text, F.greatest(r["start"] - CONTEXT, F.lit(0)).cast("int") + 1, F.least(r["start"], F.lit(CONTEXT)).cast("int"))
-    left = F.when(r["start"] > CONTEXT, F.regexp_replace(left, r"^\p{L}+", "")).otherwise(left)
-    right = F.substr(text, (r["end"] + 1).cast("int"), F.lit(CONTEXT))
-    right = F.when(F.length(text) > r["end"] + CONTEXT, F.regexp_replace(right, r"\p{L}+$", "")).otherwise(right)
-    return _terms(F.concat_ws(" ", left, right))
+CLASS = ("n_e", "x1", "x2")
 
 
-def disclosing(
-    texts: DataFrame, holding: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE
-) -> tuple[DataFrame, DataFrame]:
-    """(pairs of each holding row: _id, entity, term; disclosing pairs: entity, term, kind).
+def _ratio(n_et: Column, total: int) -> Column:
+    return 1 + F.log2(n_et / (F.col("n_t") + SMOOTH)) / F.log2(F.lit(float(total)) / F.col("n_e"))
 
-    ``texts``: ``_text`` of the whole corpus; ``holding``: ``_id, _text, _base`` of the rows with entities.
-    """
-    key = F.flatten(
-        F.transform("_base", lambda r: F.transform(_near(F.col("_text"), r), lambda t: F.concat(_entity(r), F.lit("\n"), t)))
+
+def entity_classes(holding: DataFrame) -> DataFrame:
+    """(text key, class of an entity in it), distinct, from ``holding``: _key, _base of the rows with entities."""
+    mentions = holding.select("_key", F.explode(F.array_distinct(F.transform("_base", _entity))).alias("entity"))
+    held = written(mentions.groupBy("_key", "entity").agg(F.count("*").alias("n")), "pii-entities")
+    classes = held.groupBy("entity").agg(
+        F.sum("n").alias("n_e"), F.bit_xor(F.xxhash64("_key")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(1), "_key")).alias("x2")
     )
-    pair = F.explode(F.array_distinct(key)).alias("pair")
-    split = (F.substring_index("pair", "\n", 1).alias("entity"), F.substring_index("pair", "\n", -1).alias("term"))
-    pairs = holding.select("_id", pair).select("_id", *split)
-    n_et = written(pairs.groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support), "pii-pairs")
-    n_e = holding.select(F.explode(F.array_distinct(F.transform("_base", _entity))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
+    return held.join(classes, "entity").select("_key", *CLASS).distinct()
+
+
+def disclosing(texts: DataFrame, holding: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+    """(text key, term, kind) of every term that discloses an entity of that text.
+
+    ``texts``: ``_text`` of the whole corpus; ``holding``: ``_key, _text, _base`` of the rows with entities.
+    """
+    total = texts.count()
+    classes = written(entity_classes(holding).where(F.col("n_e") < total), "pii-classes")
+    terms = holding.select("_key", F.explode(F.array_distinct(_terms(F.col("_text")))).alias("term"))
+    held = written(terms.groupBy("_key", "term").agg(F.count("*").alias("n")), "pii-terms-held")
     n_t = texts.select(F.explode(F.array_distinct(_terms(F.col("_text")))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    total = F.lit(texts.count()).cast("double")
-    wanted = n_et.select("term").distinct()
-    told = n_et.join(n_e, "entity").join(n_t.join(wanted, "term", "left_semi"), "term")
-    ratio = 1 + F.log2(F.col("n_et") / F.col("n_t")) / F.log2(total / F.col("n_e"))
-    rows = told.where(F.col("n_e") < total).withColumn("ratio", ratio).where(F.col("ratio") >= generalise)
-    return pairs, rows.select("entity", "term", F.when(F.col("ratio") >= remove, REMOVED).otherwise(GENERAL).alias("kind"))
+    near = held.groupBy("term").agg(F.sum("n").alias("n_h")).join(n_t, "term")
+    # an entity of one text has the most information, so this is the least that any entity asks for
+    rare = written(near.where(F.log2(F.col("n_h") / (F.col("n_t") + SMOOTH)) >= (generalise - 1) * math.log2(max(2, total))), "pii-rare-terms")
+    pairs = classes.join(held.join(sized(rare), "term"), "_key")
+    pairs = written(pairs.where(_ratio(F.least("n_e", "n_h"), total) >= generalise), "pii-pairs")
+    told = pairs.groupBy(*CLASS, "term").agg(F.sum("n").alias("n_et"), F.first("n_t").alias("n_t")).withColumn("ratio", _ratio(F.col("n_et"), total))
+    kind = F.when(F.col("ratio") >= remove, REMOVED).otherwise(GENERAL)
+    rules = written(told.where(F.col("ratio") >= generalise).select(*CLASS, "term", kind.alias("kind")), "pii-disclosing")
+    hits = pairs.select("_key", *CLASS, "term").join(sized(rules), [*CLASS, "term"])
+    return hits.groupBy("_key", "term").agg(F.max("kind").alias("kind"))
 
 
 def _term_spans(text: Column, base: Column, general: Column, removed: Column) -> Column:
@@ -127,36 +142,32 @@ def _term_spans(text: Column, base: Column, general: Column, removed: Column) ->
     return F.when(F.size(F.concat(general, removed)) == 0, F.array().cast(SPAN)).otherwise(F.concat(of(general, GENERAL), of(removed, REMOVED)))
 
 
-def detected(docs: DataFrame, id: str = "doc_id", text: str = "text", out: str = "pii_spans") -> DataFrame:
+def detected(docs: DataFrame, text: str = "text", out: str = "pii_spans") -> DataFrame:
     """``docs`` with the array column ``out`` of spans (start, kind number, end, match); a column of that name is replaced."""
-    names = [fresh(docs, n) for n in ("_id", "_base", "_general", "_removed")]
-    key, base, general, removed = names
+    key, base, general, removed = [fresh(docs, n) for n in ("_key", "_base", "_general", "_removed")]
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     found = docs.withColumn(base, base_spans(body))
-    holding = written(found.where(F.size(base) > 0), "pii-holding")
-    with_base = holding.select(F.col(f"`{id}`").alias("_id"), body.alias("_text"), F.col(base).alias("_base"))
-    pairs, rules = disclosing(docs.select(body.alias("_text")), with_base)
-    rules = written(rules, "pii-disclosing")
-    hits = pairs.where(F.col("_id").isNotNull()).join(sized(rules), ["entity", "term"])
-    by_doc = hits.groupBy(F.col("_id").alias(key)).agg(
-        F.collect_set(F.when(F.col("kind") == GENERAL, F.col("term"))).alias(general),
-        F.collect_set(F.when(F.col("kind") == REMOVED, F.col("term"))).alias(removed),
+    holding = written(found.where(F.size(base) > 0).withColumn(key, F.sha2(body, 256)), "pii-holding")
+    with_base = holding.select(F.col(key).alias("_key"), body.alias("_text"), F.col(base).alias("_base"))
+    told = disclosing(docs.select(body.alias("_text")), with_base)
+    by_text = told.groupBy(F.col("_key").alias(key)).agg(
+        F.collect_list(F.when(F.col("kind") == GENERAL, F.col("term"))).alias(general),
+        F.collect_list(F.when(F.col("kind") == REMOVED, F.col("term"))).alias(removed),
     )
     none = F.array().cast("array<string>")
-    joined = holding.join(sized(written(by_doc, "pii-terms")), F.col(f"`{id}`") == F.col(key), "left")
-    gone = F.coalesce(F.col(removed), none)
-    kept = F.array_except(F.coalesce(F.col(general), none), gone)
+    joined = holding.join(written(by_text, "pii-terms"), key, "left")  # rows hold arrays: Spark broadcasts by bytes
+    kept, gone = F.coalesce(F.col(general), none), F.coalesce(F.col(removed), none)
     every = F.sort_array(F.concat(F.col(base), _term_spans(body, F.col(base), kept, gone)))
     rest = found.where(F.size(base) == 0).withColumn(out, F.array().cast(SPAN))
     columns = [c for c in docs.columns if c != out]
     return rest.select(*[f"`{c}`" for c in columns], out).unionByName(joined.withColumn(out, every).select(*[f"`{c}`" for c in columns], out))
 
 
-def sanitised(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+def sanitised(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with entities masked, disclosing terms generalised to ``[TERM]`` or removed; other texts unchanged."""
     out = fresh(docs, "_pii_spans")
     masked = replaced(F.col(f"`{text}`"), F.col(out), ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "[TERM]", ""))
-    return detected(docs, id, text, out).select(*[masked.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
+    return detected(docs, text, out).select(*[masked.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
 
 
 def op7_pii(docs: DataFrame) -> DataFrame:
@@ -182,22 +193,17 @@ def _sql() -> str:
     )
     lists = ", ".join(f"{x} AS k{k}" for k, x in enumerate(found))
     terms = r"list_filter(regexp_extract_all(lower({0}), '\p{{L}}+'), lambda w: length(w) >= 3)"
-    left = f"""CASE WHEN b.s > {CONTEXT} THEN regexp_replace(substr(t, CAST(b.s AS BIGINT) - {CONTEXT} + 1, {CONTEXT}), '^\\p{{L}}+', '')
-        ELSE substr(t, 1, CAST(b.s AS BIGINT)) END"""
-    stop = "CAST(b.s AS BIGINT) + length(b.m)"
-    right = f"""CASE WHEN length(t) > {stop} + {CONTEXT} THEN regexp_replace(substr(t, {stop} + 1, {CONTEXT}), '\\p{{L}}+$', '')
-        ELSE substr(t, {stop} + 1, {CONTEXT}) END"""
-    ratio = "1 + log2(n_et / n_t) / log2(total / n_e)"
+    ratio = f"1 + log2(n_et / (n_t + {SMOOTH})) / log2(total / n_e)"
     return f"""
     WITH d AS (SELECT doc_id, row_number() OVER () AS rid, coalesce("text", '') AS t FROM documents),
     m AS (SELECT *, {lists} FROM d), base AS (SELECT *, list_concat(list_concat(k0, k1), list_concat(k2, k3)) AS base FROM m),
-    ment AS (SELECT rid, t, unnest(base) AS b FROM base),
-    ent AS (SELECT rid, CASE WHEN b.k >= 2 THEN b.k || ':' || regexp_replace(b.m, '[^0-9]', '', 'g') ELSE b.k || ':' || lower(b.m) END AS entity,
-        {terms.format("(" + left + ") || ' ' || (" + right + ")")} AS near FROM ment),
-    pairs AS (SELECT DISTINCT rid, entity, term FROM (SELECT rid, entity, unnest(near) AS term FROM ent)),
-    et AS (SELECT entity, term, count(*) AS n_et FROM pairs GROUP BY ALL HAVING count(*) >= {SUPPORT}),
-    e AS (SELECT entity, count(DISTINCT rid) AS n_e FROM ent GROUP BY ALL),
-    tt AS (SELECT term, count(*) AS n_t FROM (SELECT DISTINCT rid, unnest({terms.format('t')}) AS term FROM d) GROUP BY ALL),
+    ment AS (SELECT rid, unnest(base) AS b FROM base),
+    ent AS (SELECT DISTINCT rid, CASE WHEN b.k >= 2 THEN b.k || ':' || regexp_replace(b.m, '[^0-9]', '', 'g') ELSE b.k || ':' || lower(b.m) END AS entity FROM ment),
+    tw AS (SELECT DISTINCT rid, unnest({terms.format('t')}) AS term FROM d),
+    pairs AS (SELECT rid, entity, term FROM ent JOIN tw USING (rid)),
+    et AS (SELECT entity, term, count(*) AS n_et FROM pairs GROUP BY ALL),
+    e AS (SELECT entity, count(*) AS n_e FROM ent GROUP BY ALL),
+    tt AS (SELECT term, count(*) AS n_t FROM tw GROUP BY ALL),
     rules AS (SELECT entity, term, {ratio} AS ratio FROM et JOIN e USING (entity) JOIN tt USING (term), (SELECT count(*) AS total FROM d) WHERE n_e < total),
     hit AS (SELECT rid, term, max(CASE WHEN ratio >= {REMOVE} THEN {REMOVED} ELSE {GENERAL} END) AS k FROM pairs JOIN rules USING (entity, term)
         WHERE ratio >= {GENERALISE} GROUP BY ALL),

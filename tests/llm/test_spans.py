@@ -1,6 +1,8 @@
 """Base spans of secret scans and personal data against plain regular expressions; odd inputs."""
 
 import hashlib
+import math
+import random
 import re
 
 from hypothesis import HealthCheck, given, settings
@@ -114,13 +116,55 @@ def test_pii_method(spark):
     out = {r["doc_id"]: r for r in pii.detected(docs).collect()}
     names = {i: sorted({(s["match"].lower(), s["kind"]) for s in out[i]["pii_spans"] if s["kind"] >= pii.GENERAL}) for i in out}
     assert names[0] == names[4] == [("zorbulax", pii.GENERAL)] or names[0] == [("zorbulax", pii.REMOVED)]
-    assert all(not names[i] for i in names if i is None or i >= 10)
-    assert len(out[None]["pii_spans"]) == 1 and not out[91]["pii_spans"]
+    assert all(not names[i] for i in names if i is not None and i >= 10)
+    assert names[None] == names[0] and len(out[None]["pii_spans"]) == 2 and not out[91]["pii_spans"]
     clean = {r["doc_id"]: r["text"] for r in pii.sanitised(docs).collect()}
     assert "zorbulax" not in clean[0] and "[PHONE]" in clean[0] and clean[90] == "zorbulax again" and clean[91] is None
     assert pii.detected(docs.limit(0)).count() == 0
 
 
+def brute_terms(texts):
+    """(row, term, kind) by counting every pair of entity and term over whole texts."""
+    entities, terms = [], []
+    for t in texts:
+        found = [(k, m[0]) for k, (_, p, keep) in enumerate(PII) for m in re.finditer(p, t or "") if keep(m[0])]
+        entities.append({(k, digits(m) if k >= 2 else m.lower()) for k, m in found})
+        terms.append({w for w in re.findall(r"[^\W\d_]+", (t or "").lower()) if len(w) >= 3})
+    out = {}
+    for i, (es, ws) in enumerate(zip(entities, terms, strict=True)):
+        for e in es:
+            n_e = sum(e in x for x in entities)
+            for w in ws if n_e < len(texts) else ():
+                n_et, n_t = sum(e in x and w in y for x, y in zip(entities, terms, strict=True)), sum(w in y for y in terms)
+                ratio = 1 + math.log2(n_et / (n_t + pii.SMOOTH)) / math.log2(len(texts) / n_e)
+                if ratio >= pii.GENERALISE:
+                    out[i, w] = max(out.get((i, w), 0), pii.REMOVED if ratio >= pii.REMOVE else pii.GENERAL)
+    return out
+
+
+def test_pii_method_against_brute_force(spark):
+    """Every entity is judged, also of one text, by terms anywhere in the whole text; copies and null ids count."""
+    filler = "the office is open today and we answer every call within one hour of the day "
+    far = [f"{filler * (i + 1)} +1 (743) 555-3824 {filler * 5} Quibblenaut" for i in range(3)]
+    rng = random.Random(2)
+    common = ["report", "north", "table", "green"]
+    texts = [*far, far[0], "Call +1 (212) 555-0199 for Zorbulax now", "a@b.com and 1.2.3.4 with Vexilor, Vexilor again", "a@b.com 1.2.3.4 plimsole", None, ""]
+    texts += [filler + " ".join(rng.choices(common, k=6)) + (f" mail u{i % 7}@x.org name{i % 5}" if i % 4 == 0 else "") for i in range(60)]
+    texts += ["Call now for the best " + filler] * 5 + ["word " * 30_000 + "+1 (999) 555-0101 snorkelwise"]
+    docs = spark.createDataFrame([(None if i % 5 == 0 else i % 50, t, i) for i, t in enumerate(texts)], DOC + ", at int")
+    got = {(r["at"], s["match"].lower()): s["kind"] for r in pii.detected(docs.repartition(5)).collect() for s in r["pii_spans"] if s["kind"] >= pii.GENERAL}
+    want = {(i, w): k for (i, w), k in brute_terms(texts).items()}
+    free = {(i, w) for i, w in want if not re.search(rf"(?i){w}@|@[a-z]*\.?{w}", texts[i])}  # terms inside an entity stay with it
+    assert {k: v for k, v in got.items() if k in free} == {k: want[k] for k in free} and set(got) <= set(want)
+    assert {(0, "quibblenaut"), (1, "quibblenaut"), (4, "zorbulax"), (len(texts) - 1, "snorkelwise")} <= set(got)
+    assert not {w for _, w in got} & {"the", "office", "today"}
+
+
+def test_entity_in_every_text(spark):
+    docs = spark.createDataFrame([(i, f"a@b.com word{i}") for i in range(4)], DOC)
+    assert all(len(r["pii_spans"]) == 1 for r in pii.detected(docs).collect())
+
+
 def test_redacted_overlaps(spark):
     rows = F.array(*[F.struct(F.lit(s).cast("long").alias("start"), F.lit(0).alias("kind"), F.lit(e).cast("long").alias("end"), F.lit("").alias("match")) for s, e in ((5, 7), (0, 3), (2, 4))])
     from quillframe.llm.common import replaced
