@@ -9,6 +9,12 @@ slot values must map one to one, so a re-parameterised question still matches
 while unrelated numbers in the same frame do not.  A text holds an item when
 the windows of consistent alignments cover at least 80% of the item's windows.
 
+Windows with fewer plain words (sums, lists of numbers) can't be told from their
+frame.  Items that have such windows of five tokens also get a literal form, of
+all their windows without regard to letter case, in which these windows are
+their very words, numbers and units included: exact copies of any item of five
+tokens or more are found, however few plain words it has.
+
 An item's first word is never a name or a unit, so each word of a text that is
 one is also read as the plain first word of a passage that begins with it: a
 copy is found after any mark or in mid-sentence.  Texts and items have a second
@@ -22,8 +28,8 @@ hashes filter inside the scan while there are at most ``FILTER_HASHES``;
 beyond that every window is shuffled to the join.
 
 Null and empty texts hold nothing.  Items of fewer than five template tokens
-are one window of their own length.  Items without enough plain words can't be
-told from any text and match nothing.  Repeated rows give repeated pairs; rows
+are one window of their own length; those without enough plain words (one to
+four numbers) can't be told from any text and match nothing.  Repeated rows give repeated pairs; rows
 with a null id are judged like others.
 """
 
@@ -59,6 +65,8 @@ UNITS = frozenset(
 _OUTER = "\"'`´“”‘’«»()[]{}<>*_#~|.,;:!?¿¡…–—-"
 _PLACE = {NUMBER: 0x9E3779B97F4A7C15, UNIT: 0xC2B2AE3D27D4EB4F, CAPITAL: 0x165667B19E3779F9}
 _STEP = 0x2545F4914F6CDD1D
+#: Sets hashes of literal windows apart from those of template windows.
+_LITERAL = 0x51ED270B
 _MASK = (1 << 64) - 1
 
 
@@ -158,6 +166,15 @@ class Template:
         starts = np.flatnonzero(good)
         return starts, total[starts]
 
+    def literals(self) -> tuple[np.ndarray, np.ndarray]:
+        """(starts, hashes) of the folded reading's windows with too few plain words, hashed by their very words."""
+        size = len(self.hash) - WINDOW + 1
+        if size <= 0:
+            return np.empty(0, np.int64), np.empty(0, np.uint64)
+        few = self.plain[WINDOW:] - self.plain[:size] < PLAIN_WORDS
+        starts = np.flatnonzero(few & (self.owner[WINDOW - 1 :] == self.owner[:size]))
+        return starts, _mixed([self.tokens.hash[starts + k] for k in range(WINDOW)], _LITERAL)  # folded: a token a word
+
     def openings(self, n: int) -> Iterator[tuple[np.ndarray, np.ndarray, int, bool]]:
         """(heads, hashes, 0 or 1, name goes on): first and second windows of the passages that begin with each head, the head a plain word."""
         for on in (False, True):
@@ -209,7 +226,13 @@ def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 numbered: dict[str, int] = {}
                 forms.append(" ".join(f"{h:x}/{numbered.setdefault(s[0], len(numbered)) if s else ''}" for i, h in enumerate(t.hash.tolist()) for s in [t.slots(i, 1)]))
                 head = _signed(int(t.hash[0])) if n else 0
-                rows += [(item, forms[0], f"{folded:d}|" + "|".join(forms), folded, int(s), _signed(int(h)), head, n, len(starts), t.slots(s, n)) for s, h in zip(starts, hashes, strict=True)]
+                windows = [(int(s), _signed(int(h)), t.slots(s, n)) for s, h in zip(starts, hashes, strict=True)]
+                rows += [(item, forms[0], f"{folded:d}|" + "|".join(forms), folded, s, h, head, n, len(windows), slots) for s, h, slots in windows]
+            short = list(zip(*t.literals(), strict=True))
+            if short:  # t: the folded reading
+                words_of = " ".join(t.words.cores[c] for c in t.code.tolist())
+                windows += [(int(s), _signed(int(h)), []) for s, h in short]
+                rows += [(item, forms[0], f"2|{words_of}", True, s, h, head, n, len(windows), slots) for s, h, slots in windows]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(_ITEM), _ITEM_TYPES, strict=True)], [f.name for f in _ITEM])
 
 
@@ -265,6 +288,12 @@ def _text_windows(lengths: list[int], wanted: np.ndarray | None):
             if len(found):
                 at, none = starts[found], np.zeros(len(found), np.int64)
                 yield batch(at, at - t.begin[t.owner[at]], hashes[found], [t.slots(s, n) for s in at.tolist()], none, -1, none, none)
+            if t.folded and n == WINDOW:
+                starts, hashes = t.literals()
+                found = hit(hashes)
+                if len(found):
+                    at, none = starts[found], np.zeros(len(found), np.int64)
+                    yield batch(at, at - t.begin[t.owner[at]], hashes[found], [[]] * len(at), none, -1, none, none)
             for heads, hashes, nth, on in t.openings(n):
                 found = hit(hashes)
                 if len(found):

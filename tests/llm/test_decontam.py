@@ -30,8 +30,8 @@ def test_templates_and_slots(spark):
         (16, None), (17, ""), (18, "12 13 14 15 16 17"), (19, f"{q()} {items[1][1]}"), (20, "and one lonely sentence here ends"),
     ]
     got = pairs(spark, docs, items)
-    assert {(10, 1), (11, 1), (19, 1), (19, 2)} <= set(got)
-    assert not {d for d, _ in got} & {12, 15, 16, 17, 18}
+    assert {(10, 1), (11, 1), (18, 5), (19, 1), (19, 2)} <= set(got)
+    assert not {d for d, _ in got} & {12, 15, 16, 17}
     assert (20, 6) in got
 
 
@@ -92,3 +92,45 @@ def test_copies_in_other_letter_case(spark):
     docs = [(10 * k + i, f"{FILL} see {case(t)} {FILL}") for k, case in enumerate(cases) for i, t in items]
     docs += [(100, f"{FILL} {q().replace('sold 5', 'sold 6').upper()} {FILL}")]
     assert pairs(spark, docs, items) == sorted((10 * k + i, 1 if i == 2 else i) for k in range(len(cases)) for i, _ in items)
+
+
+def test_items_with_few_plain_words(spark):
+    """Exact copies of sums, number lists and measures are found, alone, in prose and in other letter case; other numbers are not."""
+    items = [(1, "12 13 14 15 16 17"), (2, "Compute 12 + 7 * 3 - 45 / 9 ."), (3, "5 km 12 kg 3 lb 9 oz"), (4, "22 23 24 25 26 27"), (5, "42"), (6, "1 2"), (7, "Miles 3 4 5 6 7 8")]
+    spaced = " one filler row and more "
+    docs, want = [], set()
+    for i, t in items:
+        for text in (t, f"{FILL} {t} {FILL}", f"Numbers: {t.upper()} {FILL}", f"{spaced} 7 {t.lower()} 8 {spaced}"):
+            if i not in (5, 6):  # a number or two can't be told from any text
+                want.add((len(docs), {4: 1}.get(i, i)))  # 1 and 4 are one class
+            docs.append((len(docs), text))
+    n = len(docs)
+    docs += [(n, "12 13 14 15 99 17"), (n + 1, "Compute 12 + 8 * 3 - 44 / 9 ."), (n + 2, "5 km 13 kg 3 lb 8 oz"), (n + 3, "17 16 15 14 13 12"), (n + 4, "12 " * 50_000), (n + 5, "1 2 3 4 5 6 7 " * 30_000)]
+    assert set(pairs(spark, docs, items)) == want
+
+
+def _brute_covered(text, item):
+    """Whether the word windows of five of an item of plain words are in the text to 80% (none for shorter texts)."""
+    t, w = ([x.strip(".").lower() for x in s.split()] for s in (text, item))
+    have = {tuple(t[i : i + 5]) for i in range(len(t) - 4)}
+    mine = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    return sum(x in have for x in mine) >= 0.8 * len(mine)
+
+
+def test_cut_passages_against_brute_force(spark):
+    """Prefixes, infixes and copies with exchanged words: found exactly if four fifths of the windows are there."""
+    rng = np.random.default_rng(8)
+    vocab = [f"v{chr(97 + i % 26)}{chr(97 + i // 26)}x" for i in range(300)]
+    items = [(i, " ".join(rng.choice(vocab, int(rng.integers(8, 40)))) + ".") for i in range(25)]
+    docs = []
+    for d in range(150):
+        words = items[int(rng.integers(25))][1].split()
+        if d % 3 == 0:
+            lo = int(rng.integers(0, 4))
+            words = words[lo : len(words) - int(rng.integers(0, 4))]
+        elif d % 3 == 1:
+            words[int(rng.integers(len(words)))] = "other"
+        docs.append((d, " ".join([*rng.choice(vocab, 20), *words, *rng.choice(vocab, 20)])))
+    docs += [(200, " ".join(rng.choice(vocab, 60_000)) + " " + items[0][1])]  # a long text
+    want = {(d, i) for d, t in docs for i, x in items if _brute_covered(t, x)}
+    assert set(pairs(spark, docs, items)) == want and (200, 0) in want
