@@ -60,3 +60,46 @@ def test_damage():
             list(warc.records_in(iter([bad])))
     with pytest.raises(ValueError):
         warc._parsed(good, b"ab")
+
+
+def _foreign(i, kind, block, extra=()):
+    head = [f"WARC/1.0\r\nWARC-Type:{kind}", f"WARC-Record-ID: <urn:uuid:{i}>", "WARC-Date: 2020-01-31T00:00:00Z", *extra, f"content-length: {len(block)}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    """A gzip member per record, other record types and digests: every record comes back byte for byte."""
+    import base64
+    import gzip
+
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<p>\r\n\r\n\xff\x00\r\n</p>\r\r\n\r\n\r"
+    sha1 = lambda x: "sha1:" + base64.b32encode(hashlib.sha1(x).digest()).decode()
+    digests = (f"WARC-Payload-Digest: {sha1(http.split(chr(13).encode() + b'\n\r\n', 1)[1])}", f"WARC-Block-Digest: {sha1(http)}", "Content-Type: application/http; msgtype=response")
+    records = [_foreign(0, "warcinfo", b"software: x\r\n"), _foreign(1, "request", b"GET / HTTP/1.1\r\n\r\n"), _foreign(2, "response", http, digests),
+               _foreign(3, "revisit", b"", (f"WARC-Payload-Digest: {sha1(b'x')}", f"WARC-Profile: {warc.PROFILE}")), _foreign(4, "resource", b"y" * 300_000), _foreign(5, "metadata", b"")]
+    folder = tmp_path / "archives"
+    folder.mkdir()
+    (folder / "a.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in records))
+    (folder / "b.warc.gz").write_bytes(gzip.compress(b"".join(records[:3])))
+    headers, payloads = warc.store(spark, str(folder))
+    got = sorted(bytes(r["record"]) for r in warc.restored(headers, payloads).collect())
+    assert got == sorted(records + records[:3])
+    damaged = tmp_path / "damaged"
+    damaged.mkdir()
+    for name, bad in (("digest", records[2].replace(b"<p>", b"<q>")), ("short", records[4][:-9]), ("cut", records[0][:20]), ("more", records[1] + b"trailing")):
+        (damaged / name).mkdir()
+        (damaged / name / "x.gz").write_bytes(gzip.compress(bad))
+        (damaged / name / "y.gz").write_bytes(gzip.compress(records[0]))
+        with pytest.raises(Exception, match="WARC|digest"):
+            warc.read_warc(spark, str(damaged / name)).collect()
+
+
+def test_records_are_valid(spark):
+    """Every record states the format's mandatory fields; revisits their profile."""
+    docs = spark.createDataFrame([(i, u, (h or "").encode()) for i, u, h in ROWS], "page_id long, url string, payload binary")
+    path = scratch_path(spark, "warc-valid")
+    warc.write_warc(docs, path, "2020-01-31T00:00:00Z")
+    for r in warc.read_warc(spark, path).collect():
+        f = warc._fields(bytes(r["header"]))
+        assert {"warc-type", "warc-record-id", "warc-date", "content-length"} <= f.keys() and f["warc-date"] == "2020-01-31T00:00:00Z"
+        assert (f.get("warc-profile") == warc.PROFILE) == (r["record_type"] == "revisit")
