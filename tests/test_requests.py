@@ -72,3 +72,15 @@ def test_unsupported_models(spark):
     d = spark.createDataFrame([(1, "gpt-4o-mini"), (2, "nothing"), (3, None), (4, ""), (5, "mine")], "topic_id bigint, model string")
     bad = Q.unsupported_models(d, Q.supported_models(more=["mine"])).collect()
     assert [(r.topic_id, r.error.split(";")[0]) for r in bad] == [(2, "unsupported model 'nothing'")]
+
+
+def test_requests_of_all_stages_are_not_dealt_by_stage(spark):
+    d = _inputs(spark).withColumn("outline", F.lit("o")).withColumn("research_data", F.lit("r"))
+    ov = spark.createDataFrame([(1, "writer", True, "m1", 0.9, 100, None)], Q.OVERRIDE_SCHEMA)
+    stages = [S.RESEARCH, S.WRITER, S.WRITER]
+    slots = {"writer": {"language": F.lit("en")}}
+    got = Q.build_all_requests(d, stages, slots, overrides=ov)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert "hashpartitioning(stage" not in plan  # one task a stage, with every prompt of it
+    assert [(r.stage, r.temperature) for r in got.orderBy("stage").collect()] == [("research", 0.7), ("writer", 0.9), ("writer", 0.9)]
