@@ -187,7 +187,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     the files are committed once, and later reads never call the model again.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)  # texts take half the space of the default codec
     return df.sparkSession.read.parquet(path)
 
 

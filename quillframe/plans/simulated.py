@@ -71,7 +71,8 @@ class ExpressionCompleter(Completer):
     deterministic: bool = True
 
     def complete(self, requests: DataFrame, stage: str | None = None) -> DataFrame:
-        present = set(requests.columns)
+        names = requests.columns
+        present = set(names)
 
         def col(name: str) -> Column:
             # replies for other stages may read columns this request table lacks
@@ -90,12 +91,14 @@ class ExpressionCompleter(Completer):
                 content = F.when(F.col("stage") == name, fn(col)).otherwise(content)
             for name, fn in self.errors.items():
                 error = F.when(F.col("stage") == name, fn(col)).otherwise(error)
-        p_tok = ((prompt_chars(F.col("messages")) + 3) / 4).cast("bigint")
-        c_tok = approx_tokens(content)
+        # each a column of its own: they are read several times, and long
+        requests = requests.withColumns({"_content": content, "_error": error, "_p_tok": ((prompt_chars(F.col("messages")) + 3) / 4).cast("bigint")})
+        requests = requests.withColumn("_c_tok", approx_tokens(F.col("_content")))
+        content, error, p_tok, c_tok = (F.col(c) for c in ("_content", "_error", "_p_tok", "_c_tok"))
         cached = F.when(F.col("iteration") > 1, (p_tok / 2).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
         raw = response_json(content, p_tok, c_tok, cached, model=F.col("model"))
         return requests.select(
-            "*",
+            *names,
             F.when(error.isNull(), raw).alias("raw"),
             (F.lit(100.0) + c_tok.cast("double")).alias("latency_ms"),
             error.alias("error"),

@@ -156,6 +156,9 @@ def refine_loop(
     rounds: list[DataFrame] = []
     finished: list[DataFrame] = []
     carry = [c for c in keep if c not in ("draft", "seo")]
+    # a scripted editor's rows travel with the review's, where a billed one's are written by run_stage
+    together = checkpoint_rounds and completer.deterministic
+    light = [c for c in RESULT_UNION_COLS if c not in ("run_id", "topic_id", "content")]
     none = drafts.where(F.col("max_iterations") < 1).select(
         "run_id", "topic_id", *carry, F.col("draft").alias("article"), F.lit(0).alias("rounds"),
         F.lit(False).alias("passed"), F.lit(None).cast("double").alias("final_score"),
@@ -173,6 +176,8 @@ def refine_loop(
         # no cut here: the quality cut below bounds lineage, and a billed
         # (non-deterministic) completer's replies are already written by run_stage
         q_in = ed.withColumn("edited", F.when(F.col("status") == I.SKIPPED, F.col("draft")).otherwise(F.col("content")))
+        if together:
+            q_in = q_in.withColumn("_editor", F.struct(*light))
         q = I.run_stage(
             q_in, S.QUALITY, completer, settings, overrides,
             slot_cols={
@@ -181,10 +186,14 @@ def refine_loop(
                 "threshold": F.col("quality_threshold"),
                 "threshold_pct": T.threshold_percent("quality_threshold"),
             },
-            iteration=i, keep=keep + ["edited"], enabled=_on("quality", switches), pass_disabled=True,
+            iteration=i, keep=keep + ["edited"] + (["_editor"] if together else []),
+            enabled=_on("quality", switches), pass_disabled=True,
         )
         if checkpoint_rounds:
-            q = cut(q, f"quality-{i}")
+            q = cut(q.drop("draft"), f"quality-{i}")
+        if together:  # the edited text is written once, as the article of the round
+            ed = q.select("run_id", "topic_id", "_editor.*", F.when(F.col("_editor.status") != I.SKIPPED, F.col("edited")).alias("content"))
+            q = q.drop("_editor")
         rounds += [ed, q]
         passed = F.coalesce(F.col("metadata.passes_threshold"), F.lit(False))
         unjudged = F.col("status") == I.SKIPPED  # nothing can pass or fail the gate: one edit is final
@@ -351,9 +360,10 @@ def run_pipeline(
     publisher = publish(final, completer, settings, overrides, keep=cfg)
     if output_path:
         publisher = writers.write_published(final, stage_out(publisher, "publisher"), output_path)
-    every = _union([research, outline, writer, seo, *rounds, *extras, translator, publisher])
-    if materialize_stages:
-        every = stage_out(every, "results")
+    # what is not in a file yet is written now; the other stages' rows are read where they are
+    unwritten = [*([] if completer.deterministic else rounds[0::2]), translator, publisher]
+    rounds = rounds if completer.deterministic else rounds[1::2]
+    every = _union([research, outline, writer, seo, *rounds, *extras, stage_out(_union(unwritten), "results")])
     results = sent(every)
     calls = L.ledger_rows(results)
     if metrics_path:
@@ -370,6 +380,8 @@ def assemble(results: DataFrame, final: DataFrame, topics: DataFrame, strict: bo
     topic itself are collected together (bounded: stages x rounds +
     languages), sorted by pipeline order, and reduced to the last row per stage
     key (translator keys are ``translator_<lang>``, in the order of the calls).
+    What says which calls were made (``ls``) is collected apart from the full
+    rows (``rs``) and the article, so a reader of the former shuffles no texts.
     A topic whose rows were lost is there all the same, and failed: a stage
     without a row is excused only if a ``skipped`` row says that it was off,
     or an earlier stage has failed already.  The last editor's text is the
@@ -377,7 +389,6 @@ def assemble(results: DataFrame, final: DataFrame, topics: DataFrame, strict: bo
     rewrote the article.
     """
     key = F.when(F.col("stage") == "translator", F.concat(F.lit("translator_"), F.col("variant"))).otherwise(F.col("stage"))
-    no_meta = F.lit(None).cast(S.METADATA_TYPE)
 
     def item(ord_: Column, it: Column, k: Column, stage: Column, variant: Column, status: Column, content: Column,
              tokens: Column, latency: Column, error: Column, reasoning: Column, metadata: Column) -> Column:
@@ -394,33 +405,40 @@ def assemble(results: DataFrame, final: DataFrame, topics: DataFrame, strict: bo
         item(S.stage_order_index(F.col("stage")), F.col("iteration"), key, F.col("stage"), F.col("variant"), F.col("status"),
              F.when((F.col("stage") == "editor") & F.lit(not editor_texts), F.lit(None).cast("string")).otherwise(F.col("content")),
              F.col("tokens_used"), F.col("latency_ms"), F.col("error"), F.col("reasoning"), F.col("metadata")).alias("r"),
+        F.struct(S.stage_order_index(F.col("stage")).alias("ord"), F.col("iteration").cast("int").alias("iteration"), key.alias("key"),
+                 F.col("stage").alias("stage"), F.col("variant").alias("variant"), F.col("status").alias("status")).alias("l"),
+        F.lit(None).cast("struct<article:string>").alias("a"),
         F.when(billed, F.col("prompt_tokens") + F.col("completion_tokens")).otherwise(F.lit(0)).alias("tok"),
         F.when(billed, F.col("latency_ms").cast("decimal(18,2)")).alias("lat"),
         F.when(billed, 1).alias("call"),
     )
 
-    def extra(df: DataFrame, name: str, content: Column) -> DataFrame:
+    def extra(df: DataFrame, article: Column) -> DataFrame:
         none = F.lit(None)
         return df.select(
-            "run_id", "topic_id",
-            item(F.lit(0), F.lit(0), F.lit(name), F.lit(name), F.lit(""), F.lit("success"), content, F.lit(0), F.lit(0.0), none, none, no_meta).alias("r"),
+            "run_id", "topic_id", none.cast(full_type).alias("r"), none.cast(light_type).alias("l"), article.alias("a"),
             F.lit(0).cast("bigint").alias("tok"), none.cast("decimal(18,2)").alias("lat"), none.cast("int").alias("call"),
         )
 
-    # the final article and the topic travel as further items of the same group (no join)
-    art = extra(final, "_article", F.col("article"))
-    asked = extra(topics, "_topic", F.lit(None).cast("string"))
+    full_type, light_type = rows.schema["r"].dataType, rows.schema["l"].dataType
+    # the final article and the topic travel as further rows of the same group (no join)
+    art = extra(final, F.struct("article"))
+    asked = extra(topics, F.lit(None).cast("struct<article:string>"))
     per = rows.unionByName(art).unionByName(asked).groupBy("run_id", "topic_id").agg(
         F.array_sort(F.collect_list("r")).alias("rs"),
+        F.array_sort(F.collect_list("l")).alias("ls"),
+        F.min("a")["article"].alias("_article"),
         F.sum("tok").cast("bigint").alias("total_tokens"),
         F.sum("lat").alias("lat_ms"),
         F.count("call").alias("total_calls"),
     )
-    staged = F.filter("rs", lambda x: ~x["key"].startswith("_"))
-    last = F.filter(staged, lambda x: ~F.exists("rs", lambda y: (y["key"] == x["key"]) & (y["iteration"] > x["iteration"])))
-    article = F.try_element_at(F.filter("rs", lambda x: x["key"] == "_article"), F.lit(1))["content"]
-    per = per.select("*", last.alias("last"), article.alias("_article"))
+
+    def last_of(items: str) -> Column:
+        return F.filter(items, lambda x: ~F.exists(items, lambda y: (y["key"] == x["key"]) & (y["iteration"] > x["iteration"])))
+
+    per = per.select("*", last_of("rs").alias("last"), last_of("ls").alias("last_calls"))
     ran = F.filter("last", lambda x: x["status"] != I.SKIPPED)
+    calls = F.filter("last_calls", lambda x: x["status"] != I.SKIPPED)
 
     def text_of(x: Column) -> Column:
         return F.when((x["stage"] == "editor") & (x["status"] == "success") & F.lit(not editor_texts), F.col("_article")).otherwise(F.coalesce(x["content"], F.lit("")))
@@ -430,7 +448,7 @@ def assemble(results: DataFrame, final: DataFrame, topics: DataFrame, strict: bo
 
     def broken(stage: str) -> Column:
         """No row, or a failed one."""
-        status = F.try_element_at(F.filter("last", lambda x: x["key"] == stage), F.lit(1))["status"]
+        status = F.try_element_at(F.filter("last_calls", lambda x: x["key"] == stage), F.lit(1))["status"]
         return F.coalesce(status, F.lit("lost")).isin("lost", "failed")
 
     tr = F.filter(ran, lambda x: x["stage"] == "translator")
@@ -438,7 +456,7 @@ def assemble(results: DataFrame, final: DataFrame, topics: DataFrame, strict: bo
         "run_id",
         "topic_id",
         F.when(broken("research") | broken("outline"), F.lit("failed"))
-        .when(F.lit(strict) & F.exists(ran, lambda x: x["status"] != "success"), F.lit("failed"))
+        .when(F.lit(strict) & F.exists(calls, lambda x: x["status"] != "success"), F.lit("failed"))
         .when(F.col("_article").isNull(), F.lit("failed"))
         .otherwise(F.lit("success"))
         .alias("status"),
@@ -449,7 +467,7 @@ def assemble(results: DataFrame, final: DataFrame, topics: DataFrame, strict: bo
         content_of("quality").alias("quality_report"),
         content_of("publisher").alias("publisher_output"),
         F.map_from_entries(F.transform(tr, lambda x: F.struct(x["variant"], x["content"]))).alias("translations"),
-        F.transform(ran, lambda x: x["key"]).alias("agents_run"),
+        F.transform(calls, lambda x: x["key"]).alias("agents_run"),
         F.map_from_entries(
             F.transform(
                 ran,
@@ -468,7 +486,14 @@ def assemble(results: DataFrame, final: DataFrame, topics: DataFrame, strict: bo
 
 
 def article_summary(articles: DataFrame) -> DataFrame:
-    """The run summary row per article."""
+    """The run summary row per article.
+
+    The languages are read from the names of the calls, not from the map of
+    translated texts; a language twice is an error in both.
+    """
+    prefix = "translator_"
+    calls = F.filter("agents_run", lambda x: x.startswith(prefix))
+    languages = F.map_from_entries(F.transform(calls, lambda x: F.struct(F.substring(x, F.lit(len(prefix) + 1), F.length(x)), F.lit(True))))
     return articles.select(
         "run_id",
         "topic_id",
@@ -479,7 +504,7 @@ def article_summary(articles: DataFrame) -> DataFrame:
         "agents_run",
         F.length("article").cast("bigint").alias("article_length"),
         T.ws_word_count("article").alias("word_count"),
-        F.array_sort(F.map_keys("translations")).alias("translations"),
+        F.array_sort(F.map_keys(languages)).alias("translations"),
         "metrics_path",
     )
 

@@ -1,6 +1,7 @@
 """Completers (I1-I6), score parsing (J4) and the workflow."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -224,3 +225,28 @@ def test_partial_pipeline_research_writer_quality(spark):
                                      "threshold_pct": F.lit(70.0)})
     q = quality.first()
     assert q.status == "success" and q.metadata.overall_score == 75.0 and q.metadata.passes_threshold
+
+
+def test_summary_shuffles_no_texts(spark):
+    c = ExpressionCompleter(replies={"quality": lambda col: F.lit('{"overall_score": 95}')})
+    run = W.run_pipeline(_topics(spark), c, run_id="r1")
+    plan = run.summary()._jdf.queryExecution().optimizedPlan().toString()
+    assert "iteration, " in plan and not re.search(r"\b(content|reasoning|metadata), ", plan)  # structs of names and states only
+    got = {r.topic_id: r for r in run.summary().collect()}
+    assert got[1].translations == ["ms", "zh"] and got[2].translations == []
+    assert got[1].agents_run == [r.agents_run for r in run.articles.where("topic_id = 1").collect()][0]
+
+
+def test_stage_rows_are_written_once(spark, monkeypatch):
+    """No second copy of rows that a cut has written already; the editor's rows come out of the review's."""
+    cuts = {}
+    original = W.cut
+    monkeypatch.setattr(W, "cut", lambda df, name="round": cuts.setdefault(name, original(df, name)))
+    c = ExpressionCompleter(replies={"writer": lambda col: F.lit("body"), "editor": lambda col: F.concat(col("draft"), F.lit("+")),
+                                       "quality": lambda col: F.lit('{"overall_score": 95}')})
+    run = W.run_pipeline(_topics(spark), c, run_id="r1")
+    assert {r.stage for r in cuts["results"].collect()} == {"translator", "publisher"}
+    assert "draft" not in cuts["quality-1"].columns
+    editor = run.results.where("stage = 'editor'").collect()
+    assert [(r.content, r.status, r.iteration) for r in editor] == [("body+", "success", 1)] * 2
+    assert run.results.groupBy("stage").count().collect() and run.results.count() == 6 * 2 + 2 + 2  # six stages, publisher, two translations

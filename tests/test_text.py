@@ -117,3 +117,11 @@ def test_text_rules_match_python(spark, texts):
         assert r[2] == joined_slug(t)
         assert r[3] == t.strip()
         assert r[4] == (t if len(t) <= 5 else t[:2] + "...")
+
+
+def test_ws_word_count_is_python_split(spark):
+    texts = ["", " ", "a", " a b c\x1c", "\x85a\xa0", "a\n\nb\t", None, "　x y ", "zé ü", "a​b"]
+    got = one(spark, T.ws_word_count("t"), rows=[(x,) for x in texts])
+    assert got == [None if x is None else len(x.split()) for x in texts]
+    # matching runs of the negated class took ten times as long
+    assert "regexp" not in str(T.ws_word_count("t")).lower()
