@@ -22,6 +22,7 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -134,14 +135,40 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return last.select(*keys, F.concat(F.lit(f"{base}/"), F.col("_r.path")).alias("path"), "_r.bytes", "_r.sha256")
 
 
+#: Bytes of bodies in one batch of read documents, and files and bytes that one reading task is given.
+READ_BATCH = 16 << 20
+FILES_A_TASK = 2048
+BYTES_A_TASK = 64 << 20
+
+
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """(run_id, topic_id, name, body) of the documents that count, read back from their files."""
+    """(run_id, topic_id, name, body) of the documents that count, read back from their files.
+
+    Tasks open the files that the manifest names: no folder is listed, and a
+    task has many files however small they are.  An empty or lost file is an
+    empty body.
+    """
     base = path.rstrip("/")
+    ship_package(spark)
     kept = read_manifest(spark, path)
-    files = spark.read.option("recursiveFileLookup", "true").text(f"{base}/files", wholetext=True)
-    # a file's name holds its job and attempt: the last four parts of its path name it
-    tail = lambda c: F.regexp_extract(c, r"(files/[^/]+/[^/]+/[^/]+)$", 1)
-    read = files.select(tail(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))).alias("_f"), "value")
-    named = kept.withColumn("_f", tail(F.col("path")))
-    # an empty file has no row of its own
-    return named.join(read, "_f", "left").select("run_id", "topic_id", "name", F.coalesce("value", F.lit("")).alias("body"))
+    files, size = kept.agg(F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    tasks = max(spark.sparkContext.defaultParallelism, files // FILES_A_TASK + 1, size // BYTES_A_TASK + 1)
+    listed = kept.select("run_id", "topic_id", "name", F.substring("path", F.lit(len(base) + 2), F.length("path")).alias("_f")).repartition(tasks, "_f")
+
+    def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = file_system(base)
+        for batch in batches:
+            start, read, held = 0, [], 0
+            for i, name in enumerate(batch.column("_f").to_pylist(), 1):
+                try:
+                    with fs.open_input_stream(f"{root}/{name}") as f:
+                        read.append(f.read().decode("utf-8", "replace"))
+                except FileNotFoundError:
+                    read.append("")
+                held += len(read[-1])
+                if held >= READ_BATCH or i == batch.num_rows:
+                    keys = [batch.column(c).slice(start, i - start) for c in ("run_id", "topic_id", "name")]
+                    yield pa.RecordBatch.from_arrays([*keys, pa.array(read, pa.string())], ["run_id", "topic_id", "name", "body"])
+                    start, read, held = i, [], 0
+
+    return listed.mapInArrow(bodies, DOCUMENT_SCHEMA)

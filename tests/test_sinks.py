@@ -145,3 +145,18 @@ def test_register_renderer(spark):
     df = spark.createDataFrame([("shout", "hi"), ("html", "# T"), ("nope", "x")], "t string, b string")
     got = [r[0] for r in df.select(R.render_target(F.col("t"), F.col("b"), F.lit("T"))).collect()]
     assert got == ["HI", "<h1>T</h1>", None] and "shout" in R.renderer_names()
+
+
+def test_documents_are_read_by_the_manifest(spark, tmp_path, monkeypatch):
+    """No folder of files is listed; small batches, empty, lost and oddly named documents come back in place."""
+    monkeypatch.setattr(D, "READ_BATCH", 40)
+    rows = [("r", str(i), f"n%20 '{i}.md", "" if i == 3 else "zé " * i * 5) for i in range(12)]
+    df = spark.createDataFrame(rows, "run_id string, topic_id string, name string, body string")
+    path = str(tmp_path / "docs")
+    D.write_documents(df, path, F.col("body"), F.col("name"))
+    read = D.read_documents(spark, path)
+    assert "Scan text" not in read._jdf.queryExecution().executedPlan().toString()
+    assert {(r.run_id, r.topic_id, r.name, r.body) for r in read.collect()} == set(rows)
+    (lost,) = [r.path for r in D.read_manifest(spark, path).collect() if r.topic_id == "5"]
+    (tmp_path / lost.removeprefix(f"{tmp_path}/")).unlink()
+    assert {r.topic_id: r.body for r in D.read_documents(spark, path).collect()} == {r[1]: "" if r[1] == "5" else r[3] for r in rows}
