@@ -89,17 +89,25 @@ def term_frequencies(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     return terms.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+#: Terms whose document frequency is broadcast, at most.
+HOT_TERMS = 200_000
+
+
 def top_keywords(docs: DataFrame, k: int = 5, key: str = "doc_id", text: str = "text",
-                 tf: DataFrame | None = None) -> DataFrame:
+                 tf: DataFrame | None = None, hot_terms: int = HOT_TERMS) -> DataFrame:
     """Per document the k terms with the highest tf * ln(N / df), ties by term.
 
     N = number of documents (a scalar subquery), df = documents containing
-    the term (aggregate on term).  The top-k is a window per
-    document over that document's distinct terms only.
+    the term (aggregate on term).  Only terms that can be among a document's k
+    meet the whole df table: the df of at most ``hot_terms`` most frequent terms
+    are broadcast, any other term lies below their least df and so between two
+    scores, and what is below k lower bounds is out.  Texts are dealt by key
+    once, so counts and bounds need no shuffle of their own.
     """
-    tf = tf if tf is not None else term_frequencies(docs, key, text)
+    tf = tf if tf is not None else term_frequencies(docs.select(key, text).repartition(key), key, text)
     n_docs = docs.select(F.count(F.lit(1))).scalar()
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    tf = _possible_keywords(tf, df, n_docs, k, key, hot_terms)
     scored = tf.join(df, "term").select(
         key, "term", "tf", "df", (F.col("tf") * F.log(n_docs / F.col("df"))).alias("score")
     )
@@ -107,6 +115,25 @@ def top_keywords(docs: DataFrame, k: int = 5, key: str = "doc_id", text: str = "
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _possible_keywords(tf: DataFrame, df: DataFrame, n_docs: Column, k: int, key: str, hot_terms: int) -> DataFrame:
+    """The rows of ``tf`` whose score can be among their document's k highest."""
+    steps = [1 << i for i in range(62)]
+    counts = df.agg(F.array(*[F.count_if(F.col("df") >= s) for s in steps]).alias("n"))
+    few = F.filter(F.arrays_zip(F.array(*[F.lit(s).cast("long") for s in steps]).alias("df"), F.col("n").alias("n")), lambda x: x["n"] <= hot_terms)
+    least = counts.select(F.get(few, F.lit(0))["df"]).scalar()
+    hot = F.broadcast(df.where(F.col("df") >= least).select("term", F.col("df").alias("_df")))  # at most hot_terms rows
+
+    def score(d: Column) -> Column:
+        return F.col("tf") * F.log(n_docs / d)
+
+    low = F.coalesce("_df", F.greatest(least - 1, F.lit(1)))
+    bound = tf.join(hot, "term", "left").select(key, "term", "tf", score(low).alias("_low"), score(F.coalesce("_df", F.lit(1))).alias("_high"))
+    w = Window.partitionBy(key).orderBy(F.col("_low").desc()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    kth = F.coalesce(F.nth_value("_low", k).over(w), F.lit(0.0))
+    # a score's last digits may differ from its bounds'
+    return bound.withColumn("_kth", kth).where(F.col("_high") >= F.col("_kth") * (1 - 1e-9)).select(key, "term", "tf")
+
+
 # -------------------------------------------------------------- P2 density
 
 

@@ -1,6 +1,9 @@
 """Corpus analytics (P1-P14) on literal fixtures."""
 
+import math
 import random
+import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -37,6 +40,29 @@ def test_keywords_and_density(spark):
     assert d["Spark"].hits == 2 and abs(d["Spark"].density - 100 * 2 / 3) < 1e-9 and d["Spark"].stuffing
 
 
+def test_keywords_by_bounds_equal_all_terms(spark):
+    """Whatever part of the df table is broadcast, the keywords are those of a count over all terms; no shuffle by (document, term)."""
+    rnd = random.Random(9)
+    words = ["w" + chr(97 + i % 26) * (1 + i // 26) for i in range(120)]
+    rows = [(i, " ".join(rnd.choices(words, [1 / (j + 1) for j in range(len(words))], k=rnd.choice([1, 3, 30, 80])))) for i in range(60)]
+    rows += [(3, "wa wa again"), (None, "wa nobody"), (None, "wb nobody"), (90, None), (91, ""), (92, "wa")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    tfs = {}
+    for d, t in rows:
+        tfs.setdefault(d, Counter()).update((t or "").split())
+    df = Counter(t for c in tfs.values() for t in c)
+    want = set()
+    for d, c in tfs.items():
+        order = sorted((-(n * math.log(len(rows) / df[t])), t, n) for t, n in c.items())[:5]
+        want |= {(d, t, n, df[t], r) for r, (_, t, n) in enumerate(order, 1)}
+    for hot in (0, 1, 12, 10_000):
+        found = A.top_keywords(docs, hot_terms=hot)
+        assert {(r.doc_id, r.term, r.tf, r.df, r["rank"]) for r in found.collect()} == want, hot
+        assert found.count() == len(want)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(doc_id#\d+L, term#", plan)
+
+
 def test_page_audit_images_links(spark):
     html = ('<html><head><title>Short</title><meta name="description" content="' + "d" * 80 + '"></head>'
             '<body><h1>x</h1><img src=a.png><img alt="ok" src=b.png><a href="/p/2">two</a></body></html>')
