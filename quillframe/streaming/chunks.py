@@ -11,8 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -142,7 +141,10 @@ ASSEMBLED_SCHEMA = (
     "response_id bigint, content string, reasoning_content string, prompt_tokens bigint, completion_tokens bigint, "
     "total_tokens bigint, status string, complete boolean"
 )
-PART_STATE = "seq bigint, delta string, reasoning string, counted boolean, prompt_tokens bigint, completion_tokens bigint, total_tokens bigint"
+#: One row per micro-batch: the chunks that came in it.
+PART_STATE = (
+    "parts array<struct<seq:bigint,delta:string,reasoning:string,counted:boolean,prompt_tokens:bigint,completion_tokens:bigint,total_tokens:bigint>>"
+)
 META_STATE = "done bigint, last_ms bigint, timer_ms bigint, closed boolean"
 
 
@@ -153,6 +155,9 @@ class ReplyAssembler(StatefulProcessor):
     before it are there, or as ``partial`` when the watermark passes its last
     chunk.  A closed reply keeps a marker, so that repeated or late chunks open
     no second one; the marker goes ``keep_ms`` of event time later.
+
+    Every call to the state is a round trip, so a reply has one timer, which is
+    moved on when it fires, not with every chunk.
     """
 
     def __init__(self, keep_ms: int) -> None:
@@ -163,60 +168,57 @@ class ReplyAssembler(StatefulProcessor):
         self.parts = handle.getListState("parts", PART_STATE)
         self.meta = handle.getValueState("meta", META_STATE)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        known = self.meta.exists()
-        done, last, timer, closed = self.meta.get() if known else (None, None, None, False)
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        known = self.meta.get()
+        done, last, timer, closed = known or (None, None, None, False)
         came: list[tuple] = []
-        for pdf in rows:
-            newest = int(pdf["event_time"].max().value // 1_000_000)
-            last = newest if last is None else max(last, newest)
-            if closed:
-                continue
-            ends = pdf.loc[pdf["is_done"], "seq"]
-            if len(ends):
-                done = int(ends.min()) if done is None else min(done, int(ends.min()))
-            came += _parts(pdf[~pdf["is_done"]])
+        for _, _, ms, seq, is_done, *part in rows:
+            last = ms if last is None else max(last, ms)
+            if is_done and not closed:
+                done = seq if done is None else min(done, seq)
+            elif not closed:
+                came.append((seq, *part))
         if not closed and done is not None:
-            held = list(self.parts.get()) if known else []
-            parts = _in_order(held + came, done)
+            parts = _in_order((self._held() if known else []) + came, done)
             if len(parts) == done:
                 self.parts.clear()
                 closed = True
                 yield _reply(key[0], parts, "success")
         if not closed and came:
-            self.parts.appendList(came)
-        self._set(done, last, timer, closed, last + self.keep_ms if closed else last)
+            self.parts.appendValue((came,))
+        self._set(done, last, timer, closed)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.meta.exists():
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        known = self.meta.get()
+        if not known:
             return
-        done, last, timer, closed = self.meta.get()
+        done, last, timer, closed = known
         if timer != expiredTimerInfo.getExpiryTimeInMs():
             return
+        if timer < self._due(last, closed) >= timerValues.getCurrentWatermarkInMs():
+            self._set(done, last, None, closed)
+            return
         if closed:
             self.meta.clear()
             return
-        yield _reply(key[0], _in_order(list(self.parts.get()), done), "partial")
+        yield _reply(key[0], _in_order(self._held(), done), "partial")
         self.parts.clear()
-        self._set(done, last, None, True, last + self.keep_ms)
+        self._set(done, last, None, True)
 
-    def _set(self, done, last, timer, closed, new_timer) -> None:
-        if timer != new_timer:
-            if timer is not None:
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(new_timer)
-        self.meta.update((done, last, new_timer, closed))
+    def _held(self) -> list[tuple]:
+        return [p for batch in self.parts.get() for p in batch[0]]
 
-    def close(self) -> None:
-        pass
+    def _due(self, last: int, closed: bool) -> int:
+        return last + self.keep_ms if closed else last
 
+    def _set(self, done, last, timer, closed) -> None:
+        if timer is None:
+            timer = self._due(last, closed)
+            self.handle.registerTimer(timer)
+        self.meta.update((done, last, timer, closed))
 
-def _parts(pdf: pd.DataFrame) -> list[tuple]:
-    """State rows of decoded chunks, column by column."""
-    usage = [u if isinstance(u, dict) else (u.asDict() if hasattr(u, "asDict") else None) for u in pdf["usage"]]
-    counts = [[None if u is None else int(u.get(c) or 0) for u in usage] for c in ("prompt_tokens", "completion_tokens", "total_tokens")]
-    text = [[x if isinstance(x, str) and x else None for x in pdf[c]] for c in ("delta", "reasoning_delta")]
-    return list(zip((int(x) for x in pdf["seq"]), *text, (u is not None for u in usage), *counts, strict=True))
+    def close(self) -> None:
+        pass
 
 
 def _in_order(parts: list[tuple], done: int | None) -> list[tuple]:
@@ -228,11 +230,17 @@ def _in_order(parts: list[tuple], done: int | None) -> list[tuple]:
     return [once[k] for k in sorted(once)]
 
 
-def _reply(response_id, parts: list[tuple], status: str) -> pd.DataFrame:
+_ASSEMBLED = Row(*[c.split()[0] for c in ASSEMBLED_SCHEMA.split(", ")])
+
+
+def _reply(response_id, parts: list[tuple], status: str) -> Row:
     reasons = [p[2] for p in parts if p[2]]
     usage = next((p[4:] for p in reversed(parts) if p[3]), (0, 0, 0))
-    row = (response_id, "".join(p[1] for p in parts if p[1]), "".join(reasons) if reasons else None, *usage, status, status == "success")
-    return pd.DataFrame([row], columns=[c.split()[0] for c in ASSEMBLED_SCHEMA.split(", ")])
+    return _ASSEMBLED(response_id, "".join(p[1] for p in parts if p[1]), "".join(reasons) if reasons else None, *usage, status, status == "success")
+
+
+#: Stands for a missing event time: before any other.
+NO_TIME = -((1 << 63) // 1_000_000)
 
 
 def assemble_stream(decoded: DataFrame, abandon_after: str = "10 minutes", keep_closed_s: int = 3600) -> DataFrame:
@@ -242,10 +250,21 @@ def assemble_stream(decoded: DataFrame, abandon_after: str = "10 minutes", keep_
     micro-batches (see :class:`ReplyAssembler`).  ``abandon_after`` is the
     watermark: a reply whose stream stops without all its chunks is emitted as
     ``partial`` once event time is that much past its last one.  State lives
-    in the RocksDB store and is written chunk by chunk.
+    in the RocksDB store; a micro-batch adds its chunks to it.
     """
     spark = decoded.sparkSession
     ship_package(spark)
     rocksdb_state(spark)
-    rows = decoded.withWatermark("event_time", abandon_after).groupBy("response_id")
-    return rows.transformWithStateInPandas(ReplyAssembler(1000 * keep_closed_s), ASSEMBLED_SCHEMA, "Append", "EventTime")
+    usage = [F.coalesce(F.col("usage")[c], F.lit(0)).cast("bigint").alias(c) for c in ("prompt_tokens", "completion_tokens", "total_tokens")]
+    rows = decoded.withWatermark("event_time", abandon_after).select(
+        "response_id",
+        "event_time",
+        F.coalesce(F.unix_millis(F.col("event_time").cast("timestamp")), F.lit(NO_TIME)).alias("ms"),
+        "seq",
+        "is_done",
+        "delta",
+        F.col("reasoning_delta").alias("reasoning"),
+        F.col("usage").isNotNull().alias("counted"),
+        *usage,
+    )
+    return rows.groupBy("response_id").transformWithState(ReplyAssembler(1000 * keep_closed_s), ASSEMBLED_SCHEMA, "Append", "EventTime")

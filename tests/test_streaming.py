@@ -82,6 +82,82 @@ def test_stream_assembly_goes_on_after_a_restart(spark):
     assert _assembled(spark, [[(7, 1, 1, _content("two")), (7, 2, 2, "data: [DONE]")]], "restart", path=src) == want
 
 
+class _State:
+    """A state variable and the timers of one reply; every call is counted, as each is a round trip."""
+
+    def __init__(self, calls):
+        self.calls, self.value, self.items, self.timers = calls, None, [], set()
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls.append(name)
+            return {
+                "get": lambda: iter(list(self.items)) if self.items or self.value is None and self.is_list else self.value,
+                "update": lambda v: setattr(self, "value", v), "appendValue": self.items.append,
+                "registerTimer": self.timers.add, "clear": lambda: (self.items.clear(), setattr(self, "value", None)),
+            }[name](*args)
+
+        return call
+
+    is_list = False
+
+
+class _Times:
+    def __init__(self, ms):
+        self.getExpiryTimeInMs = self.getCurrentWatermarkInMs = lambda: ms
+
+
+def _assembler(keep_ms=1000):
+    calls = []
+    a = X.ReplyAssembler(keep_ms)
+    a.handle, a.parts, a.meta = (_State(calls) for _ in range(3))
+    a.parts.is_list = True
+    return a, calls
+
+
+def _chunk(ms, seq, text=None, done=False, usage=None):
+    return (1, None, ms, seq, done, text, None, usage is not None, *(usage or (0, 0, 0)))
+
+
+def test_few_state_calls_per_reply_and_batch():
+    a, calls = _assembler()
+    assert not list(a.handleInputRows((1,), iter([_chunk(5, 0, "a"), _chunk(9, 2, "c"), _chunk(7, 1, "b"), _chunk(7, 1, "b")]), None))
+    assert calls == ["get", "appendValue", "registerTimer", "update"]  # one state row for the batch's chunks
+    calls.clear()
+    assert not list(a.handleInputRows((1,), iter([_chunk(50, 3, "d", usage=(1, 2, 3))]), None))
+    assert calls == ["get", "appendValue", "update"]  # the timer stays where it is
+    [r] = a.handleInputRows((1,), iter([_chunk(60, 4, done=True)]), None)
+    assert (r.content, r.total_tokens, r.status) == ("abcd", 3, "success") and not a.parts.items
+
+
+def test_a_timer_that_fires_early_is_moved_on():
+    a, _ = _assembler()
+    list(a.handleInputRows((1,), iter([_chunk(10, 0, "a")]), None))
+    list(a.handleInputRows((1,), iter([_chunk(40, 1, "b")]), None))
+    assert a.handle.timers == {10}
+    assert not list(a.handleExpiredTimer((1,), _Times(20), _Times(10))) and a.handle.timers == {10, 40}
+    [r] = a.handleExpiredTimer((1,), _Times(41), _Times(40))
+    assert (r.content, r.status, r.complete) == ("ab", "partial", False) and 1040 in a.handle.timers
+    assert not list(a.handleInputRows((1,), iter([_chunk(50, 2, done=True)]), None))  # closed: opens no second reply
+    assert not list(a.handleExpiredTimer((1,), _Times(1041), _Times(1040))) and a.meta.value is not None
+    assert not list(a.handleExpiredTimer((1,), _Times(2000), _Times(1050))) and a.meta.value is None
+    # the watermark has passed the last chunk as well: no second round
+    a, _ = _assembler()
+    list(a.handleInputRows((1,), iter([_chunk(10, 0, "a")]), None))
+    list(a.handleInputRows((1,), iter([_chunk(40, 1, "b")]), None))
+    assert [r.content for r in a.handleExpiredTimer((1,), _Times(41), _Times(10))] == ["ab"]
+
+
+def test_a_reply_without_id_costs_no_other_its_chunks(spark):
+    """All lines without an id are one reply, as in the batch form; replies with ids stay whole."""
+    src = scratch_path(spark, "test-null-ids")
+    at = dt.datetime(2024, 1, 1)
+    rows = [(i, j, at, line) for i in [*range(12), None] for j, line in enumerate([_content(f"r{i}"), "data: [DONE]"])]
+    spark.createDataFrame(rows, X.LINE_SCHEMA).repartition(2).write.parquet(src)
+    out = L.run_available_now(X.assemble_stream(X.decode(X.read_lines(spark, src, stream=True), keep_skipped=True)), "test-null-ids")
+    assert {(r.response_id, r.content, r.status) for r in out.collect()} == {(i, f"r{i}", "success") for i in [*range(12), None]}
+
+
 def test_captured_text_lines(spark):
     src = scratch_path(spark, "test-captures")
     text = [(": response 5\r\n" + _content("He") + "\r\n: ping\r\n" + _content("y") + "\r\ndata: [DONE]",),
