@@ -47,12 +47,12 @@ LONGEST = 256
 #: Piece tables up to this size are broadcast; vocabulary files beyond it are refused.
 MOST_PIECES = 1_000_000
 #: Words of a block of texts, about (a longer text is a block of its own).
-BLOCK_WORDS = 4_000_000
+BLOCK_WORDS = 1_000_000
 #: Substrings are cut no longer than the pieces of their first PREFIX characters; BUCKETS is a power of two.
 PREFIX = 4
 BUCKETS = 1 << 16
 #: Edges folded at a time, about.
-EDGES = 500_000
+EDGES = 100_000
 LAYOUT = np.dtype([("key", "V32"), ("words", "<i8")])
 WORD = r"(?s) *+[^ \n]++| ++|\n"
 
@@ -292,8 +292,8 @@ def _packed(batch: pa.RecordBatch) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def _blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, text) -> the words and data of ``_blocks``; without a word, last of a block: its long words and layout, and its rows."""
+def _blocked(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    """(row), whose field ``text`` is the text -> the words and data of ``_blocks``; without a word, last of a block: its long words and layout, and its rows."""
     held: list[pa.Array] = []
 
     def keyed() -> Iterator[pa.RecordBatch]:
@@ -301,7 +301,7 @@ def _blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held.append(b.column(0))
             number = np.zeros((b.num_rows, 4), np.int64)
             number[:, 0] = np.arange(b.num_rows)
-            yield pa.RecordBatch.from_arrays([pa.array([bytes(k) for k in number.view("V32").ravel()], pa.binary()), words_of(b.column(1))], ["key", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array([bytes(k) for k in number.view("V32").ravel()], pa.binary()), words_of(b.column(0).field(text))], ["key", "words"])
 
     at = 0
     for block in _blocks(keyed()):
@@ -361,9 +361,11 @@ def encoded(docs: DataFrame, text: str = "text", out: str = "ids", model: str =
     voc = vocabulary(model)
     costs, byte_cost, byte_ids, long_path = _costs(voc), voc.byte_cost, voc.byte_ids, _long_path(voc)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    packed = docs.select(row, F.col(f"`{text}`").alias("text"))
+    packed = docs.select(row)
+    names = [c.lower() for c in docs.columns]
+    at = docs.columns.index(text) if text in docs.columns else names.index(text.lower())
     kind = packed.schema["row"].dataType
-    edges = edges_of(packed.mapInArrow(_blocked, "word string, data binary"), model)
+    edges = edges_of(packed.mapInArrow(lambda batches: _blocked(batches, at), "word string, data binary"), model)
 
     def path(at: np.ndarray, ids: np.ndarray) -> pa.ListArray:
         return _paths(at, ids, costs, byte_cost, byte_ids)
