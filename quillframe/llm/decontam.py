@@ -51,6 +51,10 @@ SIMILARITY = 0.8
 PLAIN_WORDS = 3
 #: The scan filters by at most this many benchmark hashes (8 bytes each).
 FILTER_HASHES = 4_000_000
+#: Benchmark windows that may be broadcast: rows of a few hundred bytes.
+BROADCAST_WINDOWS = 50_000
+#: Benchmark windows that a task holds as Python rows, about.
+ITEM_ROWS = 20_000
 #: Word types whose class a worker remembers.
 REMEMBERED = 300_000
 
@@ -214,6 +218,9 @@ def _signed(h: int) -> int:
 
 
 def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(_ITEM), _ITEM_TYPES, strict=True)], [f.name for f in _ITEM])
+
     for b in batches:
         rows, words = [], _Words()
         for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -233,7 +240,10 @@ def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 words_of = " ".join(t.words.cores[c] for c in t.code.tolist())
                 windows += [(int(s), _signed(int(h)), []) for s, h in short]
                 rows += [(item, forms[0], f"2|{words_of}", True, s, h, head, n, len(windows), slots) for s, h, slots in windows]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(_ITEM), _ITEM_TYPES, strict=True)], [f.name for f in _ITEM])
+            if len(rows) >= ITEM_ROWS:
+                yield batch(rows)
+                rows, words = [], _Words()
+        yield batch(rows)
 
 
 _ITEM_TYPES = (pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string()))
@@ -335,12 +345,12 @@ def held_items(docs: DataFrame, benchmark: DataFrame, text: str = "text", simila
     hashes = windows.select("hash").distinct()
     wanted = None
     if hashes.count() <= max_filter:
-        wanted = np.sort(np.array([r[0] for r in hashes.collect()], np.int64).view(np.uint64))
+        wanted = np.sort(hashes.toArrow().column(0).to_numpy().view(np.uint64))  # 8 bytes a hash, also on the driver
     body = F.col(f"`{text}`")
     rows = docs.where(body.isNotNull()).select(F.md5(body).alias("key"), body.cast("binary").alias("text"))
     found = rows.mapInArrow(_text_windows(lengths, wanted), _HIT)
     fits = (F.col("opens") == 0) | ((F.col("nth") == F.col("at")) & (found["head"] == windows["head"]))
-    met = found.join(sized(windows), "hash").where(fits).drop("head", "hash", "length", "class")
+    met = found.join(sized(windows, BROADCAST_WINDOWS), "hash").where(fits).drop("head", "hash", "length", "class")
     hits = written(met.withColumn("diagonal", F.col("pos") - F.col("at")), "benchmark-hits")
     diagonal = ["key", "form", "diagonal"]
     openings = hits.where("opens > 0").select(*diagonal, F.col("opens").alias("o"), F.col("until").alias("u")).distinct()

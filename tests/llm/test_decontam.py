@@ -1,8 +1,10 @@
 """Benchmark decontamination: planted passages, re-parameterised questions, slot consistency, odd rows."""
 
 import numpy as np
+import pyarrow as pa
 
 from quillframe.llm import decontam
+from quillframe.llm.common import sized
 
 DOC, ITEM = "doc_id long, text string", "item_id long, text string"
 Q = "A farmer named {a} bought {n} apples and {m} pears at the market, then {a} sold {n} apples to the baker for {k} dollars each morning."
@@ -134,3 +136,28 @@ def test_cut_passages_against_brute_force(spark):
     docs += [(200, " ".join(rng.choice(vocab, 60_000)) + " " + items[0][1])]  # a long text
     want = {(d, i) for d, t in docs for i, x in items if _brute_covered(t, x)}
     assert set(pairs(spark, docs, items)) == want and (200, 0) in want
+
+
+def test_large_benchmarks_stay_off_the_driver(spark, monkeypatch):
+    """Hashes reach the driver as an array, wide rows are broadcast to a bound only, and tasks hold a bounded number of them."""
+    rng = np.random.default_rng(5)
+    vocab = [f"w{i}" for i in range(3000)]
+    items = [(i, " ".join(rng.choice(vocab, 80))) for i in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in items]), pa.array([t.encode() for _, t in items])], ["item", "text"])
+    sizes = [b.num_rows for b in decontam._item_windows(iter([batch]))]
+    assert sum(sizes) == 300 * 76 * 2 and max(sizes) < decontam.ITEM_ROWS + 1000
+
+    docs = [(i, f"{FILL} {t} {FILL}") for i, t in items[:5]]
+    kind = type(spark.range(1))
+    collect, hinted = kind.collect, []
+
+    def counted(self):
+        assert self.columns != ["hash"], "a Python row a hash"
+        return collect(self)
+
+    monkeypatch.setattr(kind, "collect", counted)
+    monkeypatch.setattr(decontam, "sized", lambda side, most=500_000: hinted.append(most) or sized(side, most))
+    assert pairs(spark, docs, items) == [(i, i) for i in range(5)]
+    assert hinted[0] == decontam.BROADCAST_WINDOWS
+    monkeypatch.setattr(decontam, "BROADCAST_WINDOWS", 10)
+    assert pairs(spark, docs, items) == [(i, i) for i in range(5)]
