@@ -1,23 +1,32 @@
 """Stupid-backoff language-model scores from relational n-gram counts.
 
-Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; an n-gram is named by a
-64-bit combination of its words' XXH64.  Counts are taken over all documents.
-An n-gram of two words or more that is seen fewer than ``MIN_COUNT`` times
-backs off:
+Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, named by their XXH64.
+Counts are taken over all documents.  An n-gram of two words or more that is
+seen fewer than ``MIN_COUNT`` times backs off:
 
     S(w) = c(w) / N
     S(w | context) = c(context w) / c(context)   if c(context w) >= MIN_COUNT
                    = ALPHA * S(w | shorter)       else
 
-Each order's count table, dealt by the n-gram's hash, becomes a table of
-``ln S``: seen n-grams join their prefix's count, the others their suffix's
-score.  Documents are exploded into the longest n-gram ending at each word,
-joined to those tables by the n-gram, and the logarithms summed per document.
-
-Tasks combine before every shuffle: counts per batch, and one posting row
-(n-gram, packed (document, repeats)) per batch, so a very common n-gram gives a
-row per batch rather than per occurrence, and the sums leave a task once per
-document.  Joins on very common prefixes are split by AQE.
+An n-gram is seen only if all its parts are, so ``ln S`` is a sum over the
+orders: ``ln S_1`` and, for each order k whose n-gram is seen,
+``ln S_k - ln S_(k-1) - ln ALPHA`` (``ln ALPHA`` for each order above one
+besides).  Every term is the logarithm of one count, and a group of all
+occurrences of an n-gram g, each with the word before (p) and after it (n),
+knows c(g), c(p g), c(g n) and c(p g n).  Hence one shuffle per length from two
+words to ``order - 1`` gives counts and scores at once:
+
+1. the words are counted; the ``WORDS`` most frequent ones become codes, which
+   are broadcast with their counts;
+2. every occurrence goes to its n-gram's bucket as codes, packed per chunk of
+   texts (other words go as their hash; their counts are joined afterwards);
+3. a bucket's occurrences are grouped and counted, and their terms summed per
+   chunk and document;
+4. the sums meet their chunk's documents.
+
+Words that occur once are in no seen n-gram, so while ``WORDS`` holds all others
+the n-grams around them need no shuffle.  Buckets grow with the words, not with
+the tasks.
 
 Null and empty texts have no words and a null mean score.  Rows that share a
 doc_id (and all rows with a null id) are scored as one document.
@@ -31,7 +40,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillframe.llm.common import written
@@ -39,33 +49,19 @@ from quillframe.llm.common import written
 ORDER = 3
 ALPHA = 0.4
 MIN_COUNT = 2
-#: Words that a task combines at a time, and words whose hashes it remembers.
+#: Words that a task combines at a time, and words that it remembers.
 BATCH_WORDS = 1_000_000
 MEMO = 500_000
-TURN = 17
-
-
-def _turned(h: np.ndarray, k: int) -> np.ndarray:
-    r = np.uint64(TURN * k % 64)
-    return h if r == 0 else (h << r) | (h >> (np.uint64(64) - r))
-
-
-def named(words: list[np.ndarray]) -> np.ndarray:
-    """The n-gram's name from its words' hashes (uint64 arrays, first word first)."""
-    out = words[0].copy()
-    for k, w in enumerate(words[1:], 1):
-        out ^= _turned(w, k)
-    return out
-
-
-def _named(words: list[Column]) -> Column:
-    """The same as a Column."""
-    out = words[0]
-    for k, w in enumerate(words[1:], 1):
-        r = TURN * k % 64
-        turned = w if r == 0 else F.shiftleft(w, r).bitwiseOR(F.shiftrightunsigned(w, 64 - r))
-        out = out.bitwiseXOR(turned)
-    return out
+#: Words that have codes: 20 bytes each on every worker.
+WORDS = 1 << 20
+#: Occurrences of a bucket, about; buckets are a power of two, this one at least.
+BUCKET = 2_000_000
+LEAST_BITS = 8
+#: Sums that a task holds before it hands them on.
+HELD = 4_000_000
+#: Codes of a word outside the codes, and of no word (or one that occurs once); rare words of a bucket are numbered from ``RARE_FROM``.
+RARE, NONE = 0xFFFFFE, 0xFFFFFF
+RARE_FROM = 1 << 24
 
 
 class _Hashes:
@@ -84,9 +80,37 @@ class _Hashes:
         return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int | None, np.ndarray]]]:
-    """Lists of (doc, word hashes) of about ``BATCH_WORDS`` words."""
-    hashes, held, n = _Hashes(), [], 0
+class _Codes(_Hashes):
+    """Codes of a text's words; a word without one is its hash's place in ``rare``, from ``RARE_FROM`` on."""
+
+    def __init__(self, names: np.ndarray, codes: np.ndarray, exhaustive: bool) -> None:
+        super().__init__()
+        self.names, self.codes, self.exhaustive, self.rare = names, codes, exhaustive, []
+
+    def of(self, text: bytes | None) -> np.ndarray:
+        words, memo = (text or b"").lower().split(), self.memo
+        new = [w for w in set(words) if w not in memo]
+        if new:
+            hashes = np.array([xxhash.xxh64_intdigest(w) for w in new], np.uint64)
+            at = np.minimum(np.searchsorted(self.names, hashes), max(0, len(self.names) - 1))
+            known = self.names[at] == hashes if len(self.names) else np.zeros(len(new), bool)
+            code = np.where(known, self.codes[at], NONE) if len(self.names) else np.full(len(new), NONE)
+            if not self.exhaustive:
+                code[~known] = RARE_FROM + len(self.rare) + np.arange(int((~known).sum()))
+                self.rare += hashes[~known].tolist()
+            memo.update(zip(new, code.tolist(), strict=True))
+        return np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
+
+    def forget(self) -> None:
+        """Between chunks: places in ``rare`` hold for one chunk."""
+        if len(self.memo) > MEMO:
+            self.memo.clear()
+            self.rare.clear()
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], hashes: _Hashes | None = None) -> Iterator[list[tuple[int | None, np.ndarray]]]:
+    """Lists of (doc, word hashes or codes) of about ``BATCH_WORDS`` words."""
+    hashes, held, n = hashes or _Hashes(), [], 0
     for b in batches:
         for doc, text in zip(b.column(0), b.column(1), strict=True):
             found = hashes.of(text.as_py())
@@ -99,113 +123,341 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int | None
         yield held
 
 
-def _inside(lengths: np.ndarray, order: int) -> np.ndarray:
-    """Which starts of the joined texts begin an n-gram that stays in its text."""
-    total = int(lengths.sum())
-    left = np.repeat(np.cumsum(lengths), lengths) - np.arange(total)
-    return left >= order
-
-
-def counts(docs: DataFrame, order: int) -> DataFrame:
-    """(w0 .. w<order-1>, n): the n-grams of all texts of ``docs`` (doc, text), as word hashes."""
-    names = [f"w{k}" for k in range(order)]
+def counts(docs: DataFrame) -> DataFrame:
+    """(word: hash, n) of all texts of ``docs`` (doc, text), counted per chunk before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in _chunks(batches):
-            lengths = np.array([len(w) for _, w in chunk])
-            words = np.concatenate([w for _, w in chunk])
-            at = np.flatnonzero(_inside(lengths, order))
-            if not len(at):
-                continue
-            _, first, n = np.unique(named([words[at + k] for k in range(order)]), return_index=True, return_counts=True)
-            columns = [words[at[first] + k].view(np.int64) for k in range(order)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns] + [pa.array(n)], [*names, "n"])
-
-    partial = docs.mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "n"]))
-    return written(partial.groupBy(*names).agg(F.sum("n").alias("n")), f"lm-counts-{order}")
-
-
-def scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count: int = MIN_COUNT) -> list[DataFrame]:
-    """(gram, score: ln S) of every n-gram of the corpus, a table for each order from 1 on."""
-    now = counts(docs, 1)
-    total = now.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    tables = [written(now.select(F.col("w0").alias("gram"), (F.log(F.col("n").cast("double")) - math.log(max(1, total))).alias("score")), "lm-scores-1")]
-    for k in range(2, order + 1):
-        below, now = now, counts(docs, k)
-        words = [F.col(f"w{i}") for i in range(k)]
-        prefix = below.select(_named(words[:-1]).alias("prefix"), F.col("n").alias("n_prefix"))
-        grams = now.select(_named(words).alias("gram"), _named(words[:-1]).alias("prefix"), _named(words[1:]).alias("suffix"), "n")
-        seen = grams.where(F.col("n") >= min_count).join(prefix, "prefix")
-        seen = seen.select("gram", (F.log(F.col("n").cast("double")) - F.log(F.col("n_prefix").cast("double"))).alias("score"))
-        rare = grams.where(F.col("n") < min_count).join(tables[-1].withColumnRenamed("gram", "suffix"), "suffix")
-        rare = rare.select("gram", (F.col("score") + math.log(alpha)).alias("score"))
-        tables.append(written(seen.unionByName(rare), f"lm-scores-{k}"))
-    return tables
-
-
-ENTRY = np.dtype([("doc", "<i8"), ("n", "<i4")])
-#: Stands for a null id inside the packed postings.
+            words, n = np.unique(np.concatenate([w for _, w in chunk]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], ["word", "n"])
+
+    partial = docs.mapInArrow(run, "word long, n long")
+    return written(partial.groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
+
+
+def _coded(vocabulary: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+    """(hashes in order, their codes, ln count by code, whether all words that occur twice have one): the words above the least count that ``most`` allows."""
+    # at most the square root of twice the words: that many distinct counts
+    sizes = sorted(tuple(r) for r in vocabulary.where("n > 1").groupBy("n").count().collect())
+    least, n = 2, 0
+    for count, words in reversed(sizes):
+        n += words
+        if n > most:
+            least = count + 1
+            break
+    top = vocabulary.where(F.col("n") >= least).toArrow()
+    names, n = top["word"].to_numpy().view(np.uint64), top["n"].to_numpy()
+    ranked, by_name = np.lexsort((names, -n)), np.argsort(names)
+    codes = np.empty(len(names), np.int32)
+    codes[ranked] = np.arange(len(names))
+    return names[by_name], codes[by_name], np.log(n[ranked].astype(np.float64)), least == 2
+
+
+DOC = np.dtype([("doc", "<i8"), ("n", "<i8"), ("base", "<f8")])
+ASKED = np.dtype([("at", "<i4"), ("times", "<i4")])
+#: Stands for a null id inside the packed rows.
 NO_ID = -(1 << 63)
-
-
-def postings(docs: DataFrame, length: int, order: int) -> DataFrame:
-    """(gram, docs: packed (doc, repeats)): n-grams of ``length`` words that are the longest ending at their last word."""
+#: Kinds of rows: a chunk's documents, sums of its documents, documents that ask for a rare word's ``ln c``, occurrences.
+DOCUMENTS, SUMS, WANTED, OCCURRENCES = range(4)
+ROW = "chunk long, kind int, name long, data binary"
+
+
+def _rows(chunk, kind: int, name, data: list[bytes] | pa.Array) -> pa.RecordBatch:
+    n = len(data)
+    columns = [pa.array(np.broadcast_to(np.asarray(x, np.int64), n)) for x in (chunk, name)]
+    data = data if isinstance(data, pa.Array) else pa.array(data, pa.binary())
+    return pa.RecordBatch.from_arrays([columns[0], pa.array(np.full(n, kind, np.int32)), columns[1], data], ["chunk", "kind", "name", "data"])
+
+
+def _wanted(name: np.ndarray, chunk: np.ndarray, at: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
+    """A row per rare word and chunk: the documents and how many times each asks for the word."""
+    by = np.lexsort((at, chunk, name))
+    name, chunk, at, times = (x[by] for x in (name, chunk, at, times))
+    group = (name[1:] != name[:-1]) | (chunk[1:] != chunk[:-1])
+    new = np.flatnonzero(np.concatenate(([True], group | (at[1:] != at[:-1]))))
+    entries = np.empty(len(new), ASKED)
+    entries["at"], entries["times"] = at[new], np.add.reduceat(times, new)
+    firsts = np.flatnonzero(np.concatenate(([True], group))[new])
+    ends = np.append(firsts, len(new)).astype(np.int32) * ASKED.itemsize
+    data = pa.Array.from_buffers(pa.binary(), len(firsts), [None, pa.py_buffer(ends), pa.py_buffer(entries.tobytes())])
+    return _rows(chunk[new[firsts]], WANTED, name[new[firsts]].view(np.int64), data)
+
+
+def _mixed(parts: list[np.ndarray], bits: int) -> np.ndarray:
+    """Buckets of n-grams."""
+    total = np.zeros(len(parts[0]), np.uint64)
+    for k, part in enumerate(parts):
+        total += (part + np.uint64(k + 1)) * np.uint64(pow(0x2545F4914F6CDD1D, k + 1, 1 << 64))
+    total ^= total >> np.uint64(31)
+    return ((total * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.uint16)
+
+
+def _packed(codes: np.ndarray, owner: np.ndarray, rare: np.ndarray, n_docs: int) -> bytes:
+    """Occurrences of a chunk: three bytes of each code (a row of ``codes`` a column), the documents as gaps, the rare words' hashes."""
+    body = codes.tobytes() + np.diff(owner, prepend=0).astype("<u4").tobytes() + rare.tobytes()
+    return np.array([n_docs, len(owner), len(rare), len(body)], "<i8").tobytes() + pa.compress(body, codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    n_docs, n, n_rare, size = np.frombuffer(data, "<i8", 4).tolist()
+    body = pa.decompress(pa.py_buffer(data).slice(32), size, codec="zstd", asbytes=True)
+    planes = np.frombuffer(body, np.uint8, 3 * width * n).reshape(width, 3, n).astype(np.int64)
+    codes = planes[:, 0] | planes[:, 1] << 8 | planes[:, 2] << 16
+    owner = np.cumsum(np.frombuffer(body, "<u4", n, 3 * width * n), dtype=np.int64)
+    return codes, owner, np.frombuffer(body, "<u8", n_rare, 3 * width * n + 4 * n), n_docs
+
+
+def _occurrences(shared, exhaustive: bool, total: int, order: int, alpha: float, bits: int):
+    """(doc, text) -> each chunk's documents with the terms of order one, and its n-grams by length and bucket."""
+    at_total, at_alpha = math.log(max(1, total)), math.log(alpha)
+
+    def grams(codes: np.ndarray, hashes: np.ndarray, owner: np.ndarray, left: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        there = codes != NONE
+        inside = left >= length
+        for k in range(length):
+            inside &= np.append(there[k:], np.zeros(min(k, len(there)), bool))
+        at = np.flatnonzero(inside)
+        if not len(at):
+            return
+        key = np.where(codes == RARE, hashes, codes.astype(np.uint64))
+        bucket = _mixed([key[at + k] for k in range(length)], bits)
+        by = np.argsort(bucket, kind="stable")
+        at, bucket = at[by], bucket[by]
+        first = np.ones(len(codes), bool)
+        first[1:] = owner[1:] != owner[:-1]
+        around = order > length
+        place = [at + k for k in range(-1, length + 1)]
+        none = np.full(len(at), NONE, codes.dtype)
+        columns = [codes[p] for p in place[1:-1]]
+        columns.insert(0, np.where(first[at], NONE, codes[place[0]]) if around else none)
+        columns.append(np.where(left[at] > length, codes[np.minimum(place[-1], len(codes) - 1)], NONE) if around else none)
+        columns = np.stack(columns).astype("<u4")
+        planes = np.stack([(columns >> np.uint32(s)).astype(np.uint8) for s in (0, 8, 16)], axis=1)
+        is_rare = columns == RARE if not exhaustive else None
+        edges = np.flatnonzero(np.diff(bucket.astype(np.int64), prepend=-1, append=1 << 20))
+        of = owner[at]
+        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            rare = np.empty(0, np.uint64)
+            if is_rare is not None:
+                some = [hashes[p[lo:hi][is_rare[c, lo:hi]]] for c, p in enumerate(place)]
+                rare = np.concatenate(some)
+            yield int(bucket[lo]), planes[:, :, lo:hi], of[lo:hi], rare
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in _chunks(batches):
+        names, code_of, logs = shared.value
+        known, task, number = _Codes(names, code_of, exhaustive), TaskContext.get().partitionId(), 0
+        logs = np.append(logs, 0.0)
+        for chunk in _chunks(batches, known):
             lengths = np.array([len(w) for _, w in chunk])
-            words = np.concatenate([w for _, w in chunk])
-            starts = np.cumsum(lengths) - lengths
-            at = starts[lengths >= length] if length < order else np.flatnonzero(_inside(lengths, order))
-            if not len(at):
-                continue
-            ids = np.array([NO_ID if d is None else d for d, _ in chunk], np.int64)
-            owner = np.repeat(ids, lengths)[at]
-            gram = named([words[at + k] for k in range(length)]).view(np.int64)
-            by = np.lexsort((owner, gram))
-            gram, owner = gram[by], owner[by]
-            new_gram = np.concatenate(([True], gram[1:] != gram[:-1]))
-            new = np.flatnonzero(new_gram | np.concatenate(([True], owner[1:] != owner[:-1])))
-            entries = np.empty(len(new), ENTRY)
-            entries["doc"], entries["n"] = owner[new], np.diff(np.append(new, len(gram)))
-            firsts = np.flatnonzero(new_gram[new])
-            ends = np.append(firsts, len(new)) * ENTRY.itemsize
-            for lo in range(0, len(firsts), 50_000):
-                cut = ends[lo : lo + 50_001]
-                data = entries.tobytes()[cut[0] : cut[-1]]
-                packed = pa.Array.from_buffers(pa.binary(), len(cut) - 1, [None, pa.py_buffer((cut - cut[0]).astype(np.int32)), pa.py_buffer(data)])
-                yield pa.RecordBatch.from_arrays([pa.array(gram[new[firsts[lo : lo + 50_000]]]), packed], ["gram", "docs"])
-
-    return docs.mapInArrow(run, "gram long, docs binary")
-
-
-def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(score, docs) -> (doc, total, n), combined per batch."""
+            codes = np.concatenate([w for _, w in chunk])
+            out_of = codes >= RARE_FROM
+            hashes = np.zeros(len(codes), np.uint64)
+            if out_of.any():
+                hashes[out_of] = np.array(known.rare, np.uint64)[codes[out_of] - RARE_FROM]
+                codes[out_of] = RARE
+            known.forget()
+            owner = np.repeat(np.arange(len(chunk)), lengths)
+            left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(codes))
+            docs = np.empty(len(chunk), DOC)
+            docs["doc"], docs["n"] = [NO_ID if d is None else d for d, _ in chunk], lengths
+            words = np.bincount(owner, logs[np.where(codes < RARE, codes, len(logs) - 1)], len(chunk)) if len(codes) else np.zeros(len(chunk))
+            k = np.minimum(order - 1, lengths)  # the words before each word, as far as the order goes
+            docs["base"] = words - lengths * at_total + (k * (k - 1) // 2 + (lengths - k) * (order - 1)) * at_alpha
+            # a chunk that is computed again is known by its documents
+            name = np.int64(np.uint64(xxhash.xxh64_intdigest(docs[["doc", "n"]].tobytes() + np.array([task, number]).tobytes())).view(np.int64))
+            number += 1
+            yield _rows(name, DOCUMENTS, name, [docs.tobytes()])
+            if out_of.any():
+                yield _wanted(hashes[out_of], np.full(int(out_of.sum()), name), owner[out_of], np.ones(int(out_of.sum()), np.int64))
+            for length in range(2, max(3, order) if order > 1 else 2):
+                rows = [(length << 32 | b, _packed(c, of, rare, len(chunk))) for b, c, of, rare in grams(codes, hashes, owner, left, length)]
+                if rows:
+                    yield _rows(name, OCCURRENCES, [b for b, _ in rows], [d for _, d in rows])
+
+    return run
+
+
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, group of each in that order, size of its group) of equal keys."""
+    by = np.argsort(keys)
+    ordered = keys[by]
+    new = np.concatenate(([True], ordered[1:] != ordered[:-1]))
+    group = np.cumsum(new) - 1
+    return by, group, np.diff(np.append(np.flatnonzero(new), len(keys)))[group]
+
+
+def _terms(shared, total: int, order: int, alpha: float, min_count: int):
+    """Rows sorted by name -> the terms of the n-grams' occurrences, summed per chunk and document; other rows as they are."""
+    at_total, at_alpha = math.log(max(1, total)), math.log(alpha)
+
+    def bucket_sums(length: int, parts: list[tuple[int, bytes]], logs: np.ndarray):
+        columns, owners, rare, sizes, n_rare = [], [], [], [], 0
+        for _, data in parts:
+            codes, owner, hashes, n_docs = _unpacked(data, length + 2)
+            if len(hashes):
+                codes[codes == RARE] = RARE_FROM + n_rare + np.arange(len(hashes))
+                rare.append(hashes)
+                n_rare += len(hashes)
+            columns.append(codes)
+            owners.append(owner + sum(sizes[-1:]))
+            sizes.append(n_docs + sum(sizes[-1:]))
+        columns, slot = np.concatenate(columns, axis=1), np.concatenate(owners)
+        names = np.empty(0, np.uint64)
+        if rare:
+            names, place = np.unique(np.concatenate(rare), return_inverse=True)
+            is_rare = columns >= RARE_FROM
+            columns[is_rare] = RARE_FROM + place[columns[is_rare] - RARE_FROM]
+        before, words, after = columns[0], columns[1:-1], columns[-1]
+        gram = words[0]
+        for k in range(1, length):
+            by, group, n = _runs(gram << 32 | words[k])
+            if k < length - 1:
+                gram = np.empty(len(by), np.int64)
+                gram[by] = group
+        seen = n >= min_count
+        by, gram, n = by[seen], group[seen], np.log(n[seen].astype(np.float64))
+        before, after, slot = before[by], after[by], slot[by]
+        terms, x = np.zeros(len(by)), words[0][by]
+        x_times, y_times = np.full(len(by), -1), np.full(len(by), -1)
+        if length == 2:
+            y = words[1][by]
+            ln_x, ln_y = (np.where(w < RARE_FROM, logs[np.where(w < RARE_FROM, w, 0)], 0.0) for w in (x, y))
+            terms += n - ln_x - ln_y + (at_total - at_alpha)
+
+        def longer(word: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Which of ``some`` are in a seen n-gram with ``word``, and its ln count."""
+            if not len(some):
+                return some, np.empty(0)
+            order_, _, size = _runs(word[some])
+            often = size >= min_count
+            return some[order_[often]], np.log(size[often].astype(np.float64))
+
+        if order > length:
+            with_before, with_after = gram << 32 | before, gram << 32 | after
+            at, ln_n = longer(with_before, np.flatnonzero(before != NONE))
+            terms[at] += ln_n - n[at] - at_alpha
+            if length == 2:
+                terms[at] += ln_x[at]
+                x_times[at] += 1
+            after_at, _ = longer(with_after, np.flatnonzero(after != NONE))
+            terms[after_at] -= n[after_at]
+            if order > length + 1:
+                both = np.zeros(len(by), bool)
+                both[at] = True
+                both[after == NONE] = False
+                some = np.flatnonzero(both)
+                if len(some):
+                    order_, pair, _ = _runs(with_before[some])
+                    around = np.empty(len(by), np.int64)
+                    around[some[order_]] = pair
+                    at, _ = longer(around << 32 | after, some)
+                    terms[at] += n[at]
+        sums = np.bincount(slot, terms, sizes[-1]).astype(np.float64)  # no occurrences give integers
+        wanted = []
+        if length == 2 and len(names):
+            for word, times in ((x, x_times), (y, y_times)):
+                at = np.flatnonzero((word >= RARE_FROM) & (times != 0))
+                wanted.append((names[word[at] - RARE_FROM], slot[at], times[at]))
+        return sums, np.array(sizes), wanted
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        logs = np.append(shared.value[2], 0.0)
+        held: dict[int, np.ndarray] = {}
+        size = 0
+
+        def done(name: int, parts: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+            nonlocal size
+            sums, ends, wanted = bucket_sums(name >> 32, parts, logs)
+            chunks = np.array([c for c, _ in parts], np.int64)
+            for chunk, lo, hi in zip(chunks.tolist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                if chunk in held:
+                    held[chunk] += sums[lo:hi]
+                else:
+                    held[chunk] = sums[lo:hi].copy()
+                    size += hi - lo
+            if wanted:
+                hashes, slot, times = (np.concatenate(c) for c in zip(*wanted, strict=True))
+                if len(hashes):
+                    part = np.searchsorted(ends, slot, "right")
+                    yield _wanted(hashes, chunks[part], slot - np.append(0, ends)[part], times)
+            if size > HELD:
+                yield from flushed()
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            nonlocal size
+            for lo in range(0, len(chunks := list(held)), 500):
+                some = chunks[lo : lo + 500]
+                yield _rows(some, SUMS, 0, [held[c].tobytes() for c in some])
+            held.clear()
+            size = 0
+
+        now, parts = None, []
+        for b in batches:
+            occurs = b.column(1).to_numpy() == OCCURRENCES
+            if not occurs.all():
+                yield b.filter(pa.array(~occurs))
+            b = b.filter(pa.array(occurs))
+            for chunk, name, data in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
+                if name != now and parts:
+                    yield from done(now, parts)
+                    parts = []
+                now = name
+                parts.append((chunk, data.as_py()))
+        if parts:
+            yield from done(now, parts)
+        yield from flushed()
+
+    return run
+
+
+def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(chunk, kind, ln, data) sorted by chunk and kind -> (doc, total, n)."""
+
+    def out(docs: np.ndarray, total: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(docs["doc"].copy()), pa.array(total), pa.array(docs["n"].copy())], ["doc", "total", "n"])
+
+    now, docs, total = None, None, None
     for b in batches:
-        if not b.num_rows:
-            continue
-        column = b.column(1)
-        raw = column.to_pylist()
-        entries = np.frombuffer(b"".join(raw), ENTRY)
-        each = np.fromiter((len(x) // ENTRY.itemsize for x in raw), np.int64, len(raw))
-        total = np.repeat(b.column(0).to_numpy(zero_copy_only=False), each) * entries["n"]
-        docs, at = np.unique(entries["doc"], return_inverse=True)
-        out = [docs, np.bincount(at, total, len(docs)), np.bincount(at, entries["n"], len(docs)).astype(np.int64)]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["doc", "total", "n"])
-
-
-def scored(docs: DataFrame, id: str = "doc_id", text: str = "text", order: int = ORDER, alpha: float = ALPHA, min_count: int = MIN_COUNT) -> DataFrame:
+        for chunk, kind, ln, data in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+            if kind == DOCUMENTS:
+                if docs is not None:
+                    yield out(docs, total)
+                now, docs = chunk, np.frombuffer(data, DOC)
+                total = docs["base"].copy()
+            elif chunk != now:
+                raise ValueError("the texts came in another order when a task ran again")
+            elif kind == SUMS:
+                total += np.frombuffer(data, np.float64)
+            else:
+                asked = np.frombuffer(data, ASKED)
+                total[asked["at"]] += asked["times"] * ln  # a document once a row
+    if docs is not None:
+        yield out(docs, total)
+
+
+def scored(
+    docs: DataFrame, id: str = "doc_id", text: str = "text", order: int = ORDER, alpha: float = ALPHA, min_count: int = MIN_COUNT, words: int = WORDS
+) -> DataFrame:
     """(doc, n_words, log_score): the summed ``ln S`` over the words of each id's texts."""
     rows = docs.select(F.col(f"`{id}`").cast("long").alias("doc"), F.col(f"`{text}`").cast("binary").alias("text"))
-    tables = scores(rows, order, alpha, min_count)
-    parts = [postings(rows, k, order).join(t, "gram").select("score", "docs").mapInArrow(_sums, "doc long, total double, n long") for k, t in enumerate(tables, 1)]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    doc = F.coalesce("doc", F.lit(NO_ID).cast("long"))
-    none = rows.select(doc.alias("doc"), F.lit(0.0).alias("total"), F.lit(0).cast("long").alias("n"))  # documents without words
-    sums = every.unionByName(none).groupBy("doc").agg(F.sum("n").alias("n_words"), F.sum("total").alias("log_score"))
-    return sums.withColumn("doc", F.when(F.col("doc") != NO_ID, F.col("doc")))
+    vocabulary = counts(rows)
+    total = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    names, codes, logs, all_twice = _coded(vocabulary, min(words, RARE))
+    shared = docs.sparkSession.sparkContext.broadcast((names, codes, logs))
+    bits = min(16, max(LEAST_BITS, math.ceil(math.log2(max(1, total) / BUCKET))))
+    exhaustive = all_twice and min_count > 1  # a word without a code occurs once and is in no seen n-gram
+    found = rows.mapInArrow(_occurrences(shared, exhaustive, total, order, alpha, bits), ROW)
+    dealt = found.repartition("name").sortWithinPartitions("name").mapInArrow(_terms(shared, total, order, alpha, min_count), ROW)
+    if exhaustive:
+        terms = dealt.select("chunk", "kind", F.lit(0.0).alias("ln"), "data")
+    else:
+        dealt = written(dealt, "lm-terms")
+        rare = vocabulary.select(F.col("word").alias("name"), F.log(F.col("n").cast("double")).alias("ln"))
+        wanted = dealt.where(F.col("kind") == WANTED).join(rare, "name").select("chunk", "kind", "ln", "data")
+        terms = dealt.where(F.col("kind") != WANTED).select("chunk", "kind", F.lit(0.0).alias("ln"), "data").unionByName(wanted)
+    sums = terms.repartition("chunk").sortWithinPartitions("chunk", "kind").mapInArrow(_totals, "doc long, total double, n long")
+    by_doc = sums.groupBy("doc").agg(F.sum("n").alias("n_words"), F.sum("total").alias("log_score"))
+    return by_doc.withColumn("doc", F.when(F.col("doc") != NO_ID, F.col("doc")))
 
 
 def op1_lm_scores(docs: DataFrame) -> DataFrame:

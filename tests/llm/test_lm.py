@@ -69,3 +69,27 @@ def test_query_uses_trigrams(spark):
     got = {r["doc_id"]: r["log_score"] for r in lm.op1_lm_scores(spark.createDataFrame(rows, DOC)).collect()}
     assert all(math.isclose(got[d], x, abs_tol=1e-5) for d, (_, x) in want.items())
     assert any(not math.isclose(got[d], x, abs_tol=1e-5) for d, (_, x) in pairs.items())
+
+
+def test_longer_grams_rare_words_and_counts(spark):
+    """Words without a code ask for their counts; orders above three and other thresholds; empty tables."""
+    rows = [(d, t if t is None else t[:90]) for d, t in corpus()]
+    docs = spark.createDataFrame(rows, DOC).repartition(3)
+    for order, words, alpha, least in ((4, 1 << 20, 0.4, 2), (3, 7, 0.4, 2), (3, 0, 0.3, 1), (5, 7, 0.4, 3), (2, 7, 0.4, 2), (1, 0, 0.4, 2)):
+        got = {r["doc"]: (r["n_words"], r["log_score"]) for r in lm.scored(docs, order=order, words=words, alpha=alpha, min_count=least).collect()}
+        want = brute(rows, order, alpha, least)
+        assert got.keys() == want.keys()
+        for d, (n, x) in want.items():
+            assert got[d][0] == n and math.isclose(got[d][1], x, rel_tol=1e-9, abs_tol=1e-9), (order, words, d)
+
+
+def test_shuffles_less_than_the_text(spark):
+    """An occurrence is a few packed bytes: what the n-grams' shuffle is given is smaller than the words' hashes."""
+    rng = random.Random(2)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 9))) for _ in range(4000)]
+    rows = [(i, " ".join(rng.choices(words, weights=[1 / (k + 1) for k in range(4000)], k=1500))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc long, text string").selectExpr("doc", "cast(text AS binary) AS text").coalesce(1)
+    names, codes, logs, complete = lm._coded(lm.counts(docs), lm.WORDS)
+    shared = spark.sparkContext.broadcast((names, codes, logs))
+    found = docs.mapInArrow(lm._occurrences(shared, complete, 90_000, 3, 0.4, 4), lm.ROW)
+    assert 0 < found.selectExpr("sum(length(data)) AS n").first()["n"] < 90_000 * 10
