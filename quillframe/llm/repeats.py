@@ -7,13 +7,17 @@ phrase and what the parse goes on with), and whether a trigger fires depends on
 the bytes alone, so equal strings are parsed alike wherever they stand.  Hence
 
 1. a phrase whose context stood in an earlier document is repeated at each of its starts;
-2. a string holding a phrase that occurs once in the corpus is not repeated;
-3. only what is left (first contexts, all inner phrases known twice) is put in
+2. a string is not repeated if it holds HEAD bytes from a phrase's start on (or,
+   where no phrase starts early enough in it, up to a trigger's end) that occur
+   once in the corpus;
+3. only what is left (first contexts, all such parts known twice) is put in
    corpus order by the digest of its truncated suffix: each class of equal
    suffixes keeps its first start.
 
-So highly repetitive text costs a row per phrase, not per byte.  Equality is
-that of 128-bit digests.  Only the first copy of equal texts is parsed; later
+So highly repetitive text costs an entry per phrase, not per byte.  Entries of
+both steps are dealt by hash in packed columns, a row per batch and bucket, and
+go through one shuffle each; a bucket is grouped in one task.  Equality is that
+of 128-bit digests.  Only the first copy of equal texts is parsed; later
 copies of LENGTH bytes or more go whole.
 
 A start is earlier if its doc_id is smaller, or in the same text; null ids come
@@ -38,6 +42,8 @@ from quillframe.llm.common import sized, written
 LENGTH = 100
 TRIGGER = 8
 EVERY = 20
+#: Bytes of a phrase's head or tail; a string whose phrases start in its first LENGTH - HEAD bytes holds their heads.
+HEAD = 54
 LAST = (1 << 63) - 1
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -65,76 +71,161 @@ def _signed(values: list[int]) -> np.ndarray:
     return np.array(values, np.uint64).view(np.int64)
 
 
+#: Digests that are taken at a time, entries that are packed at a time (about), and buckets that they are dealt to (a power of two).
 ROWS = 200_000
+ENTRIES = 1_000_000
+BITS = 9
 
 
-def _gathered(parts: Iterator[tuple], names: list[str]) -> Iterator[pa.RecordBatch]:
-    """Tuples of equally long arrays as batches of about ``ROWS`` rows."""
+def _packed(columns: list[np.ndarray]) -> bytes:
+    """Columns of 64-bit integers, equally long; the hashes first, then what is in order in most places, as gaps."""
+    body = b"".join([c.tobytes() for c in columns[:2]] + [np.diff(c, prepend=0).tobytes() for c in columns[2:]])
+    return np.array([len(columns[0]), len(columns)], np.int64).tobytes() + pa.compress(body, codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    n, width = np.frombuffer(data, np.int64, 2).tolist()
+    columns = np.frombuffer(pa.decompress(pa.py_buffer(data).slice(16), 8 * n * width, codec="zstd", asbytes=True), np.int64).reshape(width, n)
+    return np.concatenate((columns[:2], np.cumsum(columns[2:], axis=1)))
+
+
+PACKED = "bucket int, doc long, tie long, data binary"
+
+
+def _batch(bucket, doc, tie, data: list[bytes]) -> pa.RecordBatch:
+    n = len(data)
+    bucket = pa.array(np.broadcast_to(np.asarray(bucket, np.int32), n))
+    doc, tie = (pa.array(np.broadcast_to(np.asarray(x, np.int64), n)) for x in (doc, tie))
+    return pa.RecordBatch.from_arrays([bucket, doc, tie, pa.array(data, pa.binary())], ["bucket", "doc", "tie", "data"])
+
+
+def _dealt(parts: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """Tuples of equally long arrays, dealt by the first one: a row per bucket for about ``ENTRIES`` entries."""
     held, n = [], 0
 
-    def batch() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names)
+    def rows() -> pa.RecordBatch:
+        columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+        bucket = (columns[0].view(np.uint64) >> np.uint64(64 - BITS)).astype(np.uint16)
+        by = np.argsort(bucket, kind="stable")
+        columns, bucket = [c[by] for c in columns], bucket[by]
+        edges = np.flatnonzero(np.diff(bucket.astype(np.int64), prepend=-1, append=1 << 20))
+        return _batch(bucket[edges[:-1]], 0, 0, [_packed([c[lo:hi] for c in columns]) for lo, hi in zip(edges[:-1], edges[1:], strict=True)])
 
     for part in parts:
         held.append(part)
         n += len(part[0])
-        if n >= ROWS:
-            yield batch()
+        if n >= ENTRIES:
+            yield rows()
             held, n = [], 0
     if n:
-        yield batch()
+        yield rows()
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray | None, pa.RecordBatch | None]]:
+    """Rows sorted by bucket -> the entries of each bucket; rows without a bucket (null) as they are."""
+    now, held = None, []
+    for b in batches:
+        if b.column(0).null_count:
+            yield None, b.filter(b.column(0).is_null())
+            b = b.filter(b.column(0).is_valid())
+        for bucket, data in zip(b.column(0).to_pylist(), b.column(3), strict=True):
+            if bucket != now and held:
+                yield np.concatenate(held, axis=1), None
+                held = []
+            now = bucket
+            held.append(_unpacked(data.as_py()))
+    if held:
+        yield np.concatenate(held, axis=1), None
+
+
+def _new(*columns: np.ndarray) -> np.ndarray:
+    """Where another value of the ordered columns begins."""
+    out = np.ones(len(columns[0]), bool)
+    out[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    return out
+
+
+def _least(by: np.ndarray, new: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """The first document of each entry's group, entries in the order ``by``, a group's documents in order."""
+    return doc[by][np.flatnonzero(new)][np.cumsum(new) - 1]
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
     for b in batches:
         for row in zip(*b.columns, strict=True):
-            yield [x.values.to_numpy() if isinstance(x, pa.ListScalar) and x.is_valid else x.as_py() for x in row]
+            yield [x.values.to_numpy() if isinstance(x, pa.ListScalar) and x.is_valid and pa.types.is_integer(x.type.value_type) else x.as_py() for x in row]
 
 
 def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, tie, text) -> a row per phrase: its hash, its context's hash, and where it starts."""
+    """(doc, tie, text) -> an entry per phrase: its head's and its context's hash, and where it starts; after a long one also the tail up to its trigger (~ where)."""
     hashed = xxhash.xxh3_64_intdigest
 
     def parts() -> Iterator[tuple]:
         for doc, tie, text in _texts(batches):
             starts = cuts(np.frombuffer(text, np.uint8))
             ends, at, n = _ends(starts, len(text)).tolist(), starts.tolist(), len(starts)
-            phrase = _signed([hashed(text[s : e + TRIGGER]) for s, e in zip(at, ends, strict=True)])
+            head = _signed([hashed(text[s : s + HEAD]) for s in at])
             # seeded by the length: a context cut short by the text's end is no other's
             context = _signed([hashed(text[s : e + LENGTH - 1], seed=e - s) for s, e in zip(at, ends, strict=True)])
-            yield phrase, context, np.full(n, doc), np.full(n, tie), starts
+            yield head, context, np.full(n, doc), np.full(n, tie), starts
+            after = starts[1:][np.diff(starts) > LENGTH - HEAD]
+            tail = _signed([hashed(text[s + TRIGGER - HEAD : s + TRIGGER], seed=1) for s in after.tolist()])
+            yield tail, np.zeros(len(after), np.int64), np.full(len(after), doc), np.full(len(after), tie), ~after
+
+    return _dealt(parts())
+
 
-    return _gathered(parts(), ["phrase", "context", "doc", "tie", "pos"])
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entries of phrases by bucket -> (doc, tie, mark) of the heads and tails that occur twice."""
+    for entries, _ in _grouped(batches):
+        head, context, doc, tie, pos = entries
+        by = np.lexsort((doc, context, head))
+        n = np.diff(np.append(np.flatnonzero(_new(head[by])), len(by)))
+        twice = np.repeat(n, n) > 1
+        mark = np.where(pos[by] < 0, pos[by], pos[by] * 2 + (doc[by] > _least(by, _new(head[by], context[by]), doc)))
+        yield pa.RecordBatch.from_arrays([pa.array(c[twice]) for c in (doc[by], tie[by], mark)], ["doc", "tie", "mark"])
 
 
-def _flags(starts: np.ndarray, marks: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Which phrases are known to occur twice, and which stand in an earlier document's context; a mark is 2 * start + gone."""
-    known, gone = np.zeros(len(starts), bool), np.zeros(len(starts), bool)
+def _flags(starts: np.ndarray, marks: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which phrases' heads are known to occur twice, which stand in an earlier document's context, and which tails before them occur twice; a mark is 2 * start + gone, or ~start."""
+    known, gone, tails = (np.zeros(len(starts), bool) for _ in range(3))
     if marks is not None and len(marks):
+        tails[np.searchsorted(starts, ~marks[marks < 0])] = True
+        marks = marks[marks >= 0]
         at = np.searchsorted(starts, marks >> 1)
         known[at] = True
         gone[at] = marks & 1
-    return known, gone
+    return known, gone, tails
 
 
-def _open_starts(size: int, starts: np.ndarray, known: np.ndarray, gone: np.ndarray) -> np.ndarray:
-    """Starts left to step 3: valid, not in a phrase that is gone, holding no phrase that occurs once."""
+def _open_starts(size: int, starts: np.ndarray, known: np.ndarray, gone: np.ndarray, tails: np.ndarray) -> np.ndarray:
+    """Starts left to step 3: valid, not in a phrase that is gone, holding no head (without heads, no tail) that occurs once."""
     p = np.arange(max(0, size - LENGTH + 1))
     if not len(p):
         return p
-    once = ~known[:-1]  # the last phrase has no trigger behind it, the first none before it
-    once[:1] = False
+    once = ~known
+    once[:1] = False  # no trigger before it
     before = np.concatenate(([0], np.cumsum(once)))
-    before = np.append(before, before[-1])
-    first = np.searchsorted(starts, p, "left")  # phrases from here on start in the string
-    full = np.maximum(first, np.searchsorted(starts, p + LENGTH - TRIGGER, "right") - 1)  # phrases before this one end in it
+    first = np.searchsorted(starts, p, "left")
+    full = np.searchsorted(starts, p + LENGTH - HEAD, "right")  # the heads of the phrases from first on and before this one are in the string
+    tail = np.append(tails, True)[first] | (np.append(starts, size)[first] > p + LENGTH - TRIGGER)
     own = np.searchsorted(starts, p, "right") - 1
-    return p[(before[full] == before[first]) & ~gone[own]]
+    return p[(before[full] == before[first]) & ((first < full) | tail) & ~gone[own]]
+
+
+def _places(places: np.ndarray) -> bytes:
+    return np.array([len(places)], np.int64).tobytes() + pa.compress(np.diff(places, prepend=0).tobytes(), codec="zstd", asbytes=True)
+
+
+def _read_places(data: bytes) -> np.ndarray:
+    n = int(np.frombuffer(data, np.int64, 1)[0])
+    return np.cumsum(np.frombuffer(pa.decompress(pa.py_buffer(data).slice(8), 8 * n, codec="zstd", asbytes=True), np.int64))
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, tie, text, marks) -> each open start's digest in two halves, and whether it stood in this text before."""
+    """(doc, tie, text, marks) -> entries of the open starts' digests in two halves; without a bucket, those that stood in this text before."""
     digest = xxhash.xxh3_128_digest
+    again_in: list[tuple[int, int, bytes]] = []
 
     def parts() -> Iterator[tuple]:
         for doc, tie, text, marks in _texts(batches):
@@ -148,9 +239,40 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             by = np.lexsort((open_, halves[:, 1], halves[:, 0]))  # this text's suffixes in order
             again = np.zeros(n, bool)
             again[by[1:]] = (halves[by[1:]] == halves[by[:-1]]).all(axis=1)
-            yield halves[:, 0], halves[:, 1], np.full(n, doc), np.full(n, tie), open_, again
-
-    return _gathered(parts(), ["h1", "h2", "doc", "tie", "pos", "again"])
+            if again.any():
+                again_in.append((doc, tie, _places(open_[again])))
+            once = ~again
+            yield halves[once, 0], halves[once, 1], np.full(n, doc)[once], np.full(n, tie)[once], open_[once]
+
+    for rows in _dealt(parts()):
+        yield rows
+        if again_in:
+            yield _hits_batch(again_in)
+            again_in.clear()
+    if again_in:
+        yield _hits_batch(again_in)
+
+
+def _hits_batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    doc, tie, data = (list(c) for c in zip(*rows, strict=True))
+    out = _batch(0, doc, tie, data)
+    return out.set_column(0, "bucket", pa.nulls(len(rows), pa.int32()))
+
+
+def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entries of suffixes by bucket -> (doc, tie, places) of those that stood in an earlier document; rows without a bucket as they are."""
+    for entries, rest in _grouped(batches):
+        if rest is not None:
+            yield rest
+            continue
+        h1, h2, doc, tie, pos = entries
+        by = np.lexsort((doc, h2, h1))
+        hit = by[doc[by] > _least(by, _new(h1[by], h2[by]), doc)]
+        hit = hit[np.lexsort((pos[hit], tie[hit], doc[hit]))]
+        if len(hit):
+            firsts = np.flatnonzero(_new(doc[hit], tie[hit]))
+            ends = np.append(firsts[1:], len(hit))
+            yield _hits_batch([(int(doc[hit[lo]]), int(tie[hit[lo]]), _places(pos[hit[lo:hi]])) for lo, hi in zip(firsts.tolist(), ends.tolist(), strict=True)])
 
 
 def runs_of(size: int, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -177,10 +299,10 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows, held = [], 0
     for doc, text, marks, hits in _texts(batches):
         starts = cuts(np.frombuffer(text, np.uint8))
-        _, gone = _flags(starts, marks)
+        _, gone, _ = _flags(starts, marks)
         ends = np.minimum(_ends(starts, len(text)), len(text) - LENGTH + 1)
         spans = [np.arange(s, e) for s, e in zip(starts[gone].tolist(), ends[gone].tolist(), strict=True)]
-        lo, hi = runs_of(len(text), np.unique(np.concatenate([np.empty(0, np.int64) if hits is None else hits, *spans])))
+        lo, hi = runs_of(len(text), np.unique(np.concatenate([np.empty(0, np.int64), *map(_read_places, hits or ()), *spans])))
         kept = b"".join(text[s:e] for s, e in zip([0, *hi.tolist()], [*lo.tolist(), len(text)], strict=True))
         rows.append((doc, len(text), len(text) - len(kept), len(lo), kept))
         held += len(kept)
@@ -204,24 +326,16 @@ def deduplicated(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
     texts = first.select("doc", tie.alias("tie"), "digest", "text")
 
     long_texts = texts.where(F.octet_length("text") >= LENGTH)
-    phrases = long_texts.select("doc", "tie", "text").mapInArrow(_phrases, "phrase long, context long, doc long, tie long, pos long")
-    phrases = written(phrases, "repeat-phrases")
-    contexts = written(phrases.groupBy("phrase", "context").agg(F.min("doc").alias("first"), F.count("*").alias("n")), "repeat-contexts")
-    known = contexts.groupBy("phrase").agg(F.sum("n").alias("n")).where("n > 1").select("phrase")
-    repeated = contexts.join(known, "phrase").select("phrase", "context", "first")
-    mark = F.col("pos") * 2 + (F.col("doc") > F.col("first")).cast("long")
-    marks = phrases.join(repeated, ["phrase", "context"]).groupBy("doc", "tie").agg(F.array_sort(F.collect_set(mark)).alias("marks"))
-    marks = written(marks, "repeat-marks")
-
-    marked = texts.join(marks, ["doc", "tie"], "left")
-    schema = "h1 long, h2 long, doc long, tie long, pos long, again boolean"
-    suffixes = marked.where(F.octet_length("text") >= LENGTH).select("doc", "tie", "text", "marks").mapInArrow(_suffixes, schema)
-    suffixes = written(suffixes, "repeat-suffixes")
-    single = suffixes.where("NOT again").drop("again")
-    classes = single.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
-    hits = single.join(classes, ["h1", "h2"]).where("doc > first").select("doc", "tie", "pos")
-    hits = hits.unionByName(suffixes.where("again").select("doc", "tie", "pos"))
-    hits = written(hits.groupBy("doc", "tie").agg(F.collect_set("pos").alias("hits")), "repeat-hits")
+    phrases = long_texts.select("doc", "tie", "text").mapInArrow(_phrases, PACKED)
+    known = phrases.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_marks, "doc long, tie long, mark long")
+    marks = written(known.groupBy("doc", "tie").agg(F.array_sort(F.collect_set("mark")).alias("marks")), "repeat-marks")
+
+    # both uses of ``marked`` read the same columns and rows, so the texts are shuffled once
+    marked = texts.select("doc", "tie", "text").join(marks, ["doc", "tie"], "left")
+    suffixes = marked.select("doc", "tie", "text", "marks").mapInArrow(_suffixes, PACKED)
+    # rows without a bucket are dealt by document
+    dealt = suffixes.repartition(F.coalesce("bucket", "doc")).sortWithinPartitions("bucket")
+    hits = dealt.mapInArrow(_classes, PACKED).groupBy("doc", "tie").agg(F.collect_list("data").alias("hits"))
 
     cut = marked.join(hits, ["doc", "tie"], "left").select("doc", "text", "marks", "hits").mapInArrow(_cut, OUT)
     later = ids.join(sized(copies), "digest").where("least < doc")
