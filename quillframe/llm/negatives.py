@@ -40,6 +40,8 @@ ANCHOR_BLOCK = 8192
 #: Rows that are bounded against a block of anchors at a time.
 ROWS = 256
 PAIRS = 1 << 15
+#: Offers that wait before they are sorted into their lists, at least.
+OFFERS = 1 << 18
 
 STORED = "vec_id long, label long, q array<int>, mean array<double>, dev array<double>"
 LOW, HIGH = -(1 << 62), 1 << 62
@@ -116,15 +118,25 @@ class _Lists:
         self.first = np.searchsorted(anchor, np.arange(len(ids)))
         self.count = np.searchsorted(anchor, np.arange(len(ids)), "right") - self.first
         self.list, self.score, self.row = (np.empty(0, np.int64) for _ in range(3))
+        self.offers, self.n_offers = [], 0
         self.weight = [np.sqrt(np.diff(_cuts(q.shape[1], level)).astype(np.float64)) for level in LEVELS]
         self.length = np.sqrt((q.astype(np.float64) ** 2).sum(axis=1))
         #: Least score that the list still takes.
         self.least = low.copy()
 
     def offer(self, list_: np.ndarray, score: np.ndarray, row: np.ndarray) -> None:
-        if not len(list_):
+        if len(list_):
+            self.offers.append((list_, score, row))
+            self.n_offers += len(list_)
+        if self.n_offers >= max(OFFERS, 2 * len(self.list)):
+            self.merge()
+
+    def merge(self) -> None:
+        """Takes what was offered into the lists; ``least`` may lag behind until then, which only lets more be offered."""
+        if not self.n_offers:
             return
-        list_, score, row = (np.concatenate(x) for x in ((self.list, list_), (self.score, score), (self.row, row)))
+        list_, score, row = (np.concatenate(x) for x in zip((self.list, self.score, self.row), *self.offers, strict=True))
+        self.offers, self.n_offers = [], 0
         by = np.lexsort((row, -score, list_))
         list_, score, row = list_[by], score[by], row[by]
         place = np.arange(len(list_)) - np.searchsorted(list_, list_)
@@ -166,6 +178,7 @@ class _Lists:
                 list_ = np.where(ok, list_, 0)
                 ok &= (score >= self.least[list_]) & (score <= self.high[list_])
                 self.offer(list_[ok], score[ok], ids[r][ok])
+        self.merge()
 
 
 def _filled(shared, same: bool, size: int):

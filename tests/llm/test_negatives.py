@@ -79,3 +79,24 @@ def test_bounds_hold_and_rule_out_pairs():
         at = end
     whole = np.sqrt((q * q).sum(axis=1))
     assert (spread < 0.97 * whole[:, None] * whole[None, :]).mean() > 0.9  # the finest level rules more out than lengths do
+
+
+def test_lists_are_sorted_once_a_visit(monkeypatch):
+    """Rows wait until there are many of them: the lists are not sorted again for every block of pairs; results stay those of brute force."""
+    rng = np.random.default_rng(8)
+    q = rng.integers(-60, 60, (1200, 8)).astype(np.int32)
+    ids, labels = np.arange(1200), rng.integers(0, 3, 1200)
+    mean, dev = negatives.summaries(q.astype(np.int64))
+    anchors = np.flatnonzero(ids % 4 == 0)
+    n = len(anchors)
+    lists = negatives._Lists(ids[anchors], labels[anchors], q[anchors], mean[anchors], dev[anchors], np.arange(n), np.full(n, negatives.LOW), np.full(n, negatives.HIGH), np.arange(n), 5)
+    sorts, lexsort = [], np.lexsort
+    monkeypatch.setattr(negatives.np, "lexsort", lambda keys: sorts.append(1) or lexsort(keys))
+    for s in range(0, 1200, 600):
+        cut = slice(s, s + 600)
+        lists.visit(ids[cut], labels[cut], q[cut], mean[cut], dev[cut], False)
+    assert len(sorts) == 2
+    scores = q.astype(np.int64) @ q[anchors].T.astype(np.int64)
+    for k, a in enumerate(anchors.tolist()):
+        want = sorted((-int(scores[r, k]), r) for r in range(1200) if labels[r] != labels[a])[:5]
+        assert [(-s, r) for s, r in zip(lists.score[lists.list == k].tolist(), lists.row[lists.list == k].tolist(), strict=True)] == want
