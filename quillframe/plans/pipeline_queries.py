@@ -645,7 +645,7 @@ def topic_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
     src = scratch_path(spark, "intake-topics")
     files = spark.sparkContext.defaultParallelism
     for part in (0, 1, 0):
-        t.where(F.pmod("topic_id", F.lit(2)) == part).repartition(files, F.rand(1)).write.mode("append").json(src)
+        t.where(F.pmod("topic_id", F.lit(2)) == part).repartition(files, F.rand(1)).write.mode("append").option("compression", "gzip").json(src)
     schema = "topic_id bigint, topic string, text string, disabled_stages array<string>"
     topics = read_topics(spark, src, "json", stream=True, files_per_batch=files, schema=schema)
     done = run_intake(topics, scratch_path(spark, "intake"), doc_completer(), keep=["text"])

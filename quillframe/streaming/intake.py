@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from quillframe.operators import inference as I
 from quillframe.operators import requests as Q
 from quillframe.plans import workflow as W
+from quillframe.session import passing_scratch
 
 TAKEN_SCHEMA = "topic_id bigint, batch bigint"
 
@@ -40,6 +41,10 @@ def run_intake(
     spark.createDataFrame([], "topic_id bigint").write.mode("overwrite").parquet(f"{base}/taken/batch=-1")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
+        with passing_scratch(batch.sparkSession):  # the chain's tables, once the batch's articles are written
+            take(batch, batch_id)
+
+    def take(batch: DataFrame, batch_id: int) -> None:
         earlier = batch.sparkSession.read.schema(TAKEN_SCHEMA).parquet(f"{base}/taken").where(F.col("batch") < batch_id)
         fresh = batch.dropDuplicates(["topic_id"]).join(earlier.select("topic_id"), "topic_id", "left_anti")
         fresh = W.cut(fresh, f"intake-{batch_id}")
@@ -48,7 +53,7 @@ def run_intake(
             return
         model = completer if isinstance(completer, I.Completer) else completer(batch_id)
         run = W.run_pipeline(fresh, model, settings, overrides, run_id=f"intake-{batch_id}", keep=keep)
-        run.articles.write.mode("overwrite").parquet(f"{base}/articles/batch={batch_id}")
+        run.articles.write.mode("overwrite").option("compression", "zstd").parquet(f"{base}/articles/batch={batch_id}")
         # last: a batch that fails on the way takes nothing on
         fresh.select("topic_id").write.mode("overwrite").parquet(f"{base}/taken/batch={batch_id}")
 

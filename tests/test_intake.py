@@ -1,5 +1,7 @@
 """Continuous intake (S1), override order (S3), round report (W4), parity of two tables."""
 
+import os
+
 from pyspark.sql import functions as F
 
 from quillframe.operators import analytics as A
@@ -7,7 +9,7 @@ from quillframe.operators import inference as I
 from quillframe.operators import stages as S
 from quillframe.plans import workflow as W
 from quillframe.plans.simulated import ExpressionCompleter
-from quillframe.session import scratch_path
+from quillframe.session import scratch_path, scratch_root
 from quillframe.sources.tables import read_overrides, read_topics
 from quillframe.streaming import intake
 
@@ -37,6 +39,18 @@ def test_intake_takes_each_topic_once(spark):
     assert run() == [*first, ("intake-2", "Gamma", "success")] and asked == [0, 2]
 
 
+def test_intake_leaves_no_tables_of_its_runs(spark):
+    """Once a batch's articles are written, the tables of its chain are gone; its results and those of others stay."""
+    src, out = scratch_path(spark, "test-intake-in"), scratch_path(spark, "test-intake")
+    other = W.cut(spark.range(3), "not-of-the-intake")
+    spark.createDataFrame([("Alpha",), ("Beta",)], "value string").coalesce(1).write.mode("append").text(src)
+    before = set(os.listdir(scratch_root(spark).removeprefix("file:")))
+    done = intake.run_intake(read_topics(spark, src, stream=True, files_per_batch=1), out, ExpressionCompleter())
+    left = set(os.listdir(scratch_root(spark).removeprefix("file:"))) - before
+    assert left == {os.path.basename(out)}
+    assert done.count() == 2 and other.count() == 3
+
+
 def test_override_position_is_the_place_in_the_file(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"name": "writer", "model_override": "first"}\n{"name": "seo"}\n{"name": "writer", "model_override": "second"}\n')
     (tmp_path / "b.json").write_text('{"name": "writer", "model_override": "third"}\n{"name": "seo", "position": 0, "model_override": "zero"}\n')
