@@ -19,13 +19,15 @@ words to ``order - 1`` gives counts and scores at once:
 1. the words are counted; the ``WORDS`` most frequent ones become codes, which
    are broadcast with their counts;
 2. every occurrence goes to its n-gram's bucket as codes, packed per chunk of
-   texts (other words go as their hash; their counts are joined afterwards);
+   texts (other words go as their hash; documents that need their counts ask for
+   them afterwards, packed likewise);
 3. a bucket's occurrences are grouped and counted, and their terms summed per
    chunk and document;
 4. the sums meet their chunk's documents.
 
-Words that occur once are in no seen n-gram, so while ``WORDS`` holds all others
-the n-grams around them need no shuffle.  Buckets grow with the words, not with
+Words that occur once are in no seen n-gram, so the n-grams around them need no
+shuffle.  They are known by being neither a code nor in a broadcast bitmap of the
+other words' hashes (a few of them are taken for such words, and counted as one).  Buckets grow with the words, not with
 the tasks.
 
 Null and empty texts have no words and a null mean score.  Rows that share a
@@ -54,9 +56,14 @@ BATCH_WORDS = 1_000_000
 MEMO = 500_000
 #: Words that have codes: 20 bytes each on every worker.
 WORDS = 1 << 20
+#: Bits of a hash that find its place in the bitmap of the other words that occur twice, and how many of those it is made for.
+PLACE = 27
+MARKED = 1 << 26
 #: Occurrences of a bucket, about; buckets are a power of two, this one at least.
 BUCKET = 2_000_000
 LEAST_BITS = 8
+#: Rare words are dealt to that power of two fewer buckets.
+WORD_BITS = 3
 #: Sums that a task holds before it hands them on.
 HELD = 4_000_000
 #: Codes of a word outside the codes, and of no word (or one that occurs once); rare words of a bucket are numbered from ``RARE_FROM``.
@@ -83,9 +90,9 @@ class _Hashes:
 class _Codes(_Hashes):
     """Codes of a text's words; a word without one is its hash's place in ``rare``, from ``RARE_FROM`` on."""
 
-    def __init__(self, names: np.ndarray, codes: np.ndarray, exhaustive: bool) -> None:
+    def __init__(self, names: np.ndarray, codes: np.ndarray, exhaustive: bool, twice: np.ndarray | None = None) -> None:
         super().__init__()
-        self.names, self.codes, self.exhaustive, self.rare = names, codes, exhaustive, []
+        self.names, self.codes, self.exhaustive, self.twice, self.rare = names, codes, exhaustive, twice, []
 
     def of(self, text: bytes | None) -> np.ndarray:
         words, memo = (text or b"").lower().split(), self.memo
@@ -96,8 +103,12 @@ class _Codes(_Hashes):
             known = self.names[at] == hashes if len(self.names) else np.zeros(len(new), bool)
             code = np.where(known, self.codes[at], NONE) if len(self.names) else np.full(len(new), NONE)
             if not self.exhaustive:
-                code[~known] = RARE_FROM + len(self.rare) + np.arange(int((~known).sum()))
-                self.rare += hashes[~known].tolist()
+                rare = ~known
+                if self.twice is not None:
+                    place = hashes >> np.uint64(64 - PLACE)
+                    rare &= (self.twice[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & np.uint8(1)).astype(bool)
+                code[rare] = RARE_FROM + len(self.rare) + np.arange(int(rare.sum()))
+                self.rare += hashes[rare].tolist()
             memo.update(zip(new, code.tolist(), strict=True))
         return np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
 
@@ -135,8 +146,8 @@ def counts(docs: DataFrame) -> DataFrame:
     return written(partial.groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
 
 
-def _coded(vocabulary: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
-    """(hashes in order, their codes, ln count by code, whether all words that occur twice have one): the words above the least count that ``most`` allows."""
+def _coded(vocabulary: DataFrame, most: int) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None], int]:
+    """((hashes in order, their codes, ln count by code, bitmap of the other words that occur twice or None), least count with a code): as many words as ``most`` allows."""
     # at most the square root of twice the words: that many distinct counts
     sizes = sorted(tuple(r) for r in vocabulary.where("n > 1").groupBy("n").count().collect())
     least, n = 2, 0
@@ -150,15 +161,25 @@ def _coded(vocabulary: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np
     ranked, by_name = np.lexsort((names, -n)), np.argsort(names)
     codes = np.empty(len(names), np.int32)
     codes[ranked] = np.arange(len(names))
-    return names[by_name], codes[by_name], np.log(n[ranked].astype(np.float64)), least == 2
+    twice = None
+    if 0 < sum(words for count, words in sizes if count < least) <= MARKED:
+        place = _others(vocabulary, least).select(F.shiftrightunsigned("word", 64 - PLACE).cast("int").alias("place")).toArrow()["place"].to_numpy()
+        twice = np.zeros(1 << PLACE - 3, np.uint8)
+        np.bitwise_or.at(twice, place >> 3, np.left_shift(1, place & 7).astype(np.uint8))
+    return (names[by_name], codes[by_name], np.log(n[ranked].astype(np.float64)), twice), least
+
+
+def _others(vocabulary: DataFrame, least: int) -> DataFrame:
+    """The words without a code that occur twice."""
+    return vocabulary.where((F.col("n") > 1) & (F.col("n") < least))
 
 
 DOC = np.dtype([("doc", "<i8"), ("n", "<i8"), ("base", "<f8")])
-ASKED = np.dtype([("at", "<i4"), ("times", "<i4")])
+ADD = np.dtype([("at", "<i8"), ("value", "<f8")])
 #: Stands for a null id inside the packed rows.
 NO_ID = -(1 << 63)
-#: Kinds of rows: a chunk's documents, sums of its documents, documents that ask for a rare word's ``ln c``, occurrences.
-DOCUMENTS, SUMS, WANTED, OCCURRENCES = range(4)
+#: Kinds of rows: a chunk's documents, sums of all its documents and of some, counts of rare words, documents that ask for their ``ln c``, occurrences.
+DOCUMENTS, SUMS, ADDED, COUNTS, WANTED, OCCURRENCES = range(6)
 ROW = "chunk long, kind int, name long, data binary"
 
 
@@ -169,18 +190,79 @@ def _rows(chunk, kind: int, name, data: list[bytes] | pa.Array) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays([columns[0], pa.array(np.full(n, kind, np.int32)), columns[1], data], ["chunk", "kind", "name", "data"])
 
 
-def _wanted(name: np.ndarray, chunk: np.ndarray, at: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
-    """A row per rare word and chunk: the documents and how many times each asks for the word."""
-    by = np.lexsort((at, chunk, name))
-    name, chunk, at, times = (x[by] for x in (name, chunk, at, times))
-    group = (name[1:] != name[:-1]) | (chunk[1:] != chunk[:-1])
-    new = np.flatnonzero(np.concatenate(([True], group | (at[1:] != at[:-1]))))
-    entries = np.empty(len(new), ASKED)
-    entries["at"], entries["times"] = at[new], np.add.reduceat(times, new)
-    firsts = np.flatnonzero(np.concatenate(([True], group))[new])
-    ends = np.append(firsts, len(new)).astype(np.int32) * ASKED.itemsize
-    data = pa.Array.from_buffers(pa.binary(), len(firsts), [None, pa.py_buffer(ends), pa.py_buffer(entries.tobytes())])
-    return _rows(chunk[new[firsts]], WANTED, name[new[firsts]].view(np.int64), data)
+def _word_buckets(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return 1 << 32 | (hashes >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _wanted(word: np.ndarray, chunk: np.ndarray, at: np.ndarray, times: np.ndarray, bits: int) -> pa.RecordBatch:
+    """A row per bucket of rare words: which documents ask for which of them, and how many times."""
+    bucket = _word_buckets(word, bits)
+    by = np.lexsort((at, word, chunk, bucket))
+    bucket, word, chunk, at, times = (x[by] for x in (bucket, word, chunk, at, times))
+    new = np.ones(len(by), bool)
+    new[1:] = (word[1:] != word[:-1]) | (chunk[1:] != chunk[:-1]) | (at[1:] != at[:-1])
+    first = np.flatnonzero(new)
+    columns = [word[first].view(np.int64), chunk[first], at[first], np.add.reduceat(times, first)]
+    edges = np.flatnonzero(np.diff(bucket[first], prepend=-1, append=-1))
+    names = bucket[first][edges[:-1]]
+    data = []
+    for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        body = b"".join([c[lo:hi].astype("<i8").tobytes() for c in columns])
+        data.append(np.int64(hi - lo).tobytes() + pa.compress(body, codec="zstd", asbytes=True))
+    return _rows(0, WANTED, names, data)
+
+
+def _counted(bits: int):
+    """(word, n) -> a row per bucket and batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words, n = b.column(0).to_numpy(), b.column(1).to_numpy()
+            by = np.argsort(words.view(np.uint64))
+            words, n = words[by], n[by]
+            bucket = _word_buckets(words.view(np.uint64), bits)
+            edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
+            if len(words):
+                data = [words[lo:hi].tobytes() + n[lo:hi].tobytes() for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
+                yield _rows(0, COUNTS, bucket[edges[:-1]], data)
+
+    return run
+
+
+def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts and questions sorted by bucket and kind -> what they add to the documents; a word that isn't counted occurs once."""
+    now, known, words, ln = None, [], np.empty(0, np.uint64), np.empty(0)
+    for b in batches:
+        for kind, name, data in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
+            raw = data.as_py()
+            if name != now:
+                now, known, words, ln = name, [], np.empty(0, np.uint64), np.empty(0)
+            if kind == COUNTS:
+                known.append(np.frombuffer(raw, np.int64).reshape(2, -1))
+                continue
+            if known:
+                both = np.concatenate(known, axis=1)
+                by = np.argsort(both[0].view(np.uint64))
+                words, ln, known = both[0].view(np.uint64)[by], np.log(both[1][by].astype(np.float64)), []
+            n = int(np.frombuffer(raw, np.int64, 1)[0])
+            columns = np.frombuffer(pa.decompress(pa.py_buffer(raw).slice(8), 32 * n, codec="zstd", asbytes=True), np.int64).reshape(4, n)
+            word = columns[0].view(np.uint64)
+            value = np.zeros(n)
+            if len(words):
+                place = np.minimum(np.searchsorted(words, word), len(words) - 1)
+                value = np.where(words[place] == word, ln[place], 0.0) * columns[3]
+            by = np.flatnonzero(value)
+            by = by[np.lexsort((columns[2][by], columns[1][by]))]
+            chunk, at = columns[1][by], columns[2][by]
+            if not len(by):
+                continue
+            new = np.ones(len(by), bool)
+            new[1:] = (chunk[1:] != chunk[:-1]) | (at[1:] != at[:-1])
+            first = np.flatnonzero(new)
+            adds = np.empty(len(first), ADD)
+            adds["at"], adds["value"] = at[first], np.add.reduceat(value[by], first)
+            edges = np.flatnonzero(np.concatenate(([True], chunk[first][1:] != chunk[first][:-1], [True])))
+            yield _rows(chunk[first][edges[:-1]], ADDED, 0, [adds[lo:hi].tobytes() for lo, hi in zip(edges[:-1], edges[1:], strict=True)])
 
 
 def _mixed(parts: list[np.ndarray], bits: int) -> np.ndarray:
@@ -207,7 +289,7 @@ def _unpacked(data: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return codes, owner, np.frombuffer(body, "<u8", n_rare, 3 * width * n + 4 * n), n_docs
 
 
-def _occurrences(shared, exhaustive: bool, total: int, order: int, alpha: float, bits: int):
+def _occurrences(shared, exhaustive: bool, total: int, order: int, alpha: float, min_count: int, bits: int):
     """(doc, text) -> each chunk's documents with the terms of order one, and its n-grams by length and bucket."""
     at_total, at_alpha = math.log(max(1, total)), math.log(alpha)
 
@@ -244,8 +326,8 @@ def _occurrences(shared, exhaustive: bool, total: int, order: int, alpha: float,
             yield int(bucket[lo]), planes[:, :, lo:hi], of[lo:hi], rare
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, code_of, logs = shared.value
-        known, task, number = _Codes(names, code_of, exhaustive), TaskContext.get().partitionId(), 0
+        names, code_of, logs, twice = shared.value
+        known, task, number = _Codes(names, code_of, exhaustive, twice if min_count > 1 else None), TaskContext.get().partitionId(), 0
         logs = np.append(logs, 0.0)
         for chunk in _chunks(batches, known):
             lengths = np.array([len(w) for _, w in chunk])
@@ -268,7 +350,8 @@ def _occurrences(shared, exhaustive: bool, total: int, order: int, alpha: float,
             number += 1
             yield _rows(name, DOCUMENTS, name, [docs.tobytes()])
             if out_of.any():
-                yield _wanted(hashes[out_of], np.full(int(out_of.sum()), name), owner[out_of], np.ones(int(out_of.sum()), np.int64))
+                n_rare = int(out_of.sum())
+                yield _wanted(hashes[out_of], np.full(n_rare, name), owner[out_of], np.ones(n_rare, np.int64), bits - WORD_BITS)
             for length in range(2, max(3, order) if order > 1 else 2):
                 rows = [(length << 32 | b, _packed(c, of, rare, len(chunk))) for b, c, of, rare in grams(codes, hashes, owner, left, length)]
                 if rows:
@@ -286,7 +369,7 @@ def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return by, group, np.diff(np.append(np.flatnonzero(new), len(keys)))[group]
 
 
-def _terms(shared, total: int, order: int, alpha: float, min_count: int):
+def _terms(shared, total: int, order: int, alpha: float, min_count: int, bits: int):
     """Rows sorted by name -> the terms of the n-grams' occurrences, summed per chunk and document; other rows as they are."""
     at_total, at_alpha = math.log(max(1, total)), math.log(alpha)
 
@@ -363,6 +446,7 @@ def _terms(shared, total: int, order: int, alpha: float, min_count: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logs = np.append(shared.value[2], 0.0)
         held: dict[int, np.ndarray] = {}
+        asked: list[tuple] = []
         size = 0
 
         def done(name: int, parts: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
@@ -379,7 +463,8 @@ def _terms(shared, total: int, order: int, alpha: float, min_count: int):
                 hashes, slot, times = (np.concatenate(c) for c in zip(*wanted, strict=True))
                 if len(hashes):
                     part = np.searchsorted(ends, slot, "right")
-                    yield _wanted(hashes, chunks[part], slot - np.append(0, ends)[part], times)
+                    asked.append((hashes, chunks[part], slot - np.append(0, ends)[part], times))
+                    size += 4 * len(hashes)
             if size > HELD:
                 yield from flushed()
 
@@ -388,7 +473,10 @@ def _terms(shared, total: int, order: int, alpha: float, min_count: int):
             for lo in range(0, len(chunks := list(held)), 500):
                 some = chunks[lo : lo + 500]
                 yield _rows(some, SUMS, 0, [held[c].tobytes() for c in some])
+            if asked:
+                yield _wanted(*(np.concatenate(c) for c in zip(*asked, strict=True)), bits - WORD_BITS)
             held.clear()
+            asked.clear()
             size = 0
 
         now, parts = None, []
@@ -411,14 +499,14 @@ def _terms(shared, total: int, order: int, alpha: float, min_count: int):
 
 
 def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(chunk, kind, ln, data) sorted by chunk and kind -> (doc, total, n)."""
+    """(chunk, kind, data) sorted by chunk and kind -> (doc, total, n)."""
 
     def out(docs: np.ndarray, total: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(docs["doc"].copy()), pa.array(total), pa.array(docs["n"].copy())], ["doc", "total", "n"])
 
     now, docs, total = None, None, None
     for b in batches:
-        for chunk, kind, ln, data in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+        for chunk, kind, data in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
             if kind == DOCUMENTS:
                 if docs is not None:
                     yield out(docs, total)
@@ -429,8 +517,8 @@ def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             elif kind == SUMS:
                 total += np.frombuffer(data, np.float64)
             else:
-                asked = np.frombuffer(data, ASKED)
-                total[asked["at"]] += asked["times"] * ln  # a document once a row
+                adds = np.frombuffer(data, ADD)
+                total[adds["at"]] += adds["value"]  # a document once a row
     if docs is not None:
         yield out(docs, total)
 
@@ -442,19 +530,19 @@ def scored(
     rows = docs.select(F.col(f"`{id}`").cast("long").alias("doc"), F.col(f"`{text}`").cast("binary").alias("text"))
     vocabulary = counts(rows)
     total = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    names, codes, logs, all_twice = _coded(vocabulary, min(words, RARE))
-    shared = docs.sparkSession.sparkContext.broadcast((names, codes, logs))
+    coded, least = _coded(vocabulary, min(words, RARE))
+    shared = docs.sparkSession.sparkContext.broadcast(coded)
     bits = min(16, max(LEAST_BITS, math.ceil(math.log2(max(1, total) / BUCKET))))
-    exhaustive = all_twice and min_count > 1  # a word without a code occurs once and is in no seen n-gram
-    found = rows.mapInArrow(_occurrences(shared, exhaustive, total, order, alpha, bits), ROW)
-    dealt = found.repartition("name").sortWithinPartitions("name").mapInArrow(_terms(shared, total, order, alpha, min_count), ROW)
-    if exhaustive:
-        terms = dealt.select("chunk", "kind", F.lit(0.0).alias("ln"), "data")
-    else:
-        dealt = written(dealt, "lm-terms")
-        rare = vocabulary.select(F.col("word").alias("name"), F.log(F.col("n").cast("double")).alias("ln"))
-        wanted = dealt.where(F.col("kind") == WANTED).join(rare, "name").select("chunk", "kind", "ln", "data")
-        terms = dealt.where(F.col("kind") != WANTED).select("chunk", "kind", F.lit(0.0).alias("ln"), "data").unionByName(wanted)
+    exhaustive = least == 2 and min_count > 1  # a word without a code occurs once and is in no seen n-gram
+    found = rows.mapInArrow(_occurrences(shared, exhaustive, total, order, alpha, min_count, bits), ROW)
+    terms = found.repartition("name").sortWithinPartitions("name").mapInArrow(_terms(shared, total, order, alpha, min_count, bits), ROW)
+    if not exhaustive:
+        terms = written(terms, "lm-terms")
+        rare = _others(vocabulary, least).mapInArrow(_counted(bits - WORD_BITS), ROW)
+        asked = terms.where(F.col("kind") == WANTED).unionByName(rare)
+        answers = asked.repartition("name").sortWithinPartitions("name", "kind").mapInArrow(_answers, ROW)
+        terms = terms.where(F.col("kind") != WANTED).unionByName(answers)
+    terms = terms.select("chunk", "kind", "data")
     sums = terms.repartition("chunk").sortWithinPartitions("chunk", "kind").mapInArrow(_totals, "doc long, total double, n long")
     by_doc = sums.groupBy("doc").agg(F.sum("n").alias("n_words"), F.sum("total").alias("log_score"))
     return by_doc.withColumn("doc", F.when(F.col("doc") != NO_ID, F.col("doc")))

@@ -89,7 +89,6 @@ def test_shuffles_less_than_the_text(spark):
     words = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 9))) for _ in range(4000)]
     rows = [(i, " ".join(rng.choices(words, weights=[1 / (k + 1) for k in range(4000)], k=1500))) for i in range(60)]
     docs = spark.createDataFrame(rows, "doc long, text string").selectExpr("doc", "cast(text AS binary) AS text").coalesce(1)
-    names, codes, logs, complete = lm._coded(lm.counts(docs), lm.WORDS)
-    shared = spark.sparkContext.broadcast((names, codes, logs))
-    found = docs.mapInArrow(lm._occurrences(shared, complete, 90_000, 3, 0.4, 4), lm.ROW)
+    coded, least = lm._coded(lm.counts(docs), lm.WORDS)
+    found = docs.mapInArrow(lm._occurrences(spark.sparkContext.broadcast(coded), least == 2, 90_000, 3, 0.4, 2, 4), lm.ROW)
     assert 0 < found.selectExpr("sum(length(data)) AS n").first()["n"] < 90_000 * 10
